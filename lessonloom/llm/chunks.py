@@ -2,9 +2,9 @@
 
 Documents are dealt into chunks by a hash of their id. Each chunk lists its distinct
 64-bit keys, in order; the keys go to buckets by their high bits, packed into one
-binary row per chunk and bucket. A bucket answers each chunk with one bit per key:
-does the key occur elsewhere (in another chunk, or more than once in that chunk)?
-As the chunk can list the same keys again in the same order, the bits suffice.
+binary row per chunk and bucket. A bucket answers each chunk with one byte per key:
+does the key occur once, repeatedly, or very often among all chunks?
+As the chunk can list the same keys again in the same order, the bytes suffice.
 
 A key that a third of all documents hold costs one entry a chunk, not one a document,
 so no bucket grows with a hot key; the number of chunks and buckets follows
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lessonloom.llm.common import LAST_ID, shuffle_partitions, word_hashes
 
 CHUNKED = "chunk int, id long, tag int, body binary"
-#: (keys of one chunk) -> distinct sorted keys and whether each already counts as repeated there.
+#: Distinct sorted keys of a chunk, and how often each occurs there.
 Keys = tuple[np.ndarray, np.ndarray]
 
 
@@ -78,12 +78,12 @@ def room_of(counts: np.ndarray) -> np.ndarray:
 
 
 def count_keys(keys: np.ndarray) -> Keys:
-    """Distinct sorted keys, and which of them occur more than once."""
+    """Distinct sorted keys, and how often each occurs."""
     keys = np.sort(keys)
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(first)
-    return keys[at], np.diff(np.append(at, len(keys))) > 1
+    return keys[at], np.diff(np.append(at, len(keys)))
 
 
 def bucket_edges(buckets: int) -> np.ndarray:
@@ -91,51 +91,56 @@ def bucket_edges(buckets: int) -> np.ndarray:
     return np.array([((b << 64) + buckets - 1) // buckets for b in range(1, buckets)], np.uint64)
 
 
-ASKED = "chunk int, bucket int, keys binary, many binary"
-ANSWERED = "chunk int, bucket int, bits binary"
+ASKED = "chunk int, bucket int, keys binary, counts binary"
+ANSWERED = "chunk int, bucket int, told binary"
+#: What is told of a key: it occurs once, at least twice, or at least ``hot`` times.
+ONCE, TWICE, HOT = 0, 1, 2
+
+
+def places(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's part of the sorted keys begins, and the end."""
+    return np.concatenate(([0], np.searchsorted(keys, bucket_edges(buckets)), [len(keys)]))
 
 
 def ask(chunk: int, keys: Keys, buckets: int) -> pa.Table:
     """A chunk's keys as one row a bucket."""
-    edges = np.concatenate(([0], np.searchsorted(keys[0], bucket_edges(buckets)), [len(keys[0])]))
+    edges = places(keys[0], buckets)
     some = np.flatnonzero(np.diff(edges))
+    counts = np.minimum(keys[1], 65535).astype(np.uint16)
     return pa.table(
         {
             "chunk": pa.array(np.full(len(some), chunk), pa.int32()),
             "bucket": pa.array(some, pa.int32()),
             "keys": pa.array([keys[0][edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()),
-            "many": pa.array([np.packbits(keys[1][edges[b] : edges[b + 1]]).tobytes() for b in some], pa.binary()),
+            "counts": pa.array([counts[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()),
         }
     )
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """For one bucket, per chunk the bits that say which of its keys are repeated."""
-    chunks = table.column("chunk").to_numpy()
+def answer(table: pa.Table, hot: int = LAST_ID) -> pa.Table:
+    """For one bucket, per chunk what is told of each of its keys."""
     lists = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("many").to_pylist(), lists)]
-    keys, own = np.concatenate(lists), np.concatenate(many)
+    keys = np.concatenate(lists)
+    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
-    same = np.zeros(len(keys) + 1, bool)
-    same[1:-1] = ranked[1:] == ranked[:-1]
-    hit = np.empty(len(keys), bool)
-    hit[order] = same[:-1] | same[1:]
-    hit |= own
-    # A key that repeats only inside one chunk is alone in its bucket but marked there.
+    first = np.ones(len(keys), bool)
+    first[1:] = ranked[1:] != ranked[:-1]
+    at = np.flatnonzero(first)
+    totals = np.add.reduceat(counts[order], at)
+    told = np.empty(len(keys), np.uint8)
+    told[order] = np.repeat((totals >= 2).astype(np.uint8) + (totals >= hot), np.diff(np.append(at, len(keys))))
     cuts = np.cumsum([len(k) for k in lists])[:-1]
-    bits = [np.packbits(h).tobytes() for h in np.split(hit, cuts)]
-    return pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": table.column("bucket").cast(pa.int32()), "bits": pa.array(bits, pa.binary())})
+    return pa.table({"chunk": table.column("chunk").cast(pa.int32()), "bucket": table.column("bucket").cast(pa.int32()), "told": pa.array([x.tobytes() for x in np.split(told, cuts)], pa.binary())})
 
 
-def repeated_keys(keys: Keys, answers: pa.Table, buckets: int) -> np.ndarray:
-    """Those of a chunk's keys that the answers mark, sorted."""
-    edges = np.concatenate(([0], np.searchsorted(keys[0], bucket_edges(buckets)), [len(keys[0])]))
-    hit = np.zeros(len(keys[0]), bool)
-    for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()):
-        n = edges[b + 1] - edges[b]
-        hit[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    return keys[0][hit]
+def told_of(keys: Keys, answers: pa.Table, buckets: int) -> np.ndarray:
+    """What the answers tell of each of a chunk's keys."""
+    edges = places(keys[0], buckets)
+    told = np.zeros(len(keys[0]), np.uint8)
+    for b, x in zip(answers.column("bucket").to_pylist(), answers.column("told").to_pylist()):
+        told[edges[b] : edges[b + 1]] = np.frombuffer(x, np.uint8)
+    return told
 
 
 def is_in(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
@@ -145,19 +150,11 @@ def is_in(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
     return ranked[np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)] == values
 
 
-def ask_all(docs: DataFrame, keys_of: Callable[[pa.Table], Keys], buckets: int) -> DataFrame:
-    """Answers for keys that depend on a chunk's documents alone."""
-
-    def questions(table: pa.Table) -> pa.Table:
-        return ask(table.column("chunk")[0].as_py(), keys_of(table), buckets)
-
-    return docs.groupBy("chunk").applyInArrow(questions, ASKED).groupBy("bucket").applyInArrow(answer, ANSWERED)
-
-
 def with_answers(docs: DataFrame, answers: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """f(documents of a chunk, answers to it) for every chunk that has documents."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         return f(left, right)
 
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(one, schema)
+    back = answers.select(F.col("chunk").alias("for_chunk"), *[F.col(c).alias(c) for c in answers.columns if c != "chunk"])
+    return docs.groupBy("chunk").cogroup(back.groupBy("for_chunk")).applyInArrow(one, schema)

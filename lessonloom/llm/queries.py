@@ -6,10 +6,12 @@ import corpus_pipeline
 
 from lessonloom.llm.byte_bpe import op2_byte_bpe
 from lessonloom.llm.quality_rules import op3_quality_rules
+from lessonloom.llm.suffix_dedup import op1_suffix_dedup
 from lessonloom.llm.substring_dedup import op9_substring_dedup
 from lessonloom.llm.source_mixing import op7_source_mixing
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op7_source_mixing": op7_source_mixing,

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.chunks import ANSWERED, ASKED, Keys, answer, ask, chunked, count_keys, documents_of, is_in, repeated_keys, room_of, with_answers, words_of
+from lessonloom.llm.chunks import ANSWERED, ASKED, TWICE, Keys, answer, ask, chunked, count_keys, documents_of, is_in, room_of, told_of, with_answers, words_of
 from lessonloom.llm.common import WORDS, back_to_null, cover, marked_runs, mix, read_documents, shuffle_partitions, sliding_min, word_bounds
 
 WINDOW = 35
@@ -69,7 +69,7 @@ class Windows:
     def kill(self, keys: Keys, answers: pa.Table, buckets: int) -> None:
         """Windows live on whose run is repeated."""
         if len(self.tries):
-            self.alive = self.alive & is_in(self.tries, repeated_keys(keys, answers, buckets))
+            self.alive = self.alive & is_in(self.tries, keys[0][told_of(keys, answers, buckets) >= TWICE])
 
     def replay(self, answers: pa.Table, levels: int, buckets: int) -> None:
         """Live through the first levels again, by their answers."""
