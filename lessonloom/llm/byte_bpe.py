@@ -18,6 +18,7 @@ ids that the vocabulary lacks are an error; other columns are not read.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from lessonloom.llm.common import bodies, read_documents
 
 #: Pieces whose tokens a task remembers at once; more are encoded again. Bounds memory only.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: Pieces handed to the library at once.
+AT_ONCE = 4096
 
 
 def byte_characters() -> list[str]:
@@ -75,6 +78,7 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[str, str]]:
 @lru_cache(maxsize=2)
 def tokenizer(ranks: bytes):
     """A tokenizers model over byte characters; cached per Python worker."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer, models
 
     known = parse_ranks(ranks)
@@ -103,13 +107,13 @@ class Encoder:
             self.forget()
             new = list(set(pieces))
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        found = self.model.encode_batch([as_characters(p.encode()) for p in new], add_special_tokens=False)
-        ids, ends, counts = [], [], []
-        for e in found:
-            ids += e.ids
-            ends += [b for _, b in e.offsets]
-            counts.append(len(e))
-        self.ids, self.ends = np.concatenate((self.ids, np.array(ids, np.int32))), np.concatenate((self.ends, np.array(ends, np.int32)))
+        ids, ends, counts = [self.ids], [self.ends], []
+        for k in range(0, len(new), AT_ONCE):
+            found = self.model.encode_batch([as_characters(p.encode()) for p in new[k : k + AT_ONCE]], add_special_tokens=False)
+            ids.append(np.array([i for e in found for i in e.ids], np.int32))
+            ends.append(np.array([b for e in found for _, b in e.offsets], np.int32))
+            counts += map(len, found)
+        self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
         self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,9 +181,8 @@ def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(ranks)
-        size = model.get_vocab_size()
-        table = np.array([bytes(map(BYTE_OF.__getitem__, model.id_to_token(i) or "")) for i in range(size)], object)
+        tokens = sorted(parse_ranks(ranks).items(), key=lambda x: x[1])
+        table = np.array([bytes(map(BYTE_OF.__getitem__, as_characters(t))) for t, _ in tokens], object)
         for part in parts:
             lists = part.column(part.schema.get_field_index(ids_col))
             body = pa.array([b"".join(table[x.values.to_numpy(zero_copy_only=False)]) if x.is_valid else None for x in lists], pa.binary())
@@ -188,11 +191,6 @@ def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
     return tokens.mapInArrow(batches, StructType([*tokens.schema.fields, StructField("body", BinaryType())]))
 
 
-def decoded_text(body: F.Column = None):
-    """Column: decoded bytes as text, bytes that are no UTF-8 replaced."""
-    return F.decode(F.col("body") if body is None else body, "UTF-8")
-
-
 def default_vocabulary() -> tuple[bytes, str]:
     import public_tokenizers
 

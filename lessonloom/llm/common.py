@@ -7,6 +7,7 @@ A null id is ordered after all others (``LAST_ID``) and comes back as null.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,3 +146,12 @@ def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.add.at(steps, starts, 1)
     np.add.at(steps, ends, -1)
     return np.cumsum(steps[:-1]) > 0
+
+
+def with_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder that the cluster names; a folder of this machine only where none is named (tests)."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))

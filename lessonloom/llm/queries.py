@@ -5,17 +5,21 @@ from __future__ import annotations
 import corpus_pipeline
 
 from lessonloom.llm.byte_bpe import op2_byte_bpe
+from lessonloom.llm.jaccard_join import op10_jaccard_join
 from lessonloom.llm.quality_rules import op3_quality_rules
 from lessonloom.llm.suffix_dedup import op1_suffix_dedup
 from lessonloom.llm.substring_dedup import op9_substring_dedup
 from lessonloom.llm.source_mixing import op7_source_mixing
+from lessonloom.llm.weighted_sampling import op4_weighted_sampling
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op4_weighted_sampling": op4_weighted_sampling,
     "op7_source_mixing": op7_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
