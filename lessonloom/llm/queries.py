@@ -10,6 +10,7 @@ from lessonloom.llm.quality_rules import op3_quality_rules
 from lessonloom.llm.suffix_dedup import op1_suffix_dedup
 from lessonloom.llm.substring_dedup import op9_substring_dedup
 from lessonloom.llm.source_mixing import op7_source_mixing
+from lessonloom.llm.toxicity import op5_toxicity
 from lessonloom.llm.weighted_sampling import op4_weighted_sampling
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op4_weighted_sampling": op4_weighted_sampling,
+    "op5_toxicity": op5_toxicity,
     "op7_source_mixing": op7_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
