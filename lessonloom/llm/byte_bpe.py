@@ -91,6 +91,7 @@ class Encoder:
     def __init__(self, ranks: bytes, pattern: str):
         import regex
 
+        self.pattern = pattern
         self.split, self.model = regex.compile(pattern).findall, tokenizer(ranks)
         self.forget()
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lessonloom.llm.common import LAST_ID, WORDS, back_to_null, bodies, mix, read_documents, shuffle_partitions, with_checkpoint_dir, word_hashes
@@ -185,10 +185,11 @@ def verifier(threshold: float, bands: int):
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS_IN_SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(id, class_id, n_links) of every document, a null id as the last.
+    """(id, tag, class_id, n_links, head) of every document, a null id as the last; tag is a hash of the text.
 
     class_id is the least id of the documents linked to it, directly or by others; n_links
     is the number of other documents of similarity ``threshold`` or more, copies included.
+    head marks the document that stands for its class: that of the least (id, tag).
     """
     spark = docs.sparkSession
     with_checkpoint_dir(spark)
@@ -224,12 +225,27 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = dealt.groupBy("part").applyInArrow(verifier(threshold, bands), LINKS).checkpoint()
     degree = links.groupBy("class_key").agg(F.sum("links").alias("links"))
     component = components(links.select(F.col("class_key").alias("u"), F.col("to").alias("v")))
-    known = classes.select("class_key", "weight", F.col("stands.id").alias("least_id")).join(degree, "class_key", "left").join(component.withColumnRenamed("node", "class_key"), "class_key", "left")
-    known = known.select("class_key", "weight", "least_id", "links", F.coalesce("component", "class_key").alias("component")).checkpoint()
-    heads = known.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    told = known.join(heads, "component").select("class_key", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = marked.select("id", "class_key").join(told, "class_key", "left")
-    return joined.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = classes.select("class_key", "weight", "stands").join(degree, "class_key", "left").join(component.withColumnRenamed("node", "class_key"), "class_key", "left")
+    known = known.select("class_key", "weight", "stands", "links", F.coalesce("component", "class_key").alias("component")).checkpoint()
+    heads = known.groupBy("component").agg(F.min("stands").alias("first"))
+    told = known.join(heads, "component").select("class_key", "first", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    joined = marked.select("id", "tag", "class_key").join(told, "class_key", "left")
+    return joined.select(
+        "id",
+        "tag",
+        F.coalesce("first.id", "id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        ((F.coalesce("first.id", "id") == F.col("id")) & (F.coalesce("first.tag", "tag") == F.col("tag"))).alias("head"),
+    )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The documents that stand for their classes, one row each, with their own columns."""
+    heads = jaccard_classes(docs, id_col, text_col, **settings).where("head").select("id", "tag").distinct()
+    body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.hash(body).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    again = Window.partitionBy("id", "tag").orderBy(F.lit(0))
+    return rows.join(heads, ["id", "tag"]).withColumn("turn", F.row_number().over(again)).where("turn = 1").select("row.*")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lessonloom.llm.common import BYTE_CODE, BYTES, WORDS, bodies, cover, mix, read_documents, word_hashes
 
@@ -79,17 +80,16 @@ def measure(body: bytes) -> list[int]:
 
 
 def repetition_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: the counts from which the rules are decided (columns of SCHEMA)."""
+    """One row a document: the counts from which the rules are decided (columns of SCHEMA), and row, the document's own columns."""
+    names = [f.strip().split()[0] for f in SCHEMA.split(",")]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for part in parts:
-            rows = [measure(body) for body in bodies(part.column(1))]
-            columns = list(zip(*rows)) if rows else [[]] * (7 + len(MAX_NGRAM_SHARE) - 1)
-            schema = schema or pa.schema([("id", pa.int64()), *[(f.strip().split()[0], pa.int64()) for f in SCHEMA.split(",")[1:]]])
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *[pa.array(c, pa.int64()) for c in columns]], schema=schema)
+            counts = list(zip(*[measure(body) for body in bodies(part.column(1))])) or [[]] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in counts], part.column(2)], [*names, "row"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(batches, SCHEMA)
+    return rows.mapInArrow(batches, StructType([*[StructField(n, LongType()) for n in names], rows.schema["row"]]))
 
 
 def judge(counts: DataFrame) -> DataFrame:
@@ -109,7 +109,12 @@ def judge(counts: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, base_failed and kept for every document."""
-    return judge(repetition_counts(docs, id_col, text_col)).withColumnRenamed("id", "doc_id")
+    return judge(repetition_counts(docs, id_col, text_col).drop("row")).withColumnRenamed("id", "doc_id")
+
+
+def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that the rules keep, with their own columns."""
+    return judge(repetition_counts(docs, id_col, text_col)).where("kept").select("row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

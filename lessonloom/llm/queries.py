@@ -6,10 +6,12 @@ import corpus_pipeline
 
 from lessonloom.llm.byte_bpe import op2_byte_bpe
 from lessonloom.llm.jaccard_join import op10_jaccard_join
+from lessonloom.llm.language_id import op6_language_id
 from lessonloom.llm.quality_rules import op3_quality_rules
 from lessonloom.llm.suffix_dedup import op1_suffix_dedup
 from lessonloom.llm.substring_dedup import op9_substring_dedup
 from lessonloom.llm.source_mixing import op7_source_mixing
+from lessonloom.llm.token_counts import op8_token_counts
 from lessonloom.llm.toxicity import op5_toxicity
 from lessonloom.llm.weighted_sampling import op4_weighted_sampling
 
@@ -19,7 +21,9 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_source_mixing": op7_source_mixing,
+    "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": corpus_pipeline.run,

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import LAST_ID, back_to_null, count_words, read_documents, shuffle_partitions, text_of
+from lessonloom.llm.common import LAST_ID, SPACE, back_to_null, count_words, read_documents, shuffle_partitions, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
@@ -130,5 +130,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return joined.select(back_to_null("id").alias("doc_id"), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("turns", F.lit(0)).cast("int").alias("turns"), "number", "start", "place")
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The mix: each document once for every pass that takes it, with its own columns; the last time only as many words as were taken."""
+    text = text_of(text_col)
+    place = F.xxhash64(F.lit("place"), F.col(id_col), F.xxhash64(text))
+    told = mix(docs, id_col, text_col, source_col, **settings).where("taken > 0").groupBy("place", "doc_id").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
+    rows = docs.select(place.alias("place"), F.col(id_col).cast("long").alias("mixed_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    told = told.withColumnRenamed("doc_id", "told_id").withColumnRenamed("place", "told_place")
+    taken = rows.join(told, (rows["place"] == told["told_place"]) & rows["mixed_id"].eqNullSafe(told["told_id"]))
+    passes = taken.select("row", "size", "taken", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))).alias("turn"))
+    left = F.least(F.col("size"), F.col("taken") - (F.col("turn") - 1) * F.col("size")).cast("int")
+    words = F.filter(F.split(F.col("row")[text_col], f"[{SPACE}]+"), lambda w: w != "")
+    some = F.when(left == F.col("size"), F.col("row")[text_col]).otherwise(F.array_join(F.slice(words, F.lit(1), left), " "))
+    return passes.withColumn("row", F.col("row").withField(text_col, some)).select("row.*")
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "turns", "start")

@@ -113,11 +113,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int]:
     return answers, buckets
 
 
-REMOVED = "id long, n_words long, n_removed long, n_spans long, kept binary"
+REMOVED = "id long, tag int, n_words long, n_removed long, n_spans long, kept binary"
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """id, n_words, n_removed, n_spans and kept (the kept words joined by one space, UTF-8)."""
+    """id, tag (a hash of the text), n_words, n_removed, n_spans and kept (the kept words joined by one space, UTF-8)."""
     rows = chunked(docs, id_col, text_col)
     answers, buckets = repeats(rows, window)
 
@@ -128,13 +128,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             windows.replay(told, len(windows.lengths), buckets)
             at = np.flatnonzero(windows.alive)
             removed = np.split(cover(len(windows.words), at, at + window), np.cumsum(windows.counts)[:-1])
-            for (name, _, body), gone in zip(documents_of(table), removed):
+            for (name, tag, body), gone in zip(documents_of(table), removed):
                 starts, ends = word_bounds(np.frombuffer(body, np.uint8))
                 kept = np.flatnonzero(~gone)
-                row = name, len(gone), int(gone.sum()), len(marked_runs(gone)[0]), b" ".join([body[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist())])
+                row = name, tag, len(gone), int(gone.sum()), len(marked_runs(gone)[0]), b" ".join([body[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist())])
                 for c, v in zip(out, row):
                     out[c].append(v)
-        kinds = [pa.int64()] * 4 + [pa.binary()]
+        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary()]
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
 
     return with_answers(rows, answers, cut, REMOVED)
