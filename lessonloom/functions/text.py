@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lessonloom import constants as C
 
@@ -27,7 +28,7 @@ def sentence_words(c: Column) -> Column:
     return F.regexp_extract_all(clean_text(c), F.lit(C.TOKEN_PATTERN), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFC")
 
