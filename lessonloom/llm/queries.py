@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from lessonloom.llm import oracles
 from lessonloom.llm.byte_bpe import op2_byte_bpe
 from lessonloom.llm.jaccard_join import op10_jaccard_join
 from lessonloom.llm.language_id import op6_language_id
@@ -28,6 +29,6 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
