@@ -2,7 +2,7 @@
 
 Evidence for a page: its visible text (byte-trigram likelihoods), the language that its
 markup declares, its address suffix, and a prior of its host. The text model is fitted
-on at most ``TRAIN_ROWS`` documents of known language (those of least hash). The other
+on at most ``TRAIN_ROWS`` texts of known language (those of least hash). The other
 parts come from grouped aggregations over all pages of the text posteriors:
 
 * how often each declared language goes with each language,
@@ -47,7 +47,10 @@ def grams(body: bytes) -> np.ndarray:
 def train_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities of trigrams (a row a language), from a bounded sample."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col)).alias("text"))
-    sample = known.orderBy(F.xxhash64("text"), "text").limit(rows)
+    known = known.withColumn("h", F.xxhash64("text"))
+    # Only hashes are ranked in one place; the texts stay where they are, and copies count once.
+    chosen = known.select("h").distinct().orderBy("h").limit(rows)
+    sample = known.join(F.broadcast(chosen), "h").groupBy("h", "lang").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
