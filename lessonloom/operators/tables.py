@@ -188,8 +188,9 @@ def append_members(links: DataFrame, additions: DataFrame, replace: bool = False
 def seed_top_n(scopes: DataFrame, passages: DataFrame, links: DataFrame, n: int = 5) -> DataFrame:
     """First passages of the grade for scopes that have none; the first three are the mock group."""
     empty = scopes.select(F.col("id").alias("exam_id"), "grade").join(links.select("exam_id").distinct(), "exam_id", "left_anti")
-    ranked = passages.withColumn("position", F.row_number().over(Window.partitionBy("grade").orderBy("display_order", "id")) - 1).where(F.col("position") < n)
-    rows = empty.join(ranked.select("grade", F.col("id").alias("passage_id"), "position"), "grade")
+    # A plain row_number() <= n lets Spark cut each grade to n rows before the exchange.
+    ranked = passages.withColumn("turn", F.row_number().over(Window.partitionBy("grade").orderBy("display_order", "id"))).where(F.col("turn") <= n)
+    rows = empty.join(ranked.select("grade", F.col("id").alias("passage_id"), (F.col("turn") - 1).alias("position")), "grade")
     return rows.select("exam_id", "passage_id", F.col("position").cast("long").alias("position"), F.when(F.col("position") < 3, "mock").otherwise("supplement").alias("group_key"))
 
 
