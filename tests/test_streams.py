@@ -53,3 +53,27 @@ def test_store_and_forward(spark):
     judge = lambda b: b.withColumn("outcome", F.when(F.col("correct"), "stored").otherwise("rejected"))
     J.store_and_forward(as_stream(log), f"{base}/stored", f"{base}/rejected", f"{base}/checkpoint", judge).awaitTermination()
     assert spark.read.parquet(f"{base}/stored").count() + spark.read.parquet(f"{base}/rejected").count() == log.count()
+
+
+def test_lockout_and_touches(spark):
+    from lessonloom.streaming import stateful as T
+
+    frames = Frames(spark, FOLDER)
+    tries = frames.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp")))
+    got = drain(T.lockout_stream(as_stream(tries), limit=2, minutes=600), "locked", "append")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.login_lockout(tries, limit=2, minutes=600).collect()))
+    touches = frames.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.lit(None).cast("long").alias("started_us"))
+    got = drain(T.thin_stream(as_stream(touches), minutes=600), "touches", "append")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.thin_touches(touches, minutes=600).collect()))
+
+
+def test_taps(spark):
+    from lessonloom.streaming import stateful as T
+
+    words = "the cat saw the dog run".split()
+    taps = Frames(spark, FOLDER).events.select(F.col("event_id").alias("id"), F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 6).cast("int").alias("chip"))
+    updates = drain(T.tap_stream(as_stream(taps.withColumn("norm", F.array(*map(F.lit, words)))), step=2), "taps", "update")
+    last = updates.groupBy("run_id").agg(F.max_by(F.struct("placed", "mistakes", "restarts", "completed"), F.struct("mistakes", "restarts", "placed")).alias("x"))
+    runs = taps.select("run_id").distinct().withColumn("words", F.array(*map(F.lit, words)))
+    want = {r.run_id: (r.placed, r.mistakes, r.restarts, r.completed) for r in P.replay_taps(taps, runs, step=2).collect()}
+    assert {r.run_id: tuple(r.x) for r in last.collect()} == want
