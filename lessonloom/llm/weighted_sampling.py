@@ -6,8 +6,8 @@ weight w draws r and c from Gamma(2, 1) and b from U(0, 1), all functions of (te
     t = floor(ln w / r + b),  ln a = ln c - r (t - b) - r
 
 and the term of least a gives the sample (term, t). Two texts agree in a sample with a
-chance equal to the generalised Jaccard similarity of their weighted terms. A Gamma(2, 1)
-draw is -ln(u v) with u, v uniform from hash bits. Per text, each sample is a plain min
+chance equal to the generalised Jaccard similarity of their weighted terms. Draws are
+table values picked by hash bits. Per text, each sample is a plain min
 of one long (a in the high bits, the sampled (term, t) in the low ones), so the whole
 work is two hash aggregations of fixed-size rows, partial before any exchange.
 
@@ -23,15 +23,20 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lessonloom.llm.common import LAST_ID, SPACE, back_to_null, read_documents, shuffle_partitions, text_of, with_checkpoint_dir
 
 SAMPLES = 64
+AT_ONCE = 8
 #: Quantile ranges of the ids, and how many documents a part of a range should hold.
 RANGES, PART_DOCUMENTS, MOST_PARTS = 256, 512, 256
 HEX_DIGITS = 4
+#: Stands for the words of a text that has none.
+NO_TERM = 0
 
 
 # --- order of documents -----------------------------------------------------------
@@ -81,37 +86,68 @@ def with_next(rows: DataFrame, order: list[str], column: str, name: str) -> Data
 # --- sampling ---------------------------------------------------------------------
 
 
-def uniform(bits: Column, shift: int) -> Column:
-    """16 of the bits as a number inside (0, 1)."""
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFF)) + F.lit(0.5)) / F.lit(65536.0)
+def gamma_quantiles(bits: int) -> list[float]:
+    """Quantiles of Gamma(2, 1) at the middles of 2^bits equal cells: where 1 - (1 + x) exp(-x) is the probability."""
+    out, x = [], 0.01
+    for k in range(1 << bits):
+        p = (k + 0.5) / (1 << bits)
+        for _ in range(60):
+            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
+            x = max(x / 2, x - step)
+            if abs(step) < 1e-12 * x:
+                break
+        out.append(x)
+    return out
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """ln a of the term in the high half, the sampled (term, t) in the low half."""
-    h, g = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.log(uniform(h, 48) * uniform(h, 32))
-    log_c = F.log(-F.log(uniform(h, 16) * uniform(h, 0)))
-    b = F.shiftrightunsigned(g, 32).cast("double") / F.lit(4294967296.0)
-    t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t.cast("double") - b) - r
-    # ln a lies within (-64, 4): 24 bits after the point stay below 2^31.
-    rank = F.greatest(F.lit(0), F.least(F.lit((1 << 31) - 1), ((log_a + 64) * (1 << 24)).cast("long")))
-    return F.shiftleft(rank.cast("long"), 32).bitwiseOR(F.xxhash64(g, t).bitwiseAND(F.lit(0xFFFFFFFF)))
+def table(values: list[float]) -> Column:
+    """A constant array of doubles; as one text it stays small until Spark folds it."""
+    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
-def samples(bodies: DataFrame, keys: list[str], text: str, count: int = SAMPLES) -> DataFrame:
-    """keys and s0, s1, ... (the samples, as small numbers) for every row of ``bodies``; rows without a word get one row too."""
-    words = F.split(F.col(text), f"[{SPACE}]+")
-    spread = bodies.select(*keys, F.explode(words).alias("word")).select(*keys, F.when(F.col("word") != "", F.xxhash64("word")).alias("term"))
-    weighted = spread.groupBy(*keys, "term").agg(F.count("*").alias("weight"))
-    logs = weighted.select(*keys, "term", F.log(F.col("weight").cast("double")).alias("log_weight"))
-    drawn = [F.min(F.when(F.col("term").isNotNull(), sample(F.col("term"), F.col("log_weight"), k))).alias(f"s{k}") for k in range(count)]
-    low = F.lit((1 << (4 * HEX_DIGITS)) - 1)
-    return logs.groupBy(*keys).agg(*drawn).select(*keys, *[F.coalesce(F.col(f"s{k}").bitwiseAND(low), F.lit(0)).alias(f"s{k}") for k in range(count)])
+class Draws:
+    """r, ln c and b of a term and sample, from the bits of one 64-bit hash.
+
+    Gamma draws come from tables of quantiles; logarithms per term and sample would be
+    most of the work.
+    """
+
+    R_BITS, C_BITS, B_BITS = 10, 13, 20
+
+    def __init__(self):
+        self.r = table(gamma_quantiles(self.R_BITS))
+        self.log_c = table([math.log(x) for x in gamma_quantiles(self.C_BITS)])
+
+    def sample(self, term: Column, log_weight: Column, k: Column) -> Column:
+        """ln a of the term in the high half, the sampled (term, t) in the low half."""
+        h = F.xxhash64(term, k)
+        bits = lambda shift, n: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << n) - 1))
+        r = self.r[bits(54, self.R_BITS).cast("int")]
+        log_c = self.log_c[bits(41, self.C_BITS).cast("int")]
+        b = bits(21, self.B_BITS) * F.lit(1.0 / (1 << self.B_BITS))
+        t = F.floor(log_weight / r + b)
+        log_a = log_c - r * (t - b + F.lit(1.0))
+        # ln a lies within (-64, 4) for counts up to e^30: 24 bits after the point stay below 2^31.
+        rank = (log_a * F.lit(float(1 << 24)) + F.lit(float(1 << 30))).cast("long")
+        return F.shiftleft(rank, 32).bitwiseOR(h.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def as_text(count: int = SAMPLES) -> Column:
-    return F.lower(F.concat(*[F.lpad(F.hex(f"s{k}"), HEX_DIGITS, "0") for k in range(count)]))
+def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", count: int = SAMPLES) -> DataFrame:
+    """keys and fingerprint of every text; keys must tell the rows apart.
+
+    A term's row meets ``AT_ONCE`` samples at a time: with all of them in one aggregation
+    the generated method is too long for the JVM to compile.
+    """
+    words = F.split(F.btrim(text_of(text_col), F.lit(" \t\n\x0b\x0c\r")), f"[{SPACE}]+")  # one empty word if there is none
+    spread = docs.select(*keys, F.explode(words).alias("__word")).select(*keys, F.when(F.col("__word") != "", F.xxhash64("__word")).otherwise(F.lit(NO_TERM)).alias("term"))
+    weighted = spread.groupBy(*keys, "term").agg(F.count("*").alias("weight"))
+    logs = weighted.select(*keys, "term", F.log(F.col("weight").cast("double")).alias("log_weight"), F.explode(F.array(*[F.lit(k) for k in range(0, count, AT_ONCE)])).alias("at"))
+    draws = Draws()
+    drawn = [F.min(draws.sample(F.col("term"), F.col("log_weight"), F.col("at") + j)).alias(f"s{j}") for j in range(AT_ONCE)]
+    low = F.lit((1 << (4 * HEX_DIGITS)) - 1)
+    digits = F.concat(*[F.lpad(F.hex(F.coalesce(F.col(f"s{j}").bitwiseAND(low), F.lit(0))), HEX_DIGITS, "0") for j in range(AT_ONCE)])
+    parts = logs.groupBy(*keys, "at").agg(*drawn).select(*keys, F.struct("at", digits.alias("digits")).alias("__piece"))
+    return parts.groupBy(*keys).agg(F.lower(F.array_join(F.array_sort(F.collect_list("__piece"))["digits"], "")).alias("fingerprint"))
 
 
 def likeness(a: str, b: str, count: int = SAMPLES) -> Column:
@@ -123,11 +159,6 @@ def likeness(a: str, b: str, count: int = SAMPLES) -> Column:
     return same / F.lit(float(count))
 
 
-def fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", count: int = SAMPLES) -> DataFrame:
-    """keys and fingerprint of every text; keys must tell the rows apart."""
-    return samples(docs.select(*keys, text_of(text_col).alias("body")), keys, "body", count).select(*keys, as_text(count).alias("fingerprint"))
-
-
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's fingerprint, that of its edited text (second half taken from the next document), and likenesses."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_of(text_col).alias("body"))
