@@ -45,8 +45,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def bodies(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """UTF-8 bytes of every text of a string or binary column, null as empty; one copy at a time."""
     for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
-        for value in part.cast(pa.large_binary()):
-            yield value.as_py() or b""
+        for value in part:
+            yield (value.as_buffer().to_pybytes() if value.is_valid else b"")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -155,3 +155,12 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+#: Rows of a few short columns (ids, hashes, keys) that may be broadcast: some 60 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """Rows to join with, to be broadcast where they are counted as few; else the join shuffles both sides."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import LAST_ID, WORDS, back_to_null, bodies, mix, read_documents, shuffle_partitions, with_checkpoint_dir, word_hashes
+from lessonloom.llm.common import LAST_ID, WORDS, back_to_null, bodies, mix, read_documents, shuffle_partitions, small_side, with_checkpoint_dir, word_hashes
 from lessonloom.llm.components import components
 
 WORDS_IN_SHINGLE = 5
@@ -199,10 +199,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = marked.where(F.length("class_key") > 0).groupBy("class_key").agg(F.count("*").alias("weight"), F.min(F.struct("id", "tag")).alias("stands"), F.first("bands").alias("bands"))
     band_hash = lambda k: F.xxhash64(F.substring("bands", 8 * k + 1, 8), F.lit(k))
     hashes = F.array(*[F.struct(F.lit(k).alias("band"), band_hash(k).alias("bucket")) for k in range(bands)])
-    spread = classes.select("class_key", F.explode(hashes).alias("x")).select("class_key", "x.band", "x.bucket")
-    met = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("class_key")).alias("who"), F.min("class_key").alias("least"), F.min("band").alias("band")).where("members > 1")
+    # Bands are many rows: they carry a short number of their class. Classes of one number only add candidates.
+    spread = classes.select(F.xxhash64("class_key").alias("number"), F.explode(hashes).alias("x")).select("number", "x.band", "x.bucket")
+    met = spread.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor("number").alias("who"), F.min("number").alias("least"), F.min("band").alias("band")).where("members > 1")
     kept = met.groupBy("members", "who", "least").agg(F.min(F.struct("band", "bucket")).alias("x")).select("members", "x.bucket")
-    members = spread.join(kept, "bucket").join(classes.select("class_key", "weight", "stands"), "class_key")
+    members = spread.join(kept, "bucket").join(classes.select(F.xxhash64("class_key").alias("number"), "class_key", "weight", "stands"), "number").drop("number").checkpoint()
 
     def set_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -212,7 +213,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([banding(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class_key", "bands", "shingles"])
 
     wanted = members.select("class_key", "stands.id", "stands.tag").distinct()
-    texts = identified(docs, id_col, text_col).join(wanted, ["id", "tag"]).select("class_key", "body")
+    texts = identified(docs, id_col, text_col).join(small_side(wanted), ["id", "tag"]).select("class_key", "body")
     sets = texts.mapInArrow(set_batches, "class_key binary, bands binary, shingles binary")
     blocks = F.ceil(F.col("members") / block).cast("int")
     mine = F.pmod(F.xxhash64(F.lit("block"), "class_key"), blocks).cast("int")
@@ -241,11 +242,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents that stand for their classes, one row each, with their own columns."""
-    heads = jaccard_classes(docs, id_col, text_col, **settings).where("head").select("id", "tag").distinct()
+    found = jaccard_classes(docs, id_col, text_col, **settings).select("id", "tag", "head").checkpoint()
+    others = found.where("not head").select("id", "tag").distinct()
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.hash(body).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    again = Window.partitionBy("id", "tag").orderBy(F.lit(0))
-    return rows.join(heads, ["id", "tag"]).withColumn("turn", F.row_number().over(again)).where("turn = 1").select("row.*")
+    # Equal rows of one id share their tag: of those all but one go.
+    again = found.where("head").groupBy("id", "tag").count().where("count > 1").select("id", "tag")
+    left = rows.join(small_side(others), ["id", "tag"], "left_anti")
+    once = left.join(small_side(again), ["id", "tag"], "left_anti")
+    turn = F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.lit(0)))
+    first = left.join(small_side(again), ["id", "tag"]).withColumn("turn", turn).where("turn = 1").select("id", "tag", "row")
+    return once.unionByName(first).select("row.*")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

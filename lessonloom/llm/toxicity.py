@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import read_documents
+from lessonloom.llm.common import read_documents, small_side, with_checkpoint_dir
 
 DECAY, SPAN = 0.6, 7
 #: Longer strings are scored by overlapping parts of this length.
@@ -76,23 +76,19 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             yield np.array(which), (c[:, i] * CODES + c[:, j]) * CODES + c[:, k], weight
 
 
-def grouped(numbers: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row sorted, with the weights of equal numbers summed at the last of them and 0 elsewhere."""
+def grouped(numbers: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, summed weight) of the distinct numbers of each row."""
     order = np.argsort(numbers, axis=1, kind="stable")
-    ranked, value = np.take_along_axis(numbers, order, 1), weight[order]
-    total = np.cumsum(value, axis=1)
-    last = np.ones(ranked.shape, bool)
-    last[:, :-1] = ranked[:, 1:] != ranked[:, :-1]
-    sums = np.zeros_like(total)
-    for row in range(len(ranked)):
-        at = np.flatnonzero(last[row])
-        sums[row, at] = np.diff(total[row, at], prepend=0)
-    return ranked, sums
+    ranked = np.take_along_axis(numbers, order, 1)
+    new = np.ones(ranked.shape, bool)
+    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    first = np.flatnonzero(new)
+    return first // ranked.shape[1], ranked.ravel()[first], np.add.reduceat(weight[order].ravel(), first)
 
 
 def norms(numbers: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    ranked, sums = grouped(numbers, weight)
-    return np.sqrt((sums**2).sum(1))
+    row, _, sums = grouped(numbers, weight)
+    return np.sqrt(np.bincount(row, sums**2, minlength=len(numbers)))
 
 
 class Landmarks:
@@ -101,9 +97,8 @@ class Landmarks:
     def __init__(self, words: list[str]):
         entries = []
         for which, numbers, weight in subsequences(words):
-            ranked, sums = grouped(numbers, weight)
-            sums = sums / np.sqrt((sums**2).sum(1, keepdims=True))
-            entries.append((np.repeat(which, ranked.shape[1]), ranked.ravel(), sums.ravel()))
+            row, number, sums = grouped(numbers, weight)
+            entries.append((which[row], number, sums / norms(numbers, weight)[row]))
         which, numbers, sums = map(np.concatenate, zip(*entries))
         self.numbers, at = np.unique(numbers, return_inverse=True)
         self.table = np.zeros((len(self.numbers) + 1, len(words)))  # the last row stands for all other subsequences
@@ -175,7 +170,7 @@ class Model:
             for k in range(0, len(which), 2048):
                 n = numbers[k : k + 2048]
                 raw = (self.weights[n] * weight).sum(1)
-                some = np.flatnonzero(raw)  # strings that share nothing with a landmark keep the bias
+                some = np.flatnonzero(raw > 0)  # strings without evidence for an insult keep the bias
                 if len(some):
                     out[which[k : k + 2048][some]] = raw[some] / norms(n[some], weight) + self.bias
         return out
@@ -265,15 +260,22 @@ def remainder(id_col: str):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of the training rows, each text once."""
+    """(h, text_id, toxic) of the training rows: for each distinct text its hash, the least id that holds it, and its label (toxic if any of its rows is)."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where(remainder("label_id") != HELD_OUT).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).where("text is not null")
-    return texts.join(known, texts["text_id"] == known["label_id"]).groupBy(F.sha2("text", 256).alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("text_id"), F.sha2(F.col(text_col), 256).alias("h"))
+    return texts.join(known, texts["text_id"] == known["label_id"]).groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("text_id").alias("text_id"))
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text, toxic) of chosen rows; an id that names several texts takes the one of the hash."""
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
+    return texts.join(small_side(chosen), "text_id").where(F.sha2("text", 256) == F.col("h")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    rows = labelled(docs, labels, id_col, text_col, label_col)
+    with_checkpoint_dir(docs.sparkSession)
+    rows = labelled(docs, labels, id_col, text_col, label_col).checkpoint()
 
     def sentences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
@@ -287,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if counts:
                     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([n * toxic for n in counts.values()], pa.int64()), pa.array([n * (1 - toxic) for n in counts.values()], pa.int64())], ["word", "bad", "good"])
 
-    counted = rows.select("text", "toxic").mapInArrow(sentences, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = texts_of(docs, rows, id_col, text_col).mapInArrow(sentences, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     totals = rows.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     if not totals or not totals.bad or not totals.good:
         return Model(np.zeros(CODES**3), -30.0)
@@ -302,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     clean = list(dict.fromkeys(w.word for pair in zip(often, some) for w in pair)) or [w.word for w in often + some]
     model = train([w.word for w in toxic], clean)
     if model.bias > -30:
-        sample = rows.orderBy(F.xxhash64("h"), "h").limit(CALIBRATION_ROWS).select("text", "toxic")
+        sample = texts_of(docs, rows.orderBy(F.xxhash64("h"), "h").limit(CALIBRATION_ROWS), id_col, text_col)
 
         def strengths(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
