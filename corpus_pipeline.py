@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.byte_bpe import decode, default_vocabulary, encode
+from lessonloom.llm.byte_bpe import default_vocabulary, round_trip
 from lessonloom.llm.common import LAST_ID, read_documents
 from lessonloom.llm.jaccard_join import one_of_each
 from lessonloom.llm.quality_rules import good_documents
@@ -43,8 +43,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks, pattern = default_vocabulary()
-    encoded = encode(docs, ranks, pattern).select("id", "ids")
-    return decode(encoded, ranks).select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("body").cast("string").alias("decoded"))
+    return round_trip(docs, ranks, pattern).select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("body").cast("string").alias("decoded"))
 
 
 STAGES = [

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lessonloom.llm.common import bodies, read_documents
 
 #: Pieces whose tokens a task remembers at once; more are encoded again. Bounds memory only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pieces handed to the library at once.
 AT_ONCE = 4096
 
@@ -91,14 +91,14 @@ class Encoder:
     def __init__(self, ranks: bytes, pattern: str):
         import regex
 
-        self.pattern = pattern
-        self.split, self.model = regex.compile(pattern).findall, tokenizer(ranks)
+        compiled = regex.compile(pattern)
+        self.split, self.match, self.model = compiled.findall, compiled.match, tokenizer(ranks)
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids, self.ends = np.empty(0, np.int32), np.empty(0, np.int32)
-        self.starts = np.zeros(1, np.int64)
+        self.ids, self.ends, self.tokens = np.empty(1024, np.int32), np.empty(1024, np.int32), 0
+        self.starts = np.zeros(1024, np.int64)  # piece k has the tokens from starts[k] to starts[k + 1]
 
     def learn(self, pieces: list[str]) -> None:
         new = [p for p in set(pieces) if p not in self.number]
@@ -107,15 +107,22 @@ class Encoder:
         if len(self.number) + len(new) > REMEMBERED:
             self.forget()
             new = list(set(pieces))
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-        ids, ends, counts = [self.ids], [self.ends], []
         for k in range(0, len(new), AT_ONCE):
-            found = self.model.encode_batch([as_characters(p.encode()) for p in new[k : k + AT_ONCE]], add_special_tokens=False)
-            ids.append(np.array([i for e in found for i in e.ids], np.int32))
-            ends.append(np.array([b for e in found for _, b in e.offsets], np.int32))
-            counts += map(len, found)
-        self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
+            some = new[k : k + AT_ONCE]
+            found = self.model.encode_batch([as_characters(p.encode()) for p in some], add_special_tokens=False)
+            self.store(some, [i for e in found for i in e.ids], [b for e in found for _, b in e.offsets], list(map(len, found)))
+
+    def store(self, pieces: list[str], ids: list[int], ends: list[int], counts: list[int]) -> None:
+        """Adds pieces to the flat arrays, which grow by doubling."""
+        known, upto = len(self.number), self.tokens + len(ids)
+        while len(self.ids) < upto:
+            self.ids, self.ends = np.concatenate((self.ids, self.ids)), np.concatenate((self.ends, self.ends))
+        while len(self.starts) <= known + len(pieces):
+            self.starts = np.concatenate((self.starts, self.starts))
+        self.ids[self.tokens : upto], self.ends[self.tokens : upto] = ids, ends
+        self.starts[known + 1 : known + 1 + len(pieces)] = self.tokens + np.cumsum(counts)
+        self.number.update(zip(pieces, range(known, known + len(pieces))))
+        self.tokens = upto
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of the texts one after another: ids, byte of its text at which each ends, and tokens per text."""
@@ -152,46 +159,71 @@ def listed(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 SLICE_BYTES = 1 << 20
 
 
+def encoded_batches(parts: Iterator[pa.RecordBatch], ranks: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
+    """(id, ids, ends) of batches of (id, text)."""
+    encoder = encoder_of(ranks, pattern)
+
+    def out(names: list, texts: list[str]) -> pa.RecordBatch:
+        ids, ends, counts = encoder.many(texts)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), listed(ids, counts), listed(ends, counts)], ["id", "ids", "ends"])
+
+    for part in parts:
+        names, texts, size = [], [], 0
+        for name, body in zip(part.column(0).to_pylist(), bodies(part.column(1))):
+            names.append(name)
+            texts.append(body.decode())
+            size += len(body)
+            if size >= SLICE_BYTES:
+                yield out(names, texts)
+                names, texts, size = [], [], 0
+        if names:
+            yield out(names, texts)
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, ends array<int>): tokens and the byte offset after each token."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(ranks, pattern)
+        yield from encoded_batches(parts, ranks, pattern)
 
-        def out(names: list, texts: list[str]) -> pa.RecordBatch:
-            ids, ends, counts = encoder.many(texts)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), listed(ids, counts), listed(ends, counts)], ["id", "ids", "ends"])
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(batches, "id long, ids array<int>, ends array<int>")
 
-        for part in parts:
-            names, texts, size = [], [], 0
-            for name, body in zip(part.column(0).to_pylist(), bodies(part.column(1))):
-                names.append(name)
-                texts.append(body.decode())
-                size += len(body)
-                if size >= SLICE_BYTES:
-                    yield out(names, texts)
-                    names, texts, size = [], [], 0
-            if names:
-                yield out(names, texts)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(batches, "id long, ids array<int>, ends array<int>")
+def byte_table(ranks: bytes) -> np.ndarray:
+    """Bytes of each token id: the byte characters of the vocabulary, reversed."""
+    tokens = sorted(parse_ranks(ranks).items(), key=lambda x: x[1])
+    return np.array([bytes(map(BYTE_OF.__getitem__, as_characters(t))) for t, _ in tokens], object)
+
+
+def joined_bytes(lists: pa.ListArray, table: np.ndarray) -> pa.Array:
+    """The bytes of each list of ids; a character that is split over tokens is whole again once they are joined."""
+    return pa.array([b"".join(table[x.values.to_numpy(zero_copy_only=False)]) if x.is_valid else None for x in lists], pa.binary())
 
 
 def decode(tokens: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
-    """Adds body (binary): the bytes of the tokens, the byte table reversed."""
+    """Adds body (binary): the bytes of the tokens."""
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sorted(parse_ranks(ranks).items(), key=lambda x: x[1])
-        table = np.array([bytes(map(BYTE_OF.__getitem__, as_characters(t))) for t, _ in tokens], object)
+        table = byte_table(ranks)
         for part in parts:
-            lists = part.column(part.schema.get_field_index(ids_col))
-            body = pa.array([b"".join(table[x.values.to_numpy(zero_copy_only=False)]) if x.is_valid else None for x in lists], pa.binary())
+            body = joined_bytes(part.column(part.schema.get_field_index(ids_col)), table)
             yield pa.RecordBatch.from_arrays([*part.columns, body], [*part.schema.names, "body"])
 
     return tokens.mapInArrow(batches, StructType([*tokens.schema.fields, StructField("body", BinaryType())]))
 
 
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, body): encoded and, from the ids alone, decoded in the same Python worker."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = byte_table(ranks)
+        for part in encoded_batches(parts, ranks, pattern):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), joined_bytes(part.column(1), table)], ["id", "ids", "body"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(batches, "id long, ids array<int>, body binary")
+
+
 def default_vocabulary() -> tuple[bytes, str]:
     import public_tokenizers
 
@@ -200,8 +232,7 @@ def default_vocabulary() -> tuple[bytes, str]:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = default_vocabulary()
-    tokens = encode(read_documents(spark, sf_dir), ranks, pattern).select("id", "ids")
-    return decode(tokens, ranks).select(
+    return round_trip(read_documents(spark, sf_dir), ranks, pattern).select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
