@@ -112,8 +112,6 @@ def build_tree(encoder: Encoder, text: str) -> Tree:
 
 def edit(encoder: Encoder, tree: Tree, text: str, start: int, length: int, insert: str) -> tuple[str, int]:
     """The edited text and how many pre-tokens were encoded; the tree is brought up to date."""
-    import regex
-
     start = min(max(start, 0), len(text))
     end = min(start + max(length, 0), len(text))
     new = text[:start] + insert + text[end:]
@@ -126,7 +124,7 @@ def edit(encoder: Encoder, tree: Tree, text: str, start: int, length: int, inser
     pieces, place = [], at
     # Walk the old boundaries alongside the new ones, leaf by leaf.
     old_leaf, old_row, old_place = leaf, row, at
-    match = regex.compile(encoder.pattern).match
+    match = encoder.match
     while True:
         while old_place + shift < place or old_place < end:
             while old_leaf < len(tree.leaves) and old_row >= len(tree.leaves[old_leaf]):
