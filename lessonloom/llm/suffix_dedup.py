@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.chunks import ANSWERED, ASKED, HOT, TWICE, answer, ask, chunked, count_keys, documents_of, is_in, places, told_of, with_answers
+from lessonloom.llm.chunks import ASKED, HOT, TWICE, answer, ask, chunked, count_keys, documents_of, places, told_of, with_answers
 from lessonloom.llm.common import BYTE_CODE, BYTES, back_to_null, cover, marked_runs, mix, read_documents, shuffle_partitions, sliding_min
 
 LENGTH = 50
@@ -52,18 +52,20 @@ END = 255  # no byte of UTF-8 text
 
 def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Equal leading bytes of the suffixes at a and b, at most ``most``; words[i] holds the 8 bytes from i on, big-endian."""
-    out = np.zeros(len(a), np.int64)
-    left = np.arange(len(a))
-    at = 0
+    out = most.copy()
+    left, at = np.arange(len(a)), 0
     while len(left):
-        x = words[a[left] + at] ^ words[b[left] + at]
-        equal = np.full(len(left), 8)
-        for k in range(8):
-            equal -= x >= np.uint64(1 << (8 * k))
-        out[left] += equal
+        x = words[a + at] ^ words[b + at]
+        differ = np.flatnonzero(x)
+        if len(differ):
+            first = 53 - np.frexp((x[differ] >> np.uint64(11)).astype(np.float64))[1]  # 53 bits are exact in a double
+            low = np.flatnonzero(x[differ] < np.uint64(1 << 12))
+            first[low] = 64 - np.frexp(x[differ[low]].astype(np.float64))[1]
+            out[left[differ]] = np.minimum(at + first // 8, most[differ])
         at += 8
-        left = left[(equal == 8) & (most[left] > at)]
-    return np.minimum(out, most)
+        go = np.flatnonzero((x == 0) & (most > at))
+        left, a, b, most = left[go], a[go], b[go], most[go]
+    return out
 
 
 def sort_column_wise(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,11 +84,10 @@ def sort_column_wise(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     for j in range(1, int(lengths.max()) + 1):
         live = live[lengths[live] >= j]
         order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        to = n + rank[latest[live]]
-        by_place = np.argsort(to)
-        to, who = to[by_place], live[by_place]
+        due = np.zeros(len(bwt), bool)
+        due[latest[live]] = True
+        rank = np.flatnonzero(due[order])
+        to, who = n + rank, string[order[rank]]
         total = len(bwt) + len(who)
         old = np.ones(total, bool)
         old[to] = False
@@ -100,8 +101,8 @@ def sort_column_wise(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
         bwt, prefix, string, size = insert(bwt, symbol), insert(prefix, 0), insert(string, who), insert(size, j)
         latest[who] = to
         # Places whose neighbour before is new, or that are new themselves.
-        after = to + 1
-        fresh = np.union1d(to, after[after < total])
+        old[1:] &= old[:-1]
+        fresh = np.flatnonzero(~old)
         here, before = string[fresh], string[fresh - 1]
         most = np.minimum(np.minimum(size[fresh], size[fresh - 1]), depth).astype(np.int64)
         some = most > 0
