@@ -1,7 +1,6 @@
 """Substring, suffix-array and near-duplicate operators against brute force."""
 
 import collections
-import hashlib
 import itertools
 import random
 import re
