@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import bodies, read_documents
+from lessonloom.llm.common import bodies, in_small_batches, read_documents
 
 #: Pieces whose tokens a task remembers at once; more are encoded again. Bounds memory only.
 REMEMBERED = 200_000
@@ -186,7 +186,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from encoded_batches(parts, ranks, pattern)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(batches, "id long, ids array<int>, ends array<int>")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(batches, "id long, ids array<int>, ends array<int>")
 
 
 def byte_table(ranks: bytes) -> np.ndarray:
@@ -221,7 +221,7 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_i
         for part in encoded_batches(parts, ranks, pattern):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), joined_bytes(part.column(1), table)], ["id", "ids", "body"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(batches, "id long, ids array<int>, body binary")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).mapInArrow(batches, "id long, ids array<int>, body binary")
 
 
 def default_vocabulary() -> tuple[bytes, str]:

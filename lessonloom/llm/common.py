@@ -164,3 +164,15 @@ BROADCAST_ROWS = 1_000_000
 def small_side(rows: DataFrame) -> DataFrame:
     """Rows to join with, to be broadcast where they are counted as few; else the join shuffles both sides."""
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+#: Texts that travel to Python in one Arrow batch: texts are long rows, and a batch lies in memory several times.
+TEXTS_AT_ONCE = 1000
+
+
+def in_small_batches(rows: DataFrame) -> DataFrame:
+    """The rows, with the session's Arrow batches limited for whole texts."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXTS_AT_ONCE:
+        conf.set(key, str(TEXTS_AT_ONCE))
+    return rows

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import LAST_ID, WORDS, back_to_null, bodies, mix, read_documents, shuffle_partitions, small_side, with_checkpoint_dir, word_hashes
+from lessonloom.llm.common import LAST_ID, WORDS, back_to_null, bodies, in_small_batches, mix, read_documents, shuffle_partitions, small_side, with_checkpoint_dir, word_hashes
 from lessonloom.llm.components import components
 
 WORDS_IN_SHINGLE = 5
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, banding:
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.hash(body).alias("tag"), body.alias("body"))
+    return in_small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.hash(body).alias("tag"), body.alias("body"))
 
 
 # --- verification -----------------------------------------------------------------

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import bodies, mix
+from lessonloom.llm.common import bodies, in_small_batches, mix
 
 TRAIN_ROWS = 4000
 TABLE = 1 << 16
@@ -94,7 +94,7 @@ def text_evidence(pages: DataFrame, id_col: str, url_col: str, html_col: str, la
     """page_id, declared, host, domain, suffix and text (log-likelihoods by language, tempered, their greatest 0)."""
     html, url = F.coalesce(F.col(html_col), F.lit("")), F.coalesce(F.col(url_col), F.lit(""))
     host = host_of(url)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), declared_language(html).alias("declared"), host.alias("host"), domain_of(host).alias("domain"), F.substring_index(host, ".", -1).alias("suffix"), F.lower(visible_text(html)).alias("body"))
+    rows = in_small_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), declared_language(html).alias("declared"), host.alias("host"), domain_of(host).alias("domain"), F.substring_index(host, ".", -1).alias("suffix"), F.lower(visible_text(html)).alias("body"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lessonloom.llm.common import BYTE_CODE, BYTES, WORDS, bodies, cover, mix, read_documents, word_hashes
+from lessonloom.llm.common import BYTE_CODE, BYTES, WORDS, bodies, cover, in_small_batches, mix, read_documents, word_hashes
 
 #: Largest share of word characters allowed in duplicated n-grams, by n, and in duplicated lines.
 MAX_NGRAM_SHARE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -82,7 +82,7 @@ def measure(body: bytes) -> list[int]:
 def repetition_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: the counts from which the rules are decided (columns of SCHEMA), and row, the document's own columns."""
     names = [f.strip().split()[0] for f in SCHEMA.split(",")]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

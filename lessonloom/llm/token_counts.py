@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lessonloom.llm.byte_bpe import Encoder, default_vocabulary, encoder_of
-from lessonloom.llm.common import read_documents
+from lessonloom.llm.common import in_small_batches, read_documents
 
 #: Pre-tokens in a leaf of the tree.
 LEAF = 64
@@ -160,7 +160,7 @@ def build(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", t
                 trees = [build_tree(encoder, t.as_py() or "") for t in some.column(1)]
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array([t.total[1] for t in trees], pa.int64()), pa.array([t.pack() for t in trees], pa.binary())], ["doc_id", "text", "edits", "n_tokens", "tree"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), wanted.cast(EDITS).alias("edits"))
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), wanted.cast(EDITS).alias("edits"))
     return rows.mapInArrow(batches, f"doc_id long, text string, edits {EDITS}, n_tokens long, tree binary")
 
 

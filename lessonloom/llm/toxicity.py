@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import read_documents, small_side, with_checkpoint_dir
+from lessonloom.llm.common import in_small_batches, read_documents, small_side, with_checkpoint_dir
 
 DECAY, SPAN = 0.6, 7
 #: Longer strings are scored by overlapping parts of this length.
@@ -323,7 +323,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for part in parts:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.score(t.as_py() or "") for t in part.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, "doc_id long, score double")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, "doc_id long, score double")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
