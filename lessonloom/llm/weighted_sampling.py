@@ -7,7 +7,7 @@ weight w draws r and c from Gamma(2, 1) and b from U(0, 1), all functions of (te
 
 and the term of least a gives the sample (term, t). Two texts agree in a sample with a
 chance equal to the generalised Jaccard similarity of their weighted terms. Draws are
-table values picked by hash bits. Per text, each sample is a plain min
+continuous: between table values in the middle, by formula at the ends. Per text, each sample is a plain min
 of one long (a in the high bits, the sampled (term, t) in the low ones), so the whole
 work is two hash aggregations of fixed-size rows, partial before any exchange.
 
@@ -86,13 +86,12 @@ def with_next(rows: DataFrame, order: list[str], column: str, name: str) -> Data
 # --- sampling ---------------------------------------------------------------------
 
 
-def gamma_quantiles(bits: int) -> list[float]:
-    """Quantiles of Gamma(2, 1) at the middles of 2^bits equal cells: where 1 - (1 + x) exp(-x) is the probability."""
+def gamma_quantiles(cells: int) -> list[float]:
+    """The bounds between equal cells of Gamma(2, 1): where 1 - (1 + x) exp(-x) is 1/cells, 2/cells, ..."""
     out, x = [], 0.01
-    for k in range(1 << bits):
-        p = (k + 0.5) / (1 << bits)
+    for k in range(1, cells):
         for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
+            step = (1 - (1 + x) * math.exp(-x) - k / cells) / (x * math.exp(-x))
             x = max(x / 2, x - step)
             if abs(step) < 1e-12 * x:
                 break
@@ -102,32 +101,58 @@ def gamma_quantiles(bits: int) -> list[float]:
 
 def table(values: list[float]) -> Column:
     """A constant array of doubles; as one text it stays small until Spark folds it."""
-    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(f"{v:.7g}" for v in values)), ",").cast("array<double>")
 
 
 class Draws:
     """r, ln c and b of a term and sample, from the bits of one 64-bit hash.
 
-    Gamma draws come from tables of quantiles; logarithms per term and sample would be
-    most of the work.
+    Gamma draws lie between neighbouring quantiles of a table, as logarithms per term and
+    sample would be most of the work. The ends (high r, low c) decide the minimum in a
+    long text; there draws follow the distribution itself, from further hash bits:
+    above x, Gamma(2, 1) is x + E, or x + E + E' with a chance of 1 / (1 + x), of
+    exponential E; below, the inverse of its distribution function is a series in sqrt(2 p).
+    Tables are short as every use of them is spelled out in the plan, and so in event logs.
     """
 
-    R_BITS, C_BITS, B_BITS = 10, 13, 20
+    CELL_BITS, STEP_BITS, B_BITS = 8, 14, 20
+    CELLS, END = 1 << CELL_BITS, 16
 
     def __init__(self):
-        self.r = table(gamma_quantiles(self.R_BITS))
-        self.log_c = table([math.log(x) for x in gamma_quantiles(self.C_BITS)])
+        bounds = gamma_quantiles(self.CELLS)
+        self.high = bounds[self.CELLS - self.END - 1]
+        bounds = [bounds[0], *bounds, bounds[-1]]  # the outermost only fill their places: end cells are not read
+        self.r, self.log_c = table(bounds), table([math.log(x) for x in bounds])
+
+    def between(self, values: Column, cell: Column, step: Column) -> Column:
+        low = values[cell]
+        return low + (values[cell + 1] - low) * (step + F.lit(0.5)) * F.lit(1.0 / (1 << self.STEP_BITS))
+
+    def above(self, g: Column) -> Column:
+        """A draw above the bound ``high``."""
+        u, v = ((part + F.lit(0.5)) * F.lit(1.0 / (1 << 32)) for part in (F.shiftrightunsigned(g, 32), g.bitwiseAND(F.lit(0xFFFFFFFF))))
+        return F.lit(self.high) - F.log(u * F.least(F.lit(1.0), v * F.lit(1 + self.high)))
+
+    def log_below(self, g: Column) -> Column:
+        """The logarithm of a draw in the lowest ``END`` cells: of s + s^2 / 3 + 11 s^3 / 72 + 43 s^4 / 540 with s = sqrt(z), z = 2 p."""
+        z = (F.shiftrightunsigned(g, 11) + F.lit(0.5)) * F.lit(2.0 * self.END / self.CELLS / (1 << 53))
+        return F.log(z) * F.lit(0.5) + F.sqrt(z) * (F.lit(1 / 3) + z * F.lit(133 / 3240)) + z * F.lit(7 / 72)
 
     def sample(self, term: Column, log_weight: Column, k: Column) -> Column:
         """ln a of the term in the high half, the sampled (term, t) in the low half."""
         h = F.xxhash64(term, k)
         bits = lambda shift, n: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << n) - 1))
-        r = self.r[bits(54, self.R_BITS).cast("int")]
-        log_c = self.log_c[bits(41, self.C_BITS).cast("int")]
-        b = bits(21, self.B_BITS) * F.lit(1.0 / (1 << self.B_BITS))
+        more = lambda n: F.xxhash64(h, F.lit(n))
+        r_cell, c_cell = bits(56, self.CELL_BITS).cast("int"), bits(48, self.CELL_BITS).cast("int")
+        b = bits(28, self.B_BITS) * F.lit(1.0 / (1 << self.B_BITS))
+        last = F.lit(self.CELLS - self.END)
+        ends = F.when(r_cell < F.lit(self.END), F.exp(self.log_below(more(1)))).when(r_cell >= last, self.above(more(1)))
+        r = ends.otherwise(self.between(self.r, r_cell, bits(14, self.STEP_BITS)))
+        ends = F.when(c_cell < F.lit(self.END), self.log_below(more(2))).when(c_cell >= last, F.log(self.above(more(2))))
+        log_c = ends.otherwise(self.between(self.log_c, c_cell, bits(0, self.STEP_BITS)))
         t = F.floor(log_weight / r + b)
         log_a = log_c - r * (t - b + F.lit(1.0))
-        # ln a lies within (-64, 4) for counts up to e^30: 24 bits after the point stay below 2^31.
+        # ln a lies within (-192, 64): with 24 bits after the point its number fits 32 bits with a sign.
         rank = (log_a * F.lit(float(1 << 24)) + F.lit(float(1 << 30))).cast("long")
         return F.shiftleft(rank, 32).bitwiseOR(h.bitwiseXOR(t).bitwiseAND(F.lit(0xFFFFFFFF)))
 

@@ -190,6 +190,23 @@ def test_likeness_is_generalised_jaccard(spark):
     assert abs(sum(off) / len(off)) < 0.03 and max(map(abs, off)) < 0.25
 
 
+def test_likeness_of_long_texts(spark):
+    """Half of each text are 100 words that both share, half are words that stand once: 1/3 at any length."""
+    rows = []
+    for k, n in enumerate((2_000, 20_000, 100_000)):
+        shared = [f"s{k}_{i % 100}" for i in range(n // 2)]
+        rows.append((k, *(" ".join(shared + [f"{side}{k}_{i}" for i in range(n // 2)]) for side in "ab")))
+    df, count = spark.createDataFrame(rows, "k int, a string, b string").repartition(3), 512
+    one, two = (S.fingerprints(df, ["k"], c, count).withColumnRenamed("fingerprint", f"f{c}") for c in "ab")
+    got = {r.k: (r.fa, r.fb) for r in one.join(two, "k").collect()}
+    for k, a, b in rows:
+        x, y = collections.Counter(a.split()), collections.Counter(b.split())
+        want = sum((x & y).values()) / sum((x | y).values())
+        fa, fb = got[k]
+        found = sum(fa[j : j + S.HEX_DIGITS] == fb[j : j + S.HEX_DIGITS] for j in range(0, len(fa), S.HEX_DIGITS)) / count
+        assert abs(found - want) < 0.08, (k, found, want)
+
+
 def test_fingerprints_of_nothing(no_docs):
     assert S.compare_with_edits(no_docs).count() == 0
 
