@@ -7,8 +7,9 @@ does the key occur once, repeatedly, or very often among all chunks?
 As the chunk can list the same keys again in the same order, the bytes suffice.
 
 A key that a third of all documents hold costs one entry a chunk, not one a document,
-so no bucket grows with a hot key; the number of chunks and buckets follows
-``spark.sql.shuffle.partitions``, which sizes both for the cluster.
+so no bucket grows with a hot key. The number of chunks follows the bytes of the texts
+(one pass over their lengths), that of buckets the number of chunks, so what one task
+holds does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -20,22 +21,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import LAST_ID, shuffle_partitions, word_hashes
+from lessonloom.llm.common import LAST_ID, shuffle_partitions, text_key, word_hashes
 
-CHUNKED = "chunk int, id long, tag int, body binary"
-#: Distinct sorted keys of a chunk, and how often each occurs there.
-Keys = tuple[np.ndarray, np.ndarray]
+CHUNKED = "chunk int, id long, tag binary, body binary"
+#: Distinct sorted keys of a chunk, how often each occurs there, and further 64 bits of each (or None).
+Keys = tuple[np.ndarray, np.ndarray, np.ndarray | None]
+#: Bytes of text in a chunk: the least, and the most of a large corpus; in between there are ``CHUNKS``.
+LEAST_CHUNK, MOST_CHUNK, CHUNKS = 4 << 20, 256 << 20, 4096
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunks: int | None = None) -> DataFrame:
-    """chunk, id (null last), tag (tells rows of one id but other texts apart) and body (UTF-8 bytes, null as empty)."""
-    chunks = chunks or 2 * shuffle_partitions(docs.sparkSession)
+def chunks_for(total: int, partitions: int) -> int:
+    """Chunks for a corpus of so many bytes."""
+    return max(partitions, -(-total // min(max(total // CHUNKS, LEAST_CHUNK), MOST_CHUNK)))
+
+
+def buckets_for(chunks: int, partitions: int) -> int:
+    return max(2 * partitions, chunks // 2)
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(chunk, id (null last), tag (tells rows of one id but other texts apart) and body (UTF-8 bytes, null as empty)), and the number of buckets.
+
+    Documents are dealt by a hash of id and text, so rows without an id, or of one id, spread like others.
+    """
+    partitions = shuffle_partitions(docs.sparkSession)
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), body.alias("body"))
-    return rows.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", F.hash("body").alias("tag"), "body")
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("n")).first()["n"] or 0
+    chunks = chunks_for(total, partitions)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_key(body).alias("tag"), body.alias("body"))
+    rows = rows.select(F.pmod(F.xxhash64("id", "tag"), F.lit(chunks)).cast("int").alias("chunk"), "id", "tag", "body")
+    return rows.repartition(chunks, "chunk"), buckets_for(chunks, partitions)
 
 
-def documents_of(table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+def documents_of(table: pa.Table) -> Iterator[tuple[int, bytes, bytes]]:
     """(id, tag, body) of the rows of a chunk, one body in memory at a time."""
     for part in table.to_batches():
         ids, tags, body = (part.column(part.schema.get_field_index(c)) for c in ("id", "tag", "body"))
@@ -77,13 +95,23 @@ def room_of(counts: np.ndarray) -> np.ndarray:
     return np.repeat(ends, counts) - np.arange(ends[-1] if len(ends) else 0)
 
 
+def groups_of(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order by (key, more), and where in it each distinct pair begins."""
+    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[order[1:]] != keys[order[:-1]]
+    if more is not None:
+        first[1:] |= more[order[1:]] != more[order[:-1]]
+    return order, np.flatnonzero(first)
+
+
 def count_keys(keys: np.ndarray) -> Keys:
     """Distinct sorted keys, and how often each occurs."""
     keys = np.sort(keys)
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(first)
-    return keys[at], np.diff(np.append(at, len(keys)))
+    return keys[at], np.diff(np.append(at, len(keys))), None
 
 
 def bucket_edges(buckets: int) -> np.ndarray:
@@ -91,7 +119,7 @@ def bucket_edges(buckets: int) -> np.ndarray:
     return np.array([((b << 64) + buckets - 1) // buckets for b in range(1, buckets)], np.uint64)
 
 
-ASKED = "chunk int, bucket int, keys binary, counts binary"
+ASKED = "chunk int, bucket int, keys binary, counts binary, more binary"
 ANSWERED = "chunk int, bucket int, told binary"
 #: What is told of a key: it occurs once, at least twice, or at least ``hot`` times.
 ONCE, TWICE, HOT = 0, 1, 2
@@ -107,12 +135,14 @@ def ask(chunk: int, keys: Keys, buckets: int) -> pa.Table:
     edges = places(keys[0], buckets)
     some = np.flatnonzero(np.diff(edges))
     counts = np.minimum(keys[1], 65535).astype(np.uint16)
+    cut = lambda x: pa.array([x[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary())
     return pa.table(
         {
             "chunk": pa.array(np.full(len(some), chunk), pa.int32()),
             "bucket": pa.array(some, pa.int32()),
-            "keys": pa.array([keys[0][edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()),
-            "counts": pa.array([counts[edges[b] : edges[b + 1]].tobytes() for b in some], pa.binary()),
+            "keys": cut(keys[0]),
+            "counts": cut(counts),
+            "more": cut(keys[2]) if keys[2] is not None else pa.nulls(len(some), pa.binary()),
         }
     )
 
@@ -121,12 +151,10 @@ def answer(table: pa.Table, hot: int = LAST_ID) -> pa.Table:
     """For one bucket, per chunk what is told of each of its keys."""
     lists = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
     keys = np.concatenate(lists)
+    further = table.column("more").to_pylist()
+    more = np.concatenate([np.frombuffer(x, np.uint64) for x in further]) if further[0] is not None else None
     counts = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("counts").to_pylist()]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = ranked[1:] != ranked[:-1]
-    at = np.flatnonzero(first)
+    order, at = groups_of(keys, more)
     totals = np.add.reduceat(counts[order], at)
     told = np.empty(len(keys), np.uint8)
     told[order] = np.repeat((totals >= 2).astype(np.uint8) + (totals >= hot), np.diff(np.append(at, len(keys))))

@@ -148,31 +148,47 @@ def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
+def text_key(body: Column) -> Column:
+    """128 bits that stand for a whole text (binary): rows of one id, or of none, are told apart by it."""
+    return F.substring(F.unhex(F.sha2(body, 256)), F.lit(1), F.lit(16))
+
+
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a folder of this machine only where none is named (tests)."""
+    """Use the shared folder that the session names in ``spark.checkpoint.dir``.
+
+    Only a session of one machine (master local[...], as in tests) may do without one and
+    gets a folder of its own; on a cluster each executor would write to its own disk.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and (context.master.startswith("local-cluster") or not context.master.startswith("local")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
-#: Rows of a few short columns (ids, hashes, keys) that may be broadcast: some 60 MB.
-BROADCAST_ROWS = 1_000_000
+#: What may be broadcast, counted as rows times a stated width. Wider or more rows are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def small_side(rows: DataFrame) -> DataFrame:
-    """Rows to join with, to be broadcast where they are counted as few; else the join shuffles both sides."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+def small_side(rows: DataFrame, width: int) -> DataFrame:
+    """Rows of at most ``width`` bytes each to join with, to be broadcast where they are counted as few; else the join shuffles both sides."""
+    most = BROADCAST_BYTES // width
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-#: Texts that travel to Python in one Arrow batch: texts are long rows, and a batch lies in memory several times.
-TEXTS_AT_ONCE = 1000
+#: Bytes of rows that travel to Python in one Arrow batch (a batch lies in memory several times).
+BATCH_BYTES = 8 << 20
 
 
 def in_small_batches(rows: DataFrame) -> DataFrame:
-    """The rows, with the session's Arrow batches limited for whole texts."""
-    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= TEXTS_AT_ONCE:
-        conf.set(key, str(TEXTS_AT_ONCE))
+    """The rows; gives the session ``BATCH_BYTES`` as the size of its Arrow batches where it names none.
+
+    Texts are long rows of any length, so a number of rows is no bound. A session that
+    sets ``spark.sql.execution.arrow.maxBytesPerBatch`` keeps its own value.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(BATCH_BYTES))
     return rows

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import LAST_ID, WORDS, back_to_null, bodies, in_small_batches, mix, read_documents, shuffle_partitions, small_side, with_checkpoint_dir, word_hashes
+from lessonloom.llm.common import LAST_ID, WORDS, back_to_null, bodies, in_small_batches, mix, read_documents, shuffle_partitions, small_side, text_key, with_checkpoint_dir, word_hashes
 from lessonloom.llm.components import components
 
 WORDS_IN_SHINGLE = 5
@@ -94,12 +94,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, banding:
             rows = [(set_key(s), banding(s).tobytes() if len(s) else b"") for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["id", "tag", "class_key", "bands"])
 
-    return identified(docs, id_col, text_col).mapInArrow(batches, "id long, tag int, class_key binary, bands binary")
+    return identified(docs, id_col, text_col).mapInArrow(batches, "id long, tag binary, class_key binary, bands binary")
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return in_small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.hash(body).alias("tag"), body.alias("body"))
+    return in_small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_key(body).alias("tag"), body.alias("body"))
 
 
 # --- verification -----------------------------------------------------------------
@@ -156,36 +156,55 @@ def least_linked(links: np.ndarray) -> np.ndarray:
 LINKS = "class_key binary, links long, to binary"
 
 
-def verifier(threshold: float, bands: int):
-    def verify(table: pa.Table) -> pa.Table:
+def verifier(threshold: float):
+    """Function that verifies the members of each spot; rows come sorted by spot, and one spot is in memory at a time."""
+
+    def verify(spot: pa.Table, out: dict[str, list]) -> None:
+        get = {c: spot.column(c).to_pylist() for c in ("class_key", "bands", "shingles")}
+        # a class once, though two documents may stand for it
+        rows = [r for _, r in sorted({k: r for r, k in enumerate(get["class_key"])}.items())]
+        if len(rows) < 2:
+            return
+        keys = [get["class_key"][r] for r in rows]
+        sets = [np.frombuffer(get["shingles"][r], np.uint64) for r in rows]
+        own = np.array([np.frombuffer(get["bands"][r], np.int64) for r in rows])
+        band, side, alone, weight = (spot.column(c).to_numpy()[rows] for c in ("band", "side", "alone", "weight"))
+        links = linked(sets, own, int(band[0]), threshold, None if alone[0] else side)
+        count = links @ weight.astype(np.float64)
+        to = least_linked(links)
+        for k in np.flatnonzero(count):
+            out["class_key"].append(keys[k])
+            out["links"].append(int(count[k]))
+            out["to"].append(keys[to[k]])
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        at = None
         out: dict[str, list] = {"class_key": [], "links": [], "to": []}
-        spot = table.column("spot").to_numpy()
-        order = np.argsort(spot, kind="stable")
-        cuts = np.flatnonzero(np.diff(spot[order])) + 1
-        get = {c: table.column(c).combine_chunks() for c in ("class_key", "bands", "shingles")}
-        band, side, alone, weight = (table.column(c).to_numpy() for c in ("band", "side", "alone", "weight"))
-        for rows in np.split(order, cuts):
-            keys = [get["class_key"][int(r)].as_py() for r in rows]
-            ranked = sorted({k: r for k, r in zip(keys, rows)}.items())  # a class once, though two documents may stand for it
-            rows = np.array([r for _, r in ranked])
-            if len(rows) < 2:
-                continue
-            sets = [np.frombuffer(get["shingles"][int(r)].as_py(), np.uint64) for r in rows]
-            own = np.array([np.frombuffer(get["bands"][int(r)].as_py(), np.int64) for r in rows])
-            links = linked(sets, own, int(band[rows[0]]), threshold, None if alone[rows[0]] else side[rows])
-            count = links @ weight[rows].astype(np.float64)
-            to = least_linked(links)
-            for k in np.flatnonzero(count):
-                out["class_key"].append(ranked[k][0])
-                out["links"].append(int(count[k]))
-                out["to"].append(ranked[to[k]][0])
-        return pa.table({"class_key": pa.array(out["class_key"], pa.binary()), "links": pa.array(out["links"], pa.int64()), "to": pa.array(out["to"], pa.binary())})
-
-    return verify
+        for part in parts:
+            spots = part.column(part.schema.get_field_index("spot")).to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(spots)) + 1, [len(spots)])) if len(spots) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if waiting and spots[a] != at:
+                    verify(pa.Table.from_batches(waiting), out)
+                    waiting = []
+                at = spots[a]
+                waiting.append(part.slice(a, b - a))
+            if len(out["links"]) >= 4096:
+                yield told(out)
+                out = {c: [] for c in out}
+        if waiting:
+            verify(pa.Table.from_batches(waiting), out)
+        yield told(out)
+
+    def told(out: dict[str, list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(out["class_key"], pa.binary()), pa.array(out["links"], pa.int64()), pa.array(out["to"], pa.binary())], ["class_key", "links", "to"])
+
+    return batches
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS_IN_SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(id, tag, class_id, n_links, head) of every document, a null id as the last; tag is a hash of the text.
+    """(id, tag, class_id, n_links, head) of every document, a null id as the last; tag is 128 bits of the text.
 
     class_id is the least id of the documents linked to it, directly or by others; n_links
     is the number of other documents of similarity ``threshold`` or more, copies included.
@@ -213,7 +232,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([banding(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class_key", "bands", "shingles"])
 
     wanted = members.select("class_key", "stands.id", "stands.tag").distinct()
-    texts = identified(docs, id_col, text_col).join(small_side(wanted), ["id", "tag"]).select("class_key", "body")
+    texts = identified(docs, id_col, text_col).join(small_side(wanted, 96), ["id", "tag"]).select("class_key", "body")
     sets = texts.mapInArrow(set_batches, "class_key binary, bands binary, shingles binary")
     blocks = F.ceil(F.col("members") / block).cast("int")
     mine = F.pmod(F.xxhash64(F.lit("block"), "class_key"), blocks).cast("int")
@@ -221,9 +240,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spot = F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other"))
     # Two blocks meet once; a block meets itself alone.
     dealt = dealt.select("class_key", "band", "weight", F.col("mine").alias("side"), (F.col("mine") == F.col("other")).alias("alone"), spot.alias("spot"))
-    parts = 4 * shuffle_partitions(spark)
-    dealt = dealt.join(sets, "class_key").withColumn("part", F.pmod("spot", F.lit(parts)).cast("int"))
-    links = dealt.groupBy("part").applyInArrow(verifier(threshold, bands), LINKS).checkpoint()
+    dealt = dealt.join(sets, "class_key").repartition(4 * shuffle_partitions(spark), "spot").sortWithinPartitions("spot")
+    links = dealt.mapInArrow(verifier(threshold), LINKS).checkpoint()
     degree = links.groupBy("class_key").agg(F.sum("links").alias("links"))
     component = components(links.select(F.col("class_key").alias("u"), F.col("to").alias("v")))
     known = classes.select("class_key", "weight", "stands").join(degree, "class_key", "left").join(component.withColumnRenamed("node", "class_key"), "class_key", "left")
@@ -245,13 +263,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = jaccard_classes(docs, id_col, text_col, **settings).select("id", "tag", "head").checkpoint()
     others = found.where("not head").select("id", "tag").distinct()
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.hash(body).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_key(body).alias("tag"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # Equal rows of one id share their tag: of those all but one go.
     again = found.where("head").groupBy("id", "tag").count().where("count > 1").select("id", "tag")
-    left = rows.join(small_side(others), ["id", "tag"], "left_anti")
-    once = left.join(small_side(again), ["id", "tag"], "left_anti")
+    left = rows.join(small_side(others, 48), ["id", "tag"], "left_anti")
+    once = left.join(small_side(again, 48), ["id", "tag"], "left_anti")
     turn = F.row_number().over(Window.partitionBy("id", "tag").orderBy(F.lit(0)))
-    first = left.join(small_side(again), ["id", "tag"]).withColumn("turn", turn).where("turn = 1").select("id", "tag", "row")
+    first = left.join(small_side(again, 48), ["id", "tag"]).withColumn("turn", turn).where("turn = 1").select("id", "tag", "row")
     return once.unionByName(first).select("row.*")
 
 

@@ -10,8 +10,9 @@ repeat at one length alone are extended to twice that length, until the last len
 
 (The lengths halve from the window's: 35, 18, 9.) Each level is one exchange of 64-bit
 keys packed by chunk and bucket (see ``chunks``), all of them over one shuffle of the
-documents. Two different windows would have to agree in 64 well mixed bits, and in
-the bits of the last level's own 64-bit hash, to be taken for equal.
+documents. The shorter levels only leave candidates out; the last level, which decides,
+compares two 64-bit hashes of a window's words, so that windows that differ are told
+apart at any size of corpus that can be stored.
 
 Defined results: a null or empty text has no words; a text of fewer words than the
 window keeps all; windows of the same document count as each other's repeats; repeated
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.chunks import ANSWERED, ASKED, TWICE, Keys, answer, ask, chunked, count_keys, documents_of, is_in, room_of, told_of, with_answers, words_of
-from lessonloom.llm.common import WORDS, back_to_null, cover, marked_runs, mix, read_documents, shuffle_partitions, sliding_min, word_bounds
+from lessonloom.llm.chunks import ANSWERED, ASKED, TWICE, Keys, answer, ask, chunked, count_keys, documents_of, groups_of, is_in, room_of, told_of, with_answers, words_of
+from lessonloom.llm.common import WORDS, Powers, back_to_null, cover, marked_runs, mix, read_documents, sliding_min, word_bounds
 
 WINDOW = 35
+#: A second hash of word runs, of another base.
+CONFIRM = Powers(0xC2B2AE3D27D4EB4F)
 FEWEST_LEVEL_WORDS = 9
 
 
@@ -50,7 +53,7 @@ class Windows:
         self.window, self.lengths = window, levels_of(window)
         n = max(len(self.words) - window + 1, 0)
         self.whole = self.room[:n] >= window
-        self.alive = self.whole
+        self.alive = self.whole.copy()
 
     def run_keys(self, length: int) -> np.ndarray:
         return mix(WORDS.windows(self.words, length) + np.uint64(length))
@@ -59,23 +62,34 @@ class Windows:
         """Distinct keys of the runs that living windows try at a level, and which of them occur at several places of the chunk."""
         length = self.lengths[level]
         runs = self.run_keys(length)
-        self.tries = runs if length == self.window else sliding_min(runs, self.window - length + 1)
+        if length == self.window:
+            self.tries = runs
+            keys, more = runs[self.alive], mix(CONFIRM.windows(self.words, length))[self.alive] if len(runs) else runs
+            order, at = groups_of(keys, more)
+            counts = np.diff(np.append(at, len(keys)))
+            self.which = np.empty(len(keys), np.int64)  # which of the distinct pairs each living window has
+            self.which[order] = np.repeat(np.arange(len(at)), counts)
+            return keys[order[at]], counts, more[order[at]]
+        self.tries = sliding_min(runs, self.window - length + 1)
         now = self.tries[self.alive] if len(self.tries) else self.tries
-        if length < self.window:
-            # two windows may try one and the same run, which makes it no repeat: count places
-            now = runs[is_in(runs, np.unique(now)) & (self.room[: len(runs)] >= length)]
-        return count_keys(now)
+        # two windows may try one and the same run, which makes it no repeat: count places
+        return count_keys(runs[is_in(runs, np.unique(now)) & (self.room[: len(runs)] >= length)])
 
-    def kill(self, keys: Keys, answers: pa.Table, buckets: int) -> None:
+    def kill(self, level: int, keys: Keys, answers: pa.Table, buckets: int) -> None:
         """Windows live on whose run is repeated."""
-        if len(self.tries):
-            self.alive = self.alive & is_in(self.tries, keys[0][told_of(keys, answers, buckets) >= TWICE])
+        if not len(self.tries):
+            return
+        told = told_of(keys, answers, buckets) >= TWICE
+        if self.lengths[level] == self.window:
+            self.alive[self.alive] = told[self.which]
+        else:
+            self.alive = self.alive & is_in(self.tries, keys[0][told])
 
     def replay(self, answers: pa.Table, levels: int, buckets: int) -> None:
         """Live through the first levels again, by their answers."""
         which = answers.column("level").to_numpy()
         for level in range(levels):
-            self.kill(self.keys(level), answers.filter(pa.array(which == level)), buckets)
+            self.kill(level, self.keys(level), answers.filter(pa.array(which == level)), buckets)
 
 
 def asker(level: int, window: int, buckets: int):
@@ -101,25 +115,24 @@ def judge_of(level: int):
     return judged
 
 
-def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, int]:
-    """Answers to all levels (with a column level) for documents as ``chunked`` gives them, and the number of buckets."""
-    buckets = shuffle_partitions(docs.sparkSession)
+def repeats(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+    """Answers to all levels (with a column level) for documents as ``chunked`` gives them."""
     answers = None
     for level in range(len(levels_of(window))):
         f = asker(level, window, buckets)
         asked = with_answers(docs, answers, f, ASKED) if level else docs.groupBy("chunk").applyInArrow(f, ASKED)
         now = asked.groupBy("bucket").applyInArrow(judge_of(level), ANSWERED + ", level int")
         answers = answers.unionByName(now) if level else now
-    return answers, buckets
+    return answers
 
 
-REMOVED = "id long, tag int, n_words long, n_removed long, n_spans long, kept binary"
+REMOVED = "id long, tag binary, n_words long, n_removed long, n_spans long, kept binary"
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """id, tag (a hash of the text), n_words, n_removed, n_spans and kept (the kept words joined by one space, UTF-8)."""
-    rows = chunked(docs, id_col, text_col)
-    answers, buckets = repeats(rows, window)
+    """id, tag (128 bits of the text), n_words, n_removed, n_spans and kept (the kept words joined by one space, UTF-8)."""
+    rows, buckets = chunked(docs, id_col, text_col)
+    answers = repeats(rows, buckets, window)
 
     def cut(table: pa.Table, told: pa.Table) -> pa.Table:
         out: dict[str, list] = {c.split()[0]: [] for c in REMOVED.split(", ")}
@@ -134,7 +147,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 row = name, tag, len(gone), int(gone.sum()), len(marked_runs(gone)[0]), b" ".join([body[a:b] for a, b in zip(starts[kept].tolist(), ends[kept].tolist())])
                 for c, v in zip(out, row):
                     out[c].append(v)
-        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary()]
+        kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.binary()]
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
 
     return with_answers(rows, answers, cut, REMOVED)

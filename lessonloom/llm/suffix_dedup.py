@@ -11,16 +11,19 @@ id is removed. The corpus is cut so that equal 50-byte windows meet in one place
    the greatest id that hold it. The windows of a very common run are pieces of their
    own and go by their whole content, so that no bucket grows with a common run.
 3. In a bucket, pieces are the documents of a column-wise construction: each round
-   inserts one symbol per piece into the sorted collection, right to left, updating
-   the collection's Burrows-Wheeler transform and the common prefixes. Rounds are as
-   many as the longest piece has bytes. Each table is a sequence that a round reads
-   and rewrites front to back; as a bucket's collections are bounded, the sequences
-   lie in memory, not in files of one machine.
+   inserts one symbol per piece into the sorted collection, right to left. Where a
+   suffix goes follows from the collection's Burrows-Wheeler transform alone, and its
+   common prefixes from those between the two places of its symbol in the transform;
+   texts are not compared. Rounds are as many as the longest piece has bytes. Transform
+   and prefixes are two sequences that each round reads and rewrites front to back; as
+   a bucket's collections are bounded, they lie in memory, not in files of one machine.
 4. Places in the sorted collection with a common prefix of 50 bytes or more are equal
    windows; the least id among them goes back to the chunks that hold the pieces.
 
-Texts that equal one with a smaller id are covered as a whole and stay out of steps 1
-to 4, so a group of copies costs one document.
+What is filtered before the construction: texts that equal one with a smaller id (they
+are covered as a whole, so a group of copies costs one document), texts under 50 bytes,
+and windows whose least run no other document has. What windows are equal is decided by
+the construction.
 
 Defined results: a null or empty text has 0 bytes; texts under 50 bytes keep all; a
 null doc_id counts as greater than all others and stays null; rows of one id are one
@@ -35,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.chunks import ASKED, HOT, TWICE, answer, ask, chunked, count_keys, documents_of, places, told_of, with_answers
-from lessonloom.llm.common import BYTE_CODE, BYTES, back_to_null, cover, marked_runs, mix, read_documents, shuffle_partitions, sliding_min
+from lessonloom.llm.chunks import ASKED, HOT, SLICE_BYTES, TWICE, answer, ask, chunked, count_keys, documents_of, groups_of, places, told_of, with_answers
+from lessonloom.llm.common import BYTE_CODE, BYTES, back_to_null, cover, marked_runs, mix, read_documents, sliding_min, small_side
 
 LENGTH = 50
 RUN = 20
@@ -50,75 +53,78 @@ END = 255  # no byte of UTF-8 text
 # --- the construction -------------------------------------------------------------
 
 
-def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Equal leading bytes of the suffixes at a and b, at most ``most``; words[i] holds the 8 bytes from i on, big-endian."""
-    out = most.copy()
-    left, at = np.arange(len(a)), 0
-    while len(left):
-        x = words[a + at] ^ words[b + at]
-        differ = np.flatnonzero(x)
-        if len(differ):
-            first = 53 - np.frexp((x[differ] >> np.uint64(11)).astype(np.float64))[1]  # 53 bits are exact in a double
-            low = np.flatnonzero(x[differ] < np.uint64(1 << 12))
-            first[low] = 64 - np.frexp(x[differ[low]].astype(np.float64))[1]
-            out[left[differ]] = np.minimum(at + first // 8, most[differ])
-        at += 8
-        go = np.flatnonzero((x == 0) & (most > at))
-        left, a, b, most = left[go], a[go], b[go], most[go]
+def least_between(values: np.ndarray, since: np.ndarray, until: np.ndarray) -> np.ndarray:
+    """Least of values[since:until] of each pair, none of them empty; the cost is that of the ranges together."""
+    if not len(since):
+        return np.empty(0, values.dtype)
+    by = np.argsort(-since)  # from the back, as reduceat also reduces what lies between one range and a later one
+    pairs = np.empty(2 * len(by), np.int64)
+    pairs[::2], pairs[1::2] = since[by], until[by]
+    out = np.empty(len(by), values.dtype)
+    out[by] = np.minimum.reduceat(np.append(values, values[-1:]), pairs)[::2]
     return out
 
 
-def sort_column_wise(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted suffixes of a collection: (bwt symbol, common prefix with the one before up to depth, string, suffix length).
+def sort_column_wise(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted suffixes of a collection: (bwt symbol, common prefix with the one before, up to depth).
 
-    Round j adds the suffix of length j of every string that has one. Where it goes
-    follows from the table so far: suffixes that start with a symbol stand in the order
-    of that symbol in the transform.
+    Round j adds the suffix of length j of every string that has one. Suffixes that begin
+    with a symbol stand in the order of that symbol in the transform, after the empty
+    ones; the k-th symbol of the transform in that order stands before the k-th suffix.
+    Two neighbours there share the symbol and what the suffixes behind it share: the
+    least prefix between the symbol's two places.
     """
     n, ends = len(starts), starts + lengths
-    padded = np.concatenate((flat, np.zeros(8, np.uint8)))
-    words = np.ndarray(len(flat), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
-    bwt, prefix = flat[ends - 1], np.zeros(n, np.uint8)
-    string, size = np.arange(n, dtype=np.int32), np.zeros(n, np.uint8)
-    latest, live = np.arange(n), np.arange(n)
+    table = flat[ends - 1].astype(np.uint16)  # prefix in the high byte, symbol in the low one
+    at, who = np.arange(n), np.arange(n)  # places of the latest suffixes, in order, and their strings
     for j in range(1, int(lengths.max()) + 1):
-        live = live[lengths[live] >= j]
+        if (short := lengths[who] < j).any():
+            at, who = at[~short], who[~short]
+        bwt = table.astype(np.uint8)
         order = np.argsort(bwt, kind="stable")
         due = np.zeros(len(bwt), bool)
-        due[latest[live]] = True
+        due[at] = True
         rank = np.flatnonzero(due[order])
-        to, who = n + rank, string[order[rank]]
-        total = len(bwt) + len(who)
+        who, to, total = who[np.argsort(bwt[at], kind="stable")], n + rank, len(bwt) + len(rank)
+        # Places that are new, and those whose neighbour before is.
+        after = rank + 1
+        k = np.concatenate((rank, after[(np.append(rank[1:], -1) != after) & (after < total - n)]))
+        this, last = order[k], order[np.maximum(k - 1, 0)]
+        some = np.flatnonzero((bwt[this] == bwt[last]) & (k > 0))
+        value = np.zeros(len(k), np.uint16)
+        value[some] = np.minimum((least_between(table, last[some] + 1, this[some] + 1) >> 8) + 1, depth) << 8
         old = np.ones(total, bool)
         old[to] = False
-        symbol = np.where(lengths[who] > j, flat[np.maximum(ends[who] - j - 1, 0)], END).astype(np.uint8)
-
-        def insert(table: np.ndarray, new) -> np.ndarray:
-            out = np.empty(total, table.dtype)
-            out[old], out[to] = table, new
-            return out
-
-        bwt, prefix, string, size = insert(bwt, symbol), insert(prefix, 0), insert(string, who), insert(size, j)
-        latest[who] = to
-        # Places whose neighbour before is new, or that are new themselves.
-        old[1:] &= old[:-1]
-        fresh = np.flatnonzero(~old)
-        here, before = string[fresh], string[fresh - 1]
-        most = np.minimum(np.minimum(size[fresh], size[fresh - 1]), depth).astype(np.int64)
-        some = most > 0
-        value = np.zeros(len(fresh), np.int64)
-        value[some] = common_prefix(words, (ends[here] - size[fresh])[some], (ends[before] - size[fresh - 1])[some], most[some])
-        prefix[fresh] = value
-        # A string's latest suffix moves when others are inserted before it only while it is extended each round;
-        # those that ended are not looked up again.
-    return bwt, prefix, string, size
+        wider = np.empty(total, np.uint16)
+        wider[old] = table
+        wider[to] = value[: len(rank)] | np.where(lengths[who] > j, flat[np.maximum(ends[who] - j - 1, 0)], END)
+        later = n + k[len(rank) :]
+        wider[later] = value[len(rank) :] | (wider[later] & 0xFF)
+        table, at = wider, to
+    return table.astype(np.uint8), (table >> 8).astype(np.uint8)
+
+
+def suffixes_of(bwt: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, suffix length) at every place of a collection, 0 for suffixes shorter than ``least``: each string is followed through the transform."""
+    n = len(lengths)
+    before = np.empty(len(bwt), np.int64)  # where the suffix stands that is longer by the symbol of a place
+    before[np.argsort(bwt, kind="stable")] = n + np.arange(len(bwt))
+    string, size = np.zeros(len(bwt), np.int32), np.zeros(len(bwt), np.uint8)
+    at, who = np.arange(n), np.arange(n)
+    for j in range(1, int(lengths.max()) + 1):
+        live = lengths[who] >= j
+        at, who = before[at[live]], who[live]
+        if j >= least:
+            string[at], size[at] = who, j
+    return string, size
 
 
 def least_ids(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, least id of all strings that hold the window of ``depth`` bytes at that offset), for every window."""
-    _, prefix, string, size = sort_column_wise(flat, starts, lengths, depth)
+    bwt, prefix = sort_column_wise(flat, starts, lengths, depth)
+    string, size = suffixes_of(bwt, lengths, depth)
     group = np.cumsum(prefix < depth)
-    keep = np.flatnonzero(size >= depth)
+    keep = np.flatnonzero(size)
     string, offset, group = string[keep], lengths[string[keep]] - size[keep], group[keep]
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     least = np.minimum.reduceat(ids[string], first)
@@ -128,48 +134,55 @@ def least_ids(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np
 # --- windows, runs and pieces of a chunk ------------------------------------------
 
 
-def runs_of(data: np.ndarray, length: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, windows): stretches of windows with the same least run, each no longer than windows can share one run."""
+def runs_of(data: np.ndarray, ends: np.ndarray, length: int, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, windows, document): stretches of windows with the same least run, each no longer than windows can share one run.
+
+    Documents (each of ``length`` bytes or more) lie one after another in data; no window crosses an end.
+    """
     most = length - run + 1
     least = sliding_min(BYTES.windows(BYTE_CODE[data], run), most)
-    new = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    over = ends - length + 1  # the windows from here to the next document cross its end
+    new = np.concatenate(([True], least[1:] != least[:-1]))
+    new[over[:-1]] = new[ends[:-1]] = True
+    new = np.flatnonzero(new)
     count = np.diff(np.append(new, len(least)))
+    docs = np.searchsorted(ends, new, "right")
+    inside = new < over[docs]
+    new, count, docs = new[inside], count[inside], docs[inside]
     key = mix(least[new])
     if count.max() > most:
         parts = -(-count // most)
         at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        new, key, count = np.repeat(new, parts) + at * most, np.repeat(key, parts), np.minimum(np.repeat(count, parts) - at * most, most)
-    return key, new, count
+        new, key, docs, count = np.repeat(new, parts) + at * most, np.repeat(key, parts), np.repeat(docs, parts), np.minimum(np.repeat(count, parts) - at * most, most)
+    return key, new, count, docs
 
 
 class Chunk:
     """The documents of a chunk that are no copies, with the runs of their windows."""
 
     def __init__(self, table: pa.Table, copies: set, length: int, run: int):
-        self.length, self.run = length, run
-        self.ids, self.bodies, self.skipped, self.number = [], [], [], []
-        keys, starts, counts, docs = [], [], [], []
-        base = 0
+        self.length = length
+        self.ids, self.number, bodies = [], [], []
         for k, (name, tag, body) in enumerate(documents_of(table)):
-            if len(body) < length or (name, tag) in copies:
-                continue
-            key, start, count = runs_of(np.frombuffer(body, np.uint8), length, run)
-            keys.append(key), starts.append(start + base), counts.append(count)
-            docs.append(np.full(len(key), len(self.ids)))
-            self.ids.append(name), self.bodies.append(body), self.number.append(k)
-            base += len(body)
-        join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        self.keys, self.starts, self.counts, self.docs = join(keys, np.uint64), join(starts, np.int64), join(counts, np.int64), join(docs, np.int64)
-        self.flat = np.frombuffer(b"".join(self.bodies), np.uint8)
-        self.ids = np.array(self.ids, np.int64)
+            if len(body) >= length and (name, tag) not in copies:
+                self.ids.append(name), self.number.append(k), bodies.append(body)
+        self.ids, self.sizes = np.array(self.ids, np.int64), np.array(list(map(len, bodies)), np.int64)
+        self.flat = np.frombuffer(b"".join(bodies), np.uint8)
+        ends = np.cumsum(self.sizes)
+        # Whole documents, some half a megabyte at a time.
+        cuts = np.flatnonzero(np.diff(ends // SLICE_BYTES, prepend=-1, append=-1))
+        parts = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            base = int(ends[a] - self.sizes[a])
+            key, start, count, docs = runs_of(self.flat[base : ends[b - 1]], ends[a:b] - base, length, run)
+            parts.append((key, start + base, count, docs + a))
+        none = [np.empty(0, kind) for kind in (np.uint64, np.int64, np.int64, np.int64)]
+        self.keys, self.starts, self.counts, self.docs = map(np.concatenate, zip(*parts)) if parts else none
 
     def asked(self):
         """Keys of the runs, counted by document."""
-        order = np.lexsort((self.docs, self.keys))
-        keys, docs = self.keys[order], self.docs[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-        return count_keys(keys[new])
+        order, at = groups_of(self.keys, self.docs)
+        return count_keys(self.keys[order[at]])
 
     def pieces(self, answers: pa.Table, buckets: int):
         """(route, content hash, start, bytes, document) of all pieces that may repeat."""
@@ -190,11 +203,7 @@ class Chunk:
 
     def distinct(self, route, content, docs):
         """Order by (route, content), the first place of each distinct piece in it, and its least and greatest id."""
-        order = np.lexsort((content, route))
-        r, c = route[order], content[order]
-        first = np.ones(len(order), bool)
-        first[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
-        at = np.flatnonzero(first)
+        order, at = groups_of(route, content)
         ids = self.ids[docs[order]]
         return order, at, (np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)) if len(at) else (ids, ids)
 
@@ -233,17 +242,13 @@ def construct(table: pa.Table, length: int) -> pa.Table:
     low, high = np.concatenate(get("low", np.int64)), np.concatenate(get("high", np.int64))
     flat = np.concatenate(get("flat", np.uint8))
     start = np.cumsum(size) - size
-    order = np.lexsort((content, route))
-    r, c = route[order], content[order]
-    first = np.ones(len(order), bool)
-    first[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1])
-    at = np.flatnonzero(first)
+    order, at = groups_of(route, content)
     piece = np.empty(len(order), np.int64)
-    piece[order] = np.cumsum(first) - 1
+    piece[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
     one = order[at]
     least_id = np.minimum.reduceat(low[order], at)
     # Collections: whole routes, about COLLECTION pieces each.
-    new_route = np.concatenate(([True], r[at][1:] != r[at][:-1]))
+    new_route = np.concatenate(([True], route[one][1:] != route[one][:-1]))
     route_at = np.flatnonzero(new_route)
     cuts = route_at[np.concatenate(([True], route_at[1:] // COLLECTION != route_at[:-1] // COLLECTION))]
     found = []
@@ -286,7 +291,7 @@ def of_kind(table: pa.Table, kind: int) -> pa.Table:
 
 def copies_in(table: pa.Table) -> set:
     rows = of_kind(table, 0)
-    return {(int(i), int(t)) for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()) for i, t in zip(np.frombuffer(a, ">i8"), np.frombuffer(b, ">i4"))}
+    return {(int(i), t[16 * k : 16 * k + 16]) for a, t in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()) for k, i in enumerate(np.frombuffer(a, np.int64))}
 
 
 def told_runs(table: pa.Table) -> pa.Table:
@@ -294,20 +299,22 @@ def told_runs(table: pa.Table) -> pa.Table:
 
 
 def copies_of_smaller(docs: DataFrame) -> DataFrame:
-    """One row a chunk: ids and tags of its documents whose whole text also has a smaller id (packed, big-endian)."""
-    keyed = docs.select("chunk", "id", "tag", F.sha2("body", 256).alias("whole"))
-    owners = keyed.groupBy("whole").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last")
-    later = keyed.join(owners, "whole").where("id > owner").select("chunk", "id", "tag").distinct()
-    packed = F.transform(F.array_sort(F.collect_list(F.struct("id", "tag"))), lambda x: F.struct(F.lpad(F.hex(x["id"]), 16, "0").alias("id"), F.lpad(F.substring(F.lpad(F.hex(x["tag"].cast("long")), 16, "0"), 9, 8), 8, "0").alias("tag"))).alias("packed")
-    none = F.lit(None).cast("binary")
-    grouped = later.groupBy("chunk").agg(packed)
-    return grouped.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.unhex(F.array_join("packed.id", "")).alias("a"), F.unhex(F.array_join("packed.tag", "")).alias("b"), none.alias("c"), none.alias("d"))
+    """One row a chunk: ids and tags of its documents whose whole text also has a smaller id, packed."""
+    keyed = docs.select("chunk", "id", "tag")
+    owners = keyed.groupBy("tag").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("tag", "owner")
+    later = keyed.join(small_side(owners, 48), "tag").where("id > owner").select("chunk", "id", "tag").distinct()
+
+    def pack(table: pa.Table) -> pa.Table:
+        chunk, ids, tags = (table.column(c) for c in ("chunk", "id", "tag"))
+        values = [[chunk[0].as_py()], [0], [0], [ids.to_numpy().astype(np.int64).tobytes()], [b"".join(tags.to_pylist())], [None], [None]]
+        return pa.table({x.split()[0]: pa.array(v, pa.int32() if " int" in x else pa.binary()) for x, v in zip(BACK.split(", "), values)})
+
+    return later.groupBy("chunk").applyInArrow(pack, BACK)
 
 
 def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, run: int = RUN, common: int = COMMON) -> DataFrame:
     """id (null as the last), n_bytes, n_removed, spans (removed, in bytes) and kept (the other bytes)."""
-    buckets = shuffle_partitions(docs.sparkSession)
-    rows = chunked(docs, id_col, text_col)
+    rows, buckets = chunked(docs, id_col, text_col)
     copies = copies_of_smaller(rows)
 
     def ask_runs(table: pa.Table, back: pa.Table) -> pa.Table:
@@ -355,7 +362,7 @@ def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def covered(c: Chunk, runs: pa.Table, told: pa.Table, buckets: int, length: int) -> list[np.ndarray]:
     """For each document of the chunk, the mask of the bytes to remove."""
-    sizes = np.array([len(b) for b in c.bodies], np.int64)
+    sizes = c.sizes
     if not len(sizes):
         return []
     route, content, start, _, docs = c.pieces(runs, buckets)

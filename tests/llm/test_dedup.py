@@ -11,7 +11,7 @@ import pytest
 from lessonloom.llm import chunks
 from lessonloom.llm.jaccard_join import bands_and_rows, jaccard_classes, one_of_each
 from lessonloom.llm.substring_dedup import levels_of, remove_repeats
-from lessonloom.llm.suffix_dedup import least_ids, remove_shared, sort_column_wise
+from lessonloom.llm.suffix_dedup import least_ids, remove_shared, sort_column_wise, suffixes_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = (1 << 63) - 1
@@ -43,6 +43,35 @@ def test_suffix_dedup(spark, docs, plain_docs, common):
     assert got == brute_shared([(LAST if r[0] is None else r[0], r[1]) for r in plain_docs] + MORE)
 
 
+ODD_IDS = [(None, f"{c} shares {' '.join(f'tail{i}' for i in range(50))} {c * 60}") for c in "abcdefgh"] + [(7, "one text " * 20), (7, "another text " * 20), (7, "one text " * 20), (None, "one text " * 20), (None, None), (None, ""), (3, None)]
+
+
+def test_rows_without_an_id_or_of_one_id(spark):
+    """Rows are told apart by their texts: none loses what no other row holds, and none stands for another."""
+    df = spark.createDataFrame(ODD_IDS, "doc_id long, text string").repartition(3)
+    rows = [(LAST if i is None else i, t) for i, t in ODD_IDS]
+    assert sorted((r.id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in remove_shared(df).collect()) == brute_shared(rows)
+    assert sorted((r.id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in remove_repeats(df).collect()) == brute_windows(rows)
+    assert sorted((r.id, r.class_id, r.n_links) for r in jaccard_classes(df).collect()) == brute_links(rows)
+    kept = [(r.doc_id, r.text) for r in one_of_each(df).collect()]
+    assert {t for i, t in kept if i is None and t} == {t for i, t in ODD_IDS[:8]} and (7, "another text " * 20) in kept and (7, "one text " * 20) in kept
+
+
+def test_chunks_follow_the_bytes():
+    assert chunks.chunks_for(0, 12) == 12 and chunks.chunks_for(10**9, 12) == 239
+    assert chunks.chunks_for(10**14, 3000) == -(-(10**14) // chunks.MOST_CHUNK)
+
+
+def test_windows_of_equal_keys_are_confirmed():
+    keys, more = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 7], np.uint64)
+    order, at = chunks.groups_of(keys, more)
+    parts = [(keys[order[at]], np.diff(np.append(at, 4)), more[order[at]]), (np.array([5], np.uint64), np.array([1]), np.array([2], np.uint64))]
+    import pyarrow as pa
+
+    told = chunks.answer(pa.concat_tables([chunks.ask(k, p, 1) for k, p in enumerate(parts)]))
+    assert [list(x) for x in told.column("told").to_pylist()] == [[chunks.TWICE, chunks.TWICE, chunks.ONCE], [chunks.TWICE]]
+
+
 def test_suffix_dedup_of_nothing(no_docs):
     assert remove_shared(no_docs).count() == 0
 
@@ -52,7 +81,9 @@ def test_column_wise_order():
     texts = [bytes(rng.choices(b"ab", k=rng.randint(5, 14))) for _ in range(40)]
     flat, n = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
     starts = np.cumsum(n) - n
-    bwt, prefix, string, size = sort_column_wise(flat, starts, n, 5)
+    bwt, prefix = sort_column_wise(flat, starts, n, 5)
+    string, size = suffixes_of(bwt, n, 1)
+    string[: len(n)] = np.arange(len(n))  # the empty suffixes
     suffixes = [texts[s][len(texts[s]) - k :] for s, k in zip(string, size)]
     assert suffixes == sorted(suffixes) and len(suffixes) == n.sum() + len(texts)
     assert [b for b in bwt] == [texts[s][len(texts[s]) - k - 1] if k < len(texts[s]) else 255 for s, k in zip(string, size)]
