@@ -1,9 +1,10 @@
 """Language of web pages by Bayesian evidence fusion.
 
 Evidence for a page: its visible text (byte-trigram likelihoods), the language that its
-markup declares, its address suffix, and a prior of its host. The text model is fitted
-on at most ``TRAIN_ROWS`` texts of known language (those of least hash). The other
-parts come from grouped aggregations over all pages of the text posteriors:
+markup declares, its address suffix, and a prior of its host. Languages are those that
+any document names; the text model is fitted on at most ``TRAIN_ROWS`` texts of each
+(those of least hash). The other parts come from grouped aggregations over all pages of
+the text posteriors, which are computed once and written to the checkpoint folder:
 
 * how often each declared language goes with each language,
 * how often each suffix goes with each language,
@@ -13,7 +14,9 @@ parts come from grouped aggregations over all pages of the text posteriors:
 Aggregations are partial before their exchange, so a host of a third of all pages costs
 one row a task; pages meet the host table by a join that Spark may split on skew.
 
-Defined results: a null or empty page has no text evidence and follows the priors; a
+Defined results: a null or empty page has no text evidence and follows the priors; of a
+page of any length the whole text counts; a script, style or comment that is not closed
+goes on to the page's end, and an attribute such as data-lang declares no language; a
 null or malformed address has the empty host; a null page_id stays null; repeated rows
 are judged alike; an empty table gives an empty result; without any document of known
 language there are no languages, and lang is null; other columns are ignored.
@@ -25,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import bodies, in_small_batches, mix
+from lessonloom.llm.common import bodies, in_small_batches, mix, with_checkpoint_dir
 
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 1500
 TABLE = 1 << 16
 #: Trigrams of one text are not independent: the text's log-likelihood counts as of so many trigrams at most.
 MOST_EVIDENCE = 60.0
@@ -45,12 +48,13 @@ def grams(body: bytes) -> np.ndarray:
 
 
 def train_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and log probabilities of trigrams (a row a language), from a bounded sample."""
+    """Languages, and log probabilities of trigrams (a row a language), from at most ``rows`` texts of each language."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col)).alias("text"))
     known = known.withColumn("h", F.xxhash64("text"))
-    # Only hashes are ranked in one place; the texts stay where they are, and copies count once.
-    chosen = known.select("h").distinct().orderBy("h").limit(rows)
-    sample = known.join(F.broadcast(chosen), "h").groupBy("h", "lang").agg(F.first("text").alias("text")).select("lang", "text")
+    # Only hashes are ranked (each task keeps its least ones before the exchange); copies count once.
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = known.select("lang", "h").distinct().withColumn("turn", turn).where(F.col("turn") <= rows).select("lang", "h")
+    sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("h", "lang").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -58,10 +62,18 @@ def train_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             for lang, body in zip(part.column(0).to_pylist(), bodies(part.column(1))):
                 totals[lang] = totals.get(lang, 0) + np.bincount(grams(body), minlength=TABLE)
         for lang, n in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n.astype(np.int64).tobytes()], pa.binary())], ["lang", "counts"])
-
-    got = sample.mapInArrow(count, "lang string, counts binary").collect()
-    langs = sorted({r.lang for r in got})
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "place", "n"])
+
+    def fold(table: pa.Table) -> pa.Table:
+        whole = np.zeros(TABLE, np.int64)
+        whole[table.column("place").to_numpy()] = table.column("n").to_numpy()
+        return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([whole.tobytes()], pa.binary())})
+
+    # Summed by Spark, then one table of fixed size a language comes to the driver, however many partitions there are.
+    counted = sample.mapInArrow(count, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    got = counted.groupBy("lang").applyInArrow(fold, "lang string, counts binary").collect()
+    langs = sorted(r.lang for r in got)
     total = np.full((len(langs), TABLE), 0.5)
     for r in got:
         total[langs.index(r.lang)] += np.frombuffer(bytes(r.counts), np.int64)
@@ -73,12 +85,12 @@ def train_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "l
 
 def visible_text(html: Column) -> Column:
     """Text outside tags, comments, scripts and styles."""
-    return F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    return F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>", " ")
 
 
 def declared_language(html: Column) -> Column:
     """Primary subtag of the html element's lang attribute, lower case; '' if none."""
-    return F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,8})", 1))
+    return F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,8})", 1))
 
 
 def host_of(url: Column) -> Column:
@@ -125,12 +137,17 @@ def identify(pages: DataFrame, langs: list[str], model: np.ndarray, id_col: str
     if not langs:
         return pages.select(F.col(id_col).cast("long").alias("page_id"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit("").alias("declared"), F.lit("").alias("host"))
     n = range(len(langs))
-    evidence = text_evidence(pages, id_col, url_col, html_col, langs, model)
+    with_checkpoint_dir(pages.sparkSession)
+    evidence = text_evidence(pages, id_col, url_col, html_col, langs, model).checkpoint()
     post = normalised([F.element_at("text", k + 1) for k in n])
     soft = evidence.withColumns({f"p{k}": post[k] for k in n})
     sums = lambda prefix: [F.sum(f"p{k}").alias(f"{prefix}{k}") for k in n]
-    everywhere = soft.agg(*sums("all")).select(*[((F.coalesce(f"all{k}", F.lit(0.0)) + SMOOTH) / (sum((F.coalesce(f"all{j}", F.lit(0.0)) for j in n), F.lit(SMOOTH * len(langs))))).alias(f"all{k}") for k in n])
-    declared, suffix, domain, host = (soft.groupBy(c).agg(*sums(f"{c}_")) for c in ("declared", "suffix", "domain", "host"))
+    seen = [F.coalesce(f"all{k}", F.lit(0.0)) for k in n]
+    smoothed = lambda k: ((seen[k] + SMOOTH) / sum(seen, F.lit(SMOOTH * len(langs)))).alias(f"all{k}")
+    # One aggregation over the pages; the others roll it up.
+    base = soft.groupBy("host", "domain", "suffix", "declared").agg(*[F.sum(f"p{k}").alias(f"p{k}") for k in n])
+    everywhere = base.agg(*sums("all")).select(*[smoothed(k) for k in n])
+    declared, suffix, domain, host = (base.groupBy(c).agg(*sums(f"{c}_")) for c in ("declared", "suffix", "domain", "host"))
 
     def likelihoods(table: DataFrame, key: str) -> DataFrame:
         """Per value of the key, how likely it is in each language (kinds of values are few or share the smoothing)."""

@@ -43,7 +43,7 @@ def test_suffix_dedup(spark, docs, plain_docs, common):
     assert got == brute_shared([(LAST if r[0] is None else r[0], r[1]) for r in plain_docs] + MORE)
 
 
-ODD_IDS = [(None, f"{c} shares {' '.join(f'tail{i}' for i in range(50))} {c * 60}") for c in "abcdefgh"] + [(7, "one text " * 20), (7, "another text " * 20), (7, "one text " * 20), (None, "one text " * 20), (None, None), (None, ""), (3, None)]
+ODD_IDS = [(None, f"{c} shares {' '.join(f'tail{i}' for i in range(40))} {' '.join(f'{c}{i}' for i in range(80))}") for c in "abcdefgh"] + [(7, "one text " * 20), (7, "another text " * 20), (7, "one text " * 20), (None, "one text " * 20), (None, None), (None, ""), (3, None)]
 
 
 def test_rows_without_an_id_or_of_one_id(spark):

@@ -254,3 +254,72 @@ def test_language_evidence(spark):
     assert got[0].lang == "de" and got[0].host == "a.example.de" and got[21].host == ""
     assert L.identify(df.where("false"), langs, model).count() == 0
     assert L.identify(df, [], model).where("lang is not null").count() == 0
+
+
+def fused(pages, langs, model):
+    """The fusion in plain Python: (lang, confidence) of each page, from its address, declared language and visible text."""
+    import numpy as np
+
+    n = len(langs)
+    logs, post = [], []
+    for url, declared, text in pages:
+        places = L.grams(text.lower().encode())
+        v = np.array([sum(float(model[k][p]) for p in places) for k in range(n)]) if text.strip() else np.zeros(n)
+        v = v * min(1.0, L.MOST_EVIDENCE / len(places))
+        v -= v.max()
+        logs.append(v)
+        post.append(np.exp(v) / np.exp(v).sum())
+    hosts = [(url.split("//")[1].split("/")[0] if "//" in url else "") for url, _, _ in pages]
+    domains, suffixes = [".".join(h.split(".")[-2:]) for h in hosts], [h.split(".")[-1] for h in hosts]
+    total = (sum(post) + L.SMOOTH) / (sum(map(sum, post)) + L.SMOOTH * n)
+
+    def given(kinds):
+        by = {k: sum(p for p, x in zip(post, kinds) if x == k) for k in set(kinds)}
+        return [(by[k] + L.SMOOTH) / (sum(by.values()) + L.SMOOTH * len(by)) for k in kinds]
+
+    said, ends, out = given([d for _, d, _ in pages]), given(suffixes), []
+    for i in range(len(pages)):
+        others = lambda names: np.maximum(sum((post[j] for j in range(len(pages)) if names[j] == names[i]), np.zeros(n)) - post[i], 0)
+        domain = (others(domains) + L.DOMAIN_WEIGHT * total) / (others(domains).sum() + L.DOMAIN_WEIGHT)
+        host = (others(hosts) + L.HOST_WEIGHT * domain) / (others(hosts).sum() + L.HOST_WEIGHT)
+        q = logs[i] + np.log(said[i]) + np.log(ends[i]) + np.log(host)
+        q = np.exp(q - q.max())
+        out.append((langs[int(q.argmax())], q.max() / q.sum()))
+    return out
+
+
+def test_language_is_fused_as_stated(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    langs, model = L.train_text_model(docs)
+    words = {r.lang: r.text.split() for r in docs.groupBy("lang").agg(F.max_by("text", "n_chars").alias("text")).collect()}
+    pages = []
+    for k in range(60):
+        true, size = langs[k % len(langs)], (0, 1, 2, 4, 30)[k % 5]
+        declared = ("", true, langs[(k + 1) % len(langs)])[k % 3]
+        text = "".join(f" {w}" for w in words[true][k : k + size] if "<" not in w and ">" not in w)
+        pages.append((f"http://{'abc'[k % 3]}.site{k % 4}.{'de' if k % 7 else 'com'}/{k}", declared, text))
+    html = [f"<html data-lang='xx'{f' lang={d}' if d else ''}><script>var x = 1</script><p>{t}</p><style>p {{}}" for _, d, t in pages]
+    df = spark.createDataFrame([(k, u, h) for k, ((u, _, _), h) in enumerate(zip(pages, html))], "page_id long, url string, html string")
+    visible = {k: r.v for k, r in enumerate(df.orderBy("page_id").select(L.visible_text(F.col("html")).alias("v")).collect())}
+    assert all("var x" not in v and "{" not in v for v in visible.values()), "scripts, and a style that is not closed, are no text"
+    want = fused([(u, d, visible[k]) for k, (u, d, _) in enumerate(pages)], langs, model)
+    got = {r.page_id: r for r in L.identify(df, langs, model).collect()}
+    assert len({lang for lang, _ in want}) > 1
+    for k, (lang, sure) in enumerate(want):
+        assert got[k].declared == pages[k][1] and got[k].lang == lang and got[k].confidence == pytest.approx(sure, rel=1e-4)
+
+
+def test_text_model_with_many_partitions(spark):
+    """What comes to the driver is one table a language, whatever the number of partitions; rare languages are there."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", "lang")
+    docs = docs.unionByName(spark.createDataFrame([("quam multa verba latina", "la")], "text string, lang string"))
+    few = L.train_text_model(docs, rows=50)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "500")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        many = L.train_text_model(docs, rows=50)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "la" in few[0] and few[0] == many[0] and (few[1] == many[1]).all()
