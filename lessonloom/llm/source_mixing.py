@@ -11,8 +11,10 @@
 
 Running sums never gather a source in one task: each is cut into cells of the hashed
 order, the cells' totals are summed up first, and the rest is summed inside a cell.
-The same holds for the ranks of slots, cut into runs of consecutive slots. What is
-broadcast is one row per source.
+The same holds for the ranks of slots, cut into runs of consecutive slots. Words are
+counted once and written, with ids and places, to the checkpoint folder. One row per
+source comes to the driver; it is broadcast where sources are few (``LISTED`` rows) and
+joined by a shuffle where they are many, such as sites.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source
 is a source of its own, ranked last; a null doc_id stays null; repeated rows count as
@@ -23,13 +25,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import LAST_ID, SPACE, back_to_null, count_words, read_documents, shuffle_partitions, text_of
+from lessonloom.llm.common import BROADCAST_BYTES, LAST_ID, SPACE, back_to_null, count_words, read_documents, shuffle_partitions, text_of, with_checkpoint_dir
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_PASSES = 3
+#: Sources (some 100 bytes each) whose rows are broadcast.
+LISTED = BROADCAST_BYTES // 100
 #: Words in a block. Smaller blocks follow the targets more closely and cost more rows.
 BLOCK_WORDS = 64
 #: Slots whose ranks are counted together.
@@ -89,14 +95,13 @@ def schedule(spark: SparkSession, targets: list[float], block: int) -> DataFrame
     """(source number, rank): every slot of the schedule, ranked within its source. Slots are as many as blocks fill the sum of targets."""
     total = sum(targets)
     slots = round(total / block) if total else 0
-    edges, at = [], 0.0
-    for t in targets:
-        at += t
-        edges.append(min(FRACTION, round(at / total * FRACTION)) if total else FRACTION)
-    where = F.pmod(F.pmod("slot", F.lit(FRACTION)) * GOLDEN, F.lit(FRACTION))
-    number = F.lit(0)
-    for edge in edges[:-1]:
-        number = number + (where >= F.lit(edge)).cast("int")
+    edges = np.minimum(np.round(np.cumsum(targets) / total * FRACTION), FRACTION).astype(np.int64)[:-1] if total else np.empty(0, np.int64)
+
+    @F.pandas_udf("int")
+    def source_at(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, place.to_numpy(), "right").astype(np.int32))
+
+    number = source_at(F.pmod(F.pmod("slot", F.lit(FRACTION)) * GOLDEN, F.lit(FRACTION)))
     drawn = spark.range(1, slots + 1).select(F.col("id").alias("slot")).select("slot", number.alias("number"), F.floor(F.col("slot") / SLOT_RUN).alias("run"), F.lit(1).alias("one"))
     return running(drawn, ["number"], "run", ["slot"], "one", "rank").select("number", "rank")
 
@@ -109,15 +114,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     cells = cells or 8 * shuffle_partitions(spark)
-    sizes = sized(docs, id_col, text_col, source_col)
+    with_checkpoint_dir(spark)
+    sizes = sized(docs, id_col, text_col, source_col).checkpoint()
     plan = plan_sources(sizes, weights, most)
     listed = spark.createDataFrame([(i, s, n, float(t)) for i, (s, n, t) in enumerate(plan)], "number int, source string, source_size long, target double")
-    rows = sizes.join(F.broadcast(listed), sizes["source"].eqNullSafe(listed["source"]), "left").drop(listed["source"])
+    few = F.broadcast if len(plan) <= LISTED else lambda rows: rows
+    rows = sizes.join(few(listed), sizes["source"].eqNullSafe(listed["source"]), "left").drop(listed["source"])
     rows = rows.withColumn("cell", F.pmod(F.shiftrightunsigned("place", 20), F.lit(cells)).cast("int"))
     # Equal (place, id) are equal rows, but each has its own stretch: sizes are equal, so any order of them gives the same lengths.
     laid = running(rows, ["number"], "cell", ["place", "id"], "size", "start")
     hits = schedule(spark, [t for *_, t in plan], block)
-    blocks = F.broadcast(listed.select("number", F.ceil(F.col("source_size") / block).alias("blocks")))
+    blocks = few(listed.select("number", F.ceil(F.col("source_size") / block).alias("blocks")))
     hits = hits.join(blocks, "number").where(F.col("blocks") > 0).where(F.col("rank") < F.col("blocks") * most)
     hits = hits.groupBy("number", F.pmod(F.col("rank"), F.col("blocks")).alias("block")).agg(F.count("*").alias("takes"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)

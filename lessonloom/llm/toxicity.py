@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import in_small_batches, read_documents, small_side, with_checkpoint_dir
+from lessonloom.llm.common import in_small_batches, read_documents, small_side, text_key, with_checkpoint_dir
 
 DECAY, SPAN = 0.6, 7
 #: Longer strings are scored by overlapping parts of this length.
@@ -263,14 +263,14 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     """(h, text_id, toxic) of the training rows: for each distinct text its hash, the least id that holds it, and its label (toxic if any of its rows is)."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where(remainder("label_id") != HELD_OUT).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("text_id"), F.sha2(F.col(text_col), 256).alias("h"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("text_id"), text_key(F.col(text_col).cast("binary")).alias("h"))
     return texts.join(known, texts["text_id"] == known["label_id"]).groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("text_id").alias("text_id"))
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(text, toxic) of chosen rows; an id that names several texts takes the one of the hash."""
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
-    return texts.join(small_side(chosen), "text_id").where(F.sha2("text", 256) == F.col("h")).select("text", "toxic")
+    return texts.join(small_side(chosen, 56), "text_id").where(text_key(F.col("text").cast("binary")) == F.col("h")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -289,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if counts:
                     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([n * toxic for n in counts.values()], pa.int64()), pa.array([n * (1 - toxic) for n in counts.values()], pa.int64())], ["word", "bad", "good"])
 
-    counted = texts_of(docs, rows, id_col, text_col).mapInArrow(sentences, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counted = texts_of(docs, rows, id_col, text_col).mapInArrow(sentences, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).checkpoint()
     totals = rows.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     if not totals or not totals.bad or not totals.good:
         return Model(np.zeros(CODES**3), -30.0)

@@ -136,6 +136,33 @@ def test_mix(docs, plain_docs):
         assert abs(taken[s] - target[s]) <= 16 * 12 + 0.02 * target[s]
 
 
+def test_mix_is_the_stated_schedule(spark):
+    """Each document's takes against slots, ranks and blocks counted one by one; sources as many as sites."""
+    rows = [(k, " ".join("w" * (1 + k % 3) for _ in range(k * 7 % 50)), f"site{k % 23}" if k % 29 else None) for k in range(300)]
+    df, block = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), 16
+    got = {r.doc_id: r for r in M.mix(df, block=block).collect()}
+    order = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(len(t.split()) for _, t, x in rows if x == s) for s in order]
+    targets = M.share_out(sizes)
+    total, edges = sum(targets), [round(sum(targets[: k + 1]) / sum(targets) * M.FRACTION) for k in range(len(order))]
+    ranks, takes = collections.Counter(), collections.Counter()
+    for slot in range(1, round(total / block) + 1):
+        place = slot % M.FRACTION * M.GOLDEN % M.FRACTION
+        k = next(k for k, e in enumerate(edges) if place < e or k == len(edges) - 1)
+        blocks = -(-sizes[k] // block)
+        if blocks and ranks[k] < 3 * blocks:
+            takes[k, ranks[k] % blocks] += 1
+        ranks[k] += 1
+    for k, s in enumerate(order):
+        mine = sorted((got[i] for i, _, x in rows if x == s and got[i]["size"]), key=lambda r: r.start)
+        at = 0
+        for r in mine:  # documents lie end to end
+            assert r.start == at
+            assert r.taken == sum(takes[k, w // block] for w in range(at, at + r["size"]))
+            at += r["size"]
+        assert at == sizes[k]
+
+
 def test_mixed_documents(docs):
     words = {(r.doc_id): 0 for r in docs.collect()}
     for r in M.mixed_documents(docs, block=16).collect():
