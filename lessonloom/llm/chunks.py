@@ -8,8 +8,8 @@ As the chunk can list the same keys again in the same order, the bytes suffice.
 
 A key that a third of all documents hold costs one entry a chunk, not one a document,
 so no bucket grows with a hot key. The number of chunks follows the bytes of the texts
-(one pass over their lengths), that of buckets the number of chunks, so what one task
-holds does not grow with the corpus.
+(one pass over their lengths) and there are as many buckets, each exchange in as many
+partitions, so what one task holds does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -35,12 +35,8 @@ def chunks_for(total: int, partitions: int) -> int:
     return max(partitions, -(-total // min(max(total // CHUNKS, LEAST_CHUNK), MOST_CHUNK)))
 
 
-def buckets_for(chunks: int, partitions: int) -> int:
-    return max(2 * partitions, chunks // 2)
-
-
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(chunk, id (null last), tag (tells rows of one id but other texts apart) and body (UTF-8 bytes, null as empty)), and the number of buckets.
+    """(chunk, id (null last), tag (tells rows of one id but other texts apart) and body (UTF-8 bytes, null as empty)), and the number of chunks, which is that of buckets.
 
     Documents are dealt by a hash of id and text, so rows without an id, or of one id, spread like others.
     """
@@ -50,7 +46,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     chunks = chunks_for(total, partitions)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_key(body).alias("tag"), body.alias("body"))
     rows = rows.select(F.pmod(F.xxhash64("id", "tag"), F.lit(chunks)).cast("int").alias("chunk"), "id", "tag", "body")
-    return rows.repartition(chunks, "chunk"), buckets_for(chunks, partitions)
+    return rows.repartition(chunks, "chunk"), chunks
 
 
 def documents_of(table: pa.Table) -> Iterator[tuple[int, bytes, bytes]]:
@@ -186,3 +182,8 @@ def with_answers(docs: DataFrame, answers: DataFrame, f: Callable[[pa.Table, pa.
 
     back = answers.select(F.col("chunk").alias("for_chunk"), *[F.col(c).alias(c) for c in answers.columns if c != "chunk"])
     return docs.groupBy("chunk").cogroup(back.groupBy("for_chunk")).applyInArrow(one, schema)
+
+
+def by_bucket(asked: DataFrame, buckets: int, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """f(rows of a bucket) for every bucket."""
+    return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(f, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.chunks import ANSWERED, ASKED, TWICE, Keys, answer, ask, chunked, count_keys, documents_of, groups_of, is_in, room_of, told_of, with_answers, words_of
+from lessonloom.llm.chunks import ANSWERED, ASKED, TWICE, Keys, answer, ask, by_bucket, chunked, count_keys, documents_of, groups_of, is_in, room_of, told_of, with_answers, words_of
 from lessonloom.llm.common import WORDS, Powers, back_to_null, cover, marked_runs, mix, read_documents, sliding_min, word_bounds
 
 WINDOW = 35
@@ -121,7 +121,7 @@ def repeats(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
     for level in range(len(levels_of(window))):
         f = asker(level, window, buckets)
         asked = with_answers(docs, answers, f, ASKED) if level else docs.groupBy("chunk").applyInArrow(f, ASKED)
-        now = asked.groupBy("bucket").applyInArrow(judge_of(level), ANSWERED + ", level int")
+        now = by_bucket(asked, buckets, judge_of(level), ANSWERED + ", level int")
         answers = answers.unionByName(now) if level else now
     return answers
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lessonloom.llm.chunks import ASKED, HOT, SLICE_BYTES, TWICE, answer, ask, chunked, count_keys, documents_of, groups_of, places, told_of, with_answers
+from lessonloom.llm.chunks import ASKED, HOT, SLICE_BYTES, TWICE, answer, ask, by_bucket, chunked, count_keys, documents_of, groups_of, places, told_of, with_answers
 from lessonloom.llm.common import BYTE_CODE, BYTES, back_to_null, cover, marked_runs, mix, read_documents, sliding_min, small_side
 
 LENGTH = 50
@@ -354,9 +354,9 @@ def remove_shared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         span = pa.list_(pa.struct([("since", pa.int64()), ("until", pa.int64())]))
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), span, pa.binary()))})
 
-    runs = with_answers(rows, copies, ask_runs, ASKED).groupBy("bucket").applyInArrow(tell_runs, BACK)
+    runs = by_bucket(with_answers(rows, copies, ask_runs, ASKED), buckets, tell_runs, BACK)
     known = copies.unionByName(runs)
-    pieces = with_answers(rows, known, send_pieces, SENT).groupBy("bucket").applyInArrow(tell_pieces, BACK)
+    pieces = by_bucket(with_answers(rows, known, send_pieces, SENT), buckets, tell_pieces, BACK)
     return with_answers(rows, known.unionByName(pieces), cut, CUT)
 
 
