@@ -18,4 +18,6 @@ HARD_TAXONOMIES = ("paragraph_order", "sentence_insertion", "grammar_multi_error
 EASY_TAXONOMIES = ("content_true", "content_false", "unanswerable", "main_idea", "topic", "title")
 FAILURE_WINDOW_MINUTES = 15
 TOUCH_MINUTES = 5
+#: Failures of an identifier in the window from which on its tries are blocked.
+LOGIN_LIMITS = {"code": 5, "student_client": 30, "admin_client": 5, "admin": 50}
 # End of fixed values.

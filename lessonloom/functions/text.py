@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,10 +44,10 @@ def nfc(c: Column) -> Column:
     return F.coalesce(_nfc(F.when(later, c)), c)
 
 
-def normalize_token(c: Column, compose: bool = True) -> Column:
-    text = trim_wide(F.coalesce(c, F.lit("")))
-    lowered = F.lower(nfc(text) if compose else text)
-    return trim_wide(F.regexp_replace(F.translate(lowered, C.DASHES, "-" * len(C.DASHES)), f"{C.WIDE_SPACE}+", " "))
+def normalize_token(c: Column) -> Column:
+    """Composed, lower case, dashes alike, white space single: a token, or a whole sentence at once."""
+    text = F.lower(nfc(flatten_space(c)))
+    return F.translate(text, C.DASHES, "-" * len(C.DASHES))
 
 
 def mistake_allowance(step: Column, words: Column) -> Column:
@@ -93,11 +95,11 @@ def meaning_key(c: Column) -> Column:
     return F.substring(F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")), 1, 500)
 
 
-def pseudonym(forwarded: Column, other: Column, pepper: str) -> Column:
-    """Client address as a peppered hash prefix."""
+def pseudonym(forwarded: Column, other: Column, pepper: str, purpose: str = "login-client-v1") -> Column:
+    """Client address as a peppered hash prefix; ``purpose`` keeps hashes made for different ends apart."""
     first = F.nullif(F.trim(F.split(F.coalesce(forwarded, F.lit("")), ",")[0]), F.lit(""))
     address = F.coalesce(first, F.nullif(other, F.lit("")), F.lit("unknown"))
-    return F.substring(F.sha2(F.concat(F.lit(f"{pepper}:ready-login-client-v1:"), address), 256), 1, 24)
+    return F.substring(F.sha2(F.concat(F.lit(f"{pepper}:{purpose}:"), address), 256), 1, 24)
 
 
 def session_expiry(actor: Column, remember: Column, created: Column) -> Column:
@@ -113,16 +115,41 @@ def json_text(c: Column, path: str, default: str = "") -> Column:
 
 
 def json_merge(a: Column, b: Column) -> Column:
-    """Shallow merge of JSON objects of plain values; the right side wins."""
-    kind = "map<string,string>"
+    """Shallow merge of JSON objects, values of any type kept; the right side wins. A null side, or one that is no object, counts as {}."""
+    kind = "map<string,variant>"
     left, right = (F.coalesce(F.from_json(x, kind), F.create_map().cast(kind)) for x in (a, b))
     return F.to_json(F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right))
 
 
-def json_set(c: Column, key: str, value: Column) -> Column:
-    """Sets a key where its value is missing or blank."""
-    kept = F.nullif(F.trim(F.get_json_object(c, f"$.{key}")), F.lit(""))
-    return F.when(kept.isNotNull(), c).otherwise(json_merge(c, F.to_json(F.create_map(F.lit(key), value.cast("string")))))
+def json_put(c: Column, path: list[str], value: Column) -> Column:
+    """Sets the value (JSON text) at a path of keys. The last key may be new; where an object on the way is missing, nothing changes."""
+    if len(path) > 1:
+        inner = F.get_json_object(c, f"$.{path[0]}")
+        return F.when(F.coalesce(F.trim(inner).startswith("{"), F.lit(False)), json_put(c, path[:1], json_put(inner, path[1:], value))).otherwise(c)
+    return json_merge(c, F.concat(F.lit("{"), F.lit(json.dumps(path[0])), F.lit(":"), F.coalesce(value, F.lit("null")), F.lit("}")))
+
+
+def json_quote(c: Column) -> Column:
+    """A string as JSON text."""
+    return F.regexp_extract(F.to_json(F.struct(F.coalesce(c.cast("string"), F.lit("")).alias("x"))), r"(?s)^\{\"x\":(.*)\}$", 1)
+
+
+def json_set(c: Column, path: str | list[str], value: Column) -> Column:
+    """Sets a string at a key or path where the value there is missing or blank."""
+    keys = [path] if isinstance(path, str) else path
+    kept = F.nullif(F.trim(F.get_json_object(c, "$." + ".".join(keys))), F.lit(""))
+    return F.when(kept.isNotNull(), c).otherwise(json_put(F.coalesce(c, F.lit("{}")), keys, json_quote(value)))
+
+
+def meaning_snapshot(core: Column, gloss: Column, meanings: Column) -> tuple[Column, Column]:
+    """(meaning, meanings): the core meaning, else the gloss; without meanings the list is that one meaning."""
+    meaning = F.coalesce(F.nullif(core, F.lit("")), gloss)
+    return meaning, F.when(F.coalesce(F.size(meanings), F.lit(0)) > 0, meanings).otherwise(F.array(meaning))
+
+
+def first_known(*values: Column) -> Column:
+    """First of several instants, versions or states that is known."""
+    return F.coalesce(*values)
 
 
 def question_difficulty(kind: Column, payload: Column) -> Column:

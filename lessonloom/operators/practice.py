@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lessonloom import constants as C
 from lessonloom.functions.text import clean_text, item_key, mistake_allowance, normalize_token, progress_percent, sentence_words
+from lessonloom.operators.folds import fold_sorted
 from lessonloom.operators.rules import is_attempt_id
 
 
@@ -30,12 +31,9 @@ def grade_attempts(df: DataFrame) -> DataFrame:
 
     Words are a row's chips; the first rule that fails names the reason.
     """
-    words = F.col("chips")
-    n = F.size(words)
-    norm = lambda x: normalize_token(x, compose=False)  # noqa: E731  composed once for the whole text, before it is split
-    expected = F.array_join(F.transform(words, norm), " ")
-    given = F.filter(F.split(F.coalesce("arranged", F.lit("")), f"{C.WIDE_SPACE}+"), lambda x: x != "")
-    actual = F.array_join(F.transform(given, norm), " ")
+    n = F.size("chips")
+    # Whole sentences are compared: normalising one costs one pass, as many as its words otherwise.
+    expected, actual = normalize_token(F.array_join("chips", " ")), normalize_token(F.col("arranged"))
     counter = lambda c: F.coalesce(F.col(c).between(0, C.MAX_COUNTER), F.lit(False))
     allowance = mistake_allowance(F.col("step"), n)
     final = F.col("mistakes") - F.col("restarts") * (allowance + 1)
@@ -48,7 +46,7 @@ def grade_attempts(df: DataFrame) -> DataFrame:
         .when((F.col("step") == 2) & ~final.between(0, allowance), "step2_counts_inconsistent")
     )
     judged = df.withColumn("chips", sentence_words(F.col("text"))).withColumns({"word_count": n, "allowance": allowance, "reason": reason}).drop("chips")
-    correct = F.when(F.col("reason").isNull(), F.when(F.col("step") == 1, F.col("mistakes") == 0).otherwise(F.col("restarts") == 0))
+    correct = F.when(F.col("reason").isNull(), run_is_clean(F.col("step"), F.col("mistakes"), F.col("restarts")))
     return judged.withColumn("correct", correct)
 
 
@@ -86,13 +84,25 @@ def submit_attempts(batch: DataFrame, stored: DataFrame, allowed: DataFrame, ite
 
 def answer_indexes(df: DataFrame, key: str, chips: str, answer: str) -> DataFrame:
     """For each answer word the chip that it takes: the k-th repeat of a word takes its k-th chip; empty if any word has none."""
-    side = lambda c: df.select(key, F.posexplode(c).alias("at", "word")).withColumn("word", normalize_token(F.col("word"), compose=False)).withColumn("turn", F.row_number().over(Window.partitionBy(key, "word").orderBy("at")))
+    side = lambda c: df.select(key, F.posexplode(c).alias("at", "word")).withColumn("word", normalize_token(F.col("word"))).withColumn("turn", F.row_number().over(Window.partitionBy(key, "word").orderBy("at")))
     pairs = side(answer).withColumnRenamed("at", "place").join(side(chips), [key, "word", "turn"], "left")
     found = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "at"))).alias("x"), F.count_if(F.col("at").isNull()).alias("missing"))
     whole = df.select(key, (F.size(chips) == F.size(answer)).alias("same")).join(found, key, "left")
     return whole.select(key, F.when(F.col("same") & (F.col("missing") == 0), F.col("x.at")).otherwise(F.array().cast("array<int>")).alias("indexes"))
 
 
+def run_is_clean(step, mistakes, restarts):
+    """A run without any wrong chip in step 1, without a restart in step 2; for columns and plain values alike."""
+    if isinstance(step, Column):
+        return F.when(step == 1, mistakes == 0).otherwise(restarts == 0)
+    return mistakes == 0 if step == 1 else restarts == 0
+
+
+def attempt_payload(runs: DataFrame) -> DataFrame:
+    """What a finished run sends: sentence_id, step, arranged, mistakes, restarts (runs: sentence_id, step, chosen, words, mistakes, restarts)."""
+    return runs.select("sentence_id", "step", built_sentence(F.col("chosen"), F.col("words")).alias("arranged"), "mistakes", "restarts")
+
+
 def built_sentence(chosen: Column, words: Column) -> Column:
     return F.array_join(F.transform(chosen, lambda i: F.get(words, i)), " ")
 
@@ -100,7 +110,7 @@ def built_sentence(chosen: Column, words: Column) -> Column:
 def chip_bank(items: DataFrame, seed: int, key: str = "id", words: str = "words") -> DataFrame:
     """One seeded order of each item's chips, never the sentence's own for two chips or more."""
     plain = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
-    mixed = F.array_sort(F.transform(plain, lambda i: F.struct(F.xxhash64(F.lit(seed), F.col(key), i).alias("h"), i.alias("i"))))["i"]
+    mixed = F.array_sort(F.transform(plain, lambda i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string"))).alias("h"), i.alias("i"))))["i"]
     rotated = F.concat(F.slice(plain, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), F.array(F.lit(0)))
     return items.withColumn("bank", mixed).withColumn("bank", F.when((F.size(words) > 1) & (F.col("bank") == plain), rotated).otherwise(F.col("bank")))
 
@@ -124,26 +134,36 @@ def cycle_progress(attempts: DataFrame, keys: list[str] = PROGRESS_KEY, active:
     attempt's item count says. With ``active`` (keys, active_items) the clears of other
     items are dropped at each step and completion is checked on repeats, too.
     """
-    rows = attempts.where(F.col("correct") & (F.col("stage_item_count") > 0))
-    history = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "item_key", "stage_item_count"))).alias("history"))
-    kind = "struct<completed:long,clears:array<string>,correct_clears:long,updated_at:timestamp_ntz>"
-    start = F.struct(F.lit(0).cast("long").alias("completed"), F.array().cast("array<string>").alias("clears"), F.lit(0).cast("long").alias("correct_clears"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    if active is not None:
-        history = history.join(active, keys, "left")
-
-    def step(state: Column, a: Column) -> Column:
-        before = state["clears"]
-        if active is not None:
-            before = F.when(F.col("active_items").isNull(), before).otherwise(F.array_intersect(before, F.coalesce("active_items", F.array().cast("array<string>"))))
-        clears = F.array_union(before, F.array(a["item_key"]))
-        size = F.size(clears)
-        closed = size >= a["stage_item_count"]
-        done = F.struct((state["completed"] + F.when(closed, 1).otherwise(0)).alias("completed"), F.when(closed, F.array().cast("array<string>")).otherwise(clears).alias("clears"), F.when(closed, (state["completed"] + 1) * a["stage_item_count"]).otherwise(state["completed"] * a["stage_item_count"] + size).cast("long").alias("correct_clears"), a["created_at"].alias("updated_at")).cast(kind)
-        repeated = F.array_contains(before, a["item_key"])
-        return F.when(repeated & ~closed if active is not None else repeated, state).otherwise(done)
-
-    folded = history.withColumn("s", F.aggregate("history", start.cast(kind), step))
-    return folded.select(*keys, F.col("s.completed").alias("completed"), (F.col("s.completed") + 1).alias("current_cycle"), F.array_sort("s.clears").alias("clears"), F.col("s.correct_clears").alias("correct_clears"), F.col("s.updated_at").alias("updated_at"))
+    columns = ["item_key", "stage_item_count", "created_at", "active_items"]
+    rows = attempts.where(F.col("correct") & (F.col("stage_item_count") > 0)).select(*keys, "created_at", "id", "item_key", F.col("stage_item_count").cast("long").alias("stage_item_count"), F.lit(None).cast("array<string>").alias("active_items"))
+    if active is not None:  # a row before all others of its key
+        first = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("created_at", "id", "item_key", "stage_item_count")]
+        rows = rows.unionByName(active.select(*keys, *first, "active_items"))
+
+    def step(state: dict, row: tuple) -> None:
+        item, size, at, items = row
+        if items is not None:
+            state["active"] = set(items)
+            return
+        state["seen"] = True
+        clears = state["clears"]
+        if state["active"] is not None:
+            clears &= state["active"]
+        repeated = item in clears
+        clears.add(item)
+        closed = len(clears) >= size
+        if repeated and not (closed and state["active"] is not None):
+            return
+        state["updated_at"] = at
+        if closed:
+            state["completed"] += 1
+            clears.clear()
+        state["correct_clears"] = state["completed"] * size + len(clears)
+
+    start = lambda: {"completed": 0, "clears": set(), "correct_clears": 0, "updated_at": None, "active": None, "seen": False}
+    finish = lambda s: (s["completed"], s["completed"] + 1, sorted(s["clears"]), s["correct_clears"], s["updated_at"]) if s["seen"] else None
+    schema = f"completed long, current_cycle long, clears array<string>, correct_clears long, updated_at {attempts.schema['created_at'].dataType.simpleString()}"
+    return fold_sorted(rows, keys, [F.asc_nulls_first("created_at"), F.asc_nulls_first("id")], [*columns, "id"], start, lambda s, r: step(s, r[:4]), schema, finish)
 
 
 def practice_progress(grid: DataFrame, progress: DataFrame, items: DataFrame) -> DataFrame:
@@ -158,51 +178,105 @@ def practice_progress(grid: DataFrame, progress: DataFrame, items: DataFrame) ->
 def replay_taps(taps: DataFrame, words: DataFrame, step: int, run: str = "run_id") -> DataFrame:
     """Runs folded over their taps: placed chips, mistakes, restarts, completed, clean.
 
-    taps: run, seq, chip. words: run, words. Chips of equal words are interchangeable; a
-    used or unknown chip, or a tap after the end, is ignored.
+    taps: run, seq, chip. words: run, words (a sentence's chips). Chips of equal words are
+    interchangeable; a used or unknown chip, or a tap after the end, is ignored. Runs
+    without words are left out.
     """
-    log = taps.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("seq", "chip"))).alias("log"))
-    rows = log.join(words.select(run, F.transform("words", lambda w: normalize_token(w, compose=False)).alias("norm")), run)
-    allowance = F.lit(None).cast("int") if step == 1 else F.when(F.size("norm") >= C.LONG_SENTENCE_WORDS, 1).otherwise(0)
-    kind = "struct<used:array<int>,slips:int,mistakes:int,restarts:int>"
-    none = F.array().cast("array<int>")
-    start = F.struct(none.alias("used"), F.lit(0).alias("slips"), F.lit(0).alias("mistakes"), F.lit(0).alias("restarts")).cast(kind)
-
-    def tap(s: Column, t: Column) -> Column:
-        ended, chip = F.size(s["used"]) >= F.size("norm"), t["chip"].cast("int")
-        playable = ~ended & (chip >= 0) & (chip < F.size("norm")) & ~F.array_contains(s["used"], chip)
-        right = F.get("norm", chip) == F.get("norm", F.size(s["used"]))
-        placed = F.struct(F.concat(s["used"], F.array(chip)).alias("used"), s["slips"].alias("slips"), s["mistakes"].alias("mistakes"), s["restarts"].alias("restarts")).cast(kind)
-        over = F.coalesce(s["slips"] + 1 > allowance, F.lit(False))
-        missed = F.struct(F.when(over, none).otherwise(s["used"]).alias("used"), F.when(over, 0).otherwise(s["slips"] + 1).alias("slips"), (s["mistakes"] + 1).alias("mistakes"), (s["restarts"] + F.when(over, 1).otherwise(0)).alias("restarts")).cast(kind)
-        return F.when(~F.coalesce(playable, F.lit(False)), s).when(right, placed).otherwise(missed)
-
-    done = rows.withColumn("s", F.aggregate("log", start, tap))
-    completed = F.size("s.used") >= F.size("norm")
-    clean = (F.col("s.mistakes") == 0) if step == 1 else (F.col("s.restarts") == 0)
-    return done.select(run, F.size("s.used").alias("placed"), F.col("s.mistakes").alias("mistakes"), F.col("s.restarts").alias("restarts"), completed.alias("completed"), (completed & clean).alias("clean"))
+    norm = F.split(normalize_token(F.array_join("words", "\n")), " ")
+    first = words.select(run, F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("chip"), norm.alias("norm"))
+    log = taps.select(run, F.col("seq").cast("long").alias("seq"), F.col("chip").cast("int").alias("chip"), F.lit(None).cast("array<string>").alias("norm"))
+
+    def tap(s: dict, row: tuple) -> None:
+        chip, norm, _ = row
+        if norm is not None:
+            s["norm"] = norm
+            s["allowance"] = None if step == 1 else int(len(norm) >= C.LONG_SENTENCE_WORDS)
+            return
+        s["tapped"] = True
+        if s["norm"] is None or len(s["used"]) >= len(s["norm"]) or chip is None or not 0 <= chip < len(s["norm"]) or chip in s["used"]:
+            return
+        if s["norm"][chip] == s["norm"][len(s["used"])]:
+            s["used"].append(chip)
+            return
+        s["mistakes"] += 1
+        s["slips"] += 1
+        if s["allowance"] is not None and s["slips"] > s["allowance"]:
+            s["used"], s["slips"], s["restarts"] = [], 0, s["restarts"] + 1
+
+    def finish(s: dict) -> tuple | None:
+        if s["norm"] is None or not s["tapped"]:
+            return None
+        completed = len(s["used"]) >= len(s["norm"])
+        return len(s["used"]), s["mistakes"], s["restarts"], completed, completed and run_is_clean(step, s["mistakes"], s["restarts"])
+
+    start = lambda: {"used": [], "slips": 0, "mistakes": 0, "restarts": 0, "norm": None, "allowance": None, "tapped": False}
+    return fold_sorted(log.unionByName(first), [run], [F.asc_nulls_first("seq")], ["chip", "norm", "seq"], start, tap, "placed int, mistakes int, restarts int, completed boolean, clean boolean", finish)
 
 
 def thin_touches(touches: DataFrame, minutes: int = C.TOUCH_MINUTES, key: str = "session_id", at: str = "at_us") -> DataFrame:
     """Touches that are written: more than ``minutes`` after the last written one, or after ``started_us``, where a session starts."""
-    log = touches.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("log"), F.min("started_us").alias("started"))
-    kind = "struct<last:long,kept:array<long>>"
-    start = F.struct(F.col("started").cast("long").alias("last"), F.array().cast("array<long>").alias("kept")).cast(kind)
-    due = lambda s, t: s["last"].isNull() | (t > s["last"] + minutes * 60_000_000)
-    step = lambda s, t: F.when(due(s, t), F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept")).cast(kind)).otherwise(s)
-    return log.select(key, F.explode(F.aggregate("log", start, step)["kept"]).alias(at))
-
-
-def login_lockout(tries: DataFrame, limit: int, minutes: int = C.FAILURE_WINDOW_MINUTES, key: str = "identifier") -> DataFrame:
-    """Replay per identifier: a try is blocked when ``limit`` failures lie in the window before it; blocked tries are not recorded."""
-    log = tries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at_us", "id", "successful"))).alias("log"))
-    kind = "struct<recent:array<long>,blocked:array<long>>"
-    start = F.struct(F.array().cast("array<long>").alias("recent"), F.array().cast("array<long>").alias("blocked")).cast(kind)
-
-    def step(s: Column, t: Column) -> Column:
-        recent = F.filter(s["recent"], lambda x: x >= t["at_us"] - minutes * 60_000_000)
-        locked = F.size(recent) >= limit
-        add = F.when(locked | t["successful"], recent).otherwise(F.concat(recent, F.array(t["at_us"])))
-        return F.struct(add.alias("recent"), F.when(locked, F.concat(s["blocked"], F.array(t["id"]))).otherwise(s["blocked"]).alias("blocked")).cast(kind)
-
-    return log.select(key, F.explode(F.aggregate("log", start, step)["blocked"]).alias("id"))
+    started = touches.groupBy(key).agg(F.min("started_us").alias("started_us"))
+    rows = touches.select(key, F.col(at).cast("long").alias(at), F.lit(None).cast("long").alias("begin")).unionByName(started.where("started_us is not null").select(key, F.lit(None).cast("long").alias(at), F.col("started_us").alias("begin")))
+
+    def step(s: dict, row: tuple) -> tuple | None:
+        when, begin = row
+        if when is None:
+            s["last"] = begin
+            return None
+        if s["last"] is None or when > s["last"] + minutes * 60_000_000:
+            s["last"] = when
+            return (when,)
+        return None
+
+    return fold_sorted(rows.withColumnRenamed(at, "touched"), [key], [F.asc_nulls_first("touched")], ["touched", "begin"], lambda: {"last": None}, step, f"{at} long")
+
+
+def login_lockout(tries: DataFrame, limits: dict[str, int] = C.LOGIN_LIMITS, minutes: int = C.FAILURE_WINDOW_MINUTES, key: str = "realm") -> DataFrame:
+    """Tries that are blocked, with the identifier that blocks them: (realm, id, blocked_by).
+
+    tries: realm, id, at_us, successful, admin, code, client. A student's try is checked
+    against the failures of its client, then of its code; an admin's against those of its
+    client, then of all admins. A blocked try is not recorded; a failure counts for both
+    identifiers, a success for neither. Identifiers meet within a realm only, whose tries
+    are replayed in order of (at_us, id); the state holds the failures of one window.
+    """
+
+    def step(state: dict, row: tuple) -> tuple | None:
+        at, name, fine, admin, code, client = row
+        recent = state["failures"]
+        if len(recent) > state["sweep"]:  # identifiers that were not tried again
+            for who in [w for w, times in recent.items() if not times or times[-1] < at - minutes * 60_000_000]:
+                del recent[who]
+            state["sweep"] = 1024 + 2 * len(recent)
+        checks = (("admin_client", client), ("admin", "")) if admin else (("student_client", client), ("code", code))
+        for kind, who in checks:
+            failures = recent.setdefault((kind, who), [])
+            while failures and failures[0] < at - minutes * 60_000_000:
+                failures.pop(0)
+            if len(failures) >= limits[kind]:
+                return name, kind
+        for check in checks:
+            if not fine:
+                recent[check].append(at)
+            elif not recent[check]:
+                del recent[check]
+        return None
+
+    rows = tries.select(key, F.col("at_us").cast("long").alias("at_us"), F.col("id").alias("try_id"), "successful", "admin", "code", "client")
+    return fold_sorted(rows, [key], ["at_us", "try_id"], ["at_us", "try_id", "successful", "admin", "code", "client"], lambda: {"failures": {}, "sweep": 1024}, step, f"id {tries.schema['id'].dataType.simpleString()}, blocked_by string")
+
+
+def session_intervals(sessions: DataFrame, logouts: DataFrame, code_changes: DataFrame, deactivations: DataFrame) -> DataFrame:
+    """Sessions with the instant at which they end and why: expiry, logout, change of the student's code, or deactivation of the student.
+
+    sessions: id, student_id, created_at, expires_at. logouts: session_id, at. The others: student_id, at.
+    Of the events of a student the first at or after a session's start closes it.
+    """
+    out = sessions
+    for name, events, key, own in (("logout", logouts, "session_id", "id"), ("code_change", code_changes, "student_id", "student_id"), ("deactivated", deactivations, "student_id", "student_id")):
+        rows = events.select(F.col(key).alias("ends"), F.col("at").alias("ends_at"))
+        first = sessions.select("id", own, "created_at").join(rows, F.col(own) == F.col("ends")).where(F.col("ends_at") >= F.col("created_at")).groupBy("id").agg(F.min("ends_at").alias(name))
+        out = out.join(first, "id", "left")
+    ended = F.least("expires_at", "logout", "code_change", "deactivated")
+    why = F.when(F.col("logout") == ended, "logout").when(F.col("code_change") == ended, "code_change").when(F.col("deactivated") == ended, "deactivated").otherwise("expiry")
+    return out.select("id", "student_id", "created_at", ended.alias("ended_at"), why.alias("reason"))

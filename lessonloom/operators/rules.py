@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lessonloom import constants as C
+from lessonloom.functions.text import json_put
 
 #: name -> condition under which a row violates the rule.
 Rules = dict[str, Column]
 
 
 def violations(df: DataFrame, rules: Rules) -> DataFrame:
-    """Adds the names of the rules that a row violates, in the rules' order; a rule that is null for a row is not violated."""
-    return df.withColumn("violations", F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules.items()])))
+    """Adds the names of the rules that a row violates, in the rules' order; a rule that is null for a row is violated, so a required field is never null."""
+    return df.withColumn("violations", F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules.items()])))
 
 
 def split_valid(df: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
@@ -29,58 +30,129 @@ def blank(c: Column) -> Column:
     return F.coalesce(F.trim(c), F.lit("")) == ""
 
 
-def student_rules(name_most: int = 40, school_most: int = 80, grade_most: int = 40) -> Rules:
-    return {"name": length_outside("name", 1, name_most), "school": length_outside("school", 1, school_most), "grade": length_outside("grade", 1, grade_most), "code": ~F.col("code").rlike(r"^\d{6}$")}
+def unless_null(c: Column, bad: Column) -> Column:
+    """A rule on an optional field."""
+    return c.isNotNull() & bad
+
+
+def json_size(c: Column) -> Column:
+    """Elements of a JSON array; null for anything else."""
+    return F.json_array_length(F.when(F.trim(c).startswith("["), c))
+
+
+def pair_broken(pairs: dict[str, str]) -> Column:
+    """Schools that go with one grade only."""
+    bad = F.lit(False)
+    for school, grade in pairs.items():
+        bad = bad | ((F.trim("school") == school) & (F.trim("grade") != grade))
+    return bad
+
+
+def student_rules(name_most: int = 40, school_most: int = 80, grade_most: int = 40, pairs: dict[str, str] | None = None) -> Rules:
+    rules = {"name": length_outside("name", 1, name_most), "school": length_outside("school", 1, school_most), "grade": length_outside("grade", 1, grade_most), "code": ~F.col("code").rlike(r"^\d{6}$")}
+    return rules | {"fingerprint": ~F.col("fingerprint").rlike("^[0-9a-f]{64}$"), "pair": pair_broken(pairs or {})}
 
 
 def passage_rules(title_most: int = 120) -> Rules:
     mock = (F.col("source_type") == "MOCK_EXAM") & (F.col("source_year").isNull() | F.col("source_month").isNull() | ~F.col("source_month").between(1, 12))
-    return {"title": length_outside("title", 1, title_most), "grade": length_outside("grade", 1, 40), "source_type": ~F.col("source_type").isin("MOCK_EXAM", "TEXTBOOK"), "mock_exam": mock}
+    return {"title": length_outside("title", 1, title_most), "grade": length_outside("grade", 1, 40), "source_type": ~F.col("source_type").isin("MOCK_EXAM", "TEXTBOOK"), "mock_exam": F.coalesce(mock, F.lit(False))}
 
 
 def with_group_size(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("group_size", F.count("*").over(Window.partitionBy(key)))
+    """Adds group_size, the rows of the key: a count and a join, so no key's rows meet in one task."""
+    return df.join(df.groupBy(F.col(key).alias("size_key")).agg(F.count("*").alias("group_size")), F.col(key).eqNullSafe(F.col("size_key")), "left").drop("size_key")
+
+
+def with_known(df: DataFrame, column: str, parent: DataFrame, key: str, name: str = "known") -> DataFrame:
+    """Adds whether a reference points to a row of the parent (false where it is null)."""
+    there = parent.select(F.col(key).alias("there")).distinct()
+    return df.join(there, F.col(column) == F.col("there"), "left").withColumn(name, F.col("there").isNotNull()).drop("there")
+
+
+def with_owned(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Adds owned: whether a row's id is a stored row of its passage; null for rows without an id."""
+    there = stored.select("passage_id", "id").distinct().withColumn("there", F.lit(True))
+    return rows.join(there, ["passage_id", "id"], "left").withColumn("owned", F.when(F.col("id").isNotNull(), F.col("there").isNotNull())).drop("there")
 
 
 def row_rules(most: int = 160) -> Rules:
+    """Rows of a passage; columns group_size and owned (null: a new row; else whether the id is a row of the passage)."""
     kind = F.col("block_type")
     return {
-        "row_count": F.col("group_size") > most,
+        "row_count": ~F.col("group_size").between(1, most),
         "text": length_outside("text", 1, 5000),
-        "translation": (kind == "SENTENCE") & length_outside("translation", 1, 5000),
+        "translation": (kind == "SENTENCE") & F.coalesce(length_outside("translation", 1, 5000), F.lit(True)),
         "block_type": ~F.upper(kind).isin("TITLE", "SUBTITLE", "SENTENCE"),
-        "paragraph": F.col("paragraph_index") < 0,
+        "paragraph": unless_null(F.col("paragraph_index"), F.col("paragraph_index") < 0),
+        "owned": unless_null(F.col("owned"), ~F.col("owned")),
     }
 
 
-def question_rules() -> Rules:
+def question_rules(bundle_most: int = 500) -> Rules:
+    """A bundle's rows: type, status, payload (JSON with source), known (its passage exists) and group_size (rows of the bundle)."""
     part = lambda key: F.get_json_object("payload", f"$.{key}")
-    return {"type": ~F.col("type").isin("multiple_choice", "written_response"), "status": ~F.col("status").isin("draft", "available"), "prompt": blank(part("prompt")), "exam": blank(part("exam")), "section": blank(part("section"))}
+    digits = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"^\d+$")
+    choices, answers, accepted = (json_size(part(k)) for k in ("choices", "answer", "accepted_answers"))
+    return {
+        "row_count": ~F.col("group_size").between(1, bundle_most),
+        "passage": ~F.col("known"),
+        "type": ~F.col("type").isin("multiple_choice", "written_response"),
+        "status": ~F.coalesce(F.nullif("status", F.lit("")), F.lit("draft")).isin("draft", "available"),
+        "prompt": blank(part("prompt")),
+        "exam": blank(part("source.exam")),
+        "section": blank(part("source.section")),
+        "passage_no": digits(part("source.passage_no")),
+        "question_no": digits(part("source.source_question_no")),
+        "choices": F.coalesce(F.col("type") == "multiple_choice", F.lit(False)) & F.coalesce(~choices.between(2, 8) | (answers < 1), F.lit(True)),
+        "accepted": F.coalesce(F.col("type") == "written_response", F.lit(False)) & F.coalesce(accepted < 1, F.lit(True)),
+    }
 
 
-def explanation_rules() -> Rules:
-    return {"exam": blank(F.col("exam")), "section": blank(F.col("section")), "text": blank(F.col("text")), "number": ~F.coalesce(F.col("number"), F.lit("")).rlike(r"^\d+$")}
+def explanation_rules(bundle_most: int = 500) -> Rules:
+    return {"row_count": ~F.col("group_size").between(1, bundle_most), "exam": blank(F.col("exam")), "section": blank(F.col("section")), "text": blank(F.col("text")), "number": ~F.coalesce(F.col("number"), F.lit("")).rlike(r"^\d+$")}
 
 
 def lookup_rules(kinds: tuple[str, ...] = ("word", "phrase")) -> Rules:
-    start, end = F.col("start_offset"), F.col("end_offset")
+    start, end, kind, sure = (F.col(c) for c in ("start_offset", "end_offset", "kind", "confidence"))
     placed = (start.isNull() & end.isNull()) | F.coalesce((start >= 0) & (end > start), F.lit(False))
-    return {"offsets": ~placed, "kind": ~F.col("kind").isin(*kinds), "confidence": ~F.col("confidence").between(0, 1)}
+    return {
+        "offsets": ~placed,
+        "kind": unless_null(kind, ~kind.isin(*kinds)),
+        "confidence": unless_null(sure, ~sure.between(0, 1)),
+        "reason": ~F.col("reason").isin("initial", "retry"),
+        "source_kind": ~F.col("source_kind").isin("reader", "question", "workbook"),
+    }
 
 
 def claim_rules(statement_most: int = 4000) -> Rules:
+    """Columns fact_key, statement, language, difficulty, status, evidence (array of ids) and metadata (JSON)."""
     return {
         "key": length_outside("fact_key", 1, 80),
         "statement": length_outside("statement", 1, statement_most),
+        "evidence": ~F.size("evidence").between(1, 20),
         "language": ~F.col("language").isin("en", "ko"),
         "difficulty": ~F.col("difficulty").between(1, 3),
         "status": ~F.col("status").isin("draft", "confirmed", "stale"),
+        "metadata": ~F.trim("metadata").startswith("{"),
     }
 
 
-def scope_rules(schools: list[str], grades: list[str]) -> Rules:
-    """For requests with ids array<long>."""
-    return {"school": ~F.col("school").isin(*schools), "grade": ~F.col("grade").isin(*grades), "repeated_ids": F.size("ids") != F.size(F.array_distinct("ids"))}
+def scope_rules(schools: list[str], grades: list[str], pairs: dict[str, str] | None = None) -> Rules:
+    """For requests with ids (array) and matching (how many of them are passages of the request's grade)."""
+    return {
+        "school": ~F.trim("school").isin(*schools),
+        "grade": ~F.trim("grade").isin(*grades),
+        "pair": pair_broken(pairs or {}),
+        "repeated_ids": F.size("ids") != F.size(F.array_distinct("ids")),
+        "passages": F.col("matching") != F.size(F.array_distinct("ids")),
+    }
+
+
+def with_matching(requests: DataFrame, passages: DataFrame, key: str) -> DataFrame:
+    """Adds matching: the number of different ids of a request that are passages of its grade."""
+    asked = requests.select(key, F.trim("grade").alias("grade"), F.explode(F.array_distinct("ids")).alias("passage_id"))
+    found = asked.join(passages.select(F.col("id").alias("passage_id"), "grade"), ["passage_id", "grade"]).groupBy(key).agg(F.count("*").alias("matching"))
+    return requests.join(found, key, "left").withColumn("matching", F.coalesce("matching", F.lit(0)))
 
 
 def is_attempt_id(c: Column) -> Column:
@@ -91,13 +163,13 @@ def since(df: DataFrame, instant: str, column: str = "created_at") -> DataFrame:
     return df.where(F.col(column) >= F.lit(instant).cast("timestamp_ntz"))
 
 
-def withdraw(questions: DataFrame, ids: DataFrame, flags: list[str]) -> DataFrame:
-    """Questions of the id list go back to draft, with JSON flags set to drop."""
-    from lessonloom.functions.text import json_merge
-
+def withdraw(questions: DataFrame, ids: DataFrame, flags: list[list[str]]) -> DataFrame:
+    """Questions of the id list go back to draft, with "drop" at each of some paths of their payload."""
     marked = questions.join(ids.distinct().withColumn("hit", F.lit(True)), "id", "left")
-    change = F.to_json(F.create_map(*[x for k in flags for x in (F.lit(k), F.lit("drop"))]))
-    return marked.withColumns({"status": F.when(F.col("hit"), "draft").otherwise(F.col("status")), "payload": F.when(F.col("hit"), json_merge(F.col("payload"), change)).otherwise(F.col("payload"))}).drop("hit")
+    payload = F.coalesce("payload", F.lit("{}"))
+    for path in flags:
+        payload = json_put(payload, path, F.lit('"drop"'))
+    return marked.withColumns({"status": F.when(F.col("hit"), "draft").otherwise(F.col("status")), "payload": F.when(F.col("hit"), payload).otherwise(F.col("payload"))}).drop("hit")
 
 
 def check_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -393,18 +393,6 @@ def _(f):
     return concepts.agg(F.count("*").alias("concepts"), F.countDistinct("concept_key").alias("keys"))
 
 
-@query("b7_explanation_rules", "select p_partkey as id, case when p_size % 4 = 0 then 'number' else '' end as violations from part")
-def _(f):
-    rows = f.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("exam"), F.col("p_type").alias("section"), F.col("p_name").alias("text"), F.when(F.col("p_size") % 4 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("number"))
-    return R.violations(rows, R.explanation_rules()).select("id", F.array_join("violations", ",").alias("violations"))
-
-
-@query("b10_scope_rules", "select id, concat_ws(',', case when school not in ('NATION_1', 'NATION_2') then 'school' end, case when grade not in ('BUILDING', 'MACHINERY') then 'grade' end, case when id % 2 = 0 then 'repeated_ids' end) as violations from @exams")
-def _(f):
-    rows = f.exams.withColumn("ids", F.when(F.col("id") % 2 == 0, F.array("id", "id")).otherwise(F.array("id")))
-    return R.violations(rows, R.scope_rules(["NATION_1", "NATION_2"], ["BUILDING", "MACHINERY"])).select("id", F.array_join("violations", ",").alias("violations"))
-
-
 @query("k4_set_scope", "select exam_id, passage_id, row_number() over (partition by exam_id order by position desc, passage_id) - 1 as position from @links where passage_id % 4 <> 1")
 def _(f):
     wanted = f.links.where("passage_id % 4 <> 1").select("exam_id", "passage_id", (-F.col("position")).alias("ordinal"))

@@ -28,9 +28,9 @@ def _(f):
     return f.sentences.select("id", T.sentence_words(F.col("text")).alias("w")).select("id", F.size("w").cast("long").alias("n_words"), F.array_join("w", "|").alias("words"))
 
 
-@query("h3_normalize_token", f"select id, pos, {DASHED} as token from (select id, generate_subscripts(w, 1) as pos, unnest(w) as w from (select id, {WORDS} as w from @sentences where id % 5 = 0))")
+@query("h3_normalize_token", f"select id, pos, {DASHED} as token from (select id, generate_subscripts(w, 1) as pos, unnest(w) as w from (select id, {WORDS} as w from @sentences))")
 def _(f):
-    words = f.sentences.where("id % 5 = 0").select("id", F.posexplode(T.sentence_words(F.col("text"))).alias("pos", "w"))
+    words = f.sentences.select("id", F.posexplode(T.sentence_words(F.col("text"))).alias("pos", "w"))
     return words.select("id", (F.col("pos") + 1).cast("long").alias("pos"), T.normalize_token(F.col("w")).alias("token"))
 
 
@@ -62,17 +62,31 @@ def _(f):
     return f.passages.select("id", T.lesson_label(F.col("source_label")).alias("label"), T.part_number(F.col("source_label")).alias("part"))
 
 
-@query("h9_json_set", "select id, coalesce(nullif(trim(json_extract_string(payload, '$.section')), ''), 'none') as section, coalesce(nullif(trim(json_extract_string(payload, '$.taxonomy')), ''), 'other') as taxonomy from @questions")
+#: Objects with numbers, flags, lists, nulls and nested objects, some keys missing or blank.
+NESTED = """select p_partkey as id, case p_partkey % 6 when 0 then concat('{"n":', p_size, ',"o":{"k":[1,2],"mode":"', p_brand, '"},"b":true}') when 1 then '{"o":{"mode":" "},"z":null}' when 2 then concat('{"s":"a ', chr(92), '"quoted', chr(92), '" ', p_name, '"}') when 3 then null when 4 then '{}' else '{"o":7,"n":2.5}' end as doc from @part"""
+
+
+def json_parts(c: str) -> str:
+    """The whole document as text, piece by piece, so that both engines' spacing and key order do not matter."""
+    return f"json_extract_string({c}, '$.n') as n, json_extract({c}, '$.o') as o, json_extract_string({c}, '$.o.mode') as mode, json_extract_string({c}, '$.o.k[1]') as second, json_extract_string({c}, '$.b') as b, json_extract_string({c}, '$.s') as s, json_type({c}, '$.n') as n_type, json_type({c}, '$.b') as b_type"
+
+
+def whole(c: str) -> list:
+    get = lambda path: F.get_json_object(c, path)
+    kind = lambda path: F.schema_of_variant(F.try_parse_json(get(path)))
+    number = F.when(get("$.n").isNotNull(), F.when(kind("$.n") == "BIGINT", "UBIGINT").otherwise("DOUBLE"))
+    return [get("$.n").alias("n"), get("$.o").alias("o"), get("$.o.mode").alias("mode"), get("$.o.k[1]").alias("second"), get("$.b").alias("b"), get("$.s").alias("s"), number.alias("n_type"), F.when(kind("$.b") == "BOOLEAN", "BOOLEAN").alias("b_type")]
+
+
+@query("h9_json_set", f"""select id, {json_parts('doc')} from (select id, case when doc is null then '{{}}' when id % 6 in (0, 2, 4) or id % 6 = 5 then doc else '{{"o":{{"mode":"set"}},"z":null}}' end as doc from ({NESTED}))""")
 def _(f):
-    rows = f.questions.withColumn("p", T.json_set(T.json_set(F.col("payload"), "taxonomy", F.lit("other")), "section", F.lit("none")))
-    return rows.select("id", F.get_json_object("p", "$.section").alias("section"), F.get_json_object("p", "$.taxonomy").alias("taxonomy"))
+    return f.sql(NESTED).withColumn("p", T.json_set(F.col("doc"), ["o", "mode"], F.lit("set"))).select("id", *whole("p"))
 
 
-@query("h10_json_merge", "select event_id, json_extract_string(props, '$.k') as k, case when event_id % 2 = 0 then 'even' else json_extract_string(props, '$.parity') end as parity from @events")
+@query("h10_json_merge", f"""select id, {json_parts("json_merge_patch(cast(coalesce(doc, '{}') as json), cast(change as json))")} from (select *, case id % 4 when 0 then '{{"n":9}}' when 1 then '{{"b":false,"s":"x"}}' else '{{}}' end as change from ({NESTED}))""")
 def _(f):
-    right = F.when(F.col("event_id") % 2 == 0, '{"parity":"even"}').otherwise("{}")
-    merged = f.events.select("event_id", T.json_merge(F.col("props"), right).alias("m"))
-    return merged.select("event_id", F.get_json_object("m", "$.k").alias("k"), F.get_json_object("m", "$.parity").alias("parity"))
+    change = F.when(F.col("id") % 4 == 0, '{"n":9}').when(F.col("id") % 4 == 1, '{"b":false,"s":"x"}')
+    return f.sql(NESTED).withColumn("m", T.json_merge(F.col("doc"), change)).select("id", *whole("m"))
 
 
 @query("h11_json_text", "select id, coalesce(json_extract_string(payload, '$.exam'), '') as exam, coalesce(json_extract_string(payload, '$.missing'), '-') as missing from @questions")
@@ -82,7 +96,7 @@ def _(f):
 
 @query(
     "h12_question_difficulty",
-    "select id, case when type = 'written_response' then case when passage_id >= 12 or id % 9 >= 12 then 3 else 2 end when t in ('paragraph_order', 'sentence_insertion', 'grammar_multi_error', 'implication', 'summary_two_blank') then 3 when t in ('content_true', 'content_false', 'unanswerable', 'main_idea', 'topic', 'title') then 1 else 2 end as difficulty from (select *, json_extract_string(payload, '$.taxonomy') as t from @questions) where status = 'available' and difficulty is null",
+    f"select id, case when type = 'written_response' then case when passage_id >= 12 or id % 9 >= 12 then 3 else 2 end when t in {C.HARD_TAXONOMIES} then 3 when t in {C.EASY_TAXONOMIES} then 1 else 2 end as difficulty from (select *, json_extract_string(payload, '$.taxonomy') as t from @questions) where status = 'available' and difficulty is null",
 )
 def _(f):
     open_rows = f.questions.where("status = 'available' and difficulty is null")
@@ -94,7 +108,7 @@ def _(f):
     return f.conversations.select("conv_id", "turn", T.meaning_key(F.col("text")).alias("meaning_key"))
 
 
-@query("h14_pseudonym", "select user_id, substr(sha256(concat('pepper:ready-login-client-v1:', case when user_id % 3 = 0 then 'unknown' when user_id % 3 = 1 then concat('10.0.0.', user_id) else concat('10.1.0.', user_id) end)), 1, 24) as client from (select distinct user_id from @events)")
+@query("h14_pseudonym", "select user_id, substr(sha256(concat('pepper:login-client-v1:', case when user_id % 3 = 0 then 'unknown' when user_id % 3 = 1 then concat('10.0.0.', user_id) else concat('10.1.0.', user_id) end)), 1, 24) as client from (select distinct user_id from @events)")
 def _(f):
     u = F.col("user_id")
     forwarded = F.when(u % 3 == 1, F.concat(F.lit("10.0.0."), u, F.lit(", 172.16.0.1")))
@@ -107,10 +121,12 @@ def _(f):
     return f.sentences.select("id", T.flatten_space(F.col("text")).alias("flat"))
 
 
-@query("h16_coalesce_snapshot", "select id, coalesce(nullif(title, ''), source_label) as meaning, coalesce(case when id % 2 = 0 then revision end, display_order, 0) as revision, case when id % 3 = 0 then 1 else 2 end as n_meanings from @passages")
+@query("h16_coalesce_snapshot", "select id, case when id % 5 > 0 then title else source_label end as meaning, coalesce(case when id % 2 = 0 then revision end, display_order, 0) as revision, case when id % 3 = 0 then case when id % 5 > 0 then title else source_label end else concat(title, '|', source_label) end as meanings from @passages")
 def _(f):
-    meanings = F.when(F.col("id") % 3 == 0, F.array()).otherwise(F.array("title", "source_label"))
-    return f.passages.select("id", F.coalesce(F.nullif("title", F.lit("")), "source_label").alias("meaning"), F.coalesce(F.when(F.col("id") % 2 == 0, F.col("revision")), "display_order", F.lit(0)).alias("revision"), F.size(F.when(F.size(meanings) == 0, F.array("title")).otherwise(meanings)).cast("int").alias("n_meanings"))
+    i = F.col("id")
+    given = F.when(i % 3 == 0, F.when(i % 2 == 0, F.array().cast("array<string>"))).otherwise(F.array("title", "source_label"))
+    meaning, meanings = T.meaning_snapshot(F.when(i % 5 > 0, F.col("title")).otherwise(F.when(i % 2 == 0, "")), F.col("source_label"), given)
+    return f.passages.select("id", meaning.alias("meaning"), T.first_known(F.when(i % 2 == 0, F.col("revision")), F.col("display_order"), F.lit(0)).alias("revision"), F.array_join(meanings, "|").alias("meanings"))
 
 
 @query("h17_session_expiry", "select event_id, ts + case when event_type = 'error' then interval '8' hour when value > 10 then interval '720' hour else interval '12' hour end as expires_at from @events")
@@ -149,17 +165,29 @@ def _(f):
     return f.sentences.select("id", S.format_sentence_row(F.col("text"), F.col("translation")).alias("line"))
 
 
-BODIES = """select event_id, case when event_id % 7 = 0 then 'oops' when event_id % 11 = 0 then '{"op":"submit","attempts":[]}' else concat('{"op":"submit","attempts":[{"sentenceId":"', event_id, '","step":1,"mistakes":', event_id % 3, '},{"sentenceId":"', event_id + 1, '","step":2,"mistakes":0}]}') end as body from @events"""
+#: Requests of 1 to 25 attempts (20 count), some without any, some that are no objects.
+COUNTS = "select event_id, event_id % 25 + 1 as n from @events"
+BODIES = """select event_id, case when event_id % 7 = 0 then case when event_id % 2 = 0 then 'oops' else '[1]' end when event_id % 11 = 0 then '{"op":"submit","attempts":[]}' else concat('{"op":"submit","attempts":[', list, ']}') end as body from """
+ONE = """concat('{"sentenceId":"', event_id + i, '","step":', i % 2 + 1, ',"mistakes":', (event_id + i) % 3, '}')"""
+DUCK_BODIES = f"{BODIES} (select event_id, string_agg({ONE}, ',' order by i) as list from (select event_id, unnest(range(n)) as i from ({COUNTS})) group by 1)"
+
 
+def bodies(f):
+    one = F.concat(F.lit('{"sentenceId":"'), F.col("event_id") + F.col("i"), F.lit('","step":'), F.col("i") % 2 + 1, F.lit(',"mistakes":'), (F.col("event_id") + F.col("i")) % 3, F.lit("}"))
+    listed = f.sql(COUNTS).select("event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select("event_id", "i", one.alias("one"))
+    joined = listed.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "one")))["one"], ",").alias("list"))
+    joined.createOrReplaceTempView("attempt_lists")
+    return f.spark.sql(f"{BODIES} attempt_lists")
 
-@query("a4_attempt_requests", f"select event_id, cast(i as bigint) as pos, json_extract_string(body, concat('$.attempts[', i, '].sentenceId')) as sentence_id, cast(json_extract_string(body, concat('$.attempts[', i, '].step')) as int) as step, cast(json_extract_string(body, concat('$.attempts[', i, '].mistakes')) as int) as mistakes from ({BODIES}), (values (0), (1)) as t(i) where event_id % 7 <> 0 and event_id % 11 <> 0")
+
+@query("a4_attempt_requests", f"select event_id, i as pos, json_extract_string(body, concat('$.attempts[', i, '].sentenceId')) as sentence_id, cast(json_extract_string(body, concat('$.attempts[', i, '].step')) as int) as step, cast(json_extract_string(body, concat('$.attempts[', i, '].mistakes')) as int) as mistakes from (select event_id, body, unnest(range(cast(least(json_array_length(body, '$.attempts'), 20) as bigint))) as i from ({DUCK_BODIES}) where event_id % 7 <> 0 and event_id % 11 <> 0)")
 def _(f):
-    return S.parse_attempt_requests(f.sql(BODIES), "body")[0].select("event_id", F.col("pos").cast("long").alias("pos"), F.col("attempt.sentenceId").alias("sentence_id"), "attempt.step", "attempt.mistakes")
+    return S.parse_attempt_requests(bodies(f), "body")[0].select("event_id", F.col("pos").cast("long").alias("pos"), F.col("attempt.sentenceId").alias("sentence_id"), "attempt.step", "attempt.mistakes")
 
 
-@query("a4_request_errors", f"select event_id, case when event_id % 7 = 0 then 'not_an_object' else 'no_attempts' end as error from ({BODIES}) where event_id % 7 = 0 or event_id % 11 = 0")
+@query("a4_request_errors", "select event_id, case when event_id % 7 = 0 then 'not_an_object' else 'no_attempts' end as error from @events where event_id % 7 = 0 or event_id % 11 = 0")
 def _(f):
-    return S.parse_attempt_requests(f.sql(BODIES), "body")[1].select("event_id", "error")
+    return S.parse_attempt_requests(bodies(f), "body")[1].select("event_id", "error")
 
 
 QUEUES = "select 0 as src, student_id, id as pos, client_attempt_id, item_key from @attempts where id % 2 = 0 union all select 1 as src, student_id, id as pos, client_attempt_id, item_key from @attempts where id % 3 = 0"
@@ -171,23 +199,28 @@ def _(f):
     return S.batch_queue(S.merge_queues(both, ["student_id", "client_attempt_id"], ["src", "pos"]), ["student_id"], ["src", "pos"]).select("student_id", "client_attempt_id", "src", "pos", "batch")
 
 
-@query("a6_append_audit", "select id, case when id % 97 = 0 then 'missing' else 'changed' end as change from @attempts where id % 97 = 0 or (id % 101 = 0 and id % 97 <> 0)")
+@query("a6_append_audit", "select id, case when id % 97 = 0 then 'missing' else 'changed' end as change from @attempts where id % 97 = 0 or id % 101 = 0 or id % 89 = 0")
 def _(f):
-    new = f.attempts.where("id % 97 <> 0").withColumn("correct", F.when(F.col("id") % 101 == 0, ~F.col("correct")).otherwise(F.col("correct")))
-    return S.audit_append_only(f.attempts, new, ["id"])
+    i = F.col("id")
+    old = f.attempts.withColumns({"a": F.when(i % 2 == 0, "x"), "b": F.when(i % 2 == 1, "x")})
+    moved = {"a": F.when(i % 89 == 0, F.col("b")).otherwise(F.col("a")), "b": F.when(i % 89 == 0, F.col("a")).otherwise(F.col("b"))}  # a value and a null change places
+    new = old.where("id % 97 <> 0").withColumns({"correct": F.when(i % 101 == 0, ~F.col("correct")).otherwise(F.col("correct")), **moved})
+    return S.audit_append_only(old, new, ["id"])
 
 
-@query("a7_upsert", "select p.id, coalesce(case when p.id % 3 = 0 then concat(p.title, '!') end, p.title) as title, p.revision from @passages p union all select id + 1000000, concat(title, '!'), revision from @passages where id % 50 = 0")
+CHANGES = "select case when id % 50 = 0 then id + 1000000 else id end as id, concat(title, n) as title, n as revision, n from (select * from @passages where id % 3 = 0 or id % 50 = 0), (values (2), (1), (3)) as t(n)"
+
+
+@query("a7_upsert", "select p.id, case when p.id % 3 = 0 and p.id % 50 <> 0 then concat(p.title, '1') else p.title end as title, p.revision from @passages p union all select id + 1000000, concat(title, '1'), 1 from @passages where id % 50 = 0")
 def _(f):
-    marked = F.concat("title", F.lit("!")).alias("title")
-    changes = f.passages.where("id % 3 = 0").select("id", marked, F.lit(-1).cast("long").alias("revision")).unionByName(f.passages.where("id % 50 = 0").select((F.col("id") + 1000000).alias("id"), marked, "revision"))
-    return S.upsert(f.passages.select("id", "title", "revision"), changes, ["id"], ["title"])
+    changes = f.sql(CHANGES)  # three of each key; the one of least n counts
+    return S.upsert(f.passages.select("id", "title", "revision"), changes, ["id"], ["title"], order=["n"])
 
 
-CATALOGS = """select p_partkey as id, concat('{"stages":[{"key":"s1","items":[1,2]},{"key":"s2","items":[', p_size, ',2,3]}]}') as catalog from @part"""
+CATALOGS = """select p_partkey as id, concat('{"stages":[{"key":"s1","items":[', case when p_partkey % 3 = 0 then '' else '1,2' end, ']},{"key":"', p_brand, '","items":[', p_size, ',2,3', case when p_size % 2 = 0 then ',9' else '' end, ']}]}') as catalog from @part"""
 
 
-@query("a8_stage_sizes", "select p_partkey as id, 's1' as stage_key, 2 as items from part union all select p_partkey, 's2', 3 from part")
+@query("a8_stage_sizes", "select p_partkey as id, 's1' as stage_key, case when p_partkey % 3 = 0 then 0 else 2 end as items from part union all select p_partkey, p_brand, case when p_size % 2 = 0 then 4 else 3 end from part")
 def _(f):
     return S.catalog_stage_sizes(f.sql(CATALOGS), "catalog").select("id", "stage_key", "items")
 
@@ -209,7 +242,7 @@ RULED = "select id, array_to_string(list_filter([{rules}], lambda x: x is not nu
 
 
 def ruled(frame: str, **rules: str) -> str:
-    return RULED.format(frame=frame, rules=", ".join(f"case when {bad} then '{name}' end" for name, bad in rules.items()))
+    return RULED.format(frame=frame, rules=", ".join(f"case when ({bad}) is not false then '{name}' end" for name, bad in rules.items()))
 
 
 @query("b1_practice_items", f"select id, concat('sentence:', id) as item_key, len(w) as n_words, array_to_string(w, ' ') as answer from (select id, {WORDS} as w from @sentences where upper(coalesce(block_type, 'SENTENCE')) = 'SENTENCE' and active is not false and trim(translation) <> '') where len(w) >= 2")
@@ -217,38 +250,102 @@ def _(f):
     return P.practice_items(f.sentences).select("id", "item_key", F.size("words").cast("long").alias("n_words"), "answer")
 
 
-@query("b3_student_rules", ruled("(select id, name, school, grade, cast(id * 100 as varchar) as code from @students)", name="not (length(trim(name)) between 1 and 40)", school="not (length(trim(school)) between 1 and 8)", grade="not (length(trim(grade)) between 1 and 40)", code="not regexp_matches(code, '^\\d{6}$')"))
+#: Students with fields that are null, blank or malformed.
+ENROLLED = "select id, case when id % 13 = 0 then null when id % 29 = 0 then ' ' else name end as name, case when id % 31 = 0 then null else school end as school, case when id % 37 = 0 then null else grade end as grade, case when id % 17 = 0 then null else cast(id * 100 as varchar(20)) end as code, case when id % 19 = 0 then null when id % 23 = 0 then 'ABC' else sha256 end as fingerprint from (select *, {sha} as sha256 from @students)"
+DUCK_SHA, SPARK_SHA = "sha256(cast(id as varchar))", "sha2(cast(id as string), 256)"
+
+
+@query("b3_student_rules", ruled(f"({ENROLLED.format(sha=DUCK_SHA)})", name="not (length(trim(name)) between 1 and 40)", school="not (length(trim(school)) between 1 and 8)", grade="not (length(trim(grade)) between 1 and 40)", code="not regexp_matches(code, '^\\d{6}$')", fingerprint="not regexp_matches(fingerprint, '^[0-9a-f]{64}$')", pair="trim(school) = 'NATION_1' and trim(grade) <> 'BUILDING'"))
 def _(f):
-    return R.violations(f.students.withColumn("code", (F.col("id") * 100).cast("string")), R.student_rules(school_most=8)).select("id", F.array_join("violations", ",").alias("violations"))
+    rows = f.sql(ENROLLED.format(sha=SPARK_SHA))
+    return R.violations(rows, R.student_rules(school_most=8, pairs={"NATION_1": "BUILDING"})).select("id", F.array_join("violations", ",").alias("violations"))
+
 
+DESCRIBED = "select id, case when id % 21 = 0 then null else title end as title, case when id % 23 = 0 then null else grade end as grade, case when id % 4 = 0 then 'MOCK_EXAM' when id % 4 = 1 then 'OTHER' when id % 4 = 2 then 'TEXTBOOK' end as source_type, case when id % 8 = 0 then 2024 end as source_year, case when id % 5 > 0 then cast(id % 15 as int) end as source_month from @passages"
 
-@query("b4_passage_rules", ruled("(select id, title, grade, case when id % 4 = 0 then 'MOCK_EXAM' when id % 4 = 1 then 'OTHER' else 'TEXTBOOK' end as source_type, case when id % 8 = 0 then 2024 end as source_year, cast(id % 15 as int) as source_month from @passages)", title="not (length(trim(title)) between 1 and 10)", grade="not (length(trim(grade)) between 1 and 40)", source_type="source_type not in ('MOCK_EXAM', 'TEXTBOOK')", mock_exam="source_type = 'MOCK_EXAM' and (source_year is null or source_month is null or source_month not between 1 and 12)"))
+
+@query("b4_passage_rules", ruled(f"({DESCRIBED})", title="not (length(trim(title)) between 1 and 10)", grade="not (length(trim(grade)) between 1 and 40)", source_type="source_type not in ('MOCK_EXAM', 'TEXTBOOK')", mock_exam="coalesce(source_type = 'MOCK_EXAM' and (source_year is null or source_month is null or source_month not between 1 and 12), false)"))
 def _(f):
-    i = F.col("id")
-    rows = f.passages.withColumns({"source_type": F.when(i % 4 == 0, "MOCK_EXAM").when(i % 4 == 1, "OTHER").otherwise("TEXTBOOK"), "source_year": F.when(i % 8 == 0, 2024), "source_month": (i % 15).cast("int")})
-    return R.violations(rows, R.passage_rules(title_most=10)).select("id", F.array_join("violations", ",").alias("violations"))
+    return R.violations(f.sql(DESCRIBED), R.passage_rules(title_most=10)).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+#: Rows of an edit: some with ids of other passages, unknown ids, nulls and odd kinds.
+EDIT_ROWS = "select passage_id, position, case when position % 9 = 4 then id + 100000 when position % 9 = 5 then -id else id end as id, case when position % 8 = 3 then null else text end as text, case when position % 7 = 2 then null else translation end as translation, case position % 6 when 1 then 'TITLE' when 2 then 'subtitle' when 3 then 'OTHER' when 4 then null else 'SENTENCE' end as block_type, case when position % 5 > 0 then cast(position % 4 - 1 as int) end as paragraph_index from @edited"
+
 
+@query(
+    "b5_row_rules",
+    ruled(
+        f"(select e.*, concat(e.passage_id, '/', e.position) as id, case when e.id is not null then s.id is not null end as owned, count(*) over (partition by e.passage_id) as n from (select passage_id, position, id, text, translation, block_type, paragraph_index from ({EDIT_ROWS})) e left join @sentences s on s.id = e.id and s.passage_id = e.passage_id)".replace("e.*, concat", "e.passage_id, e.position, e.text, e.translation, e.block_type, e.paragraph_index, concat"),
+        row_count="not (n between 1 and 160)", text="not (length(trim(text)) between 1 and 5000)", translation="block_type = 'SENTENCE' and not coalesce(length(trim(translation)) between 1 and 5000, false)", block_type="upper(block_type) not in ('TITLE', 'SUBTITLE', 'SENTENCE')", paragraph="paragraph_index is not null and paragraph_index < 0", owned="owned is not null and not owned",
+    ),
+)
+def _(f):
+    rows = R.with_group_size(R.with_owned(f.sql(EDIT_ROWS), f.sentences), "passage_id")
+    return R.violations(rows, R.row_rules()).select(F.concat("passage_id", F.lit("/"), "position").alias("id"), F.array_join("violations", ",").alias("violations"))
+
+
+#: Rows of question bundles (one a brand) as they are sent.
+BUNDLE = """select p_partkey as id, p_brand as bundle, p_size as passage_id, case p_partkey % 5 when 0 then null when 1 then 'essay' when 2 then 'written_response' else 'multiple_choice' end as type, case p_partkey % 7 when 0 then '' when 1 then 'lost' when 2 then null when 3 then 'draft' else 'available' end as status, concat('{"prompt":"', case when p_partkey % 11 = 0 then ' ' else p_name end, '","source":{"exam":"', p_brand, '","section":"', case when p_partkey % 13 = 0 then '' else p_type end, '","passage_no":', p_size, ',"source_question_no":"', case when p_partkey % 10 = 0 then 'x' else '7' end, '"},"choices":', case p_partkey % 4 when 0 then '["a"]' when 1 then '["a","b"]' when 2 then '[1,2,3,4,5,6,7,8,9]' else '"none"' end, ',"answer":[', case when p_partkey % 6 = 0 then '' else '1' end, '],"accepted_answers":', case p_partkey % 3 when 0 then '[]' when 1 then '"x"' else '["y"]' end, '}') as payload from @part"""
+JSON_ROWS = "json_type(payload, '$.{0}') = 'ARRAY' and json_array_length(payload, '$.{0}') between {1} and {2}"
+
+
+@query(
+    "b6_question_rules",
+    ruled(
+        f"(select b.*, n.n_nationkey is not null as known, count(*) over (partition by bundle) as n from ({BUNDLE}) b left join nation n on n.n_nationkey = b.passage_id)",
+        row_count="not (n between 1 and 500)", passage="not known", type="type not in ('multiple_choice', 'written_response')", status="coalesce(nullif(status, ''), 'draft') not in ('draft', 'available')", prompt="coalesce(trim(json_extract_string(payload, '$.prompt')), '') = ''", exam="coalesce(trim(json_extract_string(payload, '$.source.exam')), '') = ''", section="coalesce(trim(json_extract_string(payload, '$.source.section')), '') = ''",
+        passage_no="not regexp_matches(json_extract_string(payload, '$.source.passage_no'), '^\\d+$')", question_no="not regexp_matches(json_extract_string(payload, '$.source.source_question_no'), '^\\d+$')",
+        choices=f"coalesce(type = 'multiple_choice', false) and not ({JSON_ROWS.format('choices', 2, 8)} and {JSON_ROWS.format('answer', 1, 999)})", accepted=f"coalesce(type = 'written_response', false) and not ({JSON_ROWS.format('accepted_answers', 1, 999)})",
+    ),
+)
+def _(f):
+    rows = R.with_group_size(R.with_known(f.sql(BUNDLE), "passage_id", f.nation, "n_nationkey"), "bundle")
+    return R.violations(rows, R.question_rules()).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+EXPLAINED = "select p_partkey as id, p_brand as exam, case when p_partkey % 9 = 0 then null else p_type end as section, case when p_partkey % 11 = 0 then '  ' else p_name end as text, case when p_size % 4 = 0 then 'n/a' when p_size % 4 = 1 then null else cast(p_size as varchar(9)) end as number from @part"
 
-@query("b5_row_rules", ruled("(select *, count(*) over (partition by passage_id) as n from @sentences)", row_count="n > 160", text="not (length(trim(text)) between 1 and 5000)", translation="block_type = 'SENTENCE' and not (length(trim(translation)) between 1 and 5000)", block_type="upper(block_type) not in ('TITLE', 'SUBTITLE', 'SENTENCE')", paragraph="paragraph_index < 0"))
+
+@query("b7_explanation_rules", ruled(f"(select *, count(*) over (partition by exam) as n from ({EXPLAINED}))", row_count="not (n between 1 and 500)", exam="coalesce(trim(exam), '') = ''", section="coalesce(trim(section), '') = ''", text="coalesce(trim(text), '') = ''", number="not regexp_matches(coalesce(number, ''), '^\\d+$')"))
+def _(f):
+    return R.violations(R.with_group_size(f.sql(EXPLAINED), "exam"), R.explanation_rules()).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+LOOKUPS = "select event_id as id, case when event_id % 3 > 0 then event_id % 10 end as start_offset, case when event_id % 4 > 0 then event_id % 12 end as end_offset, case when event_id % 6 > 0 then value / 20 end as confidence, case when event_id % 5 > 0 then event_type end as kind, case event_id % 4 when 0 then null when 1 then 'retry' when 2 then 'initial' else 'other' end as reason, case event_id % 5 when 0 then null when 1 then 'reader' when 2 then 'question' when 3 then 'workbook' else 'page' end as source_kind from @events"
+
+
+@query("b8_lookup_rules", ruled(f"({LOOKUPS})", offsets="not ((start_offset is null and end_offset is null) or coalesce(start_offset >= 0 and end_offset > start_offset, false))", kind="kind is not null and kind not in ('word', 'phrase', 'view')", confidence="confidence is not null and not (confidence between 0 and 1)", reason="reason not in ('initial', 'retry')", source_kind="source_kind not in ('reader', 'question', 'workbook')"))
 def _(f):
-    return R.violations(R.with_group_size(f.sentences, "passage_id"), R.row_rules()).select("id", F.array_join("violations", ",").alias("violations"))
+    return R.violations(f.sql(LOOKUPS), R.lookup_rules(kinds=("word", "phrase", "view"))).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+CLAIMED = "select fact_key as id, case when fact_key % 7 = 0 then null else fact_key end as fact_key, case when fact_key % 9 = 0 then null else statement end as statement, case when fact_key % 5 = 0 then 'fr' else language end as language, case when fact_key % 6 = 0 then null else difficulty end as difficulty, case when fact_key % 8 = 0 then 'open' else status end as status, fact_key % 23 as n, case fact_key % 3 when 0 then '{\"a\":1}' when 1 then '[1]' end as metadata from @facts"
 
 
-@query("b6_question_rules", ruled("(select id, type, status, json_extract_string(payload, '$.prompt') as prompt, json_extract_string(payload, '$.exam') as exam, json_extract_string(payload, '$.section') as section from @questions)", type="type not in ('multiple_choice', 'written_response')", status="status not in ('draft', 'available')", prompt="coalesce(trim(prompt), '') = ''", exam="coalesce(trim(exam), '') = ''", section="coalesce(trim(section), '') = ''"))
+@query("b9_claim_rules", ruled(f"({CLAIMED})", key="not (length(cast(fact_key as varchar)) between 1 and 80)", statement="not (length(trim(statement)) between 1 and 200)", evidence="not (n between 1 and 20)", language="language not in ('en', 'ko')", difficulty="not (difficulty between 1 and 3)", status="status not in ('draft', 'confirmed', 'stale')", metadata="not starts_with(trim(metadata), '{')"))
 def _(f):
-    return R.violations(f.questions, R.question_rules()).select("id", F.array_join("violations", ",").alias("violations"))
+    rows = f.sql(CLAIMED).withColumn("evidence", F.array_repeat(F.lit("e"), F.col("n").cast("int")))
+    return R.violations(rows, R.claim_rules(statement_most=200)).select("id", F.array_join("violations", ",").alias("violations"))
+
+
+#: Scope requests with the passages of each exam, some named twice, for the grade of the first of them or of none.
+ASKED_SCOPES = "select e.id, e.school, case when e.id % 11 = 0 then null when e.id % 2 = 0 then 'Brand#1' else p.grade end as grade from @exams e left join @links l on l.exam_id = e.id and l.position = 0 left join @passages p on p.id = l.passage_id"
 
 
-@query("b8_lookup_rules", ruled("(select event_id as id, case when event_id % 3 > 0 then event_id % 10 end as start_offset, case when event_id % 4 > 0 then event_id % 12 end as end_offset, value / 20 as confidence, event_type as kind from @events)", offsets="not ((start_offset is null and end_offset is null) or coalesce(start_offset >= 0 and end_offset > start_offset, false))", kind="kind not in ('word', 'phrase', 'view')", confidence="not (confidence between 0 and 1)"))
+@query("b10_scope_rules", f"select id, concat_ws(',', case when (school not in ('NATION_1', 'NATION_2', 'NATION_3')) is not false then 'school' end, case when (grade not in ('Brand#1', 'Brand#2', 'Brand#3')) is not false then 'grade' end, case when (school = 'NATION_3' and grade <> 'Brand#1') is not false then 'pair' end, case when id % 4 = 0 and n > 0 then 'repeated_ids' end, case when fit <> n then 'passages' end) as violations from (select r.id, r.school, r.grade, count(l.passage_id) as n, count(*) filter (where p.grade = r.grade) as fit from ({ASKED_SCOPES}) r left join @links l on l.exam_id = r.id left join @passages p on p.id = l.passage_id group by all)")
 def _(f):
-    e = F.col("event_id")
-    rows = f.events.select(e.alias("id"), F.when(e % 3 > 0, e % 10).alias("start_offset"), F.when(e % 4 > 0, e % 12).alias("end_offset"), (F.col("value") / 20).alias("confidence"), F.col("event_type").alias("kind"))
-    return R.violations(rows, R.lookup_rules(kinds=("word", "phrase", "view"))).select("id", F.array_join("violations", ",").alias("violations"))
+    ids = f.links.groupBy(F.col("exam_id").alias("id")).agg(F.collect_list("passage_id").alias("ids"))
+    rows = f.sql(ASKED_SCOPES).join(ids, "id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
+    rows = rows.withColumn("ids", F.when(F.col("id") % 4 == 0, F.concat("ids", "ids")).otherwise(F.col("ids")))
+    rules = R.scope_rules(["NATION_1", "NATION_2", "NATION_3"], ["Brand#1", "Brand#2", "Brand#3"], pairs={"NATION_3": "Brand#1"})
+    return R.violations(R.with_matching(rows, f.passages, "id"), rules).select("id", F.array_join("violations", ",").alias("violations"))
 
 
-@query("b9_claim_rules", ruled("(select fact_key as id, * from @facts)", key="not (length(cast(fact_key as varchar)) between 1 and 80)", statement="not (length(trim(statement)) between 1 and 200)", language="language not in ('en', 'ko')", difficulty="not (difficulty between 1 and 3)", status="status not in ('draft', 'confirmed', 'stale')"))
+@query("b2_split_valid", f"select id, case when title is not null and length(trim(title)) between 1 and 10 and grade is not null and source_type in ('MOCK_EXAM', 'TEXTBOOK') and not coalesce(source_type = 'MOCK_EXAM' and (source_year is null or source_month is null or source_month not between 1 and 12), false) then 'good' else 'quarantined' end as side from ({DESCRIBED})")
 def _(f):
-    return R.violations(f.facts.withColumn("id", F.col("fact_key")), R.claim_rules(statement_most=200)).select("id", F.array_join("violations", ",").alias("violations"))
+    good, bad = R.split_valid(f.sql(DESCRIBED), R.passage_rules(title_most=10))
+    return good.select("id", F.lit("good").alias("side")).unionByName(bad.select("id", F.lit("quarantined").alias("side")))
 
 
 @query("b11_attempt_ids", "select id, client_attempt_id is not null and regexp_matches(lower(client_attempt_id), '^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') as accepted from @attempts")
@@ -261,10 +358,13 @@ def _(f):
     return R.since(f.attempts.where("stage = 2"), "2024-01-20 00:00:00").select("id", "student_id")
 
 
-@query("b13_withdraw", "select id, case when id % 10 = 0 then 'draft' else status end as status, case when id % 10 = 0 then 'drop' end as review from @questions")
+@query("b13_withdraw", "select id, case when id % 10 = 0 then 'draft' else status end as status, case when id % 10 = 0 then 'drop' end as import_status, case when id % 10 = 0 and id % 20 = 0 then 'drop' end as spec_status, case when id % 20 = 0 then passage_id end as level, json_extract(payload, '$.response_slots') as slots from @questions")
 def _(f):
     ids = f.questions.where("id % 10 = 0").select("id")
-    return R.withdraw(f.questions, ids, ["review", "publish"]).select("id", "status", F.get_json_object("payload", "$.review").alias("review"))
+    spec = F.when(F.col("id") % 20 == 0, F.concat(F.lit('{"level":'), "passage_id", F.lit("}"))).otherwise(F.lit("7"))  # a path through what is no object changes nothing
+    rows = f.questions.withColumn("payload", T.json_put(F.col("payload"), ["spec"], spec))
+    part = lambda path: F.get_json_object("payload", path)
+    return R.withdraw(rows, ids, [["import_status"], ["spec", "importStatus"]]).select("id", "status", part("$.import_status").alias("import_status"), part("$.spec.importStatus").alias("spec_status"), part("$.spec.level").cast("int").alias("level"), part("$.response_slots").alias("slots"))
 
 
 @query("b14_check_keys", "select client_attempt_id, count(*) as n from @attempts where client_attempt_id is not null group by 1 having count(*) > 1")

@@ -74,17 +74,28 @@ def append_log(df: DataFrame, path: str) -> None:
 
 
 def audit_append_only(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the old snapshot that the new one lacks or changed; columns are compared by value."""
-    values = F.xxhash64(*[F.col(c).cast("string") if t == "void" else F.col(c) for c, t in old.dtypes if c not in keys])
-    a, b = old.select(*keys, values.alias("was")), new.select(*keys, values.alias("now"), F.lit(True).alias("there"))
+    """Rows of the old snapshot that the new one lacks or changed; nulls equal nulls and nothing else."""
+    values = [c for c in old.columns if c not in keys]
+    a = old.select(*keys, F.struct(*values).alias("was"))
+    b = new.select(*keys, F.struct(*[F.col(c).cast(old.schema[c].dataType) for c in values]).alias("now"), F.lit(True).alias("there"))
     both = a.join(b, keys, "left")
-    change = F.when(F.col("there").isNull(), "missing").when(F.col("was") != F.col("now"), "changed")
+    change = F.when(F.col("there").isNull(), "missing").when(~F.col("was").eqNullSafe(F.col("now")), "changed")
     return both.select(*keys, change.alias("change")).where("change is not null")
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
-    """Insert rows of new keys; for known keys take the incoming ``update`` columns (none: the stored row stays)."""
-    renamed = changes.select(*keys, *[F.col(c).alias(f"in_{c}") for c in changes.columns if c not in keys], F.lit(True).alias("incoming"))
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], update: list[str] | None = None, order: list | None = None) -> DataFrame:
+    """Insert rows of new keys; for known keys take the incoming ``update`` columns (none: the stored row stays).
+
+    Of several changes of one key the first in ``order`` counts (none given: that of the
+    least values). Changes with a null in the key never meet a stored row and all go in.
+    """
+    rest = [c for c in changes.columns if c not in keys]
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or rest)))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    first = changes.withColumn("turn", turn).where((F.col("turn") == 1) | ~whole)
+    renamed = first.select(*keys, *[F.col(c).alias(f"in_{c}") for c in rest], F.lit(True).alias("incoming"))
     both = base.withColumn("stored", F.lit(True)).join(renamed, keys, "full")
     columns = [
         F.when(F.col("stored").isNull() | (F.col("incoming") & F.lit(c in (update or []))), F.col(f"in_{c}")).otherwise(F.col(c)).alias(c)
