@@ -59,24 +59,33 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("turn", turn).where((F.col("turn") == 1) | ~has_key).drop("turn")
 
 
-def submit_attempts(batch: DataFrame, stored: DataFrame, allowed: DataFrame, items: DataFrame) -> DataFrame:
+def submit_attempts(batch: DataFrame, stored: DataFrame, allowed: DataFrame, items: DataFrame, passages: DataFrame) -> DataFrame:
     """Outcome of each attempt: stored, replayed or rejected with a reason, in the order id shape, replay, access, item, grade.
 
     batch: id, student_id, passage_id, sentence_id, client_attempt_id, step, arranged, mistakes, restarts.
-    stored: student_id, client_attempt_id, stored_correct. allowed: student_id, passage_id. items: sentence_id, text.
-    Of equal client ids in one batch the first is judged; the others replay it.
+    stored: student_id, client_attempt_id, stored_correct. allowed: student_id, passage_id.
+    items: sentence_id, passage_id, text (the sentences that can be ordered now). passages: passage_id, revision.
+    Of equal client ids in one batch the first is judged; the others replay it. What is stored
+    carries its response (arranged, mistakes, restarts, word_count), the passage's revision
+    and its number of items.
     """
     named = batch.withColumn("client_key", F.lower("client_attempt_id")).withColumn("good_id", is_attempt_id(F.col("client_attempt_id")))
     known = stored.select("student_id", F.lower("client_attempt_id").alias("client_key"), F.col("stored_correct")).dropDuplicates(["student_id", "client_key"]).withColumn("known", F.lit(True))
     rows = named.join(known, ["student_id", "client_key"], "left")
     rows = rows.join(allowed.select("student_id", "passage_id").distinct().withColumn("allowed", F.lit(True)), ["student_id", "passage_id"], "left")
-    rows = grade_attempts(rows.join(items.select("sentence_id", "text"), "sentence_id", "left"))
-    refused = F.when(~F.col("good_id"), "invalid_id").when(F.col("known"), None).when(F.col("allowed").isNull(), "not_in_scope").when(F.col("text").isNull(), "not_orderable_now").otherwise(F.col("reason"))
-    judged = rows.withColumn("refused", refused)
+    rows = rows.join(items.select("sentence_id", "passage_id", "text"), ["sentence_id", "passage_id"], "left")
+    early = F.when(~F.col("good_id"), "invalid_id").when(F.col("known"), "known").when(F.col("allowed").isNull(), "not_in_scope").when(F.col("text").isNull(), "not_orderable_now")
+    # What is decided already is not graded: its text is empty.
+    rows = grade_attempts(rows.withColumn("early", early).withColumn("text", F.when(F.col("early").isNull(), F.col("text"))))
+    judged = rows.withColumn("refused", F.when(F.col("known") & F.col("good_id"), None).otherwise(F.coalesce("early", "reason")))
     again = F.min(F.when(F.col("refused").isNull(), F.col("id"))).over(Window.partitionBy("student_id", F.when(F.col("good_id"), F.col("client_key")).otherwise(F.col("id").cast("string"))))
     outcome = F.when(F.col("known"), "replayed").when(F.col("refused").isNotNull(), "rejected").when(F.col("id") == again, "stored").otherwise("replayed")
-    outcome = F.when(~F.col("good_id"), "rejected").otherwise(outcome)
-    return judged.select("id", outcome.alias("outcome"), F.when(outcome == "rejected", F.col("refused")).alias("reason"), F.coalesce("stored_correct", "correct").alias("correct"))
+    done = judged.withColumn("outcome", F.when(~F.col("good_id"), "rejected").otherwise(outcome))
+    counts = items.groupBy("passage_id").agg(F.count("*").alias("items"))
+    done = done.join(counts, "passage_id", "left").join(passages.select("passage_id", "revision"), "passage_id", "left")
+    kept = lambda c: F.when(F.col("outcome") == "stored", c)
+    response = kept(F.struct("arranged", "mistakes", "restarts", "word_count"))
+    return done.select("id", "outcome", F.when(F.col("outcome") == "rejected", F.col("refused")).alias("reason"), F.coalesce("stored_correct", "correct").alias("correct"), response.alias("response"), kept(F.col("revision")).alias("passage_revision"), kept(F.col("items")).alias("stage_item_count"))
 
 
 # --- ordering chips ---------------------------------------------------------------
@@ -166,6 +175,22 @@ def cycle_progress(attempts: DataFrame, keys: list[str] = PROGRESS_KEY, active:
     return fold_sorted(rows, keys, [F.asc_nulls_first("created_at"), F.asc_nulls_first("id")], [*columns, "id"], start, lambda s, r: step(s, r[:4]), schema, finish)
 
 
+def latest_catalog(attempts: DataFrame, catalogs: DataFrame, key: str = "passage_id") -> DataFrame:
+    """Attempts with the catalog that was updated last for their key, where that has items; attempts without one are left out.
+
+    catalogs: key, catalog_id, items, updated_at. One catalog a key is chosen before the join.
+    """
+    latest = catalogs.groupBy(key).agg(F.max_by(F.struct("catalog_id", "items"), F.struct("updated_at", "catalog_id")).alias("x"))
+    found = latest.select(key, F.col("x.catalog_id").alias("catalog_id"), F.col("x.items").alias("catalog_items")).where("catalog_items > 0")
+    return attempts.join(found, key)
+
+
+def rebuild_progress(attempts: DataFrame, catalogs: DataFrame, keys: list[str] = PROGRESS_KEY) -> DataFrame:
+    """Progress from nothing but the log: correct history in order, item counts of the latest catalogs."""
+    counted = latest_catalog(attempts.drop("stage_item_count"), catalogs).withColumnRenamed("catalog_items", "stage_item_count")
+    return cycle_progress(counted, keys)
+
+
 def practice_progress(grid: DataFrame, progress: DataFrame, items: DataFrame) -> DataFrame:
     """Progress over a whole grid (student, passage, step), zeros where there is none; clears of items that still exist; percent by the present number of items."""
     totals = items.groupBy("passage_id").agg(F.count("*").alias("total"), F.collect_set("item_key").alias("item_keys"))
@@ -269,12 +294,12 @@ def login_lockout(tries: DataFrame, limits: dict[str, int] = C.LOGIN_LIMITS, min
 def session_intervals(sessions: DataFrame, logouts: DataFrame, code_changes: DataFrame, deactivations: DataFrame) -> DataFrame:
     """Sessions with the instant at which they end and why: expiry, logout, change of the student's code, or deactivation of the student.
 
-    sessions: id, student_id, created_at, expires_at. logouts: session_id, at. The others: student_id, at.
+    sessions: id, student_id, created_at, expires_at. logouts: session_id, happened_at. The others: student_id, happened_at.
     Of the events of a student the first at or after a session's start closes it.
     """
     out = sessions
     for name, events, key, own in (("logout", logouts, "session_id", "id"), ("code_change", code_changes, "student_id", "student_id"), ("deactivated", deactivations, "student_id", "student_id")):
-        rows = events.select(F.col(key).alias("ends"), F.col("at").alias("ends_at"))
+        rows = events.select(F.col(key).alias("ends"), F.col("happened_at").alias("ends_at"))
         first = sessions.select("id", own, "created_at").join(rows, F.col(own) == F.col("ends")).where(F.col("ends_at") >= F.col("created_at")).groupBy("id").agg(F.min("ends_at").alias(name))
         out = out.join(first, "id", "left")
     ended = F.least("expires_at", "logout", "code_change", "deactivated")

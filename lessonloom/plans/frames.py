@@ -22,7 +22,7 @@ FRAMES: dict[str, str] = {
     "edited": "select case when sentence_index % 6 = 5 then null else id end as id, passage_id, row_number() over (partition by passage_id order by sentence_index) - 1 as position, case when sentence_index % 5 = 3 then concat(text, ' edited') else text end as text, translation from @sentences where block_type = 'SENTENCE' and sentence_index % 4 <> 2",
     "attempts": "select event_id as id, user_id as student_id, 1 as exam_id, event_id % 3 as passage_id, concat('sentence:', event_type) as item_key, cast(event_id % 2 + 1 as int) as stage, concat('sentence_order_step', event_id % 2 + 1) as semantic_type, value > 5 as correct, case when event_id % 5 < 2 then 5 else 4 end as stage_item_count, ts as created_at, case when event_id % 13 = 0 then null when event_id % 17 = 0 then 'not-an-id' else concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-4', substr(h, 14, 3), '-8', substr(h, 18, 3), '-', substr(h, 21, 12)) end as client_attempt_id from (select *, md5(cast(cast(floor(event_id / 2) as bigint) as varchar(20))) as h from @events)",
     "big_attempts": "select l_suppkey as student_id, l_linenumber as passage_id, concat(l_returnflag, l_linestatus) as item_key, cast(l_orderkey % 2 + 1 as int) as stage, l_quantity > 10 as correct, l_shipdate as created_at from @lineitem",
-    "requests": "select id as sentence_id, passage_id, text, cast(id % 3 + 1 as int) as step, case when id % 10 = 7 then concat(text, ' extra') when id % 10 = 8 then lower(text) else text end as raw_arranged, cast(id % 4 as int) - case when id % 19 = 0 then 4 else 0 end as mistakes, cast(case when id % 5 < 3 then 0 else id % 3 end as int) as restarts from @sentences",
+    "requests": "select id as sentence_id, passage_id, text, cast(id % 3 + 1 as int) as step, case when id % 10 = 7 then concat(text, ' extra') when id % 10 = 8 then lower(text) when id % 10 = 6 then replace(text, 'é', 'é') else text end as raw_arranged, cast(id % 4 as int) - case when id % 19 = 0 then 4 else 0 end as mistakes, cast(case when id % 5 < 3 then 0 else id % 3 end as int) as restarts from @sentences",
     "logins": "select event_id as id, event_type as channel, user_id % 40 as identifier, event_type <> 'error' as successful, ts as created_at, user_id % 40 as realm, user_id % 4 = 0 as admin, concat('code', user_id) as code, concat('ip', event_id % 3) as client from @events",
     "sessions": "select user_id * 100 + day as id, user_id, created_at, created_at + interval '12' hour as expires_at, revoked_at from (select user_id, cast(extract(day from ts) as bigint) as day, min(ts) as created_at, min(case when event_type = 'error' then ts end) as revoked_at from @events group by user_id, cast(extract(day from ts) as bigint))",
     "questions": "select p_partkey as id, p_size as passage_id, case when p_partkey % 3 = 0 then 'written_response' when p_partkey % 3 = 1 then 'multiple_choice' else 'essay' end as type, case when p_partkey % 4 = 0 then 'draft' else 'available' end as status, case when p_partkey % 7 = 0 then 3 end as difficulty, concat('{\"exam\":\"', p_brand, '\",\"section\":\"', p_type, '\",\"prompt\":\"', p_name, '\",\"taxonomy\":\"', case p_partkey % 5 when 0 then 'topic' when 1 then 'implication' when 2 then 'grammar' when 3 then 'title' else '' end, '\",\"response_slots\":[{\"word_count\":', p_size, '},{\"word_count\":', p_partkey % 9, '}]}') as payload from @part",

@@ -13,65 +13,73 @@ from lessonloom.plans.frames import query
 from lessonloom.plans.texts import WORDS
 
 ARRANGED = f"select *, array_to_string({WORDS.replace('text', 'raw_arranged')}, ' ') as arranged, {WORDS} as w from @requests"
-NORMAL = "translate(lower({}), '‐‑‒–—−', '------')"
-GRADED = f"""select *, case when step not in (1, 2) then 'unknown_step' when len(w) < 2 then 'not_orderable' when mistakes not between 0 and 999 or restarts not between 0 and 999 then 'invalid_counter'
+NORMAL = "translate(lower(nfc_normalize({})), '‐‑‒–—−', '------')"
+REASON = f"""case when step not in (1, 2) then 'unknown_step' when len(w) < 2 then 'not_orderable' when mistakes not between 0 and 999 or restarts not between 0 and 999 then 'invalid_counter'
  when {NORMAL.format("array_to_string(w, ' ')")} <> {NORMAL.format("arranged")} then 'incomplete_sentence' when step = 1 and restarts <> 0 then 'step1_never_restarts'
- when step = 2 and mistakes - restarts * (case when len(w) >= 12 then 2 else 1 end) not between 0 and (case when len(w) >= 12 then 1 else 0 end) then 'step2_counts_inconsistent' end as reason from ({ARRANGED})"""
+ when step = 2 and mistakes - restarts * (case when len(w) >= 12 then 2 else 1 end) not between 0 and (case when len(w) >= 12 then 1 else 0 end) then 'step2_counts_inconsistent' end"""
+CLEAN_RUN = "case when step = 1 then mistakes = 0 else restarts = 0 end"
 
 
-def requests(f):
-    return f.requests.withColumn("arranged", F.array_join(T.sentence_words(F.col("raw_arranged")), " "))
+def arranged(rows):
+    return rows.withColumn("arranged", F.array_join(T.sentence_words(F.col("raw_arranged")), " "))
 
 
-@query("i1_grade_attempts", f"select sentence_id, len(w) as word_count, reason, case when reason is null then case when step = 1 then mistakes = 0 else restarts = 0 end end as correct from ({GRADED})")
+@query("i1_grade_attempts", f"select sentence_id, len(w) as word_count, reason, case when reason is null then {CLEAN_RUN} end as correct from (select *, {REASON} as reason from ({ARRANGED}))")
 def _(f):
-    return P.grade_attempts(requests(f)).select("sentence_id", F.col("word_count").cast("long").alias("word_count"), "reason", "correct")
+    return P.grade_attempts(arranged(f.requests)).select("sentence_id", F.col("word_count").cast("long").alias("word_count"), "reason", "correct")
 
 
-BATCH = "select id, student_id, passage_id, sentence_id, client_attempt_id, step, mistakes, restarts, raw_arranged, text, sentence_id % 13 <> 0 as has_item from (select a.id, a.student_id, a.client_attempt_id, r.passage_id, r.sentence_id, r.step, r.mistakes, r.restarts, r.raw_arranged, r.text, row_number() over (partition by a.id order by r.sentence_id) as rn from @attempts a join @requests r on r.passage_id = a.id % 1000) where rn = id % 3 + 1"
+#: Each attempt names a sentence of the passage that its number falls on; some name one that is not there.
+BATCH = "select a.id, a.student_id, a.client_attempt_id, a.passage_id, a.sentence_id, coalesce(r.step, 1) as step, coalesce(r.mistakes, 0) as mistakes, coalesce(r.restarts, 0) as restarts, r.raw_arranged from (select id, student_id, client_attempt_id, id % n as passage_id, (id % n) * 100000 + cast(floor(id / n) as bigint) % 7 as sentence_id from @attempts cross join (select count(*) as n from @documents)) a left join @requests r on r.sentence_id = a.sentence_id"
 STORED = "select student_id, client_attempt_id, min(id) as first_id from @attempts where id % 7 = 0 and client_attempt_id is not null group by 1, 2"
+GOOD_ID = "coalesce(regexp_matches(lower(client_attempt_id), '^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$'), false)"
+ITEMS = f"select id, passage_id, sentence_index, text, w from (select *, {WORDS} as w from @sentences where active and block_type = 'SENTENCE' and trim(translation) <> '') where len(w) >= 2"
 
 
 @query(
     "i2_submit_attempts",
-    f"""with b as (select *, coalesce(regexp_matches(lower(client_attempt_id), '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-4[0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}$'), false) as good from ({BATCH})),
- g as (select b.*, array_to_string({WORDS.replace('text', 'raw_arranged')}, ' ') as arranged, {WORDS} as w, s.first_id is not null as known from b left join ({STORED}) s on s.student_id = b.student_id and s.client_attempt_id = b.client_attempt_id),
- j as (select *, case when not good then 'invalid_id' when known then null when passage_id % 9 = 0 then 'not_in_scope' when not has_item then 'not_orderable_now' when step not in (1, 2) then 'unknown_step' when len(w) < 2 then 'not_orderable' when mistakes not between 0 and 999 or restarts not between 0 and 999 then 'invalid_counter' when {NORMAL.format("array_to_string(w, ' ')")} <> {NORMAL.format("arranged")} then 'incomplete_sentence' when step = 1 and restarts <> 0 then 'step1_never_restarts' when step = 2 and mistakes - restarts * (case when len(w) >= 12 then 2 else 1 end) not between 0 and (case when len(w) >= 12 then 1 else 0 end) then 'step2_counts_inconsistent' end as refused from g)
- select id, case when not good then 'rejected' when known then 'replayed' when refused is not null then 'rejected' when id = min(case when refused is null then id end) over (partition by student_id, case when good then client_attempt_id else cast(id as varchar) end) then 'stored' else 'replayed' end as outcome, case when not good or (not known and refused is not null) then refused end as reason from j""",
+    f"""with i as ({ITEMS}), c as (select passage_id, count(*) as items from i group by 1),
+ g as (select b.*, {GOOD_ID.replace('client', 'b.client')} as good, array_to_string({WORDS.replace('text', 'raw_arranged')}, ' ') as arranged, i.w, s.first_id is not null as known from ({BATCH}) b left join i on i.id = b.sentence_id left join ({STORED}) s on s.student_id = b.student_id and s.client_attempt_id = b.client_attempt_id),
+ j as (select *, case when not good then 'invalid_id' when known then null when passage_id % 9 = 0 then 'not_in_scope' when w is null then 'not_orderable_now' else {REASON} end as refused from g),
+ o as (select *, case when not good then 'rejected' when known then 'replayed' when refused is not null then 'rejected' when id = min(case when refused is null then id end) over (partition by student_id, case when good then client_attempt_id else cast(id as varchar) end) then 'stored' else 'replayed' end as outcome from j)
+ select id, outcome, case when outcome = 'rejected' then refused end as reason, case when outcome = 'stored' then arranged end as arranged, case when outcome = 'stored' then len(w) end as word_count, case when outcome = 'stored' then passage_id % 5 end as passage_revision, case when outcome = 'stored' then items end as stage_item_count, case when outcome = 'rejected' then null when known then true else {CLEAN_RUN} end as correct from o left join c using (passage_id)""",
 )
 def _(f):
-    batch = f.sql(BATCH)
-    items = batch.where("has_item").select("sentence_id", "text").distinct()
-    allowed = batch.where("passage_id % 9 <> 0").select("student_id", "passage_id")
+    batch = arranged(f.sql(BATCH))
+    items = P.practice_items(f.sentences).select(F.col("id").alias("sentence_id"), "passage_id", "text")
     stored = f.sql(STORED).withColumn("stored_correct", F.lit(True))
-    arranged = batch.withColumn("arranged", F.array_join(T.sentence_words(F.col("raw_arranged")), " ")).drop("text")
-    return P.submit_attempts(arranged, stored, allowed, items).select("id", "outcome", "reason")
+    passages = f.documents.select(F.col("doc_id").alias("passage_id"), (F.col("doc_id") % 5).alias("revision"))
+    done = P.submit_attempts(batch, stored, batch.where("passage_id % 9 <> 0").select("student_id", "passage_id"), items, passages)
+    correct = F.when((F.col("outcome") != "rejected"), F.col("correct"))
+    return done.select("id", "outcome", "reason", "response.arranged", F.col("response.word_count").cast("long").alias("word_count"), "passage_revision", "stage_item_count", correct.alias("correct"))
 
 
-I3_WORDS = f"(select id, {WORDS} as w from @sentences where id % 4 = 0)"
+I3_WORDS = f"(select id, {WORDS} as w from @sentences)"
+WORD = NORMAL.format("unnest(w)")
 
 
-@query("i3_answer_indexes", f"with a as (select id, place, word, row_number() over (partition by id, word order by place) as turn from (select id, generate_subscripts(w, 1) - 1 as place, lower(unnest(w)) as word from {I3_WORDS})), c as (select id, place, word, row_number() over (partition by id, word order by place) as turn from (select id, len(w) - generate_subscripts(w, 1) as place, lower(unnest(w)) as word from {I3_WORDS})) select a.id, string_agg(cast(c.place as varchar), ',' order by a.place) as indexes from a join c on c.id = a.id and c.word = a.word and c.turn = a.turn group by a.id")
+@query("i3_answer_indexes", f"with a as (select id, place, word, row_number() over (partition by id, word order by place) as turn from (select id, generate_subscripts(w, 1) - 1 as place, {WORD} as word from {I3_WORDS})), c as (select id, place, word, row_number() over (partition by id, word order by place) as turn from (select id, len(w) - generate_subscripts(w, 1) as place, {WORD} as word from {I3_WORDS})) select a.id, string_agg(cast(c.place as varchar), ',' order by a.place) as indexes from a join c on c.id = a.id and c.word = a.word and c.turn = a.turn group by a.id")
 def _(f):
-    rows = f.sentences.where("id % 4 = 0").select("id", T.sentence_words(F.col("text")).alias("answer")).where(F.size("answer") > 0).withColumn("chips", F.reverse("answer"))
+    rows = f.sentences.select("id", T.sentence_words(F.col("text")).alias("answer")).where(F.size("answer") > 0).withColumn("chips", F.reverse("answer"))
     return P.answer_indexes(rows, "id", "chips", "answer").select("id", F.array_join(F.col("indexes").cast("array<string>"), ",").alias("indexes"))
 
 
-@query("i4_built_sentence", f"select id, array_to_string(list_reverse(w), ' ') as built from (select id, {WORDS} as w from @sentences)")
+@query("i4_attempt_payload", f"select id as sentence_id, step, array_to_string(list_reverse(w), ' ') as arranged, mistakes, restarts, {CLEAN_RUN} as clean from (select id, {WORDS} as w, cast(id % 2 + 1 as int) as step, cast(id % 3 as int) as mistakes, cast(id % 5 as int) as restarts from @sentences)")
 def _(f):
-    rows = f.sentences.select("id", T.sentence_words(F.col("text")).alias("words"))
-    chosen = F.reverse(F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: i < F.size("words")))
-    return rows.select("id", P.built_sentence(chosen, F.col("words")).alias("built"))
+    i = F.col("id")
+    rows = f.sentences.select(i.alias("sentence_id"), T.sentence_words(F.col("text")).alias("words"), (i % 2 + 1).cast("int").alias("step"), (i % 3).cast("int").alias("mistakes"), (i % 5).cast("int").alias("restarts"))
+    chosen = F.reverse(F.filter(F.sequence(F.lit(0), F.size("words")), lambda k: k < F.size("words")))
+    return P.attempt_payload(rows.withColumn("chosen", chosen)).withColumn("clean", P.run_is_clean(F.col("step"), F.col("mistakes"), F.col("restarts")))
 
 
-@query("i5_chip_bank")
+@query("i5_chip_bank", f"select id, array_to_string(case when len(mixed) > 1 and mixed = plain then list_append(plain[2:], 0) else mixed end, ',') as bank from (select id, list(i order by md5(concat_ws(':', '7', cast(id as varchar), cast(i as varchar))), i) as mixed, list(i order by i) as plain from (select id, unnest(range(len(w))) as i from ({ITEMS})) group by 1)")
 def _(f):
     return P.chip_bank(P.practice_items(f.sentences), seed=7).select("id", F.array_join(F.col("bank").cast("array<string>"), ",").alias("bank"))
 
 
-@query("i6_chip_batches", f"select id, b as batch, array_to_string(w[b * 4 + 1 : b * 4 + 4], ' ') as chips from (select id, w, unnest(range(0, cast(greatest(ceil(len(w) / 4.0), 1) as bigint))) as b from (select id, {WORDS} as w from @sentences where id % 4 = 1))")
+@query("i6_chip_batches", f"select id, b as batch, array_to_string(w[b * 4 + 1 : b * 4 + 4], ' ') as chips from (select id, w, unnest(range(0, cast(greatest(ceil(len(w) / 4.0), 1) as bigint))) as b from (select id, {WORDS} as w from @sentences))")
 def _(f):
-    rows = f.sentences.where("id % 4 = 1").select("id", T.sentence_words(F.col("text")).alias("words"))
+    rows = f.sentences.select("id", T.sentence_words(F.col("text")).alias("words"))
     return P.chip_batches(rows, "id", "words").select("id", F.col("batch").cast("long").alias("batch"), F.array_join("chips", " ").alias("chips"))
 
 
@@ -97,15 +105,32 @@ def _(f):
     return P.cycle_progress(f.attempts).withColumn("clears", F.array_join("clears", ","))
 
 
-@query("j2_cycle_progress_active")
+#: Items that are still there, for the keys of two students of three; for the others all count.
+ACTIVE = "case when student_id % 3 > 0 then ['sentence:view', 'sentence:click', 'sentence:error', 'sentence:purchase'] end"
+
+
+@query(
+    "j2_cycle_progress_active",
+    f"""with recursive a as (select student_id, passage_id, stage, item_key, stage_item_count as n, {ACTIVE} as act, created_at, row_number() over (partition by student_id, passage_id, stage order by created_at, id) as rn from @attempts where correct and stage_item_count > 0),
+ r as (select student_id, passage_id, stage, 0::bigint as rn, 0 as completed, cast([] as varchar[]) as clears, 0 as correct_clears, null::timestamp as updated_at from a where rn = 1
+ union all select student_id, passage_id, stage, rn, case when skip then completed when closed then completed + 1 else completed end, case when skip then b when closed then cast([] as varchar[]) else u end, case when skip then correct_clears when closed then (completed + 1) * n else completed * n + len(u) end, case when skip then updated_at else created_at end
+ from (select *, len(u) >= n as closed, repeated and not (len(u) >= n and act is not null) as skip from (select *, case when repeated then b else list_append(b, item_key) end as u from (select *, list_contains(b, item_key) as repeated from (select a.*, r.completed, r.correct_clears, r.updated_at, case when act is null then r.clears else list_filter(r.clears, lambda x: list_contains(a.act, x)) end as b from r join a on a.student_id = r.student_id and a.passage_id = r.passage_id and a.stage = r.stage and a.rn = r.rn + 1)))))
+ select student_id, passage_id, stage, completed, completed + 1 as current_cycle, array_to_string(list_sort(clears), ',') as clears, correct_clears, updated_at from r qualify row_number() over (partition by student_id, passage_id, stage order by rn desc) = 1""",
+)
 def _(f):
-    active = f.attempts.select(*P.PROGRESS_KEY).distinct().withColumn("active_items", F.array(F.lit("sentence:view"), F.lit("sentence:click"), F.lit("sentence:error"), F.lit("sentence:purchase")))
+    items = F.array(*[F.lit(f"sentence:{x}") for x in ("view", "click", "error", "purchase")])
+    active = f.attempts.where("student_id % 3 > 0").select(*P.PROGRESS_KEY).distinct().withColumn("active_items", items)
     return P.cycle_progress(f.attempts, active=active).withColumn("clears", F.array_join("clears", ","))
 
 
-@query("j3_rebuild_progress", FOLD.format(source="(select id, student_id, passage_id, stage, item_key, correct, created_at, 3 as stage_item_count from @attempts)") + " select student_id, passage_id, stage, completed, correct_clears from f")
+#: Catalogs of a passage as they were published over time: items of a set, by what was sold.
+CATALOG_LOG = "select event_id as catalog_id, event_id % 3 as passage_id, cast(user_id % 5 as int) as items, ts as updated_at from @events where event_type = 'signup'"
+LATEST = f"(select passage_id, items from ({CATALOG_LOG}) qualify row_number() over (partition by passage_id order by updated_at desc, catalog_id desc) = 1)"
+
+
+@query("j3_rebuild_progress", FOLD.format(source=f"(select a.id, a.student_id, a.passage_id, a.stage, a.item_key, a.correct, a.created_at, c.items as stage_item_count from @attempts a join {LATEST} c on c.passage_id = a.passage_id and c.items > 0)") + " select student_id, passage_id, stage, completed, correct_clears from f")
 def _(f):
-    return P.cycle_progress(f.attempts.withColumn("stage_item_count", F.lit(3))).select("student_id", "passage_id", "stage", "completed", "correct_clears")
+    return P.rebuild_progress(f.attempts, f.sql(CATALOG_LOG)).select("student_id", "passage_id", "stage", "completed", "correct_clears")
 
 
 @query("c6_practice_progress", FOLD.format(source="@attempts") + ", i as (select distinct passage_id, item_key from @attempts where item_key <> 'sentence:error') select g.student_id, g.passage_id, g.stage, (select count(*) from i where i.passage_id = g.passage_id) as total, coalesce(f.correct_clears, 0) as correct_clears, coalesce(f.completed, 0) as completed, coalesce(len(list_filter(f.clears, lambda x: x <> 'sentence:error')), 0) as open_clears, cast(floor(coalesce(f.correct_clears, 0) * 100 / (select count(*) from i where i.passage_id = g.passage_id)) as bigint) as percent from (select s.id as student_id, p as passage_id, k as stage from @students s, (values (0), (1), (2)) as t(p), (values (1), (2)) as u(k)) g left join f on f.student_id = g.student_id and f.passage_id = g.passage_id and f.stage = g.stage")
@@ -116,21 +141,36 @@ def _(f):
     return P.practice_progress(grid, P.cycle_progress(f.attempts), items)
 
 
-@query("j4_replay_taps")
+CAT, LONG_CAT = "the cat saw the dog run", "on Monday the old cat saw the dog run to the Café"
+TAPS = "select user_id as run_id, event_id as seq, case when event_id % 4 < 3 then cast(floor(event_id / 150) as bigint) % 12 else event_id % 14 - 1 end as chip from @events"
+
+
+@query(
+    "j4_replay_taps",
+    f"""with recursive w as (select run_id, string_split(case when run_id % 2 = 0 then '{CAT}' else lower('{LONG_CAT}') end, ' ') as norm, case when run_id % 2 = 0 then 0 else 1 end as allowance from (select distinct user_id as run_id from events)),
+ t as (select t.*, w.norm, w.allowance, row_number() over (partition by run_id order by seq) as rn from ({TAPS}) t join w using (run_id)),
+ r as (select run_id, 0::bigint as rn, cast([] as bigint[]) as used, 0 as slips, 0 as mistakes, 0 as restarts from t where rn = 1
+ union all select run_id, rn, case when ignored then used when good then list_append(used, chip) when slips + 1 > allowance then cast([] as bigint[]) else used end, case when ignored or good then slips when slips + 1 > allowance then 0 else slips + 1 end, case when ignored or good then mistakes else mistakes + 1 end, case when ignored or good or slips + 1 <= allowance then restarts else restarts + 1 end
+ from (select t.*, r.used, r.slips, r.mistakes, r.restarts, len(r.used) >= len(t.norm) or t.chip < 0 or t.chip >= len(t.norm) or list_contains(r.used, t.chip) as ignored, t.norm[t.chip + 1] = t.norm[len(r.used) + 1] as good from r join t on t.run_id = r.run_id and t.rn = r.rn + 1))
+ select run_id, len(used)::int as placed, mistakes, restarts, len(used) >= len(norm) as completed, len(used) >= len(norm) and restarts = 0 as clean from r join w using (run_id) qualify row_number() over (partition by run_id order by rn desc) = 1""",
+)
 def _(f):
-    taps = f.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), (F.col("event_id") % 6).alias("chip"))
-    words = f.events.select(F.col("user_id").alias("run_id")).distinct().withColumn("words", F.split(F.lit("the cat saw the dog run"), " "))
-    return P.replay_taps(taps, words, step=2)
+    sentence = F.when(F.col("run_id") % 2 == 0, CAT).otherwise(LONG_CAT.replace("é", "e\u0301"))
+    words = f.events.select(F.col("user_id").alias("run_id")).distinct().withColumn("words", F.split(sentence, " "))
+    return P.replay_taps(f.sql(TAPS), words, step=2)
 
 
-LOCK = """with recursive t as (select id, identifier, successful, epoch_us(created_at) as us, row_number() over (partition by identifier order by epoch_us(created_at), id) as rn from @logins),
- r as (select id, identifier, rn, false as blocked, case when successful then cast([] as bigint[]) else [us] end as recent from t where rn = 1
- union all select id, identifier, rn, len(l) >= 2, case when len(l) >= 2 or successful then l else list_append(l, us) end from (select t.*, list_filter(r.recent, lambda x: x >= t.us - 900000000) as l from r join t on t.identifier = r.identifier and t.rn = r.rn + 1))"""
+#: Lower limits and a longer window than in earnest, so that the tables' tries meet them.
+LIMITS, WINDOW = {"code": 2, "student_client": 4, "admin_client": 2, "admin": 3}, 7 * 24 * 60
+LOCK = f"""with recursive t as (select id, realm, successful, epoch_us(created_at) as us, case when admin then 'admin_client' else 'student_client' end as kind1, case when admin then {LIMITS["admin_client"]} else {LIMITS["student_client"]} end as most1, case when admin then 'admin' else 'code' end as kind2, case when admin then {LIMITS["admin"]} else {LIMITS["code"]} end as most2, concat(admin, client) as who1, case when admin then 'admin' else code end as who2, row_number() over (partition by realm order by epoch_us(created_at), id) as rn from @logins),
+ r as (select realm, 0::bigint as rn, null::bigint as id, null::varchar as blocked_by, cast([] as struct(who varchar, us bigint)[]) as failed from t where rn = 1
+ union all select realm, rn, id, blocked_by, case when blocked_by is null and not successful then list_concat(recent, [{{'who': who1, 'us': us}}, {{'who': who2, 'us': us}}]) else recent end
+ from (select *, case when len(list_filter(recent, lambda x: x.who = who1)) >= most1 then kind1 when len(list_filter(recent, lambda x: x.who = who2)) >= most2 then kind2 end as blocked_by from (select t.*, list_filter(r.failed, lambda x: x.us >= t.us - {WINDOW * 60_000_000}) as recent from r join t on t.realm = r.realm and t.rn = r.rn + 1)))"""
 
 
-@query("j5_login_lockout", LOCK + " select identifier, id from r where blocked")
+@query("j5_login_lockout", LOCK + " select realm, id, blocked_by from r where blocked_by is not null")
 def _(f):
-    return P.login_lockout(f.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp"))), limit=2)
+    return P.login_lockout(f.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp"))), LIMITS, WINDOW)
 
 
 THIN = """with recursive t as (select user_id as session_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from @events),
@@ -144,9 +184,20 @@ def _(f):
     return P.thin_touches(touches, minutes=600)
 
 
-@query("j7_session_intervals", "select id, created_at, least(expires_at, coalesce(revoked_at, expires_at)) as ended_at from @sessions")
+ENDINGS = {
+    "logouts": "select user_id * 100 + cast(extract(day from ts) as bigint) as session_id, ts as happened_at from @events where event_type = 'error'",
+    "code_changes": "select user_id as student_id, ts as happened_at from @events where event_type = 'purchase' and event_id % 3 = 0",
+    "deactivations": "select user_id as student_id, ts as happened_at from @events where event_id % 101 = 0",
+}
+FIRST_END = "(select min(happened_at) from ({}) e where e.{} = s.{} and e.happened_at >= s.created_at) as {}"
+
+
+@query(
+    "j7_session_intervals",
+    f"select id, student_id, created_at, ended_at, case when logout = ended_at then 'logout' when code_change = ended_at then 'code_change' when deactivated = ended_at then 'deactivated' else 'expiry' end as reason from (select *, least(expires_at, coalesce(logout, expires_at), coalesce(code_change, expires_at), coalesce(deactivated, expires_at)) as ended_at from (select s.id, s.user_id as student_id, s.created_at, s.expires_at, {FIRST_END.format(ENDINGS['logouts'], 'session_id', 'id', 'logout')}, {FIRST_END.format(ENDINGS['code_changes'], 'student_id', 'user_id', 'code_change')}, {FIRST_END.format(ENDINGS['deactivations'], 'student_id', 'user_id', 'deactivated')} from @sessions s))",
+)
 def _(f):
-    return f.sessions.select("id", "created_at", F.least("expires_at", F.coalesce("revoked_at", "expires_at")).alias("ended_at"))
+    return P.session_intervals(f.sessions.withColumnRenamed("user_id", "student_id"), *[f.sql(q) for q in ENDINGS.values()])
 
 
 @query("j8_cumulative_clears", "select student_id, passage_id, stage, count(*) as clears, max(created_at) as updated_at from @attempts where correct group by 1, 2, 3")

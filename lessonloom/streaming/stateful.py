@@ -10,27 +10,43 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lessonloom import constants as C
 
 
-def lockout_stream(tries: DataFrame, limit: int, minutes: int = C.FAILURE_WINDOW_MINUTES) -> DataFrame:
-    """(identifier, id) of blocked tries; tries: identifier, id, at_us, successful."""
+def lockout_stream(tries: DataFrame, limits: dict[str, int] = C.LOGIN_LIMITS, minutes: int = C.FAILURE_WINDOW_MINUTES, watermark: str = "1 hour", key: str = "realm") -> DataFrame:
+    """(realm, id, blocked_by) of blocked tries, as ``login_lockout`` has them; tries: realm, id, created_at, successful, admin, code, client.
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        recent, blocked = list(state.get[0]) if state.exists else [], []
+    A realm's state holds the failures of one window; it goes when the watermark passes
+    the last of them by the window.
+    """
+    window = minutes * 60_000_000
+
+    def fold(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kinds, whos, times = state.get if state.exists else ([], [], [])
+        failed, out = list(zip(kinds, whos, times)), []
         rows = pd.concat(list(batches)).sort_values(["at_us", "id"])
-        for at, name, fine in zip(rows["at_us"], rows["id"], rows["successful"]):
-            recent = [x for x in recent if x >= at - minutes * 60_000_000]
-            if len(recent) >= limit:
-                blocked.append(int(name))
+        for at, i, fine, admin, code, client in rows[["at_us", "id", "successful", "admin", "code", "client"]].itertuples(index=False):
+            failed = [x for x in failed if x[2] >= at - window]
+            checks = (("admin_client", client), ("admin", "")) if admin else (("student_client", client), ("code", code))
+            blocked = next((kind for kind, who in checks if sum(x[:2] == (kind, who) for x in failed) >= limits[kind]), None)
+            if blocked:
+                out.append((*name, i, blocked))
             elif not fine:
-                recent.append(int(at))
-        state.update((recent,))
-        yield pd.DataFrame({"identifier": [key[0]] * len(blocked), "id": blocked})
+                failed += [(kind, who, int(at)) for kind, who in checks]
+        state.update(tuple(map(list, zip(*failed))) if failed else ([], [], []))
+        last = max((x[2] for x in failed), default=int(rows["at_us"].max()))
+        state.setTimeoutTimestamp(max((last + window) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, "id", "blocked_by"])
 
-    rows = tries.select("identifier", "id", "at_us", "successful")
-    return rows.groupBy("identifier").applyInPandasWithState(fold, "identifier long, id long", "recent array<long>", "append", "NoTimeout")
+    timed = tries.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", watermark)
+    rows = timed.select(key, "id", "created_at", F.unix_micros("created_at").alias("at_us"), "successful", "admin", "code", "client")
+    kind = lambda c: tries.schema[c].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind(key)}, id {kind('id')}, blocked_by string", "kinds array<string>, whos array<string>, times array<long>", "append", "EventTimeTimeout")
 
 
 def thin_stream(touches: DataFrame, minutes: int = C.TOUCH_MINUTES) -> DataFrame:
@@ -49,7 +65,7 @@ def thin_stream(touches: DataFrame, minutes: int = C.TOUCH_MINUTES) -> DataFrame
         yield pd.DataFrame({"session_id": [key[0]] * len(kept), "at_us": kept})
 
     rows = touches.select("session_id", "at_us", "started_us")
-    return rows.groupBy("session_id").applyInPandasWithState(fold, "session_id long, at_us long", "last long", "append", "NoTimeout")
+    return rows.groupBy("session_id").applyInPandasWithState(fold, f"session_id {touches.schema['session_id'].dataType.simpleString()}, at_us long", "last long", "append", "NoTimeout")
 
 
 def tap_stream(taps: DataFrame, step: int) -> DataFrame:

@@ -1,6 +1,8 @@
 """Golden values of the domain: tokens, grading, runs, cycles, editor rows, periods."""
 
+import collections
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +38,35 @@ def test_grading(spark):
     assert got == {k: c[5:] for k, c in enumerate(cases)}
 
 
+def test_grading_composes(spark):
+    """A composed and a decomposed answer are the same sentence."""
+    rows = spark.createDataFrame([(0, "Café au lait", 1, "Cafe\u0301 au lait", 0, 0), (1, "Cafe\u0301 au lait", 1, "café  au\u00a0lait ", 0, 0), (2, "Café au lait", 1, "Cafe au lait", 0, 0)], "id int, text string, step int, arranged string, mistakes int, restarts int")
+    assert {r.id: r.reason for r in P.grade_attempts(rows).collect()} == {0: None, 1: None, 2: "incomplete_sentence"}
+
+
+def test_json_keeps_types(spark):
+    doc = '{"n":1,"o":{"k":[1,2]},"b":true,"z":null}'
+    rows = spark.createDataFrame([(doc,)], "d string")
+    d = F.col("d")
+    got = rows.select(T.json_merge(d, F.lit('{"s":"x"}')).alias("m"), T.json_put(d, ["o", "v"], F.lit("2.5")).alias("p"), T.json_put(d, ["n", "v"], F.lit("2")).alias("q"), T.json_set(d, "z", F.lit('a "b"')).alias("s")).first()
+    assert json.loads(got.m) == {**json.loads(doc), "s": "x"} and json.loads(got.p)["o"] == {"k": [1, 2], "v": 2.5}
+    assert got.q == doc and json.loads(got.s)["z"] == 'a "b"'
+
+
+def test_fold_of_a_hot_key_in_many_batches(spark):
+    """A key of more rows than an Arrow batch, beside small ones."""
+    taps = spark.range(30_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(-1).alias("session_id"), (F.col("id") * 60_000_000).alias("at_us"), F.lit(None).cast("long").alias("started_us"))
+    got = collections.Counter(r.session_id for r in P.thin_touches(taps, minutes=5).collect())
+    want = collections.Counter()
+    last = {}
+    for i in range(30_000):
+        k = i % 7 if i % 10 == 0 else -1
+        if k not in last or i > last[k] + 5:
+            last[k] = i
+            want[k] += 1
+    assert got == want
+
+
 def attempts(spark, items, sizes):
     at = dt.datetime(2024, 1, 1)
     rows = [(k, 1, 1, 1, i, True, n, at + dt.timedelta(seconds=k)) for k, (i, n) in enumerate(zip(items, sizes))]
@@ -106,7 +137,7 @@ def test_chip_bank_is_never_the_sentence(spark):
 def test_validation_splits(spark):
     from lessonloom.operators import rules as R
 
-    rows = spark.createDataFrame([(1, "Ann", "S", "G", "123456"), (2, " ", "S", "G", "12")], "id int, name string, school string, grade string, code string")
+    rows = spark.createDataFrame([(1, "Ann", "S", "G", "123456"), (2, " ", "S", "G", "12"), (3, None, None, None, None)], "id int, name string, school string, grade string, code string").withColumn("fingerprint", F.sha2("code", 256))
     good, bad = R.split_valid(rows, R.student_rules())
     assert [r.id for r in good.collect()] == [1]
-    assert [r.violations for r in bad.collect()] == [["name", "code"]]
+    assert [r.violations for r in bad.collect()] == [["name", "code"], ["name", "school", "grade", "code", "fingerprint"]]

@@ -59,9 +59,12 @@ def test_lockout_and_touches(spark):
     from lessonloom.streaming import stateful as T
 
     frames = Frames(spark, FOLDER)
-    tries = frames.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp")))
-    got = drain(T.lockout_stream(as_stream(tries), limit=2, minutes=600), "locked", "append")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.login_lockout(tries, limit=2, minutes=600).collect()))
+    from lessonloom.plans.progress import LIMITS, WINDOW
+
+    tries = frames.logins.withColumns({"at_us": F.unix_micros(F.col("created_at").cast("timestamp")), "realm": F.concat(F.lit("school:"), "realm")})
+    got = drain(T.lockout_stream(as_stream(tries), LIMITS, WINDOW), "locked", "append")
+    want = P.login_lockout(tries, LIMITS, WINDOW).collect()
+    assert len(want) > 100 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
     touches = frames.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.lit(None).cast("long").alias("started_us"))
     got = drain(T.thin_stream(as_stream(touches), minutes=600), "touches", "append")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, P.thin_touches(touches, minutes=600).collect()))
