@@ -179,7 +179,7 @@ def small_side(rows: DataFrame, width: int) -> DataFrame:
 
 
 #: Bytes of rows that travel to Python in one Arrow batch (a batch lies in memory several times).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def in_small_batches(rows: DataFrame) -> DataFrame:

@@ -24,9 +24,10 @@ documents of their own; a table without words has targets 0; other columns are i
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,12 +98,13 @@ def schedule(spark: SparkSession, targets: list[float], block: int) -> DataFrame
     slots = round(total / block) if total else 0
     edges = np.minimum(np.round(np.cumsum(targets) / total * FRACTION), FRACTION).astype(np.int64)[:-1] if total else np.empty(0, np.int64)
 
-    @F.pandas_udf("int")
-    def source_at(place: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, place.to_numpy(), "right").astype(np.int32))
+    def with_source(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            slot = part.column(0).to_numpy()
+            number = np.searchsorted(edges, slot % FRACTION * GOLDEN % FRACTION, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(number), pa.array(slot // SLOT_RUN), pa.array(np.ones(len(slot), np.int32))], ["slot", "number", "run", "one"])
 
-    number = source_at(F.pmod(F.pmod("slot", F.lit(FRACTION)) * GOLDEN, F.lit(FRACTION)))
-    drawn = spark.range(1, slots + 1).select(F.col("id").alias("slot")).select("slot", number.alias("number"), F.floor(F.col("slot") / SLOT_RUN).alias("run"), F.lit(1).alias("one"))
+    drawn = spark.range(1, slots + 1).mapInArrow(with_source, "slot long, number int, run long, one int")
     return running(drawn, ["number"], "run", ["slot"], "one", "rank").select("number", "rank")
 
 
