@@ -1,12 +1,15 @@
-"""Versioned content: editor matching, structure merges, saves, imports, consolidation, cascades, and the lexical pipeline."""
+"""Versioned content: editor matching, structure merges, saves, drafts, publication and imports."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lessonloom.functions.text import flatten_space
-from lessonloom.operators.tables import drop_redundant_on_relink, ordered_text, relink, renumber
+from lessonloom.functions.session import with_plain_unions
+from lessonloom.functions.text import flatten_space, json_put
+from lessonloom.operators.rules import passage_rules, row_rules, violations, with_group_size, with_owned
+from lessonloom.operators.tables import global_rank, ordered_text, renumber
+from lessonloom.sources.readers import upsert
 
 
 def match_editor_rows(previous: DataFrame, following: DataFrame) -> DataFrame:
@@ -24,13 +27,14 @@ def match_editor_rows(previous: DataFrame, following: DataFrame) -> DataFrame:
     return first.join(places, ["passage_id", "position"], "left").select("passage_id", "position", F.coalesce("text_id", "place_id").alias("matched_id"))
 
 
+@with_plain_unions
 def merge_structure(current: DataFrame, following: DataFrame) -> DataFrame:
     """Sentence rows of an edit with the TITLE and SUBTITLE rows of the stored version around them, in their new order.
 
     current: passage_id, sentence_index, id, block_type, paragraph_index. following: passage_id, position, id.
     Structural rows before the first sentence lead; others go before the next kept
     sentence of the stored order, or to the end. A kept sentence keeps its paragraph, a
-    new one takes that of the row before it.
+    new one takes that of the row before it. position is that of the edit, null for structural rows.
     """
     kept = following.where("id is not null").select("passage_id", "id").distinct().withColumn("kept", F.lit(True))
     rows = current.join(kept, ["passage_id", "id"], "left").withColumn("is_sentence", F.col("block_type") == "SENTENCE")
@@ -42,13 +46,13 @@ def merge_structure(current: DataFrame, following: DataFrame) -> DataFrame:
     spot = following.where("id is not null").groupBy("passage_id", F.col("id").alias("anchor")).agg(F.min("position").alias("spot"))
     structural = structural.join(spot, ["passage_id", "anchor"], "left")
     zone = F.when(F.col("seen") == 0, 0).when(F.col("spot").isNotNull(), 1).otherwise(2)
-    a = structural.select("passage_id", "id", "block_type", "paragraph_index", zone.alias("zone"), F.coalesce("spot", F.lit(-1)).cast("long").alias("spot"), F.lit(0).alias("own"), "sentence_index")
+    a = structural.select("passage_id", "id", "block_type", "paragraph_index", F.lit(None).cast("long").alias("position"), zone.alias("zone"), F.coalesce("spot", F.lit(-1)).cast("long").alias("spot"), F.lit(0).alias("own"), "sentence_index")
     stored_paragraph = current.select("passage_id", "id", F.col("paragraph_index").alias("paragraph_index"))
-    b = following.join(stored_paragraph, ["passage_id", "id"], "left").select("passage_id", "id", F.lit("SENTENCE").alias("block_type"), "paragraph_index", F.lit(1).alias("zone"), F.col("position").cast("long").alias("spot"), F.lit(1).alias("own"), F.lit(0).cast("long").alias("sentence_index"))
+    b = following.join(stored_paragraph, ["passage_id", "id"], "left").select("passage_id", "id", F.lit("SENTENCE").alias("block_type"), "paragraph_index", F.col("position").cast("long").alias("position"), F.lit(1).alias("zone"), F.col("position").cast("long").alias("spot"), F.lit(1).alias("own"), F.lit(0).cast("long").alias("sentence_index"))
     both = a.withColumn("sentence_index", F.col("sentence_index").cast("long")).unionByName(b)
     order = Window.partitionBy("passage_id").orderBy("zone", "spot", "own", "sentence_index")
     carried = F.coalesce(F.last("paragraph_index", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return both.select("passage_id", (F.row_number().over(order) - 1).cast("long").alias("place"), "id", "block_type", carried.alias("paragraph_index"))
+    return both.select("passage_id", (F.row_number().over(order) - 1).cast("long").alias("place"), "id", "block_type", carried.alias("paragraph_index"), "position")
 
 
 def revision_diff(previous: DataFrame, following: DataFrame) -> DataFrame:
@@ -60,13 +64,56 @@ def revision_diff(previous: DataFrame, following: DataFrame) -> DataFrame:
     return both.select("id", change.alias("change"))
 
 
-def save_passages(current: DataFrame, merged: DataFrame) -> DataFrame:
-    """Stored rows after a save: merged rows with their new index; others inactive, with indexes from a million on."""
-    new = merged.select("passage_id", "id", F.col("place").alias("sentence_index"), F.lit(True).alias("active"))
-    ids = merged.where("id is not null").select("id")
-    gone = current.select("passage_id", "id", F.col("sentence_index").alias("old")).join(ids, "id", "left_anti")
-    moved = renumber(gone, "passage_id", ["old", "id"], "rank").select("passage_id", "id", (F.col("rank") + 1_000_000).alias("sentence_index"), F.lit(False).alias("active"))
-    return new.unionByName(moved)
+STORED_ROW = ["passage_id", "id", "sentence_index", "text", "translation", "block_type", "paragraph_index", "active"]
+
+
+@with_plain_unions
+def save_passages(passages: DataFrame, stored: DataFrame, requests: DataFrame, rows: DataFrame, most: int = 160) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(passages, rows, outcomes) after the saves of an editor.
+
+    passages: id, title, grade, source_label, source_text, revision. stored: the columns of
+    STORED_ROW, ids as text. requests, one a passage: passage_id, title, grade, source_type,
+    source_year, source_month, source_label, expected_revision (null: no check).
+    rows: passage_id, position, id, text, translation.
+
+    A save is refused for the first of: invalid_passage, invalid_rows, unknown, conflict,
+    too_many_rows, foreign_rows. An accepted one puts its rows into the stored structure;
+    rows that it leaves out become inactive and move to 1,000,000 and their former rank; the
+    passage gets the given fields, a new source text and the next revision.
+    """
+    merged = merge_structure(stored.where("active"), rows)
+    given = rows.withColumns({"block_type": F.lit("SENTENCE"), "paragraph_index": F.lit(0)})
+    judged = violations(with_group_size(with_owned(given, stored), "passage_id"), row_rules(most))
+    foreign = F.array_contains("violations", "owned")
+    by_passage = judged.groupBy("passage_id").agg(F.bool_or(F.size("violations") > foreign.cast("int")).alias("bad"), F.bool_or(foreign).alias("foreign"))
+    sizes = merged.groupBy("passage_id").agg(F.count("*").alias("merged"))
+    asked = violations(requests, passage_rules()).join(by_passage, "passage_id", "left").join(sizes, "passage_id", "left").join(passages.select(F.col("id").alias("passage_id"), "revision"), "passage_id", "left")
+    outcome = (
+        F.when(F.size("violations") > 0, "invalid_passage")
+        .when(F.coalesce("bad", F.lit(True)), "invalid_rows")
+        .when(F.col("revision").isNull(), "unknown")
+        .when(F.col("expected_revision") != F.col("revision"), "conflict")
+        .when(F.col("merged") > most, "too_many_rows")
+        .when(F.col("foreign"), "foreign_rows")
+        .otherwise("saved")
+    )
+    asked = asked.withColumn("outcome", outcome)
+    accepted = asked.where("outcome = 'saved'").select("passage_id", (F.col("revision") + 1).alias("next"), *[F.trim(c).alias(f"new_{c}") for c in ("title", "grade")], F.trim(F.coalesce("source_label", F.lit(""))).alias("new_label"))
+    saved = merged.join(accepted.select("passage_id", "next"), "passage_id")
+    texts = rows.select("passage_id", F.col("position").cast("long").alias("position"), F.trim("text").alias("new_text"), F.trim("translation").alias("new_translation"))
+    saved = saved.join(texts, ["passage_id", "position"], "left").join(stored.select("passage_id", "id", "text", "translation"), ["passage_id", "id"], "left")
+    own = F.col("position").isNull()  # structural rows keep their text
+    new_id = F.coalesce("id", F.sha2(F.concat_ws(":", "passage_id", "next", "place"), 256))
+    saved = saved.select("passage_id", new_id.alias("id"), F.col("place").alias("sentence_index"), F.when(own, F.col("text")).otherwise(F.col("new_text")).alias("text"), F.when(own, F.col("translation")).otherwise(F.col("new_translation")).alias("translation"), "block_type", F.col("paragraph_index").cast("int").alias("paragraph_index"), F.lit(True).alias("active"))
+    ranked = renumber(stored, "passage_id", ["sentence_index", "id"], "rank").join(accepted.select("passage_id"), "passage_id", "left_semi")
+    gone = ranked.join(saved.select("passage_id", "id"), ["passage_id", "id"], "left_anti").withColumns({"sentence_index": 1_000_001 + F.col("rank"), "active": F.lit(False)})
+    untouched = stored.join(accepted.select("passage_id"), "passage_id", "left_anti")
+    after = saved.unionByName(gone.select(*STORED_ROW)).unionByName(untouched.select(*STORED_ROW))
+    sources = ordered_text(saved.where("block_type = 'SENTENCE'"), "passage_id", "sentence_index", "text").withColumnRenamed("source_text", "new_source")
+    changed = passages.join(accepted.withColumnRenamed("passage_id", "id"), "id", "left").join(sources.withColumnRenamed("passage_id", "id"), "id", "left")
+    take = lambda new, old: F.when(F.col("next").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
+    fields = [take("new_title", "title"), take("new_grade", "grade"), take("new_label", "source_label"), take("new_source", "source_text"), F.coalesce("next", "revision").alias("revision")]
+    return changed.select("id", *fields, F.when(F.col("next").isNotNull(), "pending").otherwise("current").alias("status")), after, asked.select("passage_id", "outcome", "revision")
 
 
 def reject_stale(edits: DataFrame, passages: DataFrame) -> DataFrame:
@@ -83,66 +130,104 @@ def reject_stale(edits: DataFrame, passages: DataFrame) -> DataFrame:
     return judged.select("edit_id", "passage_id", "revision", outcome.alias("outcome"))
 
 
-def create_passages(requests: DataFrame, texts: DataFrame, top: Column) -> DataFrame:
-    """Passage rows of valid requests with derived ids, source text and display order.
+def create_passages(requests: DataFrame, rows: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new passages, their rows, refused requests with violations).
 
-    requests: request_id, title. texts: request_id, position, text, block_type.
+    requests: request_id (a number without repeats), title, grade, source_type, source_year,
+    source_month, source_label. rows: request_id, ordinal (from 1), text, translation,
+    block_type (null: SENTENCE), paragraph_index. Ids are made of the request; passages come
+    after the last of those there are, in the order of requests.
     """
-    text = ordered_text(texts.where("block_type = 'SENTENCE'"), "request_id", "position", "text")
-    rows = requests.join(text, "request_id", "left")
-    order = F.row_number().over(Window.partitionBy("title").orderBy("request_id"))
-    return rows.select("request_id", F.sha2(F.col("request_id").cast("string"), 256).alias("id"), "title", F.coalesce("source_text", F.lit("")).alias("source_text"), (top + order).cast("long").alias("display_order"))
+    whole = rows.withColumns({"block_type": F.coalesce("block_type", F.lit("SENTENCE")), "owned": F.lit(None).cast("boolean")})
+    judged_rows = violations(with_group_size(whole, "request_id"), row_rules())
+    bad = judged_rows.groupBy("request_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("violations", lambda v: F.concat(F.lit("row_"), v)))))).alias("row_violations"))
+    judged = violations(requests, passage_rules()).join(bad, "request_id", "left")
+    judged = judged.withColumn("violations", F.concat("violations", F.coalesce("row_violations", F.array(F.lit("row_count")))))
+    good = judged.where(F.size("violations") == 0)
+    id_of = F.sha2(F.concat(F.lit("passage:"), F.col("request_id").cast("string")), 256)
+    top = passages.agg((F.coalesce(F.max("display_order"), F.lit(-1)) + 1).alias("top"))
+    kept = judged_rows.join(good.select("request_id"), "request_id", "left_semi").withColumn("text", F.trim("text"))
+    source = ordered_text(kept.where("block_type = 'SENTENCE'"), "request_id", "ordinal", "text")
+    placed = global_rank(good.select("request_id"), "request_id", "rank").crossJoin(F.broadcast(top))
+    made = good.join(placed, "request_id").join(source, "request_id", "left")
+    new = made.select(id_of.alias("id"), "request_id", F.trim("title").alias("title"), F.trim("grade").alias("grade"), "source_type", F.trim(F.coalesce("source_label", F.lit(""))).alias("source_label"), "source_text", (F.col("top") + F.col("rank")).alias("display_order"))
+    new_rows = kept.select(id_of.alias("passage_id"), (F.col("ordinal") - 1).alias("sentence_index"), "text", F.trim(F.coalesce("translation", F.lit(""))).alias("translation"), "block_type", F.coalesce("paragraph_index", F.lit(0)).alias("paragraph_index"))
+    return new, new_rows, judged.where(F.size("violations") > 0).select("request_id", "violations")
+
+
+def publish(drafts: DataFrame, passages: DataFrame, catalogs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(catalogs, passages, refused drafts): a draft of the passage's current revision becomes its catalog, others are refused.
+
+    drafts: passage_id, expected_revision, workbook_key, catalog. passages: id, revision, status,
+    catalog_revision. catalogs: passage_id, workbook_key, catalog, revision.
+    """
+    judged = drafts.join(passages.select(F.col("id").alias("passage_id"), "revision"), "passage_id", "left").withColumn("fits", F.coalesce(F.col("expected_revision") == F.col("revision"), F.lit(False)))
+    fresh = judged.where("fits").select("passage_id", "workbook_key", "catalog", "revision")
+    after = upsert(catalogs, fresh, ["passage_id"], ["workbook_key", "catalog", "revision"])
+    told = passages.join(fresh.select(F.col("passage_id").alias("id"), F.col("revision").alias("published")), "id", "left")
+    told = told.withColumns({"status": F.when(F.col("published").isNotNull(), "current").otherwise(F.col("status")), "catalog_revision": F.coalesce("published", "catalog_revision")}).drop("published")
+    return after, told, judged.where("not fits").select("passage_id", F.when(F.col("revision").isNull(), "unknown").otherwise("conflict").alias("reason"))
+
 
+def studio_save(saves: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(passages, refused saves): a save of the current revision and version replaces the state, with the next version in it.
+
+    saves: passage_id, expected_revision, expected_version, state (JSON). passages: id, revision, state (JSON or null: version 0).
+    """
+    version = F.coalesce(F.get_json_object("state", "$.version").cast("long"), F.lit(0))
+    now = passages.select(F.col("id").alias("passage_id"), "revision", version.alias("version"))
+    judged = saves.join(now, "passage_id", "left")
+    reason = F.when(F.col("revision").isNull(), "unknown").when(~F.col("expected_revision").eqNullSafe(F.col("revision")), "revision").when(~F.col("expected_version").eqNullSafe(F.col("version")), "version")
+    judged = judged.withColumn("reason", reason)
+    # jsonb keeps what is saved and sets the version
+    fresh = judged.where("reason is null").select(F.col("passage_id").alias("id"), json_put(F.coalesce("state", F.lit("{}")), ["version"], (F.col("version") + 1).cast("string")).alias("fresh"))
+    after = passages.join(fresh, "id", "left").withColumn("state", F.coalesce("fresh", "state")).drop("fresh")
+    return after, judged.where("reason is not null").select("passage_id", "reason")
 
-def publish(drafts: DataFrame, stored: DataFrame) -> DataFrame:
-    """Catalogs whose expected revision is the stored one, as published at that revision."""
-    rows = drafts.join(stored.select(F.col("id").alias("passage_id"), "revision"), "passage_id")
-    return rows.select("passage_id", (F.col("expected_revision") == F.col("revision")).alias("published"), F.when(F.col("expected_revision") == F.col("revision"), F.col("revision")).alias("catalog_revision"))
+
+def create_drafts(jobs: DataFrame, rows: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(jobs with their passage, new passages, their rows, refused): a job that has a passage already keeps it.
+
+    jobs: job_id, passage_id, and the fields of ``create_passages``; rows: request_id = job_id and the rest.
+    """
+    due = jobs.where("passage_id is null").withColumnRenamed("job_id", "request_id")
+    new, new_rows, refused = create_passages(due.drop("passage_id"), rows.join(due.select("request_id"), "request_id", "left_semi"), passages)
+    told = jobs.join(new.select(F.col("request_id").alias("job_id"), F.col("id").alias("made")), "job_id", "left")
+    return told.withColumn("passage_id", F.coalesce("passage_id", "made")).drop("made"), new, new_rows, refused
 
 
 def publisher_import(given: DataFrame, stored: DataFrame) -> DataFrame:
-    """Per passage whether it is new, or its active rows equal the input row by row, or differ.
+    """Per passage whether it is new and valid, or its active rows equal the input row by row (number, index, text, translation), or differ, or is invalid.
 
-    both: passage_id, sentence_index, text, translation.
+    both: passage_id, id, sentence_index, text, translation; given: block_type, paragraph_index.
     """
-    value = F.struct("text", "translation")
+    value = F.struct("id", "text", "translation")
     a = given.select("passage_id", "sentence_index", value.alias("a"))
     b = stored.select("passage_id", "sentence_index", value.alias("b"))
     both = a.join(b, ["passage_id", "sentence_index"], "full")
     counts = both.groupBy("passage_id").agg(F.count("a").alias("given"), F.count("b").alias("stored"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("equal"))
-    state = F.when(F.col("stored") == 0, "new").when((F.col("given") == F.col("stored")) & (F.col("equal") == F.col("given")), "verified").otherwise("differs")
-    return counts.where("given > 0").select("passage_id", state.alias("state"))
-
-
-def supersede(jobs: DataFrame) -> DataFrame:
-    """Of several ready jobs of one source the latest stays ready; the older fail."""
-    turn = F.row_number().over(Window.partitionBy("source", "status").orderBy(F.desc("finished_at"), F.desc("id")))
-    return jobs.withColumn("status", F.when((F.col("status") == "ready") & (turn > 1), "failed").otherwise(F.col("status")))
-
-
-def consolidate_parts(links: DataFrame, keepers: DataFrame) -> DataFrame:
-    """Links on keepers alone, redundant ones dropped, positions closed. keepers: old, keeper."""
-    once = drop_redundant_on_relink(links, keepers, "passage_id", ["exam_id"])
-    return renumber(once.withColumnRenamed("position", "old"), "exam_id", ["old", "passage_id"]).select("exam_id", "passage_id", "position")
+    judged = violations(with_group_size(given.withColumn("owned", F.lit(None).cast("boolean")), "passage_id"), row_rules())
+    bad = judged.groupBy("passage_id").agg(F.bool_or((F.size("violations") > 0) | F.col("id").isNull()).alias("bad"))
+    state = F.when(F.col("stored") == 0, F.when(F.col("bad"), "invalid").otherwise("new")).when((F.col("given") == F.col("stored")) & (F.col("equal") == F.col("given")), "verified").otherwise("differs")
+    return counts.where("given > 0").join(bad, "passage_id").select("passage_id", state.alias("state"))
 
 
-def consolidate_rows(rows: DataFrame, keepers: DataFrame, parts: DataFrame) -> DataFrame:
-    """Sentences of all parts under their keeper, numbered by part, then index. parts: passage_id, part."""
-    moved = relink(rows.withColumn("from_passage", F.col("passage_id")), keepers, "passage_id").join(parts.select(F.col("passage_id").alias("from_passage"), "part"), "from_passage")
-    return renumber(moved.withColumnRenamed("sentence_index", "old"), "passage_id", ["part", "old", "id"], "sentence_index").select("id", "passage_id", "sentence_index")
+def finish_jobs(jobs: DataFrame, states: DataFrame, waiting: str, done: str, failed: str = "failed") -> DataFrame:
+    """Jobs after an import: a waiting one whose passage is new or verified is done, one whose passage is not has failed; of several done jobs of one source the latest stays, the older fail.
 
-
-def cascade_delete(tables: dict[str, DataFrame], keys: dict[str, str], ids: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the rows of the deleted entities; keys names each table's reference."""
-    gone = ids.select(F.col("id").alias("gone_id")).distinct()
-    return {name: df.join(gone, df[keys[name]] == gone["gone_id"], "left_anti") for name, df in tables.items()}
+    jobs: id, passage_id, source, status, finished_at. states: passage_id, state.
+    """
+    judged = jobs.join(states, "passage_id", "left")
+    fine = F.col("state").isin("new", "verified")
+    status = F.when((F.col("status") == waiting) & fine, done).when((F.col("status") == waiting) & F.col("state").isNotNull(), failed).otherwise(F.col("status"))
+    return supersede(judged.withColumn("status", status).drop("state"), done, failed)
 
 
-def import_questions(bundle: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Upsert with a generation: later rows of a bundle win; a known key keeps its generation, a new one starts at 1."""
-    last = bundle.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("line")))).where("turn = 1").select(*keys, F.col("prompt").alias("new_prompt"), F.lit(True).alias("incoming"))
-    both = stored.withColumn("is_stored", F.lit(True)).join(last, keys, "full")
-    return both.select(*keys, F.when(F.col("incoming"), F.col("new_prompt")).otherwise(F.col("prompt")).alias("prompt"), F.when(F.col("is_stored"), F.col("generation")).otherwise(1).cast("long").alias("generation"))
+def supersede(jobs: DataFrame, done: str, failed: str = "failed") -> DataFrame:
+    """Of several done jobs of one source the latest stays so; the older fail. A job without a source stays as it is."""
+    turn = F.row_number().over(Window.partitionBy("source", "status").orderBy(F.desc("finished_at"), F.desc("id")))
+    older = (F.col("status") == done) & F.col("source").isNotNull() & (turn > 1)
+    return jobs.withColumn("status", F.when(older, failed).otherwise(F.col("status")))
 
 
 def propagate_updated_at(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
@@ -159,47 +244,3 @@ def word_changelog(events: DataFrame, saved: DataFrame) -> tuple[DataFrame, Data
     last = events.groupBy(*keys).agg(F.max_by("known", "seen_at").alias("known"), F.max(F.when(F.col("known"), F.col("seen_at"))).alias("known_at"))
     left = saved.join(last.select(*keys, "known_at"), keys, "left").where("known_at is null or saved_at > known_at").select(*saved.columns)
     return last.where("known").select(*keys, F.lit(True).alias("known")), left
-
-
-# --- lexical pipeline -------------------------------------------------------------
-
-LEXICAL = "struct<sentences:array<struct<id:long,tokens:array<string>,concepts:array<struct<key:string,occurrence:string,tokenIndexes:array<int>>>>>>"
-
-
-def explode_lexical(df: DataFrame, document: str) -> tuple[DataFrame, DataFrame]:
-    """(tokens, concepts) of nested lexical documents; missing arrays count as empty."""
-    sentences = df.select("passage_id", F.explode(F.from_json(document, LEXICAL)["sentences"]).alias("s"))
-    tokens = sentences.select("passage_id", F.col("s.id").alias("sentence_id"), F.posexplode("s.tokens").alias("token_index", "form"))
-    concepts = sentences.select("passage_id", F.col("s.id").alias("sentence_id"), F.explode("s.concepts").alias("c")).select("passage_id", "sentence_id", F.col("c.key").alias("concept_key"), F.col("c.occurrence").alias("occurrence_key"), F.coalesce("c.tokenIndexes", F.array().cast("array<int>")).alias("token_indexes"))
-    return tokens, concepts
-
-
-def map_token_indexes(concepts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Forms of each concept's tokens in their listed order, and whether all were found."""
-    keys = ["sentence_id", "occurrence_key"]
-    listed = concepts.select(*keys, F.posexplode("token_indexes").alias("turn", "token_index"))
-    found = listed.join(tokens.select("sentence_id", "token_index", "form"), ["sentence_id", "token_index"])
-    forms = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("turn", "form"))).alias("x"))
-    rows = concepts.join(forms, keys, "left")
-    return rows.select(*keys, "concept_key", F.array_join(F.coalesce(F.col("x.form"), F.array().cast("array<string>")), " ").alias("forms"), (F.size(F.coalesce(F.col("x.form"), F.array().cast("array<string>"))) == F.size("token_indexes")).alias("complete"))
-
-
-def resolve_concepts(incoming: DataFrame, occurrences: DataFrame, aliases: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Concept id of each occurrence: that of its old occurrence, else of an alias, else of the key, else a new one made of the key."""
-    rows = incoming.join(occurrences.select("sentence_id", "occurrence_key", F.col("concept_id").alias("by_old")), ["sentence_id", "occurrence_key"], "left")
-    rows = rows.join(aliases.select("concept_key", F.col("concept_id").alias("by_alias")), "concept_key", "left")
-    rows = rows.join(concepts.select("concept_key", F.col("concept_id").alias("by_key")), "concept_key", "left")
-    return rows.select("sentence_id", "occurrence_key", "concept_key", F.coalesce("by_old", "by_alias", "by_key", F.sha2("concept_key", 256)).alias("concept_id"))
-
-
-def remap_saved(saved: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Saved items on the new occurrences of the same sentence and key; without one they drop out."""
-    found = saved.join(occurrences.select("sentence_id", "occurrence_key", "concept_id"), ["sentence_id", "occurrence_key"])
-    return found.select("saved_id", "sentence_id", "occurrence_key", "concept_id").distinct()
-
-
-def orphans(parents: DataFrame, *children: tuple[DataFrame, str]) -> DataFrame:
-    """Parents that none of the children name."""
-    for child, fk in children:
-        parents = parents.join(child.select(F.col(fk).alias("id")), "id", "left_anti")
-    return parents

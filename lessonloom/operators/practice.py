@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lessonloom import constants as C
+from lessonloom.functions.session import with_plain_unions
 from lessonloom.functions.text import clean_text, item_key, mistake_allowance, normalize_token, progress_percent, sentence_words
 from lessonloom.operators.folds import fold_sorted
 from lessonloom.operators.rules import is_attempt_id
@@ -136,6 +137,7 @@ def chip_batches(items: DataFrame, key: str, chips: str, size: int = 4) -> DataF
 PROGRESS_KEY = ["student_id", "passage_id", "stage"]
 
 
+@with_plain_unions
 def cycle_progress(attempts: DataFrame, keys: list[str] = PROGRESS_KEY, active: DataFrame | None = None) -> DataFrame:
     """completed, current cycle, open clears and correct_clears per key, folded over correct attempts in (created_at, id) order.
 
@@ -200,6 +202,7 @@ def practice_progress(grid: DataFrame, progress: DataFrame, items: DataFrame) ->
     return rows.select(*PROGRESS_KEY, total.alias("total"), F.coalesce("correct_clears", F.lit(0)).alias("correct_clears"), F.coalesce("completed", F.lit(0)).alias("completed"), clears.cast("long").alias("open_clears"), progress_percent(F.coalesce("correct_clears", F.lit(0)), total).alias("percent"))
 
 
+@with_plain_unions
 def replay_taps(taps: DataFrame, words: DataFrame, step: int, run: str = "run_id") -> DataFrame:
     """Runs folded over their taps: placed chips, mistakes, restarts, completed, clean.
 
@@ -238,6 +241,7 @@ def replay_taps(taps: DataFrame, words: DataFrame, step: int, run: str = "run_id
     return fold_sorted(log.unionByName(first), [run], [F.asc_nulls_first("seq")], ["chip", "norm", "seq"], start, tap, "placed int, mistakes int, restarts int, completed boolean, clean boolean", finish)
 
 
+@with_plain_unions
 def thin_touches(touches: DataFrame, minutes: int = C.TOUCH_MINUTES, key: str = "session_id", at: str = "at_us") -> DataFrame:
     """Touches that are written: more than ``minutes`` after the last written one, or after ``started_us``, where a session starts."""
     started = touches.groupBy(key).agg(F.min("started_us").alias("started_us"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lessonloom.functions.session import with_plain_unions
+from lessonloom.functions.text import progress_percent
+
 # --- joins ------------------------------------------------------------------------
 
 
@@ -19,10 +22,26 @@ def current_scope(students: DataFrame, current_exams: DataFrame) -> DataFrame:
     return students.join(current_exams.select(F.col("id").alias("exam_id"), "school", "grade"), ["school", "grade"], "left")
 
 
-def student_home(students: DataFrame, current_exams: DataFrame, links: DataFrame, passages: DataFrame) -> DataFrame:
-    """Every student's passages in the order of the current scope; missing passages drop out."""
+def student_home(students: DataFrame, current_exams: DataFrame, links: DataFrame, passages: DataFrame, items: DataFrame, progress: DataFrame) -> DataFrame:
+    """Every student's passages in the order of the current scope, with the number of orderable sentences and the progress per step; missing passages drop out.
+
+    items: passage_id, item_key. progress: student_id, exam_id, passage_id, stage, completed,
+    current_cycle, clears, correct_clears. steps is a map from the step to (total,
+    correct_clears, completed, current_cycle, clears, percent); clears of items that are no
+    longer there are not reported.
+    """
     scoped = current_scope(students, current_exams).where("exam_id is not null").select(F.col("id").alias("student_id"), "exam_id")
-    return scoped.join(links, "exam_id").join(passages.select(F.col("id").alias("passage_id"), "title"), "passage_id")
+    rows = scoped.join(links, "exam_id").join(passages.select(F.col("id").alias("passage_id"), "title"), "passage_id")
+    counts = items.groupBy("passage_id").agg(F.count("*").alias("sentence_count"))
+    keys = ["student_id", "exam_id", "passage_id"]
+    open_items = progress.select(*keys, "stage", F.explode("clears").alias("item_key")).join(items.select("passage_id", "item_key"), ["passage_id", "item_key"])
+    left = open_items.groupBy(*keys, "stage").agg(F.array_sort(F.collect_set("item_key")).alias("left"))
+    state = progress.join(left, [*keys, "stage"], "left").select(*keys, "stage", "correct_clears", "completed", "current_cycle", F.coalesce("left", F.array().cast("array<string>")).alias("clears"))
+    by_step = [F.max(F.when(F.col("stage") == k, F.struct("correct_clears", "completed", "current_cycle", "clears"))).alias(f"step{k}") for k in (1, 2)]
+    rows = rows.join(counts, "passage_id", "left").join(state.groupBy(*keys).agg(*by_step), keys, "left")
+    total = F.coalesce("sentence_count", F.lit(0))
+    one = lambda k: F.struct(total.alias("total"), F.coalesce(f"step{k}.correct_clears", F.lit(0)).alias("correct_clears"), F.coalesce(f"step{k}.completed", F.lit(0)).alias("completed"), F.coalesce(f"step{k}.current_cycle", F.lit(1)).alias("current_cycle"), F.coalesce(f"step{k}.clears", F.array().cast("array<string>")).alias("clears"), progress_percent(F.coalesce(f"step{k}.correct_clears", F.lit(0)), total).alias("percent"))
+    return rows.select(*keys, "position", "title", total.alias("sentence_count"), F.create_map(F.lit(1), one(1), F.lit(2), one(2)).alias("steps"))
 
 
 def authorize_attempts(attempts: DataFrame, students: DataFrame, current_exams: DataFrame, links: DataFrame) -> DataFrame:
@@ -40,6 +59,7 @@ def replay_known(attempts: DataFrame, stored: DataFrame) -> DataFrame:
     return attempts.withColumn("client_key", F.lower("client_attempt_id")).join(known, ["student_id", "client_key"], "left").drop("client_key")
 
 
+@with_plain_unions
 def set_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys on one side alone, with the side; empty when the sets are equal."""
     left, right = a.select(*keys).distinct(), b.select(*keys).distinct()
@@ -59,10 +79,16 @@ def drop_redundant_on_relink(children: DataFrame, mapping: DataFrame, fk: str, k
     return moved.withColumn("target", target).withColumn("turn", F.row_number().over(first)).where("turn = 1").withColumn(fk, F.col("target")).select(*children.columns)
 
 
-def valid_sessions_at(events: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Events with the session of their user that is open then: created, not expired, not revoked."""
-    s = sessions.select(F.col("id").alias("session_id"), "user_id", "created_at", F.least("expires_at", F.coalesce("revoked_at", "expires_at")).alias("ends_at"))
-    return events.join(s, "user_id").where((F.col("ts") >= F.col("created_at")) & (F.col("ts") < F.col("ends_at"))).select(*events.columns, "session_id")
+def valid_sessions_at(requests: DataFrame, sessions: DataFrame, students: DataFrame) -> DataFrame:
+    """Requests with the session that their token opens: of the actor that is asked for (null: any), created, neither expired nor revoked, its student active.
+
+    requests: token, ts, actor. sessions: id, token_hash, actor_type, student_id, created_at, expires_at, revoked_at. students: id, active.
+    """
+    s = sessions.select(F.col("id").alias("session_id"), "token_hash", "actor_type", "student_id", "created_at", F.least("expires_at", "revoked_at").alias("ends_at"))
+    s = s.join(students.where("active").select(F.col("id").alias("student_id"), F.lit(True).alias("may")), "student_id", "left").where("may or actor_type <> 'student'")
+    found = requests.withColumn("token_hash", F.sha2("token", 256)).join(s, "token_hash")
+    open_then = (F.col("ts") >= F.col("created_at")) & (F.col("ts") < F.col("ends_at")) & (F.col("actor").isNull() | (F.col("actor") == F.col("actor_type")))
+    return found.where(open_then).select(*requests.columns, "session_id")
 
 
 def match_exactly_one(changes: DataFrame, base: DataFrame, keys: list[str], change_id: str, base_id: str) -> DataFrame:
@@ -83,6 +109,27 @@ def candidate_links(scopes: DataFrame, passages: DataFrame, links: DataFrame) ->
     return pairs.join(links.select("exam_id", "passage_id"), ["exam_id", "passage_id"], "left_anti")
 
 
+def admin_listings(students: DataFrame, current_exams: DataFrame, passages: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
+    """The four listings of the administration, each in its order."""
+    return {
+        "students": students.orderBy("school", "grade", "name", "id"),
+        "exams": current_exams.orderBy("school", "grade"),
+        "passages": passages.orderBy("display_order", "id"),
+        "links": links.orderBy("position", "exam_id", "passage_id"),
+    }
+
+
+def admin_scopes(current_exams: DataFrame, passages: DataFrame, links: DataFrame) -> DataFrame:
+    """Per scope its passages in order, and how many passages of its grade it lacks (``candidate_links`` lists them)."""
+    listed = F.array_sort(F.collect_list(F.struct("position", "passage_id")))
+    assigned = links.groupBy("exam_id").agg(listed["passage_id"].alias("assigned"))
+    scopes = current_exams.select(F.col("id").alias("exam_id"), "grade")
+    own = links.join(scopes, "exam_id").join(passages.select(F.col("id").alias("passage_id"), "grade"), ["passage_id", "grade"]).groupBy("exam_id").agg(F.count("*").alias("own"))
+    sizes = passages.groupBy("grade").agg(F.count("*").alias("in_grade"))
+    rows = scopes.join(assigned, "exam_id", "left").join(own, "exam_id", "left").join(sizes, "grade", "left")
+    return rows.select("exam_id", F.coalesce("assigned", F.array().cast("array<long>")).alias("assigned"), (F.coalesce("in_grade", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("candidates"))
+
+
 # --- summaries --------------------------------------------------------------------
 
 
@@ -95,6 +142,7 @@ def learning_progress(students: DataFrame, attempts: DataFrame, since: str) -> D
     return rows.select("student_id", "name", "last_activity", *[F.coalesce(f"{w}_{k}", F.lit(0)).alias(f"{w}_{k}") for k in (1, 2) for w in ("total", "clean")])
 
 
+@with_plain_unions
 def learning_progress_all(students: DataFrame, question_attempts: DataFrame, attempts: DataFrame, since: str) -> DataFrame:
     """Active students with counts of both logs in the period and the last activity ever."""
     logs = question_attempts.select("student_id", "correct", "created_at", F.lit("q").alias("log")).unionByName(attempts.select("student_id", "correct", "created_at", F.lit("w").alias("log")))
@@ -117,6 +165,14 @@ def impact(parents: DataFrame, key: str, **children: DataFrame) -> DataFrame:
     return out
 
 
+def delete_impact(kind: str, parents: DataFrame, ids: DataFrame, **children: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label and dependent rows of each entity to delete, ids that are none): children by name, with student_id or passage_id."""
+    label, key = {"student": ("name", "student_id"), "passage": ("title", "passage_id")}[kind]
+    asked = ids.select("id").distinct()
+    found = impact(parents.join(asked, "id", "left_semi"), key, **children)
+    return found.join(parents.select(F.col("id").alias(key), F.col(label).alias("label")), key), asked.join(parents.select("id"), "id", "left_anti")
+
+
 def cumulative_clears(attempts: DataFrame, keys: list[str]) -> DataFrame:
     """Correct attempts per key, the time and the stage of the latest."""
     return attempts.where("correct").groupBy(*keys).agg(F.count("*").alias("clears"), F.max("created_at").alias("updated_at"), F.max_by("stage", F.struct("created_at", "id")).alias("last_stage"))
@@ -131,6 +187,14 @@ def inconsistent_groups(df: DataFrame, keys: list[str], label: str) -> DataFrame
     return df.groupBy(*keys).agg(F.countDistinct(label).alias("labels")).where("labels <> 1")
 
 
+def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that are null in part or as a whole, or occur more than once, with their number."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | null)
+
+
 def non_contiguous_groups(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     spread = df.groupBy(*keys).agg((F.max(position) - F.min(position) + 1).alias("spread"), F.count("*").alias("n"))
     return spread.where("spread <> n")
@@ -161,6 +225,26 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str], columns: list[st
     return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("x")).select(*keys, *[F.col(f"x.{c}").alias(c) for c in columns])
 
 
+def latest_resolved(events: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Per key the latest lookup that was resolved, and how many lookups of each reason there were."""
+    order = F.when(F.col("resolved"), F.struct("created_at", "id"))
+    counts = [F.count_if(F.col("reason") == r).alias(f"{r}_lookups") for r in ("initial", "retry")]
+    latest = events.groupBy(*by).agg(F.max_by(F.struct(*columns), order).alias("x"), F.max(order).alias("at"), *counts)
+    return latest.where("at is not null").select(*by, *[F.col(f"x.{c}").alias(c) for c in columns], "initial_lookups", "retry_lookups")
+
+
+def merge_word_states(states: DataFrame, mapping: DataFrame) -> DataFrame:
+    """States of words after their passages were merged: known if any was, with the latest change and the first creation. mapping: old, keeper."""
+    moved = relink(states, mapping, "passage_id")
+    return moved.groupBy("student_id", "passage_id", "word").agg(F.bool_or("known").alias("known"), F.max("updated_at").alias("updated_at"), F.min("created_at").alias("created_at"))
+
+
+def lacking_matches(items: DataFrame, sources: DataFrame, saved: DataFrame, item_key: str, keys: list[str]) -> DataFrame:
+    """Items with sources none of which is saved: what a migration has lost. sources: item_key and keys; saved: keys."""
+    kept = sources.join(saved.select(*keys).distinct(), keys, "left_semi").select(item_key)
+    return items.join(sources.select(item_key).distinct(), item_key, "left_semi").join(kept, item_key, "left_anti")
+
+
 # --- windows ----------------------------------------------------------------------
 
 
@@ -169,12 +253,28 @@ def renumber(df: DataFrame, part: str, order: list, name: str = "position") -> D
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1).cast("long"))
 
 
+def global_rank(df: DataFrame, key: str, name: str, cells: int = 256) -> DataFrame:
+    """Adds the place of each row among all, from 0, by a numeric key without repeats.
+
+    Rows are cut at quantiles of the key; what meets in one place is one count a cell.
+    """
+    probs = [k / cells for k in range(1, cells)]
+    bounds = sorted(set(df.agg(F.percentile_approx(key, probs, 10_000).alias("q")).first()["q"] or []))
+    cell = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    rows = df.withColumn("cell", cell)
+    starts = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    starts = starts.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("cell_start"))
+    inside = F.row_number().over(Window.partitionBy("cell").orderBy(key)) - 1
+    return rows.withColumn("inside", inside).join(F.broadcast(starts), "cell").withColumn(name, (F.col("cell_start") + F.col("inside")).cast("long")).drop("cell", "inside", "cell_start")
+
+
 def pick_keeper(passages: DataFrame, label: Column, order: list) -> DataFrame:
     """(old, keeper) for all rows of a label."""
     first = F.first("id").over(Window.partitionBy("label").orderBy(*order))
     return passages.withColumn("label", label).select(F.col("id").alias("old"), first.alias("keeper"), "label")
 
 
+@with_plain_unions
 def append_members(links: DataFrame, additions: DataFrame, replace: bool = False) -> DataFrame:
     """Members with new ones at the end, in input order (ordinal); with ``replace``, members that the input lacks go first."""
     kept = links.join(additions.select("exam_id", "passage_id"), ["exam_id", "passage_id"], "left_semi") if replace else links
@@ -202,9 +302,34 @@ def failed_login_window(log: DataFrame, limit: int, minutes: int = 15) -> DataFr
     return counted.withColumn("locked", F.col("failures") >= limit).drop("at_us")
 
 
-def sync_grade_scope(links: DataFrame, exams: DataFrame, passages: DataFrame) -> DataFrame:
-    """Links of passages whose grade fits their scope, compacted, with missing passages of the grade at the end."""
-    fits = links.join(exams.select(F.col("id").alias("exam_id"), F.col("grade").alias("g")), "exam_id").join(passages.select(F.col("id").alias("passage_id"), F.col("grade").alias("h")), "passage_id").where("g = h")
+def sync_grade_scope(links: DataFrame, scopes: DataFrame, passages: DataFrame, grades: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(links of the scopes after every passage has found its grade's scopes, grades without a scope).
+
+    scopes: id, grade, the test scopes of some grades; passages of other grades go nowhere.
+    Passages of another grade leave a scope, the rest closes up, missing ones of its grade
+    come at the end. A passage of a listed grade that has no scope is an error.
+    """
+    own = scopes.where(F.col("grade").isin(*grades))
+    fits = links.join(own.select(F.col("id").alias("exam_id"), "grade"), "exam_id").join(passages.select(F.col("id").alias("passage_id"), "grade"), ["passage_id", "grade"])
     compact = renumber(fits.select("exam_id", "passage_id", F.col("position").alias("old")), "exam_id", ["old", "passage_id"]).drop("old")
-    extra = candidate_links(exams, passages, compact).withColumn("ordinal", F.col("passage_id"))
-    return append_members(compact, extra)
+    extra = candidate_links(own, passages, compact).withColumn("ordinal", F.col("passage_id"))
+    missing = passages.where(F.col("grade").isin(*grades)).select("grade").distinct().join(own.select("grade"), "grade", "left_anti")
+    return append_members(compact, extra), missing
+
+
+def surviving_links(links: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of which each scope keeps one a lesson, set to the lesson's keeper: (links, changed ones, scopes and lessons that do not end on their keeper).
+
+    aliases: passage_id, lesson, keeper. The survivor is the first link by position; a scope
+    that holds the keeper under another lesson keeps that link as it is.
+    """
+    known = links.join(aliases, "passage_id", "left")
+    turn = F.row_number().over(Window.partitionBy("exam_id", "lesson").orderBy("position", "passage_id"))
+    judged = known.withColumn("turn", F.when(F.col("lesson").isNotNull(), turn))
+    removed, moved = F.coalesce(F.col("turn") > 1, F.lit(False)), F.coalesce((F.col("turn") == 1) & (F.col("passage_id") != F.col("keeper")), F.lit(False))
+    judged = judged.withColumns({"removed": removed, "moved": moved})
+    left = judged.where("not removed").withColumn("passage_id", F.coalesce("keeper", "passage_id"))
+    changed = judged.where("removed or moved").select("exam_id", "passage_id", F.when(F.col("removed"), "removed").otherwise("moved").alias("change"))
+    ends = left.select("exam_id", F.col("passage_id").alias("keeper"))
+    failed = judged.where("lesson is not null").select("exam_id", "lesson", "keeper").distinct().join(ends, ["exam_id", "keeper"], "left_anti")
+    return left.select(*links.columns), changed, failed

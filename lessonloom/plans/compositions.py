@@ -1,0 +1,544 @@
+"""Queries of the compositions: saves, imports, scopes, consolidation, cascades, banks and the lexical pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lessonloom.functions import text as T
+from lessonloom.operators import banks as B
+from lessonloom.operators import consolidation as M
+from lessonloom.operators import content as K
+from lessonloom.operators import lexical as L
+from lessonloom.operators import scopes as S
+from lessonloom.operators import tables as O
+from lessonloom.plans.frames import query
+from lessonloom.plans.progress import STRUCTURE
+from lessonloom.plans.texts import BUNDLE, RULED
+
+
+def told(**tables):
+    """Rows of several tables as one: table, key, value (texts)."""
+    out = None
+    for name, df in tables.items():
+        one = df.select(F.lit(name).alias("name"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- saves ------------------------------------------------------------------------
+
+#: Passages over the documents, and saves of them: some stale, malformed, of unknown passages, or with rows of others.
+TEXTBOOKS = "select doc_id as id, source as title, lang as grade, concat('Lesson ', cast(floor(doc_id / 3) as bigint), ' · Part ', doc_id % 3 + 1) as source_label, case when doc_id % 10 = 9 then 'MOCK_EXAM' else 'TEXTBOOK' end as source_type, '' as source_text, doc_id % 5 as revision, doc_id % 7 as display_order, doc_id % 4 as created_at from @documents"
+SAVES = "select doc_id + case when doc_id % 31 = 0 then 10000000 else 0 end as passage_id, case when doc_id % 11 = 5 then ' ' else concat(' ', source, ' ') end as title, lang as grade, 'TEXTBOOK' as source_type, cast(null as int) as source_year, cast(null as int) as source_month, case when doc_id % 2 = 0 then 'label' end as source_label, case when doc_id % 3 = 1 then doc_id % 6 end as expected_revision from @documents where doc_id % 8 > 0"
+SAVED_ROWS = "select passage_id + case when passage_id % 31 = 0 then 10000000 else 0 end as passage_id, position, case when passage_id % 13 = 4 and position = 1 then id + 100000 else id end as id, case when passage_id % 9 = 2 and position = 2 then ' ' else concat(coalesce(nullif(trim(text), ''), 'new'), ' ') end as text, coalesce(nullif(trim(translation), ''), 'x') as translation from @edited where passage_id % 8 > 0"
+DUCK_SAVES = f"""with st as (select * from @sentences), ed as ({SAVED_ROWS}), m as ({STRUCTURE.format(current="(select * from st where active)", edited="ed")}),
+ r as (select ed.passage_id, bool_or(length(trim(ed.text)) not between 1 and 5000 or length(trim(ed.translation)) not between 1 and 5000) or count(*) not between 1 and 160 as bad, bool_or(ed.id is not null and s.id is null) as alien from ed left join st s on s.id = ed.id and s.passage_id = ed.passage_id group by 1),
+ o as (select q.*, p.revision, case when length(trim(q.title)) not between 1 and 120 then 'invalid_passage' when coalesce(r.bad, true) then 'invalid_rows' when p.revision is null then 'unknown' when q.expected_revision <> p.revision then 'conflict' when (select count(*) from m where m.passage_id = q.passage_id) > 160 then 'too_many_rows' when r.alien then 'foreign_rows' else 'saved' end as outcome from ({SAVES}) q left join r using (passage_id) left join ({TEXTBOOKS}) p on p.id = q.passage_id),
+ n as (select m.passage_id, coalesce(cast(m.id as varchar), sha256(concat_ws(':', m.passage_id, o.revision + 1, m.place))) as id, m.id as old_id, m.place as sentence_index, case when m.position is null then s.text else trim(e.text) end as text, m.block_type, m.paragraph_index from m join o on o.passage_id = m.passage_id and o.outcome = 'saved' left join st s on s.id = m.id and s.passage_id = m.passage_id left join ed e on e.passage_id = m.passage_id and e.position = m.position)"""
+
+
+def saves(f):
+    stored = f.sentences.select("passage_id", F.col("id").cast("string").alias("id"), "sentence_index", "text", "translation", "block_type", "paragraph_index", "active")
+    rows = f.sql(SAVED_ROWS).withColumn("id", F.col("id").cast("string"))
+    return K.save_passages(f.sql(TEXTBOOKS), stored, f.sql(SAVES), rows)
+
+
+@query("k2_save_outcomes", f"{DUCK_SAVES} select passage_id, outcome, revision from o")
+def _(f):
+    return saves(f)[2]
+
+
+@query("k2_save_passages", f"{DUCK_SAVES} select p.id, coalesce(trim(o.title), p.title) as title, p.grade, case when o.passage_id is not null then trim(coalesce(o.source_label, '')) else p.source_label end as source_label, case when o.passage_id is not null then sha256((select string_agg(n.text, ' ' order by n.sentence_index) from n where n.passage_id = p.id and n.block_type = 'SENTENCE')) else sha256('') end as source_text, p.revision + case when o.passage_id is not null then 1 else 0 end as revision, case when o.passage_id is not null then 'pending' else 'current' end as status from ({TEXTBOOKS}) p left join o on o.passage_id = p.id and o.outcome = 'saved'")
+def _(f):
+    return saves(f)[0].withColumn("source_text", F.sha2("source_text", 256))
+
+
+@query(
+    "k2_save_rows",
+    f"{DUCK_SAVES} select passage_id, id, sentence_index, sha256(text) as text, block_type, paragraph_index, true as active from n union all select s.passage_id, cast(s.id as varchar), case when k.passage_id is not null then 1000000 + s.rn else s.sentence_index end, sha256(s.text), s.block_type, s.paragraph_index, case when k.passage_id is not null then false else s.active end from (select *, row_number() over (partition by passage_id order by sentence_index, id) as rn from st) s left join (select distinct passage_id from n) k using (passage_id) where k.passage_id is null or not exists (select 1 from n where n.passage_id = s.passage_id and n.old_id = s.id)",
+)
+def _(f):
+    return saves(f)[1].withColumn("text", F.sha2("text", 256)).drop("translation")
+
+
+#: Requests for new passages with rows of documents.
+NEW = "select doc_id as request_id, case when doc_id % 11 = 3 then null else source end as title, lang as grade, case when doc_id % 5 = 0 then 'MOCK_EXAM' else 'TEXTBOOK' end as source_type, case when doc_id % 10 = 0 then 2024 end as source_year, cast(doc_id % 12 + 1 as int) as source_month, lang as source_label from @documents"
+NEW_ROWS = "select passage_id as request_id, sentence_index + 1 as ordinal, concat(text, ' ') as text, case when translation = '' and sentence_index = 14 then '' else concat(translation, 'x') end as translation, case when block_type = 'SENTENCE' and passage_id % 2 = 0 then null else block_type end as block_type, paragraph_index from @sentences"
+DUCK_NEW = f"""with r as ({NEW_ROWS}), k as (select request_id, count(*) not between 1 and 160 as many, bool_or(length(trim(text)) not between 1 and 5000) as bad_text, bool_or(coalesce(block_type, 'SENTENCE') = 'SENTENCE' and length(trim(translation)) not between 1 and 5000) as bad_translation from r group by 1),
+ q as (select q.*, concat_ws(',', case when (length(trim(title)) not between 1 and 120) is not false then 'title' end, case when source_type = 'MOCK_EXAM' and source_year is null then 'mock_exam' end, case when many is not false and many is null then 'row_count' end, case when many then 'row_row_count' end, case when bad_text then 'row_text' end, case when bad_translation then 'row_translation' end) as violations from ({NEW}) q left join k using (request_id))"""
+
+
+def created(f):
+    return K.create_passages(f.sql(NEW), f.sql(NEW_ROWS), f.passages)
+
+
+@query("k1_create_passages", f"{DUCK_NEW} select request_id, sha256(concat('passage:', request_id)) as id, trim(title) as title, source_label, sha256((select string_agg(trim(text), ' ' order by ordinal) from r where r.request_id = q.request_id and coalesce(block_type, 'SENTENCE') = 'SENTENCE')) as source_text, (select max(display_order) from @passages) + row_number() over (order by request_id) as display_order from q where violations = ''")
+def _(f):
+    return created(f)[0].select("request_id", "id", "title", "source_label", F.sha2("source_text", 256).alias("source_text"), "display_order")
+
+
+@query("k1_new_rows", f"{DUCK_NEW} select sha256(concat('passage:', request_id)) as passage_id, ordinal - 1 as sentence_index, sha256(trim(text)) as text, coalesce(block_type, 'SENTENCE') as block_type, paragraph_index from r join q using (request_id) where violations = ''")
+def _(f):
+    return created(f)[1].select("passage_id", "sentence_index", F.sha2("text", 256).alias("text"), "block_type", "paragraph_index")
+
+
+@query("k1_refused", f"{DUCK_NEW} select request_id, violations from q where violations <> ''")
+def _(f):
+    return created(f)[2].select("request_id", F.array_join("violations", ",").alias("violations"))
+
+
+EDITS = "select event_id as edit_id, event_id % (2 * n) as passage_id, case when event_id % 3 > 0 then event_id % 5 end as expected_revision from @events cross join (select count(*) as n from @part)"
+
+
+@query("k3_reject_stale", f"select edit_id, passage_id, revision, case when revision is null then 'unknown' when fits and (expected_revision is null or row_number() over (partition by passage_id, fits order by edit_id) = 1) then 'accepted' else 'conflict' end as outcome from (select e.*, p.revision, p.revision is not null and (e.expected_revision is null or e.expected_revision = p.revision) as fits from ({EDITS}) e left join @passages p on p.id = e.passage_id)")
+def _(f):
+    return K.reject_stale(f.sql(EDITS), f.passages)
+
+
+# --- scopes -----------------------------------------------------------------------
+
+#: One request a school and grade, with passages of which some are of another grade, or named twice.
+SCHOOLS, GRADES, PAIRS = ["NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5"], ["AUTOMOBILE", "BUILDING", "MACHINERY", "HOUSEHOLD"], {"NATION_3": "BUILDING"}
+REQUESTS = "select min(c_custkey) as request_id, n_name as school, c_mktsegment as grade, min(c_custkey) % 2 = 0 as replace, min(c_custkey) % 5 as kind from @customer join @nation on c_nationkey = n_nationkey group by n_name, c_mktsegment"
+WANTED = f"select r.request_id, p.id as passage_id, row_number() over (partition by r.request_id order by p.display_order, p.id desc) - 1 as ordinal from ({REQUESTS}) r join @graded_passages p on p.id % 7 = r.request_id % 7 and (p.grade = r.grade or (r.kind = 4 and p.grade = 'FURNITURE'))"
+TWICE = "request_id % 9 = 1"
+#: Scopes that there are: all current ones but those of one school.
+SCOPES = "select id, school, grade from @current_exams where school <> 'NATION_5'"
+DUCK_SCOPES = f"""with q as ({REQUESTS}), w as ({WANTED}),
+ v as (select q.*, concat_ws(',', case when school not in {tuple(SCHOOLS)} then 'school' end, case when grade not in {tuple(GRADES)} then 'grade' end, case when school = 'NATION_3' and grade <> 'BUILDING' then 'pair' end, case when {TWICE} and n > 0 then 'repeated_ids' end, case when fit <> n then 'passages' end) as violations from q left join (select request_id, count(*) as n, count(*) filter (where p.grade = r.grade) as fit from w join q r using (request_id) join @graded_passages p on p.id = w.passage_id group by 1) using (request_id)),
+ e as (select v.*, s.id as known_id, case when violations = '' then coalesce(s.id, cast(concat('0x', substr(sha256(concat_ws(':', v.school, v.grade)), 1, 15)) as bigint)) end as exam_id from v left join ({SCOPES}) s on s.school = v.school and s.grade = v.grade),
+ k as (select l.exam_id, l.passage_id, l.position from @links l left join e on e.exam_id = l.exam_id where e.exam_id is null or not e.replace or exists (select 1 from w where w.request_id = e.request_id and w.passage_id = l.passage_id))"""
+
+
+def scope_requests(f):
+    ids = f.sql(WANTED).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "passage_id")))["passage_id"].alias("ids"))
+    rows = f.sql(REQUESTS).join(ids, "request_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
+    return rows.withColumn("ids", F.when(F.expr(TWICE), F.concat("ids", "ids")).otherwise(F.col("ids")))
+
+
+@query("k4_set_scope", f"{DUCK_SCOPES} select exam_id, passage_id, position from k union all select e.exam_id, w.passage_id, coalesce((select max(position) from k where k.exam_id = e.exam_id), -1) + row_number() over (partition by e.exam_id order by w.ordinal) from e join w using (request_id) where e.exam_id is not null and not exists (select 1 from k where k.exam_id = e.exam_id and k.passage_id = w.passage_id)")
+def _(f):
+    return S.set_scope(scope_requests(f), f.sql(SCOPES), f.graded_passages, f.links, SCHOOLS, GRADES, PAIRS)[1]
+
+
+@query("k4_scope_outcomes", f"{DUCK_SCOPES} select request_id, exam_id, exam_id is not null and known_id is null as created, violations from e")
+def _(f):
+    return S.set_scope(scope_requests(f), f.sql(SCOPES), f.graded_passages, f.links, SCHOOLS, GRADES, PAIRS)[0]
+
+
+#: Layouts in reverse order with groups of two; by the exam's number with one fault each.
+LAYOUT = "select exam_id, case when exam_id % 7 = 5 and ordinal = 0 then null else passage_id end as passage_id, ordinal, case when exam_id % 7 = 2 then concat('g', ordinal % 2) else concat(' g', cast(floor(ordinal / 2) as bigint)) end as group_key, case when exam_id % 7 = 4 and ordinal = 0 then ' ' when exam_id % 7 = 1 then concat('label', ordinal) when exam_id % 7 = 2 then concat('label', ordinal % 2) else concat('label', cast(floor(ordinal / 2) as bigint)) end as group_label from (select exam_id, passage_id, row_number() over (partition by exam_id order by position desc) - 1 as ordinal from @links) where not (exam_id % 7 = 3 and ordinal = 0) union all select exam_id, passage_id, 100, null, null from @links where exam_id % 49 = 6 and position = 0"
+DUCK_LAYOUT = f"""with y as (select exam_id, passage_id, ordinal, nullif(trim(group_key), '') as k, nullif(trim(group_label), '') as g from ({LAYOUT})),
+ x as (select exam_id, 1 as r from y where passage_id is null or (k is null) <> (g is null) union all select exam_id, 2 from y group by exam_id, passage_id having count(*) > 1 union all select exam_id, 3 from y where k is not null group by exam_id, k having count(distinct g) <> 1 union all select exam_id, 4 from y where k is not null group by exam_id, k having max(ordinal) - min(ordinal) + 1 <> count(*)
+ union all select y.exam_id, 5 from y left join @links l on l.exam_id = y.exam_id and l.passage_id = y.passage_id where l.passage_id is null union all select l.exam_id, 5 from @links l where exists (select 1 from y where y.exam_id = l.exam_id) and not exists (select 1 from y where y.exam_id = l.exam_id and y.passage_id = l.passage_id)),
+ z as (select exam_id, ['half_group', 'repeated', 'label_conflict', 'split_group', 'not_the_members'][min(r)] as error from x group by 1)"""
+
+
+@query("k4_layout", f"{DUCK_LAYOUT} select l.exam_id, l.passage_id, coalesce(y.ordinal, l.position) as position, y.k as group_key, y.g as group_label from @links l left join y on y.exam_id = l.exam_id and y.passage_id = l.passage_id and l.exam_id not in (select exam_id from z)")
+def _(f):
+    links = f.links.withColumns({"group_key": F.lit(None).cast("string"), "group_label": F.lit(None).cast("string")})
+    return S.set_scope_layout(f.sql(LAYOUT), links, f.exams)[0]
+
+
+@query("k4_layout_errors", f"{DUCK_LAYOUT} select exam_id, error from z")
+def _(f):
+    return S.layout_errors(f.sql(LAYOUT), f.links, f.exams)
+
+
+#: Definitions: two passages in three of those that a scope holds, some of another grade, with empty groups.
+DEFINED = "select l.exam_id, l.passage_id, row_number() over (partition by l.exam_id order by l.position desc) - 1 as ordinal, 'held' as group_key, 'Held' as group_label from @links l join @exams e on e.id = l.exam_id join @graded_passages p on p.id = l.passage_id where (p.grade = e.grade or l.exam_id % 5 = 0) and l.passage_id % 3 > 0"
+EMPTY = "select id as exam_id, case when id % 11 = 0 then ' ' when id % 13 = 0 then 'held' else concat('k', n) end as key, concat(' Group ', n) as label, case when id % 17 = 0 and n = 2 then 'x' else cast(3 - n as varchar(5)) end as \"index\" from @exams, (values (1), (2)) as t(n) where id % 2 = 0"
+DUCK_DEFINED = f"""with i as ({DEFINED}), m as (select exam_id, trim(key) as key, trim(label) as label, "index" as place from ({EMPTY})), a as (select distinct exam_id from (select exam_id from i union all select exam_id from m)),
+ x as (select i.exam_id, 1 as r from i join @exams e on e.id = i.exam_id join @graded_passages p on p.id = i.passage_id where p.grade <> e.grade union all select exam_id, 2 from m where length(key) not between 1 and 80 or not regexp_matches(place, '^[0-9]+$') union all select exam_id, 3 from m group by exam_id, key having count(*) > 1 union all select m.exam_id, 4 from m join i on i.exam_id = m.exam_id and i.group_key = m.key),
+ z as (select exam_id, ['not_of_the_grade', 'empty_group', 'repeated_empty_group', 'group_not_empty'][min(r)] as error from x group by 1), g as (select exam_id from a where exam_id not in (select exam_id from z))"""
+
+
+def defined(f):
+    links = f.links.withColumns({"group_key": F.lit(None).cast("string"), "group_label": F.lit(None).cast("string")})
+    return S.set_scope_definition(f.sql(DEFINED), f.sql(EMPTY.replace('"index"', "index")), links, f.exams, f.graded_passages)
+
+
+@query("k4_definition", f"{DUCK_DEFINED} select exam_id, passage_id, ordinal as position, group_key, group_label from i where exam_id in (select exam_id from g) union all select exam_id, passage_id, position, null, null from @links where exam_id not in (select exam_id from g)")
+def _(f):
+    return defined(f)[0]
+
+
+@query("k4_empty_groups", f"{DUCK_DEFINED} select exam_id, string_agg(concat(place, '=', key, '=', label), ',' order by cast(place as int)) as groups from m where exam_id in (select exam_id from g) group by 1")
+def _(f):
+    return defined(f)[1].select("exam_id", F.array_join(F.transform("empty_groups", lambda x: F.concat_ws("=", x["index"], x["key"], x["label"])), ",").alias("groups"))
+
+
+@query("k4_definition_errors", f"{DUCK_DEFINED} select exam_id, error from z")
+def _(f):
+    return defined(f)[2]
+
+
+# --- publication and imports ------------------------------------------------------
+
+DRAFTS = "select id + case when id % 19 = 0 then 1000000 else 0 end as passage_id, id % 4 as expected_revision, title as workbook_key, concat('{\"n\":', id, '}') as catalog from @passages where id % 5 > 0"
+CATALOGS = "select id as passage_id, 'old' as workbook_key, '{}' as catalog, 0 as revision from @passages where id % 2 = 0"
+
+
+@query("k5_catalogs", f"select coalesce(c.passage_id, d.passage_id) as passage_id, coalesce(d.workbook_key, c.workbook_key) as workbook_key, coalesce(d.catalog, c.catalog) as catalog, coalesce(p.revision, c.revision) as revision from ({CATALOGS}) c full join (select d.* from ({DRAFTS}) d join @passages p on p.id = d.passage_id and p.revision = d.expected_revision) d on d.passage_id = c.passage_id left join @passages p on p.id = d.passage_id")
+def _(f):
+    return published(f)[0]
+
+
+@query("k5_publish", f"select p.id, case when d.passage_id is not null then 'current' else 'pending' end as status, case when d.passage_id is not null then p.revision else -1 end as catalog_revision from @passages p left join ({DRAFTS}) d on d.passage_id = p.id and d.expected_revision = p.revision")
+def _(f):
+    return published(f)[1].select("id", "status", "catalog_revision")
+
+
+@query("k5_refused", f"select d.passage_id, case when p.id is null then 'unknown' else 'conflict' end as reason from ({DRAFTS}) d left join @passages p on p.id = d.passage_id where p.id is null or p.revision <> d.expected_revision")
+def _(f):
+    return published(f)[2]
+
+
+def published(f):
+    passages = f.passages.select("id", "revision", F.lit("pending").alias("status"), F.lit(-1).cast("long").alias("catalog_revision"))
+    return K.publish(f.sql(DRAFTS), passages, f.sql(CATALOGS))
+
+
+STUDIO = "select id, revision, case id % 3 when 0 then null when 1 then '{\"version\":2,\"a\":[1]}' else '{\"a\":true}' end as state from @passages"
+STUDIO_SAVES = "select id + case when id % 19 = 0 then 1000000 else 0 end as passage_id, id % 4 as expected_revision, case when id % 3 = 1 and id % 2 = 0 then 2 else 0 end as expected_version, concat('{\"draft\":', id, ',\"version\":7,\"nested\":{\"x\":\"y\"}}') as state from @passages where id % 5 > 0"
+STUDIO_REASON = "case when p.id is null then 'unknown' when s.expected_revision <> p.revision then 'revision' when s.expected_version <> case when p.id % 3 = 1 then 2 else 0 end then 'version' end"
+
+
+def studio(f):
+    return K.studio_save(f.sql(STUDIO_SAVES), f.sql(STUDIO))
+
+
+@query("k6_studio_save", f"select p.id, case when s.passage_id is not null then p.id when false then 0 end as draft, case when s.passage_id is not null then s.expected_version + 1 when p.id % 3 = 1 then 2 end as version, case when s.passage_id is not null then '{{\"x\":\"y\"}}' end as nested from ({STUDIO}) p left join ({STUDIO_SAVES}) s on s.passage_id = p.id and {STUDIO_REASON} is null")
+def _(f):
+    part = lambda k: F.get_json_object("state", f"$.{k}")
+    return studio(f)[0].select("id", part("draft").cast("long").alias("draft"), part("version").cast("long").alias("version"), part("nested").alias("nested"))
+
+
+@query("k6_refused", f"select s.passage_id, {STUDIO_REASON} as reason from ({STUDIO_SAVES}) s left join ({STUDIO}) p on p.id = s.passage_id where {STUDIO_REASON} is not null")
+def _(f):
+    return studio(f)[1]
+
+
+@query("k6_create_drafts", f"{DUCK_NEW} select request_id as job_id, case when request_id % 6 = 0 then 'done' when violations = '' then sha256(concat('passage:', request_id)) end as passage_id from q")
+def _(f):
+    jobs = f.sql(NEW).withColumnRenamed("request_id", "job_id").withColumn("passage_id", F.when(F.col("job_id") % 6 == 0, "done"))
+    return K.create_drafts(jobs, f.sql(NEW_ROWS), f.passages)[0].select("job_id", "passage_id")
+
+
+#: Input of a publisher: new passages, equal ones, and some with another text, fewer rows or a blank translation.
+GIVEN = "select passage_id, case when passage_id % 15 = 10 and sentence_index = 0 then null else id end as id, sentence_index, case when passage_id % 4 = 1 and sentence_index = 0 then concat(text, '!') else text end as text, coalesce(nullif(translation, ''), 'x') as translation, block_type, paragraph_index from @sentences where not (passage_id % 6 = 2 and sentence_index = 1)"
+HELD = "select passage_id, id, sentence_index, text, coalesce(nullif(translation, ''), 'x') as translation from @sentences where passage_id % 5 <> 0"
+STATES = f"""select passage_id, case when bool_and(h_id is null) then case when count(g_at) not between 1 and 160 or bool_or(g_at is not null and (g_id is null or length(trim(g_text)) not between 1 and 5000 or (block_type = 'SENTENCE' and length(trim(g_translation)) not between 1 and 5000))) then 'invalid' else 'new' end when bool_and(g_at is not null and h_id is not null and g_id is not distinct from h_id and g_text = h_text and g_translation = h_translation) then 'verified' else 'differs' end as state
+ from (select coalesce(g.passage_id, h.passage_id) as passage_id, g.sentence_index as g_at, g.id as g_id, h.id as h_id, g.text as g_text, h.text as h_text, g.translation as g_translation, h.translation as h_translation, g.block_type from ({GIVEN}) g full join ({HELD}) h on h.passage_id = g.passage_id and h.sentence_index = g.sentence_index) group by 1 having count(g_at) > 0"""
+
+
+@query("k7_publisher_import", STATES)
+def _(f):
+    return K.publisher_import(f.sql(GIVEN), f.sql(HELD))
+
+
+JOBS = "select event_id as id, event_id % n as passage_id, case when event_id % 9 > 0 then user_id % 40 end as source, case event_type when 'view' then 'waiting' when 'click' then 'done' else event_type end as status, ts as finished_at from @events cross join (select count(*) as n from @documents)"
+
+
+@query("k7_finish_jobs", f"select id, case when status = 'done' and source is not null and row_number() over (partition by source, status order by finished_at desc, id desc) > 1 then 'failed' else status end as status from (select j.id, j.source, j.finished_at, case when j.status = 'waiting' and s.state in ('new', 'verified') then 'done' when j.status = 'waiting' and s.state is not null then 'failed' else j.status end as status from ({JOBS}) j left join ({STATES}) s using (passage_id))")
+def _(f):
+    return K.finish_jobs(f.sql(JOBS), K.publisher_import(f.sql(GIVEN), f.sql(HELD)), waiting="waiting", done="done").select("id", "status")
+
+
+# --- consolidation ----------------------------------------------------------------
+
+#: The keeper of a passage: the first part of its lesson (parts of other sources stay).
+KEEPER = "case when {0} % 10 = 9 or {0} >= (select count(*) from @documents) then {0} when {0} - {0} % 3 >= 0 and ({0} - {0} % 3) % 10 <> 9 then {0} - {0} % 3 else {0} - {0} % 3 + 1 end"
+SAVED_WORDS = "select student_id, passage_id, word, meaning as meaning_key from @lookups where word <> '' group by all"
+STATES_OF_WORDS = "select student_id, passage_id, word, bool_or(resolved) as known, max(created_at) as updated_at, min(created_at) as created_at from @lookups group by 1, 2, 3"
+
+
+def consolidated(f):
+    words = f.lookups.select("student_id", F.col("id").alias("passage_id"), "word", "meaning", "resolved", "created_at")
+    children = {
+        "links": f.links,
+        "saved_words": words.where("word <> ''").select("student_id", "passage_id", "word", F.col("meaning").alias("meaning_key")).distinct(),
+        "word_states": words.select("student_id", "passage_id", "word", F.col("resolved").alias("known"), F.col("created_at").alias("updated_at"), "created_at"),
+        "sentences": f.sentences.select("id", "passage_id", "sentence_index", "text"),
+        "questions": f.questions.select("id", F.col("passage_id").cast("long").alias("passage_id")),
+        "lookups": f.lookups.select("id", "student_id", F.col("id").alias("passage_id")),
+        "translation_views": f.attempts.select("id", "passage_id"),
+        "saved_sentences": f.sentences.where("sentence_index % 5 = 0").select("id", "passage_id"),
+    }
+    return M.consolidate_parts(f.sql(TEXTBOOKS), children)
+
+
+@query("k8_links", f"select exam_id, passage_id, position from (select exam_id, k as passage_id, position, row_number() over (partition by exam_id, k order by k <> passage_id, passage_id) as rn from (select *, {KEEPER.format('passage_id')} as k from @links)) where rn = 1")
+def _(f):
+    return consolidated(f)["links"]
+
+
+@query("k8_words", f"select student_id, k as passage_id, word, meaning_key from (select distinct student_id, word, meaning as meaning_key, {KEEPER.format('id')} as k from @lookups where word <> '')")
+def _(f):
+    return consolidated(f)["saved_words"]
+
+
+@query("k8_states", f"select student_id, {KEEPER.format('id')} as passage_id, word, bool_or(resolved) as known, max(created_at) as updated_at, min(created_at) as created_at from @lookups group by 1, 2, 3")
+def _(f):
+    return consolidated(f)["word_states"]
+
+
+MERGED_ROWS = f"select id, k as passage_id, case when passage_id % 10 = 9 then sentence_index else row_number() over (partition by k order by passage_id % 3, sentence_index, id) - 1 end as sentence_index, text from (select *, {KEEPER.format('passage_id')} as k from @sentences)"
+
+
+@query("k8_sentences", f"select id, passage_id, sentence_index from ({MERGED_ROWS})")
+def _(f):
+    return consolidated(f)["sentences"].select("id", "passage_id", "sentence_index")
+
+
+@query("k8_passages", f"select p.id, case when source_type = 'TEXTBOOK' then concat('Lesson ', cast(floor(id / 3) as bigint)) else title end as title, case when source_type = 'TEXTBOOK' then concat('Lesson ', cast(floor(id / 3) as bigint)) else source_label end as source_label, sha256(case when source_type = 'TEXTBOOK' then (select string_agg(text, ' ' order by sentence_index) from ({MERGED_ROWS}) m where m.passage_id = p.id) else '' end) as source_text from ({TEXTBOOKS}) p where {KEEPER.format('id')} = id")
+def _(f):
+    return consolidated(f)["passages"].select("id", "title", "source_label", F.sha2("source_text", 256).alias("source_text"))
+
+
+FOLLOWED = {"questions": "select id, passage_id from @questions", "lookups": "select id, id as passage_id from @lookups", "translation_views": "select id, passage_id from @attempts", "saved_sentences": "select id, passage_id from @sentences where sentence_index % 5 = 0"}
+
+
+@query("k8_followers", " union all ".join(f"select '{name}' as name, cast(id as varchar) as key, cast({KEEPER.format('passage_id')} as varchar) as value from ({sql})" for name, sql in FOLLOWED.items()))
+def _(f):
+    got = consolidated(f)
+    return told(**{name: got[name].select(F.col("id").alias("key"), F.col("passage_id").alias("value")) for name in FOLLOWED})
+
+
+#: Passages with a lesson by their number; the first lessons have no available questions.
+LESSONS = "select id, case when id % 16 < 3 then cast(floor(id / 16) as bigint) end as lesson, display_order as created_at from @passages"
+ASKING = "select id, passage_id * 16 + id % 3 as passage_id, status from @questions where passage_id > 3"
+DUCK_ALIASES = f"""with c as (select p.id, p.lesson, count(q.id) filter (where q.status = 'available') as n, p.created_at from ({LESSONS}) p left join ({ASKING}) q on q.passage_id = p.id where lesson is not null group by all), a as (select id, lesson, n, first_value(id) over (partition by lesson order by n desc, created_at, id) as keeper from c),
+ l as (select l.*, a.lesson, a.keeper, row_number() over (partition by l.exam_id, a.lesson order by l.position, l.passage_id) as rn from @links l left join a on a.id = l.passage_id)"""
+
+
+def aliased(f):
+    return M.relink_aliases(f.sql(LESSONS), f.sql(ASKING), f.links)
+
+
+@query("k9_links", f"{DUCK_ALIASES} select exam_id, coalesce(keeper, passage_id) as passage_id, position from l where lesson is null or rn = 1")
+def _(f):
+    return aliased(f)[0]
+
+
+@query("k9_changed", f"{DUCK_ALIASES} select exam_id, passage_id, case when rn > 1 then 'removed' else 'moved' end as change from l where lesson is not null and (rn > 1 or passage_id <> keeper)")
+def _(f):
+    return aliased(f)[1]
+
+
+@query("k9_errors", f"{DUCK_ALIASES} select cast(lesson as varchar) as lesson, cast(null as bigint) as exam_id, 'keeper_without_questions' as error from a where id = keeper and n = 0")
+def _(f):
+    return aliased(f)[2]
+
+
+# --- cascades ---------------------------------------------------------------------
+
+LOGIN_ROWS = "select event_id as id, concat('student:', user_id) as identifier from @events"
+
+
+def cascade_tables(f):
+    return {
+        "students": f.students, "passages": f.passages, "questions": f.questions.withColumn("passage_id", F.col("passage_id").cast("long")), "attempts": f.attempts, "question_attempts": f.question_attempts,
+        "sessions": f.sessions.withColumnRenamed("user_id", "student_id"), "logins": f.sql(LOGIN_ROWS), "lookups": f.lookups, "links": f.links, "sentences": f.sentences,
+    }
+
+
+#: What is left of each table: rows whose owner is not deleted.
+LEFT_OF_STUDENTS = {"students": "select id as key from @students where id % 10 <> 0", "attempts": "select id as key from @attempts where student_id % 10 <> 0", "question_attempts": "select id from @question_attempts where student_id % 10 <> 0", "sessions": "select id from @sessions where user_id % 10 <> 0", "logins": "select event_id from @events where user_id % 10 <> 0", "passages": "select id from @passages"}
+LEFT_OF_PASSAGES = {"passages": "select id as key from @passages where id % 10 <> 0", "questions": "select id from @questions where passage_id % 10 <> 0", "attempts": "select id from @attempts where passage_id % 10 <> 0", "question_attempts": "select id from @question_attempts where question_id not in (select id from @questions where passage_id % 10 = 0)", "links": "select exam_id * 1000000 + passage_id from @links where passage_id % 10 <> 0", "sentences": "select id from @sentences where passage_id % 10 <> 0 or passage_id not in (select id from @passages)"}
+
+
+def kept_rows(sqls):
+    return " union all ".join(f"select '{name}' as name, cast(key as varchar) as key, cast(null as varchar) as value from ({sql}) as t(key)" for name, sql in sqls.items())
+
+
+def deleted(f, kind, parents, names):
+    ids = parents.where("id % 10 = 0").select("id").union(parents.where("id % 50 = 0").select(F.col("id") + 10_000_000))
+    tables, unknown = M.cascade_delete(kind, cascade_tables(f), ids)
+    rows = {n: tables[n].select((F.col("exam_id") * 1_000_000 + F.col("passage_id") if n == "links" else F.col("id")).alias("key"), F.lit(None).alias("value")) for n in names}
+    return told(**rows, unknown=unknown.select(F.col("id").alias("key"), F.lit(None).alias("value")))
+
+
+@query("k14_delete_students", kept_rows({**{k: v for k, v in LEFT_OF_STUDENTS.items() if k not in ("attempts", "question_attempts", "sessions", "logins")}, "attempts": "select id from @attempts where student_id % 10 <> 0 or student_id not in (select id from @students)", "question_attempts": "select id from @question_attempts where student_id % 10 <> 0 or student_id not in (select id from @students)", "sessions": "select id from @sessions where user_id % 10 <> 0 or user_id not in (select id from @students)", "logins": "select event_id from @events where user_id % 10 <> 0 or user_id not in (select id from @students)", "unknown": "select id + 10000000 from @students where id % 50 = 0"}))
+def _(f):
+    return deleted(f, "student", f.students, LEFT_OF_STUDENTS)
+
+
+@query("k14_delete_passages", kept_rows({**LEFT_OF_PASSAGES, "attempts": "select id from @attempts where passage_id % 10 <> 0 or passage_id not in (select id from @passages)", "questions": "select id from @questions where passage_id % 10 <> 0 or passage_id not in (select id from @passages)", "question_attempts": "select id from @question_attempts where question_id not in (select id from @questions where passage_id % 10 = 0 and passage_id in (select id from @passages))", "unknown": "select id + 10000000 from @passages where id % 50 = 0"}))
+def _(f):
+    return deleted(f, "passage", f.passages, LEFT_OF_PASSAGES)
+
+
+# --- banks ------------------------------------------------------------------------
+
+#: Bundles of ten questions each: most are fine, some hold one that is not; identities repeat inside and among them.
+QUESTION_ROWS = """select cast(floor(p_partkey / 10) as bigint) as bundle_id, p_partkey as line, p_size as passage_id, case when p_partkey % 97 = 5 then 'essay' when p_partkey % 2 = 0 then 'written_response' else 'multiple_choice' end as type, p_partkey % 3 as difficulty, concat('{"prompt":"', p_name, '","source":{"exam":"', substr(p_brand, 1, 7), '","section":"', case when p_partkey % 89 = 7 then '' else 's' end, '","passage_no":', p_size % 3, ',"source_question_no":', p_partkey % 2, '},"choices":["a","b"],"answer":[1],"accepted_answers":["', p_partkey, '"]}') as payload, case when p_partkey % 4 = 0 then '' else 'available' end as status, case when p_partkey % 5 = 0 then p_partkey % 7 end as generation from @part"""
+STORED_QUESTIONS = QUESTION_ROWS.replace("select cast(floor(p_partkey / 10) as bigint) as bundle_id, p_partkey as line,", "select p_partkey as id,")
+STORED_ONCE = "p_partkey % 97 <> 5 and p_partkey % 89 <> 7 and p_partkey % 6 = 1"
+KEY = "concat(passage_id, '|', json_extract_string(payload, '$.source.exam'), '|', json_extract_string(payload, '$.source.passage_no'), '|', json_extract_string(payload, '$.source.source_question_no'), '|', json_extract_string(payload, '$.source.section'))"
+BUNDLES = f"""with b as (select *, {KEY} as key from ({QUESTION_ROWS})), bad as (select bundle_id, string_agg(distinct v, ',' order by v) as violations, min(line) as line from (select bundle_id, line, unnest(list_filter([case when type = 'essay' then 'type' end, case when json_extract_string(payload, '$.source.section') = '' then 'section' end, case when n.n_nationkey is null then 'passage' end], lambda x: x is not null)) as v from b left join nation n on n.n_nationkey = b.passage_id where {{known}}) group by 1),
+ g as (select key, arg_max(passage_id, line) as passage_id, arg_max(type, line) as type, arg_max(payload, line) as payload, arg_max(coalesce(nullif(status, ''), 'draft'), line) as status, arg_max(generation, line) filter (where generation is not null) as given from b where bundle_id not in (select bundle_id from bad) group by 1),
+ s as (select *, {KEY} as key from (select id, passage_id, type, payload, status, generation from ({STORED_QUESTIONS} where {STORED_ONCE})) qualify row_number() over (partition by key order by id) = 1)""".replace("where {known}", "where true")
+
+
+def question_import(f, parents):
+    stored = f.sql(f"{STORED_QUESTIONS} where {STORED_ONCE}")
+    stored = B.with_source(stored).withColumn("rn", F.row_number().over(O.Window.partitionBy(*B.IDENTITY).orderBy("id"))).where("rn = 1").drop("rn", "exam", "passage_no", "question_no", "section")
+    return B.import_questions(f.sql(QUESTION_ROWS), stored, parents)
+
+
+ALL_SIZES = "select p_size as n_nationkey from part"
+
+
+@query("k11_import_questions", BUNDLES.replace("left join nation n", f"left join (select distinct n_nationkey from ({ALL_SIZES})) n") + " select coalesce(cast(s.id as varchar), sha256(g.key)) as id, coalesce(g.passage_id, s.passage_id) as passage_id, coalesce(g.type, s.type) as type, coalesce(g.payload, s.payload) as payload, coalesce(g.status, s.status) as status, coalesce(g.given, s.generation, 1) as generation from s full join g on g.key = s.key")
+def _(f):
+    parents = f.part.select(F.col("p_size").alias("id")).distinct()
+    return question_import(f, parents)[0].select("id", "passage_id", "type", "payload", "status", "generation")
+
+
+@query("k11_refused", BUNDLES + " select bundle_id, violations, line from bad")
+def _(f):
+    parents = f.nation.select(F.col("n_nationkey").alias("id"))
+    return question_import(f, parents)[1].select("bundle_id", F.array_join("violations", ",").alias("violations"), "line")
+
+
+#: Explanations in bundles; questions named by exam, section and number, of which some are there twice.
+NOTES = "select cast(floor(p_partkey / 5) as bigint) as bundle_id, p_partkey as line, p_brand as exam, p_type as section, case when p_partkey % 83 = 0 then 'x' else cast(p_size as varchar(9)) end as number, concat('because \"', p_name, '\"') as text from @part where p_partkey % 3 = 0"
+NOTED = """select p_partkey as id, p_size as passage_id, concat('{"prompt":"p","n":1,"source":{"exam":"', p_brand, '","section":"', p_type, '","source_question_no":', p_size, '}}') as payload from @part"""
+DUCK_NOTES = f"""with q as (select id, payload, json_extract_string(payload, '$.source.exam') as exam, json_extract_string(payload, '$.source.section') as section, json_extract_string(payload, '$.source.source_question_no') as number from ({NOTED})),
+ e as (select e.*, (select count(*) from q where q.exam = e.exam and q.section = e.section and q.number = e.number) as n from ({NOTES}) e), x as (select bundle_id, arg_min(case when number = 'x' then 'number' else concat('matches_', n) end, line) as reason, min(line) as line from e where number = 'x' or n <> 1 group by 1)"""
+
+
+@query("k12_import_explanations", f"{DUCK_NOTES} select q.id, e.text as explanation, json_extract_string(q.payload, '$.n') as n, json_extract_string(q.payload, '$.source.exam') as exam from q left join (select * from e where bundle_id not in (select bundle_id from x)) e on q.exam = e.exam and q.section = e.section and q.number = e.number")
+def _(f):
+    part = lambda k: F.get_json_object("payload", f"$.{k}")
+    return B.import_explanations(f.sql(NOTES), f.sql(NOTED))[0].select("id", part("explanation").alias("explanation"), part("n").alias("n"), part("source.exam").alias("exam"))
+
+
+@query("k12_refused", f"{DUCK_NOTES} select bundle_id, reason, line from x")
+def _(f):
+    return B.import_explanations(f.sql(NOTES), f.sql(NOTED))[1]
+
+
+@query("k15_publish_claims", "select claim_id, case when passage_id % 2 = 0 then 'confirmed' else status end as status from @claims")
+def _(f):
+    return B.publish_claims(f.facts, f.claims, f.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")))[1].select("claim_id", "status")
+
+
+@query("k15_stale_claims", "select claim_id, case when status = 'confirmed' and (fact_key in (select fact_key from @facts where status = 'stale' or fact_key % 7 = 0) or (fact_key + 6 in (select fact_key from @facts where status = 'stale' or fact_key % 7 = 0))) then 'stale' else status end as status from @claims")
+def _(f):
+    claims = f.claims.withColumn("evidence", F.array("fact_key", F.col("fact_key") + 6))
+    return B.stale_claims(claims, f.facts, f.facts.where("fact_key % 7 = 0")).select("claim_id", "status")
+
+
+GRADED_TRIES = "select id, stage = 2 as scored, case when id % 5 = 0 then null when id % 11 = 0 then id + 100000000 when id % 7 = 0 then id - id % 14 else id end as request_id from @attempts"
+GRADINGS = "select event_id as id, case event_id % 4 when 0 then 'pending' when 1 then 'failed' else 'completed' end as status, case when event_id % 3 > 0 then 'ok' end as result from @events"
+
+
+@query("k16_grading_report", f"with t as ({GRADED_TRIES}), g as ({GRADINGS}) select 'unlinked' as kind, id from t where scored and request_id is null union all select 'unknown_request', id from t where scored and request_id is not null and request_id not in (select id from g) union all select 'shared_request', request_id from t where request_id is not null group by request_id having count(*) > 1 union all select 'pending', id from g where status = 'pending' union all select 'no_result', id from g where status = 'completed' and result is null")
+def _(f):
+    return B.grading_report(f.sql(GRADED_TRIES), f.sql(GRADINGS))
+
+
+@query("k17_question_pool", "select passage_id, type, id, row_number() over (partition by passage_id, type order by id % 5, id) as place from @questions where status = 'available' and type in ('multiple_choice', 'written_response')")
+def _(f):
+    return B.question_pool(f.questions.withColumn("created_at", F.col("id") % 5))
+
+
+# --- lexical pipeline -------------------------------------------------------------
+
+#: Sentences of all passages with all their tokens; concepts on the first and last token, of some sentences one that names a token that is not there. Some documents are no lists, some name a sentence of another passage.
+FOREIGN, NO_LIST, BROKEN = "passage_id % 13 = 5 and sentence_index = 0", "passage_id % 17 = 3", "passage_id % 11 = 4 and sentence_index % 5 = 1"
+
+
+def lexical(f):
+    tokens = F.split("text", " ")
+    concept = lambda key, name, *at: F.struct(F.lower(key).alias("key"), F.lit(name).alias("occurrence"), F.array(*at).cast("array<int>").alias("tokenIndexes"))
+    first, size = F.get("tokens", F.lit(0)), F.size("tokens")
+    second = F.when(F.expr(BROKEN), concept(F.element_at("tokens", -1), "o2", F.lit(0), size + 3)).otherwise(concept(F.element_at("tokens", -1), "o2", size - 1))
+    rows = f.sentences.withColumn("tokens", tokens)
+    one = F.struct(F.when(F.expr(FOREIGN), -F.col("id")).otherwise(F.col("id")).alias("id"), "tokens", F.array(concept(first, "o1", F.lit(0), size - 1), second).alias("concepts"))
+    documents = rows.groupBy("passage_id").agg(F.array_sort(F.collect_list(F.struct("sentence_index", one.alias("s"))))["s"].alias("sentences"))
+    return documents.select("passage_id", F.when(F.expr(NO_LIST), F.lit('{"sentences":7}')).otherwise(F.to_json(F.struct("sentences"))).alias("document"))
+
+
+def stored_sentences(f):
+    return f.sentences.select("id", "passage_id")
+
+
+#: Documents without errors, sentence by sentence.
+FINE = f"(select *, string_split(text, ' ') as w from @sentences where not ({NO_LIST}) and passage_id not in (select passage_id from @sentences where {FOREIGN}))"
+CONCEPTS = f"select passage_id, id as sentence_id, 'o1' as occurrence_key, lower(w[1]) as concept_key, concat(w[1], ' ', w[len(w)]) as forms, true as complete, sentence_index from {FINE} union all select passage_id, id, 'o2', lower(w[len(w)]), case when {BROKEN} then w[1] else w[len(w)] end, not ({BROKEN}), sentence_index from {FINE}"
+
+
+@query("a9_explode_lexical", f"select id as sentence_id, count(*) as tokens, sha256(string_agg(form, '|' order by token_index)) as forms from (select id, generate_subscripts(w, 1) as token_index, unnest(w) as form from {FINE}) group by 1")
+def _(f):
+    tokens = L.explode_lexical(lexical(f), "document", stored_sentences(f))[0]
+    listed = F.array_sort(F.collect_list(F.struct("token_index", "form")))["form"]
+    return tokens.groupBy("sentence_id").agg(F.count("*").alias("tokens"), F.sha2(F.array_join(listed, "|"), 256).alias("forms"))
+
+
+@query("a9_lexical_errors", f"select passage_id, 'no_sentences' as error from (select distinct passage_id from @sentences where {NO_LIST}) union all select passage_id, 'foreign_sentence' from (select distinct passage_id from @sentences where {FOREIGN} and not ({NO_LIST}))")
+def _(f):
+    return L.explode_lexical(lexical(f), "document", stored_sentences(f))[2]
+
+
+@query("c15_map_token_indexes", f"select sentence_id, occurrence_key, concept_key, sha256(forms) as forms, complete from ({CONCEPTS})")
+def _(f):
+    tokens, concepts, _ = L.explode_lexical(lexical(f), "document", stored_sentences(f))
+    return L.map_token_indexes(concepts, tokens).select("sentence_id", "occurrence_key", "concept_key", F.sha2("forms", 256).alias("forms"), "complete")
+
+
+#: Occurrences of a former load, aliases and concepts that are known.
+OLD = "passage_id % 3 = 0 and sentence_index % 2 = 0"
+CONCEPT_ID = f"case when {OLD} and occurrence_key = 'o1' then concat('old', sentence_id) when concept_key = 'the' then 'alias-the' when length(concept_key) > 5 then concat('key-', sha256(concept_key)) else sha256(concept_key) end"
+
+
+def known_lexical(f, concepts):
+    at = f.sentences.select(F.col("id").alias("sentence_id"), "sentence_index")
+    old = concepts.join(at, "sentence_id").where(OLD).where("occurrence_key = 'o1'").select("passage_id", "sentence_id", "occurrence_key", F.concat(F.lit("old"), "sentence_id").alias("concept_id"), F.lit("old form").alias("forms"))
+    known = concepts.where("char_length(concept_key) > 5").select("concept_key").distinct().select(F.concat(F.lit("key-"), F.sha2("concept_key", 256)).alias("concept_id"), "concept_key")
+    aliases = f.spark.sql("select 'the' as concept_key, 'alias-the' as concept_id")
+    saved = f.sentences.where("sentence_index % 3 = 0").select((F.col("id") + 7).alias("saved_id"), "passage_id", F.col("id").alias("sentence_id"), F.when(F.col("id") % 2 == 0, "o1").otherwise("gone").alias("occurrence_key"))
+    tokens = f.sentences.select("passage_id", F.col("id").alias("sentence_id"), F.lit(0).alias("token_index"), F.lit("old").alias("form"))
+    return {"occurrences": old, "concepts": known, "aliases": aliases, "saved": saved, "tokens": tokens}
+
+
+@query("c14_resolve_concepts", f"select sentence_id, occurrence_key, {CONCEPT_ID} as concept_id from ({CONCEPTS})")
+def _(f):
+    concepts = L.explode_lexical(lexical(f), "document", stored_sentences(f))[1]
+    known = known_lexical(f, concepts)
+    return L.resolve_concepts(concepts, known["occurrences"], known["aliases"], known["concepts"]).select("sentence_id", "occurrence_key", "concept_id")
+
+
+@query("c16_remap_saved", f"select id + 7 as saved_id, id as sentence_id from {FINE} where sentence_index % 3 = 0 and id % 2 = 0")
+def _(f):
+    concepts = L.explode_lexical(lexical(f), "document", stored_sentences(f))[1]
+    return L.remap_saved(known_lexical(f, concepts)["saved"], concepts.withColumn("concept_id", F.col("concept_key"))).select("saved_id", "sentence_id")
+
+
+LOADED = f"passage_id not in (select passage_id from @sentences where ({NO_LIST}) or ({FOREIGN}) or ({BROKEN}))"
+LOAD = {
+    "tokens": f"select concat(id, ':', n - 1) as key, form as value from (select id, generate_subscripts(w, 1) as n, unnest(w) as form from {FINE} where {LOADED}) union all select concat(id, ':0'), 'old' from @sentences where not ({LOADED})",
+    "occurrences": f"select concat(sentence_id, ':', occurrence_key), concat({CONCEPT_ID}, ' ', forms) from ({CONCEPTS}) where {LOADED} union all select concat(sentence_id, ':', occurrence_key), concat('old', sentence_id, ' old form') from ({CONCEPTS}) where {OLD} and occurrence_key = 'o1' and not ({LOADED})",
+    "concepts": f"select distinct concat('key-', sha256(concept_key)), concept_key from ({CONCEPTS}) where length(concept_key) > 5 union all select distinct sha256(concept_key), concept_key from ({CONCEPTS}) where {LOADED} and {CONCEPT_ID} = sha256(concept_key)",
+    "aliases": f"select 'the', 'alias-the' union all select concept_key, min({CONCEPT_ID}) from ({CONCEPTS}) where {LOADED} and concept_key <> 'the' group by 1",
+    "saved": f"select id + 7, concat(id, ':o1') from @sentences where {LOADED} and sentence_index % 3 = 0 and id % 2 = 0 union all select id + 7, concat(id, ':', case when id % 2 = 0 then 'o1' else 'gone' end) from @sentences where not ({LOADED}) and sentence_index % 3 = 0",
+    "errors": f"select passage_id, 'no_sentences' from @sentences where {NO_LIST} group by 1 union all select passage_id, 'foreign_sentence' from @sentences where {FOREIGN} and not ({NO_LIST}) union all select passage_id, 'token_mapping' from {FINE} where {BROKEN} group by 1",
+}
+
+
+@query("k10_load_lexical", " union all ".join(f"select '{name}' as name, cast(key as varchar) as key, sha256(cast(value as varchar)) as value from ({sql}) as t(key, value)" for name, sql in LOAD.items()))
+def _(f):
+    documents = lexical(f)
+    known = known_lexical(f, L.explode_lexical(documents, "document", stored_sentences(f))[1])
+    got = L.load_lexical(documents, "document", stored_sentences(f), known)
+    rows = {
+        "tokens": got["tokens"].select(F.concat_ws(":", "sentence_id", "token_index").alias("key"), F.col("form").alias("value")),
+        "occurrences": got["occurrences"].select(F.concat_ws(":", "sentence_id", "occurrence_key").alias("key"), F.concat_ws(" ", "concept_id", "forms").alias("value")),
+        "concepts": got["concepts"].select(F.col("concept_id").alias("key"), F.col("concept_key").alias("value")),
+        "aliases": got["aliases"].select(F.col("concept_key").alias("key"), F.col("concept_id").alias("value")),
+        "saved": got["saved"].select(F.col("saved_id").alias("key"), F.concat_ws(":", "sentence_id", "occurrence_key").alias("value")),
+        "errors": got["errors"].select(F.col("passage_id").alias("key"), F.col("error").alias("value")),
+    }
+    return told(**rows).withColumn("value", F.sha2("value", 256))

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lessonloom.functions.session import plain_unions
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 FRAMES: dict[str, str] = {
@@ -18,6 +20,11 @@ FRAMES: dict[str, str] = {
     "current_exams": "select id, school, grade, updated_at from (select *, row_number() over (partition by school, grade order by updated_at desc, created_at desc, id desc) as rn from @exams) where rn = 1",
     "links": "select exam_id, passage_id, row_number() over (partition by exam_id order by line, passage_id) - 1 as position from (select l_orderkey as exam_id, l_partkey as passage_id, min(l_linenumber) as line from @lineitem group by l_orderkey, l_partkey)",
     "passages": "select p_partkey as id, p_name as title, p_brand as grade, concat(p_type, ' · Part ', p_size) as source_label, p_size as display_order, p_partkey % 5 as revision from @part",
+    "graded_passages": "select p_partkey as id, p_name as title, case p_partkey % 5 when 0 then 'AUTOMOBILE' when 1 then 'BUILDING' when 2 then 'FURNITURE' when 3 then 'HOUSEHOLD' else 'MACHINERY' end as grade, p_size as display_order from @part",
+    "home_attempts": "select a.id, a.student_id, l.exam_id, l.passage_id, a.stage, concat('sentence:', l.passage_id * 100000 + a.id % 4) as item_key, a.correct, a.stage_item_count, a.created_at from @attempts a join @students s on s.id = a.student_id join @current_exams e on e.school = s.school and e.grade = s.grade join @links l on l.exam_id = e.id and l.position = a.id % 3",
+    "claims": "select item_id * 10 + n as claim_id, item_id % 6 as passage_id, item_id as fact_key, text as statement, cast((item_id + n) % 3 + 1 as int) as difficulty, case when n % 2 = 0 then 'ko' else 'en' end as language, case (item_id + n) % 4 when 0 then 'draft' when 1 then 'stale' else 'confirmed' end as status from @benchmark, (values (0), (1), (2)) as t(n)",
+    "variants": "select claim_id, concat('v', n) as variant_key, concat(statement, ' v', n) as statement, difficulty, language, case (claim_id + n) % 3 when 0 then 'draft' else 'confirmed' end as status from @claims, (values (1), (2)) as t(n)",
+    "lookups": "select conv_id as student_id, turn - turn % 3 as passage_id, turn as id, role as meaning, lower(regexp_extract(text, '[A-Za-z]+', 0)) as word, case when turn % 2 = 0 then lower(regexp_extract(text, '[A-Za-z]+', 0)) when turn % 4 = 1 then '' end as lemma, upper(regexp_extract(text, '[A-Za-z]+', 0)) as form, turn % 3 > 0 as resolved, case when turn % 2 = 0 then 'initial' else 'retry' end as reason, turn as created_at from @conversations",
     "sentences": "select passage_id * 100000 + sentence_index as id, passage_id, sentence_index, text, case when sentence_index % 7 = 0 then '' else text end as translation, case when sentence_index = 0 then 'TITLE' when sentence_index % 9 = 8 then 'SUBTITLE' else 'SENTENCE' end as block_type, sentence_index % 11 <> 10 as active, cast(floor(sentence_index / 5) as int) as paragraph_index from @pieces",
     "edited": "select case when sentence_index % 6 = 5 then null else id end as id, passage_id, row_number() over (partition by passage_id order by sentence_index) - 1 as position, case when sentence_index % 5 = 3 then concat(text, ' edited') else text end as text, translation from @sentences where block_type = 'SENTENCE' and sentence_index % 4 <> 2",
     "attempts": "select event_id as id, user_id as student_id, 1 as exam_id, event_id % 3 as passage_id, concat('sentence:', event_type) as item_key, cast(event_id % 2 + 1 as int) as stage, concat('sentence_order_step', event_id % 2 + 1) as semantic_type, value > 5 as correct, case when event_id % 5 < 2 then 5 else 4 end as stage_item_count, ts as created_at, case when event_id % 13 = 0 then null when event_id % 17 = 0 then 'not-an-id' else concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-4', substr(h, 14, 3), '-8', substr(h, 18, 3), '-', substr(h, 21, 12)) end as client_attempt_id from (select *, md5(cast(cast(floor(event_id / 2) as bigint) as varchar(20))) as h from @events)",
@@ -49,6 +56,7 @@ class Frames:
     """The frames of one folder, read as needed."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        plain_unions(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

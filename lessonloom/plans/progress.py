@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lessonloom.functions import text as T
 from lessonloom.operators import content as K
 from lessonloom.operators import practice as P
-from lessonloom.operators import rules as R
 from lessonloom.operators import tables as O
 from lessonloom.plans.frames import query
 from lessonloom.plans.texts import WORDS
@@ -228,12 +227,18 @@ def _(f):
     return K.word_changelog(events, saved)[1].withColumnRenamed("saved_at", "seen_at")
 
 
-SMALL_SCOPES = "select id, case when id % 2 = 0 then 'Brand#1' else 'Brand#2' end as grade from @exams where id % 200 = 0"
+TEST_SCOPES, TEST_GRADES = "select id, grade from @current_exams where school in ('NATION_1', 'NATION_2')", ["BUILDING", "MACHINERY", "HOUSEHOLD"]
 
 
-@query("j12_sync_grade_scope", f"with k as (select l.exam_id, l.passage_id, row_number() over (partition by l.exam_id order by l.position, l.passage_id) - 1 as position from @links l join ({SMALL_SCOPES}) s on s.id = l.exam_id join @passages p on p.id = l.passage_id where p.grade = s.grade), n as (select s.id as exam_id, p.id as passage_id from ({SMALL_SCOPES}) s join @passages p using (grade) where not exists (select 1 from k where k.exam_id = s.id and k.passage_id = p.id)) select * from k union all select n.exam_id, n.passage_id, coalesce((select max(position) from k where k.exam_id = n.exam_id), -1) + row_number() over (partition by n.exam_id order by n.passage_id) from n")
+@query("j12_sync_grade_scope", f"with t as (select * from ({TEST_SCOPES}) where grade in ('BUILDING', 'MACHINERY', 'HOUSEHOLD')), k as (select l.exam_id, l.passage_id, row_number() over (partition by l.exam_id order by l.position, l.passage_id) - 1 as position from @links l join t on t.id = l.exam_id join @graded_passages p on p.id = l.passage_id where p.grade = t.grade), n as (select t.id as exam_id, p.id as passage_id from t join @graded_passages p using (grade) where not exists (select 1 from k where k.exam_id = t.id and k.passage_id = p.id)) select * from k union all select n.exam_id, n.passage_id, coalesce((select max(position) from k where k.exam_id = n.exam_id), -1) + row_number() over (partition by n.exam_id order by n.passage_id) from n")
 def _(f):
-    return O.sync_grade_scope(f.links, f.sql(SMALL_SCOPES), f.passages).select("exam_id", "passage_id", "position")
+    return O.sync_grade_scope(f.links, f.sql(TEST_SCOPES), f.graded_passages, TEST_GRADES)[0].select("exam_id", "passage_id", "position")
+
+
+@query("j12_missing_scopes", f"select distinct grade from @graded_passages where grade not in (select grade from ({TEST_SCOPES}) where id % 2 = 0)")
+def _(f):
+    grades = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    return O.sync_grade_scope(f.links, f.sql(TEST_SCOPES).where("id % 2 = 0"), f.graded_passages, grades)[1]
 
 
 @query("j13_propagate_updated_at", "select e.id, greatest(e.updated_at, coalesce(max(l.l_shipdate), e.updated_at)) as updated_at from @exams e left join lineitem l on l.l_orderkey = e.id group by e.id, e.updated_at")
@@ -259,193 +264,25 @@ def _(f):
     return K.match_editor_rows(f.sql(PREVIOUS), f.edited)
 
 
-STRUCTURE = """with c as (select *, block_type = 'SENTENCE' as sent, exists (select 1 from @edited e where e.id = s.id) as kept from @sentences s),
+STRUCTURE = """with c as (select *, block_type = 'SENTENCE' as sent, exists (select 1 from {edited} e where e.id = s.id) as kept from {current} s),
  w as (select *, first_value(case when sent and kept then id end ignore nulls) over (partition by passage_id order by sentence_index rows between 1 following and unbounded following) as anchor, coalesce(bool_or(sent) over (partition by passage_id order by sentence_index rows between unbounded preceding and 1 preceding), false) as seen from c),
- u as (select w.passage_id, w.id, w.block_type, w.paragraph_index, case when not seen then 0 when e.position is not null then 1 else 2 end as zone, case when seen then coalesce(e.position, -1) else -1 end as spot, 0 as own, w.sentence_index from w left join @edited e on e.id = w.anchor where not sent
- union all select e.passage_id, e.id, 'SENTENCE', c.paragraph_index, 1, e.position, 1, 0 from @edited e left join c on c.id = e.id)
- select passage_id, row_number() over o - 1 as place, id, block_type, coalesce(last_value(paragraph_index ignore nulls) over (o rows between unbounded preceding and current row), 0) as paragraph_index from u window o as (partition by passage_id order by zone, spot, own, sentence_index)"""
+ u as (select w.passage_id, w.id, w.block_type, w.paragraph_index, null as edit_position, case when not seen then 0 when e.position is not null then 1 else 2 end as zone, case when seen then coalesce(e.position, -1) else -1 end as spot, 0 as own, w.sentence_index from w left join {edited} e on e.id = w.anchor where not sent
+ union all select e.passage_id, e.id, 'SENTENCE', c.paragraph_index, e.position, 1, e.position, 1, 0 from {edited} e left join c on c.id = e.id)
+ select passage_id, row_number() over o - 1 as place, id, block_type, coalesce(last_value(paragraph_index ignore nulls) over (o rows between unbounded preceding and current row), 0) as paragraph_index, edit_position as position from u window o as (partition by passage_id order by zone, spot, own, sentence_index)"""
 
 
-@query("e9_merge_structure", STRUCTURE)
+@query("e9_merge_structure", STRUCTURE.format(current="@sentences", edited="@edited"))
 def _(f):
     return K.merge_structure(f.sentences, f.edited)
 
 
-@query("k2_save_passages", f"with m as ({STRUCTURE}) select passage_id, id, place as sentence_index, true as active from m union all select passage_id, id, 1000000 + row_number() over (partition by passage_id order by sentence_index, id) - 1, false from @sentences s where not exists (select 1 from m where m.id = s.id)")
-def _(f):
-    return K.save_passages(f.sentences, K.merge_structure(f.sentences, f.edited))
-
-
 @query("g5_revision_diff", "select coalesce(a.id, b.id) as id, case when a.id is null then 'added' when b.id is null then 'deactivated' when a.text = b.text then 'kept' else 'edited' end as change from (select id, text from @sentences where block_type = 'SENTENCE') a full join (select coalesce(id, -(passage_id * 100000 + position)) as id, text from @edited) b on a.id = b.id")
 def _(f):
     following = f.edited.select(F.coalesce("id", -(F.col("passage_id") * 100000 + F.col("position"))).alias("id"), "text")
     return K.revision_diff(f.sentences.where("block_type = 'SENTENCE'"), following)
 
 
-@query("k1_create_passages", "select r.request_id, sha256(cast(r.request_id as varchar)) as id, r.title, coalesce(t.x, '') as source_text, 100 + row_number() over (partition by r.title order by r.request_id) as display_order from (select doc_id as request_id, source as title from documents) r left join (select passage_id, string_agg(text, ' ' order by sentence_index) as x from @sentences where block_type = 'SENTENCE' group by 1) t on t.passage_id = r.request_id")
-def _(f):
-    requests_ = f.documents.select(F.col("doc_id").alias("request_id"), F.col("source").alias("title"))
-    texts = f.sentences.select(F.col("passage_id").alias("request_id"), F.col("sentence_index").alias("position"), "text", "block_type")
-    return K.create_passages(requests_, texts, F.lit(100))
-
-
-EDITS = "select event_id as edit_id, event_id % 2500 as passage_id, case when event_id % 3 > 0 then event_id % 5 end as expected_revision from @events where event_id < 6000"
-
-
-@query("k3_reject_stale", f"select edit_id, passage_id, revision, case when revision is null then 'unknown' when fits and (expected_revision is null or row_number() over (partition by passage_id, fits order by edit_id) = 1) then 'accepted' else 'conflict' end as outcome from (select e.*, p.revision, p.revision is not null and (e.expected_revision is null or e.expected_revision = p.revision) as fits from ({EDITS}) e left join @passages p on p.id = e.passage_id)")
-def _(f):
-    return K.reject_stale(f.sql(EDITS), f.passages)
-
-
-@query("k5_publish", "select id as passage_id, id % 4 = revision as published, case when id % 4 = revision then revision end as catalog_revision from @passages")
-def _(f):
-    return K.publish(f.passages.select(F.col("id").alias("passage_id"), (F.col("id") % 4).alias("expected_revision")), f.passages)
-
-
-@query("k6_studio_save", "select event_id, json_extract_string(props, '$.k') as k, case when event_id % 2 = 0 then event_id % 3 end as draft, event_id % 5 + 1 as version from @events")
-def _(f):
-    e = F.col("event_id")
-    change = F.when(e % 2 == 0, F.concat(F.lit('{"draft":"'), e % 3, F.lit('"}')))
-    rows = f.events.withColumn("state", T.json_merge(F.col("props"), change))
-    return rows.select("event_id", F.get_json_object("state", "$.k").alias("k"), F.get_json_object("state", "$.draft").cast("long").alias("draft"), (e % 5 + 1).alias("version"))
-
-
-GIVEN = "select passage_id, sentence_index, case when passage_id % 4 = 1 and sentence_index = 0 then concat(text, '!') else text end as text, translation from @sentences"
-
-
-@query("k7_publisher_import", "select passage_id, case when passage_id % 5 = 0 then 'new' when passage_id % 4 = 1 then 'differs' else 'verified' end as state from (select distinct passage_id from @sentences)")
-def _(f):
-    return K.publisher_import(f.sql(GIVEN), f.sentences.where("passage_id % 5 <> 0"))
-
-
-@query("k7_supersede_jobs", "select event_id as id, case when event_type = 'view' and row_number() over (partition by user_id, event_type order by ts desc, event_id desc) > 1 then 'failed' when event_type = 'view' then 'ready' else event_type end as status from @events")
-def _(f):
-    jobs = f.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("source"), F.when(F.col("event_type") == "view", "ready").otherwise(F.col("event_type")).alias("status"), F.col("ts").alias("finished_at"))
-    return K.supersede(jobs).select("id", "status")
-
-
-KEEPERS = "select id as old, id - id % 3 as keeper from @passages where id % 3 <> 0"
-
-
-@query("k8_consolidate_links", "select exam_id, passage_id, row_number() over (partition by exam_id order by position, passage_id) - 1 as position from (select exam_id, passage_id - passage_id % 3 as passage_id, position, row_number() over (partition by exam_id, passage_id - passage_id % 3 order by passage_id % 3 <> 0, passage_id) as rn from @links) where rn = 1")
-def _(f):
-    return K.consolidate_parts(f.links, f.sql(KEEPERS))
-
-
-@query("k8_consolidate_rows", "select id, passage_id - passage_id % 3 as passage_id, row_number() over (partition by passage_id - passage_id % 3 order by passage_id % 3, sentence_index, id) - 1 as sentence_index from @sentences")
-def _(f):
-    keepers = f.documents.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("old"), (F.col("doc_id") - F.col("doc_id") % 3).alias("keeper"))
-    parts = f.documents.select(F.col("doc_id").alias("passage_id"), (F.col("doc_id") % 3).alias("part"))
-    return K.consolidate_rows(f.sentences, keepers, parts)
-
-
-@query("k9_relink_aliases", "select count(*) as changed from @links where passage_id % 4 <> 0")
-def _(f):
-    mapping = f.passages.where("id % 4 <> 0").select(F.col("id").alias("old"), (F.col("id") - F.col("id") % 4).alias("keeper"))
-    return f.links.join(mapping, f.links["passage_id"] == mapping["old"]).agg(F.count("*").alias("changed"))
-
-
-@query("k11_import_questions", "select coalesce(s.exam, b.exam) as exam, coalesce(s.number, b.number) as number, coalesce(b.prompt, s.prompt) as prompt, coalesce(s.generation, 1) as generation from (select p_brand as exam, p_size as number, max_by(p_name, p_partkey) as prompt from part where p_partkey % 2 = 0 group by 1, 2) b full join (select p_brand as exam, p_size as number, max_by(p_name, p_partkey) as prompt, 4 as generation from part where p_partkey % 3 = 0 group by 1, 2) s using (exam, number)")
-def _(f):
-    rows = f.part.select(F.col("p_brand").alias("exam"), F.col("p_size").alias("number"), F.col("p_name").alias("prompt"), F.col("p_partkey").alias("line"))
-    keys = ["exam", "number"]
-    stored = rows.where("line % 3 = 0").groupBy(*keys).agg(F.max_by("prompt", "line").alias("prompt")).withColumn("generation", F.lit(4).cast("long"))
-    return K.import_questions(rows.where("line % 2 = 0"), stored, keys)
-
-
-@query("k12_import_explanations", "select count(*) as applied from (select c.id from (select id, passage_id, type from @questions where id % 3 = 0) c join (select id, passage_id, type from @questions where id % 17 = 0) q on q.passage_id = c.passage_id and q.type = c.type group by 1 having count(*) = 1)")
-def _(f):
-    changes = f.questions.where("id % 3 = 0").select(F.col("id").alias("change_id"), "passage_id", "type")
-    return O.match_exactly_one(changes, f.questions.where("id % 17 = 0"), ["passage_id", "type"], "change_id", "id").agg(F.count_if(F.col("matches") == 1).alias("applied"))
-
-
 @query("k13_saved_senses", "select student_id, word, meaning as meaning_key, min(seen_at) as first_at from @words where trim(meaning) <> '' group by 1, 2, 3")
 def _(f):
     rows = f.words.withColumn("meaning_key", T.meaning_key(F.col("meaning"))).where("meaning_key <> ''")
     return rows.groupBy("student_id", "word", "meaning_key").agg(F.min("seen_at").alias("first_at"))
-
-
-@query("k14_cascade_delete", "select 'attempts' as name, count(*) as kept from @attempts where student_id % 10 <> 0 union all select 'sessions', count(*) from @sessions where user_id % 10 <> 0 union all select 'students', count(*) from @students where id % 10 <> 0")
-def _(f):
-    tables = {"attempts": f.attempts, "sessions": f.sessions, "students": f.students}
-    kept = K.cascade_delete(tables, {"attempts": "student_id", "sessions": "user_id", "students": "id"}, f.students.where("id % 10 = 0"))
-    out = None
-    for name, df in kept.items():
-        one = df.agg(F.lit(name).alias("name"), F.count("*").alias("kept"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("k15_claim_transitions", "select fact_key, case when status = 'draft' then 'confirmed' when status = 'confirmed' and fact_key % 2 = 0 then 'stale' else status end as status from @facts")
-def _(f):
-    status = F.when(F.col("status") == "draft", "confirmed").when((F.col("status") == "confirmed") & (F.col("fact_key") % 2 == 0), "stale").otherwise(F.col("status"))
-    return f.facts.select("fact_key", status.alias("status"))
-
-
-@query("k16_unlinked_grading", "select a.id from @attempts a left join (select id from @question_attempts where id % 4 = 0) q on q.id = a.id where a.stage = 2 and q.id is null")
-def _(f):
-    return R.check_refs(f.attempts.where("stage = 2").withColumn("request_id", F.col("id")), f.question_attempts.where("id % 4 = 0"), "request_id", "id").select("id")
-
-
-@query("k17_question_pool", "select passage_id, type, count(*) as n from @questions where status = 'available' and type in ('multiple_choice', 'written_response') group by 1, 2")
-def _(f):
-    return f.questions.where(F.col("type").isin("multiple_choice", "written_response") & (F.col("status") == "available")).groupBy("passage_id", "type").agg(F.count("*").alias("n"))
-
-
-# --- lexical pipeline -------------------------------------------------------------
-
-
-def lexical(f):
-    words = F.split("text", " ")
-    short = f.documents.where("char_length(text) < 600").select(F.col("doc_id").alias("passage_id"), F.slice(words, 1, 5).alias("w"))
-    concept = F.struct(F.lower(F.get("w", F.lit(0))).alias("key"), F.lit("o1").alias("occurrence"), F.array(F.lit(0), F.lit(2), F.lit(9)).alias("tokenIndexes"))
-    sentence = F.struct(F.col("passage_id").alias("id"), F.col("w").alias("tokens"), F.array(concept).alias("concepts"))
-    return short.select("passage_id", F.to_json(F.struct(F.array(sentence).alias("sentences"))).alias("document"))
-
-
-LEX = "(select doc_id as passage_id, string_split(text, ' ')[1:5] as w from documents where length(text) < 600)"
-
-
-@query("a9_explode_lexical", f"select passage_id, generate_subscripts(w, 1) - 1 as token_index, unnest(w) as form from {LEX}")
-def _(f):
-    return K.explode_lexical(lexical(f), "document")[0].select("passage_id", F.col("token_index").cast("long").alias("token_index"), "form")
-
-
-@query("c15_map_token_indexes", f"select passage_id as sentence_id, lower(w[1]) as concept_key, case when len(w) >= 3 then concat(w[1], ' ', w[3]) else w[1] end as forms, false as complete from {LEX}")
-def _(f):
-    tokens, concepts = K.explode_lexical(lexical(f), "document")
-    return K.map_token_indexes(concepts, tokens).select("sentence_id", "concept_key", "forms", "complete")
-
-
-@query("c14_resolve_concepts", f"select passage_id as sentence_id, case when passage_id % 3 = 0 then concat('old', passage_id) when lower(w[1]) = 'the' then 'alias-the' when length(w[1]) > 5 then concat('key-', lower(w[1])) else sha256(lower(w[1])) end as concept_id from {LEX}")
-def _(f):
-    _, concepts = K.explode_lexical(lexical(f), "document")
-    old = concepts.where("sentence_id % 3 = 0").select("sentence_id", "occurrence_key", F.concat(F.lit("old"), "sentence_id").alias("concept_id"))
-    aliases = f.spark.sql("select 'the' as concept_key, 'alias-the' as concept_id")
-    keyed = concepts.where("char_length(concept_key) > 5").select("concept_key").distinct().withColumn("concept_id", F.concat(F.lit("key-"), "concept_key"))
-    return K.resolve_concepts(concepts, old, aliases, keyed).select("sentence_id", "concept_id")
-
-
-@query("c16_remap_saved", f"select passage_id + 7 as saved_id, passage_id as sentence_id from {LEX} where passage_id % 2 = 0")
-def _(f):
-    _, concepts = K.explode_lexical(lexical(f), "document")
-    saved = f.documents.where("doc_id % 2 = 0").select((F.col("doc_id") + 7).alias("saved_id"), F.col("doc_id").alias("sentence_id"), F.lit("o1").alias("occurrence_key"))
-    return K.remap_saved(saved, concepts.withColumn("concept_id", F.col("concept_key"))).select("saved_id", "sentence_id")
-
-
-@query("c17_orphans", "select id from @passages where id not in (select passage_id from @links) and id not in (select passage_id from @questions)")
-def _(f):
-    return K.orphans(f.passages.select("id"), (f.links, "passage_id"), (f.questions, "passage_id"))
-
-
-@query("k10_load_lexical", f"select count(*) as concepts, count(distinct lower(w[1])) as keys from {LEX}")
-def _(f):
-    _, concepts = K.explode_lexical(lexical(f), "document")
-    return concepts.agg(F.count("*").alias("concepts"), F.countDistinct("concept_key").alias("keys"))
-
-
-@query("k4_set_scope", "select exam_id, passage_id, row_number() over (partition by exam_id order by position desc, passage_id) - 1 as position from @links where passage_id % 4 <> 1")
-def _(f):
-    wanted = f.links.where("passage_id % 4 <> 1").select("exam_id", "passage_id", (-F.col("position")).alias("ordinal"))
-    kept = O.append_members(f.links, wanted, replace=True).join(wanted, ["exam_id", "passage_id"])
-    return O.renumber(kept.select("exam_id", "passage_id", "ordinal"), "exam_id", ["ordinal", "passage_id"]).select("exam_id", "passage_id", "position")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lessonloom.functions import text as T
+from lessonloom.operators import banks as B
+from lessonloom.operators import lexical as L
 from lessonloom.operators import practice as P
 from lessonloom.operators import tables as O
 from lessonloom.plans.frames import query
+from lessonloom.plans.progress import CATALOG_LOG, FOLD, ITEMS
 from lessonloom.plans.texts import WORDS
 
 SINCE = "2024-01-24 15:00:00"
@@ -18,9 +21,22 @@ def _(f):
     return O.current_scope(f.students, f.current_exams).select(F.col("id").alias("student_id"), "exam_id")
 
 
-@query("c2_student_home", "select s.id as student_id, l.exam_id, l.passage_id, l.position, p.title from @students s join @current_exams e using (school, grade) join @links l on l.exam_id = e.id join @passages p on p.id = l.passage_id")
+STEPS = ", ".join(f"coalesce(p{k}.correct_clears, 0) as clears_{k}, coalesce(p{k}.completed, 0) as completed_{k}, coalesce(o{k}.items, '') as open_{k}, case when coalesce(total, 0) > 0 then cast(floor(coalesce(p{k}.correct_clears, 0) * 100 / total) as bigint) else 0 end as percent_{k}" for k in (1, 2))
+STEP_JOINS = " ".join(f"left join f p{k} on p{k}.student_id = s.id and p{k}.passage_id = p.id and p{k}.stage = {k} left join o o{k} on o{k}.student_id = s.id and o{k}.passage_id = p.id and o{k}.stage = {k}" for k in (1, 2))
+
+
+@query(
+    "c2_student_home",
+    f"""{FOLD.format(source="@home_attempts")}, i as ({ITEMS}), n as (select passage_id, count(*) as total from i group by 1),
+ o as (select student_id, passage_id, stage, string_agg(c, ',' order by c) as items from (select student_id, passage_id, stage, unnest(clears) as c from f) join (select concat('sentence:', id) as c from i) using (c) group by 1, 2, 3)
+ select s.id as student_id, l.exam_id, l.passage_id, l.position, p.title, coalesce(total, 0) as sentence_count, {STEPS} from @students s join @current_exams e using (school, grade) join @links l on l.exam_id = e.id join @passages p on p.id = l.passage_id left join n on n.passage_id = p.id {STEP_JOINS}""",
+)
 def _(f):
-    return O.student_home(f.students, f.current_exams, f.links, f.passages).select("student_id", "exam_id", "passage_id", "position", "title")
+    items = P.practice_items(f.sentences).select("passage_id", "item_key")
+    progress = P.cycle_progress(f.home_attempts, ["student_id", "exam_id", "passage_id", "stage"])
+    home = O.student_home(f.students, f.current_exams, f.links, f.passages, items, progress)
+    steps = [c for k in (1, 2) for x in [F.col("steps")[k]] for c in (x["correct_clears"].alias(f"clears_{k}"), x["completed"].alias(f"completed_{k}"), F.array_join(x["clears"], ",").alias(f"open_{k}"), x["percent"].alias(f"percent_{k}"))]
+    return home.select("student_id", "exam_id", "passage_id", "position", "title", "sentence_count", *steps)
 
 
 MOVED = "select a.id, a.student_id, a.passage_id * 100 + a.student_id as passage_id, case when a.id % 3 = 0 then 1 else e.id end as exam_id from @attempts a left join @students s on s.id = a.student_id left join @current_exams e on e.school = s.school and e.grade = s.grade"
@@ -60,15 +76,21 @@ def _(f):
     return O.drop_redundant_on_relink(f.links, f.sql(MAPPING), "passage_id", ["exam_id"])
 
 
-@query("c10_valid_sessions", "select e.event_id, s.id as session_id from @events e join @sessions s on s.user_id = e.user_id and e.ts >= s.created_at and e.ts < least(s.expires_at, coalesce(s.revoked_at, s.expires_at))")
+CALLS = "select event_id, ts, concat('token', user_id * 100 + cast(extract(day from ts) as bigint) - event_id % 2) as token, case event_id % 3 when 1 then 'student' when 2 then 'admin' end as actor from @events"
+ACTOR = "case when user_id % 10 = 0 then 'admin' else 'student' end"
+
+
+@query("c10_valid_sessions", f"select e.event_id, s.id as session_id from ({CALLS}) e join (select *, {ACTOR} as actor_type from @sessions) s on concat('token', s.id) = e.token and e.ts >= s.created_at and e.ts < least(s.expires_at, coalesce(s.revoked_at, s.expires_at)) and (e.actor is null or e.actor = s.actor_type) where s.actor_type = 'admin' or s.user_id in (select id from @students where active)")
 def _(f):
-    return O.valid_sessions_at(f.events, f.sessions).select("event_id", "session_id")
+    sessions = f.sessions.select("id", F.sha2(F.concat(F.lit("token"), "id"), 256).alias("token_hash"), F.expr(ACTOR).alias("actor_type"), F.col("user_id").alias("student_id"), "created_at", "expires_at", "revoked_at")
+    return O.valid_sessions_at(f.sql(CALLS), sessions, f.students).select("event_id", "session_id")
 
 
-@query("c11_match_exactly_one", "select c.id as change_id, count(q.id) as matches, case when count(q.id) = 1 then min(q.id) end as match from (select id, passage_id, type from @questions where id % 3 = 0) c left join (select id, passage_id, type from @questions where id % 17 = 0) q on q.passage_id = c.passage_id and q.type = c.type group by 1")
+@query("c11_match_exactly_one", "select c.p_partkey as change_id, count(q.p_partkey) as matches, case when count(q.p_partkey) = 1 then min(q.p_partkey) end as match from (select * from part where p_partkey % 3 = 0) c left join (select * from part where p_partkey % 2 = 0) q on q.p_brand = c.p_brand and q.p_size = c.p_size group by 1")
 def _(f):
-    changes = f.questions.where("id % 3 = 0").select(F.col("id").alias("change_id"), "passage_id", "type")
-    return O.match_exactly_one(changes, f.questions.where("id % 17 = 0"), ["passage_id", "type"], "change_id", "id")
+    rows = f.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("exam"), F.col("p_size").alias("number"))
+    changes = rows.where("id % 3 = 0").withColumnRenamed("id", "change_id")
+    return O.match_exactly_one(changes, rows.where("id % 2 = 0"), ["exam", "number"], "change_id", "id")
 
 
 @query("c12_ordered_text", "select passage_id, string_agg(text, ' ' order by sentence_index) as source_text from @sentences where active group by passage_id")
@@ -76,29 +98,40 @@ def _(f):
     return O.ordered_text(f.sentences.where("active"), "passage_id", "sentence_index", "text")
 
 
-@query("c18_verify_migration", "select count(*) as lacking from (select student_id, word from @words where word <> '' and student_id % 5 = 0 except select student_id, word from @words where passage_id = 0)")
+@query("c17_orphans", "select doc_id as id from documents where doc_id not in (select doc_id from labels) and doc_id not in (select passage_id from @questions)")
 def _(f):
-    keys = ["student_id", "word"]
-    return f.words.where("word <> '' and student_id % 5 = 0").select(*keys).distinct().join(f.words.where("passage_id = 0").select(*keys), keys, "left_anti").agg(F.count("*").alias("lacking"))
+    return L.orphans(f.documents.select(F.col("doc_id").alias("id")), (f.labels, "doc_id"), (f.questions, "passage_id"))
 
 
-@query("c19_claim_pool", "select fact_key, passage_id, difficulty, language from @facts where status = 'confirmed'")
+@query("c18_verify_migration", "select id from (select distinct concat(student_id, ':', word) as id from @lookups where word <> '') where id not in (select concat(student_id, ':', word) from @lookups where passage_id % 2 = 1) and id in (select concat(student_id, ':', word) from @lookups where id % 5 > 0)")
 def _(f):
-    return f.facts.where("status = 'confirmed'").select("fact_key", "passage_id", "difficulty", "language")
+    rows = f.lookups.withColumn("item", F.concat_ws(":", "student_id", "word"))
+    items = rows.where("word <> ''").select("item").distinct()
+    return O.lacking_matches(items, rows.where("id % 5 > 0").select("item", "student_id", "word"), rows.where("passage_id % 2 = 1"), "item", ["student_id", "word"]).select(F.col("item").alias("id"))
+
 
+@query("c19_claim_pool", "select claim_id, passage_id, '' as variant_key, statement, difficulty, language from @claims where status = 'confirmed' union all select v.claim_id, c.passage_id, v.variant_key, v.statement, v.difficulty, v.language from @variants v join @claims c using (claim_id) where v.status = 'confirmed' and c.status = 'confirmed'")
+def _(f):
+    return B.claim_pool(f.claims, f.variants)
 
-SCOPES = "select id, case when id % 2 = 0 then 'Brand#1' else 'Brand#2' end as grade from @exams where id % 100 = 0"
+
+@query("c20_candidate_links", "select s.id as exam_id, p.id as passage_id from @current_exams s join @graded_passages p on p.grade = s.grade where not exists (select 1 from @links l where l.exam_id = s.id and l.passage_id = p.id)")
+def _(f):
+    return O.candidate_links(f.current_exams, f.graded_passages, f.links).select("exam_id", "passage_id")
 
 
-@query("c20_candidate_links", f"select s.id as exam_id, p.id as passage_id from ({SCOPES}) s join @passages p on p.grade = s.grade where not exists (select 1 from @links l where l.exam_id = s.id and l.passage_id = p.id)")
+@query("c21_admin_scopes", "select e.id as exam_id, coalesce((select string_agg(cast(passage_id as varchar), ',' order by position, passage_id) from @links l where l.exam_id = e.id), '') as assigned, (select count(*) from @graded_passages p where p.grade = e.grade and not exists (select 1 from @links l where l.exam_id = e.id and l.passage_id = p.id)) as candidates from @current_exams e")
 def _(f):
-    return O.candidate_links(f.sql(SCOPES), f.passages, f.links).select("exam_id", "passage_id")
+    return O.admin_scopes(f.current_exams, f.graded_passages, f.links).withColumn("assigned", F.array_join(F.col("assigned").cast("array<string>"), ","))
 
 
-@query("c21_admin_bootstrap", "select e.id as exam_id, count(l.passage_id) as assigned from @current_exams e left join @links l on l.exam_id = e.id group by 1")
+@query("c21_admin_listings", "select 'students' as listing, id from @students union all select 'exams', id from @current_exams union all select 'passages', id from @graded_passages union all select 'links', exam_id * 1000000 + passage_id from @links")
 def _(f):
-    counted = f.links.groupBy("exam_id").agg(F.count("*").alias("assigned"))
-    return f.current_exams.select(F.col("id").alias("exam_id")).join(counted, "exam_id", "left").withColumn("assigned", F.coalesce("assigned", F.lit(0)))
+    out = None
+    for name, rows in O.admin_listings(f.students, f.current_exams, f.graded_passages, f.links).items():
+        one = rows.select(F.lit(name).alias("listing"), (F.col("exam_id") * 1_000_000 + F.col("passage_id") if name == "links" else F.col("id")).alias("id"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- aggregations -----------------------------------------------------------------
@@ -124,9 +157,16 @@ def _(f):
     return O.learning_progress_all(f.students, f.question_attempts, f.attempts, SINCE)
 
 
-@query("d3_delete_impact", "select id as passage_id, (select count(*) from @links l where l.passage_id = p.id) as exam_links, (select count(*) from @attempts a where a.passage_id = p.id) as attempts from @passages p")
+@query("d3_delete_impact", "select id as passage_id, title as label, (select count(*) from @sentences t where t.passage_id = p.id) as sentences, (select count(*) from @links l where l.passage_id = p.id) as exam_links, (select count(*) from @attempts a where a.passage_id = p.id) as attempts from @passages p union all select id + 1000000, null, null, null, null from @passages where id % 50 = 0")
 def _(f):
-    return O.impact(f.passages, "passage_id", exam_links=f.links, attempts=f.attempts)
+    ids = f.passages.select("id").union(f.passages.where("id % 50 = 0").select(F.col("id") + 1000000))
+    found, unknown = O.delete_impact("passage", f.passages, ids, sentences=f.sentences, exam_links=f.links, attempts=f.attempts)
+    return found.unionByName(unknown.withColumnRenamed("id", "passage_id"), allowMissingColumns=True)
+
+
+@query("d3_student_impact", "select id as student_id, name as label, (select count(*) from @attempts a where a.student_id = s.id) as attempts from @students s")
+def _(f):
+    return O.delete_impact("student", f.students, f.students, attempts=f.attempts)[0]
 
 
 @query("d4_cumulative_clears", "select student_id, passage_id, semantic_type, count(*) as clears, max(created_at) as updated_at, arg_max(stage, created_at) as last_stage from @attempts where correct group by 1, 2, 3")
@@ -144,9 +184,9 @@ def _(f):
     return O.inconsistent_groups(f.facts, ["passage_id", "difficulty"], "language")
 
 
-@query("d7_duplicate_keys", "select student_id, item_key, count(*) as n from @attempts group by 1, 2 having count(*) > 1")
+@query("d7_duplicate_keys", "select student_id, client_attempt_id, count(*) as n from @attempts group by 1, 2 having count(*) > 1 or client_attempt_id is null")
 def _(f):
-    return f.attempts.groupBy("student_id", "item_key").agg(F.count("*").alias("n")).where("n > 1")
+    return O.duplicate_keys(f.attempts, ["student_id", "client_attempt_id"])
 
 
 @query("d8_non_contiguous", "select exam_id, max(position) - min(position) + 1 as spread, count(*) as n from @links where passage_id % 3 <> 0 group by 1 having max(position) - min(position) + 1 <> count(*)")
@@ -169,14 +209,16 @@ def _(f):
     return O.next_position(f.links, f.exams.select(F.col("id").alias("exam_id")), "exam_id", "position")
 
 
-@query("d12_publish_counts", "select passage_id, count(*) as facts, count(*) filter (where status <> 'confirmed') as changed from @facts group by 1")
+@query("d12_publish_counts", "select passage_id, (select count(*) from @facts f where f.passage_id = p.passage_id) as facts, (select count(*) from @claims c where c.passage_id = p.passage_id) as claims from (select distinct doc_id as passage_id from documents where doc_id % 2 = 0) p")
 def _(f):
-    return f.facts.groupBy("passage_id").agg(F.count("*").alias("facts"), F.count_if(F.col("status") != "confirmed").alias("changed"))
+    return B.publish_claims(f.facts, f.claims, f.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")))[2]
 
 
-@query("d13_merge_word_states", "select student_id, word, bool_or(known) as known, max(seen_at) as updated_at, min(seen_at) as created_at from (select student_id, word, seen_at % 2 = 0 as known, seen_at from @words) group by 1, 2")
+@query("d13_merge_word_states", "select student_id, passage_id - passage_id % 2 as passage_id, word, bool_or(resolved) as known, max(created_at) as updated_at, min(created_at) as created_at from @lookups group by 1, 2, 3")
 def _(f):
-    return f.words.groupBy("student_id", "word").agg(F.bool_or(F.col("seen_at") % 2 == 0).alias("known"), F.max("seen_at").alias("updated_at"), F.min("seen_at").alias("created_at"))
+    states = f.lookups.select("student_id", "passage_id", "word", F.col("resolved").alias("known"), F.col("created_at").alias("updated_at"), "created_at")
+    mapping = f.lookups.where("passage_id % 2 = 1").select(F.col("passage_id").alias("old"), (F.col("passage_id") - 1).alias("keeper")).distinct()
+    return O.merge_word_states(states, mapping)
 
 
 @query("d14_orderable_counts", f"select passage_id, count(*) filter (where len(w) >= 2 and trim(translation) <> '') as items, count(*) filter (where len(w) < 2) as skipped from (select *, {WORDS} as w from @sentences where active and block_type = 'SENTENCE') group by 1")
@@ -190,9 +232,12 @@ def _(f):
     return O.latest_wrong(f.question_attempts, keys, f.question_attempts.where("student_id % 5 = 0").select(*keys).distinct())
 
 
-@query("d16_lexical_to_saved", "select student_id, word, meaning, passage_id from (select *, row_number() over (partition by student_id, word order by seen_at) as rn from @words) where rn = 1")
+KEPT_WORDS = "select student_id, passage_id, word, min(meaning) as meaning from @lookups where created_at % 4 = 0 and word <> '' group by 1, 2, 3"
+
+
+@query("d16_lexical_to_saved", f"with s as (select student_id, passage_id, lower(substr(coalesce(nullif(lemma, ''), form), 1, 100)) as word, meaning, row_number() over (partition by student_id, passage_id, lower(substr(coalesce(nullif(lemma, ''), form), 1, 100)) order by created_at, id) as rn from @lookups where form <> '') select coalesce(s.student_id, k.student_id) as student_id, coalesce(s.passage_id, k.passage_id) as passage_id, coalesce(s.word, k.word) as word, coalesce(s.meaning, k.meaning) as meaning from (select * from s where rn = 1) s full join ({KEPT_WORDS}) k on k.student_id = s.student_id and k.passage_id = s.passage_id and k.word = s.word")
 def _(f):
-    return P.first_per_key(f.words, ["student_id", "word"], ["seen_at"]).select("student_id", "word", "meaning", "passage_id")
+    return L.lexical_to_saved_words(f.lookups, f.sql(KEPT_WORDS))
 
 
 @query("d17_run_summary", "select student_id, passage_id, stage, count(*) as finished, count(*) filter (where correct) as clean from @attempts group by 1, 2, 3")
@@ -206,9 +251,9 @@ def _(f):
     return O.stale_clears(f.attempts.where("correct"), items)
 
 
-@query("d19_latest_lookup", "select student_id, word, meaning, seen_at from (select *, row_number() over (partition by student_id, word order by seen_at desc) as rn from @words where passage_id % 2 = 0) where rn = 1")
+@query("d19_latest_lookup", "select student_id, word, arg_max(meaning, created_at) filter (where resolved) as meaning, max(created_at) filter (where resolved) as created_at, count(*) filter (where reason = 'initial') as initial_lookups, count(*) filter (where reason = 'retry') as retry_lookups from @lookups group by 1, 2 having bool_or(resolved)")
 def _(f):
-    return O.latest_by(f.words.where("passage_id % 2 = 0"), ["student_id", "word"], ["seen_at"], ["meaning", "seen_at"])
+    return O.latest_resolved(f.lookups, ["student_id", "word"], ["meaning", "created_at"])
 
 
 # --- windows ----------------------------------------------------------------------
@@ -252,21 +297,26 @@ def _(f):
     return O.renumber(f.links.where("passage_id % 3 <> 0"), "exam_id", ["position"])
 
 
-@query("e6_surviving_link", "select exam_id, keeper as passage_id, position from (select exam_id, passage_id - passage_id % 8 as keeper, position, row_number() over (partition by exam_id, passage_id - passage_id % 8 order by position, passage_id) as rn from @links) where rn = 1")
+ALIASES = "select id as passage_id, id - id % 8 as lesson, id - id % 8 as keeper from @passages where id % 8 < 3"
+
+
+@query("e6_surviving_link", "select exam_id, case when passage_id % 8 < 3 then passage_id - passage_id % 8 else passage_id end as passage_id, position from (select *, row_number() over (partition by exam_id, case when passage_id % 8 < 3 then passage_id - passage_id % 8 else -passage_id end order by position, passage_id) as rn from @links) where rn = 1")
 def _(f):
-    keeper = F.col("passage_id") - F.col("passage_id") % 8
-    return P.first_per_key(f.links.withColumn("keeper", keeper), ["exam_id", "keeper"], ["position", "passage_id"]).select("exam_id", F.col("keeper").alias("passage_id"), "position")
+    return O.surviving_links(f.links, f.sql(ALIASES))[0].select("exam_id", "passage_id", "position")
+
+
+#: Links before the scopes of every third exam were filled.
+FILLED = "exam_id % 3 <> 0"
 
 
-@query("e7_seed_top_n", f"select s.id as exam_id, p.id as passage_id, p.rn - 1 as position, case when p.rn <= 3 then 'mock' else 'supplement' end as group_key from ({SCOPES}) s join (select *, row_number() over (partition by grade order by display_order, id) as rn from @passages) p using (grade) where p.rn <= 5 and s.id not in (select exam_id from @links)")
+@query("e7_seed_top_n", f"select s.id as exam_id, p.id as passage_id, p.rn - 1 as position, case when p.rn <= 3 then 'mock' else 'supplement' end as group_key from @exams s join (select *, row_number() over (partition by grade order by display_order, id) as rn from @graded_passages) p using (grade) where p.rn <= 5 and s.id not in (select exam_id from @links where {FILLED})")
 def _(f):
-    return O.seed_top_n(f.sql(SCOPES), f.passages, f.links)
+    return O.seed_top_n(f.exams, f.graded_passages, f.links.where(FILLED))
 
 
-@query("e8_latest_catalog", "select id, c as catalog_id from (select a.id, c.event_id as c, row_number() over (partition by a.id order by c.ts desc, c.event_id desc) as rn from (select * from @attempts where id % 50 = 0) a join @events c on c.user_id = a.student_id and c.event_type = 'view') where rn = 1")
+@query("e8_latest_catalog", f"select a.id, c.catalog_id, c.items as catalog_items from @attempts a join (select catalog_id, passage_id, items from ({CATALOG_LOG}) qualify row_number() over (partition by passage_id order by updated_at desc, catalog_id desc) = 1) c on c.passage_id = a.passage_id where c.items > 0")
 def _(f):
-    catalogs = O.latest_by(f.events.where("event_type = 'view'").withColumn("catalog_id", F.col("event_id")), ["user_id"], ["ts", "event_id"], ["catalog_id"])
-    return f.attempts.where("id % 50 = 0").join(catalogs.withColumnRenamed("user_id", "student_id"), "student_id").select("id", "catalog_id")
+    return P.latest_catalog(f.attempts, f.sql(CATALOG_LOG)).select("id", "catalog_id", "catalog_items")
 
 
 @query("e10_failed_logins", "select id, count(*) filter (where not successful) over w as failures, count(*) filter (where not successful) over w >= 2 as locked from (select *, epoch_us(created_at) as us from @logins) window w as (partition by identifier order by us range between 900000000 preceding and 1 preceding)")
@@ -301,9 +351,9 @@ def _(f):
     return f.students.orderBy("school", "grade", "name", "id").select("id", "name")
 
 
-@query("f2_least_recent_first", f"select student_id, last_activity from (select s.id as student_id, max(a.created_at) as last_activity from @students s left join @attempts a on a.student_id = s.id where s.active group by 1)")
+@query("f2_least_recent_first", f"select student_id, last_activity from (select s.id as student_id, max(a.created_at) as last_activity from @students s left join (select student_id, created_at from @attempts union all select student_id, created_at from @question_attempts where student_id % 2 = 0) a on a.student_id = s.id where s.active group by 1)")
 def _(f):
-    return O.least_recent_first(O.learning_progress_all(f.students, f.attempts.where("false"), f.attempts, SINCE)).select("student_id", "last_activity")
+    return O.least_recent_first(O.learning_progress_all(f.students, f.question_attempts.where("student_id % 2 = 0"), f.attempts, SINCE)).select("student_id", "last_activity")
 
 
 @query("f3_first_open_item", "select s.passage_id, coalesce(min(s.sentence_index) filter (where s.id % 3 <> 0), 0) as item from @sentences s group by 1")

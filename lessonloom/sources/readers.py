@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lessonloom import constants as C
+from lessonloom.functions.session import with_plain_unions
 from lessonloom.functions.text import flatten_space, trim_wide
 
 
@@ -27,6 +28,7 @@ def read_sentence_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return parse_sentence_rows(files, "file", "source")
 
 
+@with_plain_unions
 def parse_sentence_rows(df: DataFrame, key: str, source: str) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of editor texts. Blank lines are skipped but counted; a text with neither rows nor errors is an error at line 0."""
     lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(source), F.lit("")), r"\r?\n")).alias("pos", "line"))
@@ -116,6 +118,7 @@ def explode_json_rows(df: DataFrame, column: str) -> DataFrame:
     return df.select("*", F.posexplode(F.from_json(column, "array<string>")).alias("ordinal", "value"))
 
 
+@with_plain_unions
 def seed_rows(df: DataFrame, values: list[tuple], keys: list[str]) -> DataFrame:
     """Adds rows for keys that are not there yet; there is no update."""
     seeds = df.sparkSession.createDataFrame(values, df.schema)

@@ -141,3 +141,23 @@ def test_validation_splits(spark):
     good, bad = R.split_valid(rows, R.student_rules())
     assert [r.id for r in good.collect()] == [1]
     assert [r.violations for r in bad.collect()] == [["name", "code"], ["name", "school", "grade", "code", "fingerprint"]]
+
+
+def test_admin_listings_are_in_order(spark):
+    from lessonloom.operators import tables as O
+    from lessonloom.plans.frames import Frames
+
+    f = Frames(spark, "/root/testdata/sf0.001")
+    keys = {"students": ("school", "grade", "name", "id"), "exams": ("school", "grade"), "passages": ("display_order", "id"), "links": ("position", "exam_id", "passage_id")}
+    for name, df in O.admin_listings(f.students, f.current_exams, f.graded_passages, f.links).items():
+        got = [tuple(r[k] for k in keys[name]) for r in df.collect()]
+        assert got and got == sorted(got)
+
+
+def test_global_rank(spark):
+    from lessonloom.operators import tables as O
+
+    df = spark.createDataFrame([(k * k % 1009,) for k in range(1, 500) if k * k % 1009], "id long").distinct().repartition(5)
+    ids = sorted(r.id for r in df.collect())
+    assert {r.id: r["rank"] for r in O.global_rank(df, "id", "rank", cells=7).collect()} == {i: k for k, i in enumerate(ids)}
+    assert O.global_rank(df.where("false"), "id", "rank").count() == 0
