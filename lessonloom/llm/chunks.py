@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lessonloom.functions.session import plain_unions
 from lessonloom.llm.common import LAST_ID, shuffle_partitions, text_key, word_hashes
 
 CHUNKED = "chunk int, id long, tag binary, body binary"
@@ -40,6 +41,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
 
     Documents are dealt by a hash of id and text, so rows without an id, or of one id, spread like others.
     """
+    plain_unions(docs.sparkSession)
     partitions = shuffle_partitions(docs.sparkSession)
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long")).alias("n")).first()["n"] or 0

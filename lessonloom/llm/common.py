@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lessonloom.functions.session import plain_unions
+
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "\\x20\\x09-\\x0D"
 LAST_ID = (1 << 63) - 1
@@ -159,6 +161,7 @@ def with_checkpoint_dir(spark: SparkSession) -> None:
     Only a session of one machine (master local[...], as in tests) may do without one and
     gets a folder of its own; on a cluster each executor would write to its own disk.
     """
+    plain_unions(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
