@@ -8,12 +8,19 @@ the kernel values against them, whitened; a linear machine with hinge loss is tr
 them. As the kernel is a sum over subsequences, the trained function of a string is one
 too, and scoring looks up one weight per subsequence.
 
-Training: sentences of labelled texts are split to strings, whose numbers of sentences
-in toxic and in clean texts are counted by a grouped aggregation over all labelled
-training rows. At most ``MOST_TOXIC`` strings that mark toxic sentences and
-``MOST_CLEAN`` others reach the driver, where the machine is trained. How the strongest
-strings of a text make its score is fitted on at most ``CALIBRATION_ROWS`` labelled rows
-(those of least hash). Scoring reads every whole text, in Arrow batches, with no shuffle.
+Training. The machine is trained on labelled sentences: those of at most ``TRAIN_ROWS``
+toxic and as many clean training rows (the ones of least hash). A sentence is a bag of
+strings (its words, and rows of single characters joined) and is as toxic as its
+strongest string; a toxic text has at least one toxic sentence, a clean text none. So
+each round takes, by the machine so far, the strongest string of each toxic text's
+strongest sentence as a positive example and the strongest string of every clean
+sentence as a negative one, with the number of sentences as its weight, and trains anew
+(``ROUNDS`` times). The first round has no machine yet; it starts from strings whose
+numbers of sentences in toxic and clean texts differ most, counted by a grouped
+aggregation over all training rows. How the strongest strings of a text make its score is
+fitted on at most ``CALIBRATION_ROWS`` labelled rows. Scoring reads every whole text, in
+Arrow batches, with no shuffle. Limits of the method: a phrase that is toxic although each
+of its words is harmless is not found, nor an insult of one or two letters.
 
 Defined results: a null or empty text scores like a clean one; without any toxic
 training row all score 0; a null doc_id is not held out and stays null; labels without
@@ -23,13 +30,14 @@ table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lessonloom.llm.common import in_small_batches, read_documents, small_side, text_key, with_checkpoint_dir
@@ -40,12 +48,15 @@ PART = 24
 CODES = 64
 LANDMARKS = 256
 MOST_TOXIC, MOST_CLEAN = 512, 4096
+#: Labelled rows of each label whose sentences train the machine, and how often it is trained anew on them.
+TRAIN_ROWS, ROUNDS = 3000, 2
 CALIBRATION_ROWS = 6000
 #: A string marks toxic sentences from this log-likelihood ratio on, in so many sentences and with this share of them.
 LEAST_RATIO, LEAST_SENTENCES, LEAST_SHARE = 12.0, 4, 0.9
 THRESHOLD = 0.3
 REMEMBERED = 300_000
 HELD_OUT = 2
+SENTENCE_END = re.compile(r"[.!?\n]+")
 
 
 # --- the kernel -------------------------------------------------------------------
@@ -189,6 +200,15 @@ class Model:
         values = sorted(map(self.seen.__getitem__, words))
         return values[-1], values[-2] if len(values) > 1 else self.bias
 
+    def strongest_strings(self, text: str) -> list[tuple[float, str]]:
+        """The strongest string of each sentence that has one, with its value."""
+        sentences = [words for x in SENTENCE_END.split(text) if (words := strings_of(x))]
+        self.strongest(text)  # remembers the values of most strings at once
+        new = sorted({w for words in sentences for w in words if w not in self.seen})
+        values = dict(zip(new, self.decide(new).tolist())) if new else {}
+        value = lambda w: values[w] if w in values else self.seen[w]
+        return [max((value(w), w) for w in words) for words in sentences]
+
     def score(self, text: str) -> float:
         z = float(within_margin(np.array([self.strongest(text)]))[0] @ self.calibration[:2] + self.calibration[2])
         return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
@@ -235,7 +255,10 @@ def train_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 
 
 def train(toxic: list[str], clean: list[str]) -> Model:
-    """Nyström features against landmarks from both kinds, then the machine, then one weight a subsequence."""
+    """Nyström features against landmarks from both kinds, then the machine, then one weight a subsequence.
+
+    Strings come with the most telling ones first; landmarks are taken from the front.
+    """
     words = [w for w in toxic if len(w) >= 3][:MOST_TOXIC], [w for w in clean if len(w) >= 3][:MOST_CLEAN]
     if not words[0] or not words[1]:
         return Model(np.zeros(CODES**3), -30.0)
@@ -273,36 +296,68 @@ def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) ->
     return texts.join(small_side(chosen, 56), "text_id").where(text_key(F.col("text").cast("binary")) == F.col("h")).select("text", "toxic")
 
 
+def training_rows(rows: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
+    """At most so many rows of each label, those of least hash."""
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
+    return rows.withColumn("turn", turn).where(F.col("turn") <= most).drop("turn")
+
+
+def examples(sample: DataFrame, model: Model) -> tuple[list[str], list[str]]:
+    """Strings that the labelled sentences give the machine, the most frequent first: (toxic, clean)."""
+
+    def strings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out: list[tuple[str, int]] = []
+            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                found = model.strongest_strings(text)
+                if toxic and found:
+                    value, word = max(found)
+                    out += [(word, 1)] if value > model.bias else []  # no string of the text looks like an insult
+                elif not toxic:
+                    out += [(word, 0) for _, word in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([t for _, t in out], pa.int32())], ["word", "toxic"])
+
+    counted = sample.mapInArrow(strings, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    bad = counted.where("bad > good").orderBy(F.desc("bad"), "word").limit(MOST_TOXIC).select("word").collect()
+    good = counted.where("good >= bad").orderBy(F.desc("good"), "word").limit(MOST_CLEAN // 2).select("word").collect()
+    return [r.word for r in bad], [r.word for r in good]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     with_checkpoint_dir(docs.sparkSession)
     rows = labelled(docs, labels, id_col, text_col, label_col).checkpoint()
 
     def sentences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         for part in parts:
             for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 counts: dict[str, int] = {}
-                for sentence in re.split(r"[.!?\n]+", text):
+                for sentence in SENTENCE_END.split(text):
                     for w in strings_of(sentence):
                         counts[w] = counts.get(w, 0) + 1
                 if counts:
                     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([n * toxic for n in counts.values()], pa.int64()), pa.array([n * (1 - toxic) for n in counts.values()], pa.int64())], ["word", "bad", "good"])
 
-    counted = texts_of(docs, rows, id_col, text_col).mapInArrow(sentences, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).checkpoint()
     totals = rows.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     if not totals or not totals.bad or not totals.good:
         return Model(np.zeros(CODES**3), -30.0)
+    counted = texts_of(docs, rows, id_col, text_col).mapInArrow(sentences, "word string, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).checkpoint()
     rate = float(totals.bad) / float(totals.bad + totals.good)
     n, share = F.col("bad") + F.col("good"), F.col("bad") / (F.col("bad") + F.col("good"))
     ratio = 2 * (F.col("bad") * F.log(F.greatest(share, F.lit(1e-9)) / rate) + F.col("good") * F.log(F.greatest(1 - share, F.lit(1e-9)) / (1 - rate)))
     counted = counted.withColumns({"n": n, "share": share, "ratio": ratio})
     marks = (F.col("share") >= LEAST_SHARE) & (F.col("ratio") >= LEAST_RATIO) & (F.col("bad") >= LEAST_SENTENCES)
-    toxic = counted.where(marks).orderBy(F.desc("ratio"), "word").limit(MOST_TOXIC).select("word").collect()
+    toxic = [r.word for r in counted.where(marks).orderBy(F.desc("ratio"), "word").limit(MOST_TOXIC).select("word").collect()]
     often = counted.where(F.col("share") < 2 * rate).orderBy(F.desc("n"), "word").limit(MOST_CLEAN // 2).select("word").collect()
     some = counted.where(F.col("bad") == 0).orderBy(F.xxhash64("word"), "word").limit(MOST_CLEAN // 2).select("word").collect()
     clean = list(dict.fromkeys(w.word for pair in zip(often, some) for w in pair)) or [w.word for w in often + some]
-    model = train([w.word for w in toxic], clean)
+    model = train(toxic, clean)
+    sample = texts_of(docs, training_rows(rows), id_col, text_col)
+    for _ in range(ROUNDS if model.bias > -30 else 0):
+        bad, good = examples(sample, model)
+        # Clean sentences are strongest in rare strings; common ones and others stay beside them.
+        clean_now = list(dict.fromkeys([w for pair in zip(good, clean) for w in pair] + clean))[:MOST_CLEAN]
+        model = train(bad, [w for w in clean_now if w not in set(bad)])
     if model.bias > -30:
         sample = texts_of(docs, rows.orderBy(F.xxhash64("h"), "h").limit(CALIBRATION_ROWS), id_col, text_col)
 
