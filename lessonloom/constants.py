@@ -13,6 +13,8 @@ TOKEN_PATTERN = r"(?:[$€£₩¥#])?[\p{L}\p{M}\p{N}]+(?:[’'][\p{L}\p{M}\p{N}
 DASHES = "‐‑‒–—−"
 #: White space in the wide sense, as a regex class.
 WIDE_SPACE = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The same characters one by one.
+WIDE_SPACE_CHARACTERS = " \t\n\x0b\x0c\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 UUID4_PATTERN = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 HARD_TAXONOMIES = ("paragraph_order", "sentence_insertion", "grammar_multi_error", "implication", "summary_two_blank")
 EASY_TAXONOMIES = ("content_true", "content_false", "unanswerable", "main_idea", "topic", "title")

@@ -13,17 +13,18 @@ from lessonloom import constants as C
 
 
 def trim_wide(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{C.WIDE_SPACE}+|{C.WIDE_SPACE}+$", "")
+    return F.btrim(c, F.lit(C.WIDE_SPACE_CHARACTERS))
 
 
 def clean_text(c: Column, most: int = C.MAX_TEXT) -> Column:
     """Null as ''; NUL and astral characters go, no-break spaces become spaces, ends are trimmed, then the text is cut."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x{10000}-\x{10FFFF}]|\x00", "")
-    return F.substring(trim_wide(F.regexp_replace(bare, r"\x{A0}", " ")), 1, most)
+    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x{10000}-\x{10FFFF}]", "")
+    plain = F.replace(F.replace(bare, F.lit("\x00"), F.lit("")), F.lit("\xa0"), F.lit(" "))
+    return F.substring(trim_wide(plain), 1, most)
 
 
 def flatten_space(c: Column) -> Column:
-    return trim_wide(F.regexp_replace(F.coalesce(c, F.lit("")), f"{C.WIDE_SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{C.WIDE_SPACE}+", " "))
 
 
 def sentence_words(c: Column) -> Column:
@@ -35,19 +36,33 @@ def _nfc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFC")
 
 
+def beyond_ascii(c: Column) -> Column:
+    return F.octet_length(c) != F.char_length(c)
+
+
 def nfc(c: Column) -> Column:
     """Composed form; texts without combining marks or later blocks are it already and stay in the JVM.
 
     The UDF sees null for those, as Spark evaluates it for all rows of a batch.
     """
-    later = c.rlike(r"[\x{0300}-\x{10FFFF}]")
+    later = beyond_ascii(c) & c.rlike(r"[\x{0300}-\x{10FFFF}]")
     return F.coalesce(_nfc(F.when(later, c)), c)
 
 
+def fold_case(c: Column) -> Column:
+    """Composed, lower case, dashes alike."""
+    text = F.lower(nfc(c))
+    return F.when(beyond_ascii(c), F.translate(text, C.DASHES, "-" * len(C.DASHES))).otherwise(text)
+
+
 def normalize_token(c: Column) -> Column:
-    """Composed, lower case, dashes alike, white space single: a token, or a whole sentence at once."""
-    text = F.lower(nfc(flatten_space(c)))
-    return F.translate(text, C.DASHES, "-" * len(C.DASHES))
+    """``fold_case`` with single white space: for a token, or a whole sentence at once."""
+    return fold_case(flatten_space(c))
+
+
+def normalize_words(words: Column) -> Column:
+    """``normalize_token`` of each word of an array; words hold no white space."""
+    return F.split(fold_case(F.array_join(words, " ")), " ")
 
 
 def mistake_allowance(step: Column, words: Column) -> Column:

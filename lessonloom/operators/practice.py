@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lessonloom import constants as C
 from lessonloom.functions.session import with_plain_unions
-from lessonloom.functions.text import clean_text, item_key, mistake_allowance, normalize_token, progress_percent, sentence_words
+from lessonloom.functions.text import clean_text, flatten_space, fold_case, item_key, mistake_allowance, normalize_words, progress_percent, sentence_words
 from lessonloom.operators.folds import fold_sorted
 from lessonloom.operators.rules import is_attempt_id
 
@@ -34,7 +34,7 @@ def grade_attempts(df: DataFrame) -> DataFrame:
     """
     n = F.size("chips")
     # Whole sentences are compared: normalising one costs one pass, as many as its words otherwise.
-    expected, actual = normalize_token(F.array_join("chips", " ")), normalize_token(F.col("arranged"))
+    expected, actual = fold_case(F.col("joined")), fold_case(F.col("flat"))
     counter = lambda c: F.coalesce(F.col(c).between(0, C.MAX_COUNTER), F.lit(False))
     allowance = mistake_allowance(F.col("step"), n)
     final = F.col("mistakes") - F.col("restarts") * (allowance + 1)
@@ -46,7 +46,8 @@ def grade_attempts(df: DataFrame) -> DataFrame:
         .when((F.col("step") == 1) & (F.col("restarts") != 0), "step1_never_restarts")
         .when((F.col("step") == 2) & ~final.between(0, allowance), "step2_counts_inconsistent")
     )
-    judged = df.withColumn("chips", sentence_words(F.col("text"))).withColumns({"word_count": n, "allowance": allowance, "reason": reason}).drop("chips")
+    split = df.withColumn("chips", sentence_words(F.col("text"))).withColumns({"joined": F.array_join("chips", " "), "flat": flatten_space(F.col("arranged"))})
+    judged = split.withColumns({"word_count": n, "allowance": allowance, "reason": reason}).drop("chips", "joined", "flat")
     correct = F.when(F.col("reason").isNull(), run_is_clean(F.col("step"), F.col("mistakes"), F.col("restarts")))
     return judged.withColumn("correct", correct)
 
@@ -93,12 +94,15 @@ def submit_attempts(batch: DataFrame, stored: DataFrame, allowed: DataFrame, ite
 
 
 def answer_indexes(df: DataFrame, key: str, chips: str, answer: str) -> DataFrame:
-    """For each answer word the chip that it takes: the k-th repeat of a word takes its k-th chip; empty if any word has none."""
-    side = lambda c: df.select(key, F.posexplode(c).alias("at", "word")).withColumn("word", normalize_token(F.col("word"))).withColumn("turn", F.row_number().over(Window.partitionBy(key, "word").orderBy("at")))
-    pairs = side(answer).withColumnRenamed("at", "place").join(side(chips), [key, "word", "turn"], "left")
-    found = pairs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "at"))).alias("x"), F.count_if(F.col("at").isNull()).alias("missing"))
-    whole = df.select(key, (F.size(chips) == F.size(answer)).alias("same")).join(found, key, "left")
-    return whole.select(key, F.when(F.col("same") & (F.col("missing") == 0), F.col("x.at")).otherwise(F.array().cast("array<int>")).alias("indexes"))
+    """For each answer word the chip that it takes: the k-th repeat of a word takes its k-th chip; empty if any word has none.
+
+    Chips and answer are sorted by word and place: where their words agree, equal places belong together.
+    """
+    placed = lambda c: F.array_sort(F.transform(F.when(F.size(c) > 0, normalize_words(F.col(c))).otherwise(F.array().cast("array<string>")), lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    rows = df.select(key, placed(answer).alias("wanted"), placed(chips).alias("there"))
+    pairs = F.array_sort(F.transform("wanted", lambda x, i: F.struct(x["at"].alias("place"), F.get("there", i)["at"].alias("at"))))
+    none = F.array().cast("array<int>")
+    return rows.select(key, F.when(F.col("wanted.word") == F.col("there.word"), pairs["at"]).otherwise(none).alias("indexes"))
 
 
 def run_is_clean(step, mistakes, restarts):
@@ -210,7 +214,7 @@ def replay_taps(taps: DataFrame, words: DataFrame, step: int, run: str = "run_id
     interchangeable; a used or unknown chip, or a tap after the end, is ignored. Runs
     without words are left out.
     """
-    norm = F.split(normalize_token(F.array_join("words", "\n")), " ")
+    norm = normalize_words(F.col("words"))
     first = words.select(run, F.lit(None).cast("long").alias("seq"), F.lit(None).cast("int").alias("chip"), norm.alias("norm"))
     log = taps.select(run, F.col("seq").cast("long").alias("seq"), F.col("chip").cast("int").alias("chip"), F.lit(None).cast("array<string>").alias("norm"))
 
