@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lessonloom.llm.common import bodies, in_small_batches, read_documents
 
 #: Pieces whose tokens a task remembers at once; more are encoded again. Bounds memory only.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Pieces handed to the library at once.
 AT_ONCE = 4096
 
@@ -112,6 +112,14 @@ class Encoder:
             found = self.model.encode_batch([as_characters(p.encode()) for p in some], add_special_tokens=False)
             self.store(some, [i for e in found for i in e.ids], [b for e in found for _, b in e.offsets], list(map(len, found)))
 
+    def numbers_of(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece; new ones are encoded first."""
+        try:
+            return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        except KeyError:
+            self.learn(pieces)
+            return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+
     def store(self, pieces: list[str], ids: list[int], ends: list[int], counts: list[int]) -> None:
         """Adds pieces to the flat arrays, which grow by doubling."""
         known, upto = len(self.number), self.tokens + len(ids)
@@ -130,8 +138,7 @@ class Encoder:
         pieces = [p for s in split for p in s]
         if not pieces:
             return np.empty(0, np.int32), np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-        self.learn(pieces)
-        which = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        which = self.numbers_of(pieces)
         first, counts = self.starts[which], self.starts[which + 1] - self.starts[which]
         total = np.cumsum(counts)
         at = np.arange(total[-1]) + np.repeat(first - (total - counts), counts)

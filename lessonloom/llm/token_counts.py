@@ -39,8 +39,7 @@ def token_counts(encoder: Encoder, pieces: list[str]) -> np.ndarray:
     """Tokens of each piece."""
     if not pieces:
         return np.empty(0, np.int64)
-    encoder.learn(pieces)
-    which = np.fromiter(map(encoder.number.__getitem__, pieces), np.int64, len(pieces))
+    which = encoder.numbers_of(pieces)
     return encoder.starts[which + 1] - encoder.starts[which]
 
 
@@ -52,12 +51,13 @@ class Tree:
     which rebuilds the levels over the leaves' sums (no encoding).
     """
 
-    def __init__(self, sizes: np.ndarray, counts: np.ndarray):
-        self.leaves = [np.stack((sizes[k : k + LEAF], counts[k : k + LEAF]), 1) for k in range(0, len(sizes), LEAF)] or [np.zeros((0, 2), np.int64)]
-        self.rebuild()
+    def __init__(self, rows: np.ndarray):
+        at = np.arange(0, len(rows), LEAF)
+        self.leaves = [rows[k : k + LEAF] for k in at.tolist()] or [rows]
+        self.rebuild(np.add.reduceat(rows, at) if len(at) else None)
 
-    def rebuild(self) -> None:
-        self.levels = [np.array([leaf.sum(0) for leaf in self.leaves], np.int64).reshape(-1, 2)]
+    def rebuild(self, sums: np.ndarray | None = None) -> None:
+        self.levels = [np.array([leaf.sum(0) for leaf in self.leaves], np.int64).reshape(-1, 2) if sums is None else sums]
         while len(self.levels[-1]) > 1:
             below = self.levels[-1]
             if len(below) % 2:
@@ -97,17 +97,20 @@ class Tree:
         self.rebuild()
 
     def pack(self) -> bytes:
-        return np.vstack(self.leaves).astype(np.int32).tobytes()
+        return np.concatenate(self.leaves).astype(np.int32).tobytes()
 
     @classmethod
     def unpack(cls, data: bytes) -> Tree:
-        rows = np.frombuffer(data, np.int32).reshape(-1, 2).astype(np.int64)
-        return cls(rows[:, 0], rows[:, 1])
+        return cls(np.frombuffer(data, np.int32).reshape(-1, 2).astype(np.int64))
 
 
-def build_tree(encoder: Encoder, text: str) -> Tree:
-    pieces = encoder.split(text)
-    return Tree(np.fromiter(map(len, pieces), np.int64, len(pieces)), token_counts(encoder, pieces))
+def build_trees(encoder: Encoder, texts: list[str]) -> list[Tree]:
+    """Trees of some texts; new pieces of all of them are encoded together."""
+    split = list(map(encoder.split, texts))
+    pieces = [p for s in split for p in s]
+    rows = np.stack((np.fromiter(map(len, pieces), np.int64, len(pieces)), token_counts(encoder, pieces)), 1)
+    ends = np.cumsum(list(map(len, split)))
+    return [Tree(rows[end - len(s) : end]) for s, end in zip(split, ends.tolist())]
 
 
 def edit(encoder: Encoder, tree: Tree, text: str, start: int, length: int, insert: str) -> tuple[str, int]:
@@ -157,7 +160,7 @@ def build(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", t
         for part in parts:
             for k in range(0, part.num_rows, 256):
                 some = part.slice(k, 256)
-                trees = [build_tree(encoder, t.as_py() or "") for t in some.column(1)]
+                trees = build_trees(encoder, [t or "" for t in some.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array([t.total[1] for t in trees], pa.int64()), pa.array([t.pack() for t in trees], pa.binary())], ["doc_id", "text", "edits", "n_tokens", "tree"])
 
     rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), wanted.cast(EDITS).alias("edits"))
