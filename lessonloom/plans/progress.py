@@ -286,3 +286,16 @@ def _(f):
 def _(f):
     rows = f.words.withColumn("meaning_key", T.meaning_key(F.col("meaning"))).where("meaning_key <> ''")
     return rows.groupBy("student_id", "word", "meaning_key").agg(F.min("seen_at").alias("first_at"))
+
+
+#: Attempts as they arrive: some twice, some days after they were made.
+DELIVERIES = "select *, created_at + interval '3' day * (id % 3) + interval '1' hour * n as arrived_at from @attempts, (values (0), (1)) as t(n) where n = 0 or id % 4 = 0"
+
+
+@query("j14_store_and_forward", f"select id, cast(floor((row_number() over (partition by student_id order by arrived_at, id) - 1) / 20) as bigint) as batch, case when {GOOD_ID} then 'stored' else 'rejected' end as outcome from (select * from ({DELIVERIES}) qualify row_number() over (partition by student_id, coalesce(lower(client_attempt_id), concat('row:', id)) order by arrived_at, id) = 1)")
+def _(f):
+    from lessonloom.operators.rules import is_attempt_id
+    from lessonloom.streaming.jobs import forwarded
+
+    judge = lambda df: df.withColumn("outcome", F.when(is_attempt_id(F.col("client_attempt_id")), "stored").otherwise("rejected"))
+    return forwarded(f.sql(DELIVERIES), judge).select("id", "batch", "outcome")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lessonloom import constants as C
+from lessonloom.sources.readers import batch_queue, merge_queues
 
 STATE_DAYS = "30 days"
 
@@ -68,6 +69,17 @@ def cycle_stream(attempts: DataFrame) -> DataFrame:
     return rows.groupBy("student_id", "passage_id", "stage").applyInPandasWithState(fold, CYCLE_OUT, CYCLE_STATE, "update", "NoTimeout")
 
 
+def forwarded(deliveries: DataFrame, judge: Callable[[DataFrame], DataFrame], key: str = "student_id") -> DataFrame:
+    """The table form of ``store_and_forward``: attempts that come at least once, perhaps days late, leave a student's queue in batches in the order of arrival, and each is judged once.
+
+    deliveries: the attempts' columns and arrived_at; what is delivered again is the same
+    attempt. An attempt without a client id is only ever itself. judge adds outcome.
+    """
+    same = F.coalesce(F.lower("client_attempt_id"), F.concat(F.lit("row:"), F.col("id").cast("string")))
+    first = merge_queues(deliveries.withColumn("delivery_key", same), [key, "delivery_key"], ["arrived_at", "id"])
+    return judge(batch_queue(first, [key], ["arrived_at", "id"]).drop("delivery_key"))
+
+
 def store_and_forward(outcomes: DataFrame, stored_path: str, rejected_path: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame]):
     """Each micro-batch is judged once; stored and rejected rows go to logs of their own, under the batch's number, so that a batch that is run again replaces its rows."""
 
