@@ -161,3 +161,40 @@ def test_global_rank(spark):
     ids = sorted(r.id for r in df.collect())
     assert {r.id: r["rank"] for r in O.global_rank(df, "id", "rank", cells=7).collect()} == {i: k for k, i in enumerate(ids)}
     assert O.global_rank(df.where("false"), "id", "rank").count() == 0
+
+
+def test_jdbc_is_read_in_parallel(spark):
+    url, driver = "jdbc:derby:memory:lessons;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(1, 1001).select("id", (F.col("id") * 2).alias("twice"))
+    rows.write.format("jdbc").options(url=url, dbtable="tries", driver=driver).mode("overwrite").save()
+    got = S.load_jdbc(spark, url, "tries", "id", 1, 1000, 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted((r.ID if "ID" in got.columns else r.id) for r in got.collect()) == list(range(1, 1001))
+
+
+def test_append_log(spark, tmp_path):
+    log = attempts(spark, "ab", [2, 2])
+    S.append_log(log.where("id = 0"), f"{tmp_path}/log")
+    before = spark.read.parquet(f"{tmp_path}/log")
+    kept = before.collect()
+    S.append_log(log.where("id = 1"), f"{tmp_path}/log")
+    after = spark.read.parquet(f"{tmp_path}/log")
+    assert after.count() == 2 and S.audit_append_only(spark.createDataFrame(kept, log.schema), after, ["id"]).count() == 0
+    assert [r.change for r in S.audit_append_only(after, after.where("id = 1"), ["id"]).collect()] == ["missing"]
+
+
+def test_changes_of_one_new_key(spark):
+    base = spark.createDataFrame([(1, "a")], "id int, v string")
+    changes = spark.createDataFrame([(2, "y", 2), (2, "x", 1), (1, "b", 1), (None, "n", 1), (None, "m", 2)], "id int, v string, n int")
+    assert sorted(map(tuple, S.upsert(base, changes, ["id"], ["v"], order=["n"]).collect()), key=str) == [(1, "b"), (2, "x"), (None, "m"), (None, "n")]
+    assert sorted(map(tuple, S.upsert(base, changes, ["id"], order=["n"]).where("id is not null").collect())) == [(1, "a"), (2, "x")]
+
+
+def test_lookups_and_migrations_golden(spark):
+    from lessonloom.operators import tables as O
+
+    events = spark.createDataFrame([(1, "w", "m1", True, "initial", 1, 1), (1, "w", "m2", False, "retry", 2, 2)], "student_id int, word string, meaning string, resolved boolean, reason string, created_at int, id int")
+    got = O.latest_resolved(events, ["student_id", "word"], ["meaning"]).first()
+    assert (got.meaning, got.initial_lookups, got.retry_lookups) == ("m1", 1, 1)
+    states = spark.createDataFrame([(1, 2, "w", False, 5, 1), (1, 3, "w", True, 4, 2)], "student_id int, passage_id int, word string, known boolean, updated_at int, created_at int")
+    mapping = spark.createDataFrame([(3, 2)], "old int, keeper int")
+    assert tuple(O.merge_word_states(states, mapping).first()) == (1, 2, "w", True, 5, 1)
