@@ -260,8 +260,15 @@ def global_rank(df: DataFrame, key: str, name: str, cells: int = 256) -> DataFra
     """
     probs = [k / cells for k in range(1, cells)]
     bounds = sorted(set(df.agg(F.percentile_approx(key, probs, 10_000).alias("q")).first()["q"] or []))
-    cell = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    rows = df.withColumn("cell", cell)
+
+    def cell(low: int, high: int) -> Column:
+        """Bounds under the key, by bisection."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(key) <= F.lit(bounds[middle]), cell(low, middle)).otherwise(cell(middle + 1, high))
+
+    rows = df.withColumn("cell", cell(0, len(bounds)))
     starts = rows.groupBy("cell").agg(F.count("*").alias("n"))
     starts = starts.select("cell", F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("cell_start"))
     inside = F.row_number().over(Window.partitionBy("cell").orderBy(key)) - 1
