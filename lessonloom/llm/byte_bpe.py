@@ -10,8 +10,8 @@ and joins bytes before it decodes, so a character split over tokens comes back w
 Each text is encoded alone and whole; there is no shuffle. The rank file is read on
 the driver (its size is fixed by the vocabulary, under 1 MB) and travels with the task.
 
-Defined results: a null or empty text has no tokens and decodes to no bytes; a null
-id stays null; repeated rows give repeated results; an empty table gives an empty one;
+Defined results: a null or empty text has no tokens and decodes to no bytes; bytes that
+are no UTF-8 are read as U+FFFD; a null id stays null; repeated rows give repeated results; an empty table gives an empty one;
 ids that the vocabulary lacks are an error; other columns are not read.
 """
 
@@ -178,7 +178,7 @@ def encoded_batches(parts: Iterator[pa.RecordBatch], ranks: bytes, pattern: str)
         names, texts, size = [], [], 0
         for name, body in zip(part.column(0).to_pylist(), bodies(part.column(1))):
             names.append(name)
-            texts.append(body.decode())
+            texts.append(body.decode("utf-8", "replace"))
             size += len(body)
             if size >= SLICE_BYTES:
                 yield out(names, texts)

@@ -51,6 +51,11 @@ def bodies(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
             yield (value.as_buffer().to_pybytes() if value.is_valid else b"")
 
 
+def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
+    """The texts of a string column, null as empty; bytes that are no UTF-8 (a string column may hold any) as U+FFFD."""
+    return [body.decode("utf-8", "replace") for body in bodies(column)]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers, so that high bits depend on all bits."""
     h = h ^ (h >> np.uint64(30))

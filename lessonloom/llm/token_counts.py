@@ -11,8 +11,8 @@ a column, so further edits need no encoding of the rest of the text.
 Each document is worked on alone and whole; there is no shuffle. Counts are those of
 encoding every match of the pattern by the ranks.
 
-Defined results: a null or empty text has no tokens and takes inserts at place 0; null
-edits are none; places beyond the end mean the end, negative ones the begin; a null
+Defined results: a null or empty text has no tokens and takes inserts at place 0; bytes
+that are no UTF-8 are read as U+FFFD; null edits are none; places beyond the end mean the end, negative ones the begin; a null
 doc_id stays null; repeated rows are worked on alike; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lessonloom.llm.byte_bpe import Encoder, default_vocabulary, encoder_of
-from lessonloom.llm.common import in_small_batches, read_documents
+from lessonloom.llm.common import in_small_batches, read_documents, texts
 
 #: Pre-tokens in a leaf of the tree.
 LEAF = 64
@@ -104,9 +104,9 @@ class Tree:
         return cls(np.frombuffer(data, np.int32).reshape(-1, 2).astype(np.int64))
 
 
-def build_trees(encoder: Encoder, texts: list[str]) -> list[Tree]:
+def build_trees(encoder: Encoder, bodies: list[str]) -> list[Tree]:
     """Trees of some texts; new pieces of all of them are encoded together."""
-    split = list(map(encoder.split, texts))
+    split = list(map(encoder.split, bodies))
     pieces = [p for s in split for p in s]
     rows = np.stack((np.fromiter(map(len, pieces), np.int64, len(pieces)), token_counts(encoder, pieces)), 1)
     ends = np.cumsum(list(map(len, split)))
@@ -160,7 +160,7 @@ def build(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", t
         for part in parts:
             for k in range(0, part.num_rows, 256):
                 some = part.slice(k, 256)
-                trees = build_trees(encoder, [t or "" for t in some.column(1).to_pylist()])
+                trees = build_trees(encoder, texts(some.column(1)))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array([t.total[1] for t in trees], pa.int64()), pa.array([t.pack() for t in trees], pa.binary())], ["doc_id", "text", "edits", "n_tokens", "tree"])
 
     rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), wanted.cast(EDITS).alias("edits"))
@@ -179,8 +179,9 @@ def apply_edits(trees: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
             for k in range(0, part.num_rows, 256):
                 some = part.slice(k, 256)
                 out = []
-                for text, edits, data in zip(*(some.column(some.schema.get_field_index(c)).to_pylist() for c in ("text", "edits", "tree"))):
-                    tree, text, encoded = Tree.unpack(data), text or "", 0
+                get = {c: some.column(some.schema.get_field_index(c)) for c in ("text", "edits", "tree")}
+                for text, edits, data in zip(texts(get["text"]), get["edits"].to_pylist(), get["tree"].to_pylist()):
+                    tree, encoded = Tree.unpack(data), 0
                     for e in edits or []:
                         if e is not None:
                             text, n = edit(encoder, tree, text, e["start"] or 0, e["length"] or 0, e["insert"] or "")

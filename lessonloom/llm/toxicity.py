@@ -22,7 +22,8 @@ fitted on at most ``CALIBRATION_ROWS`` labelled rows. Scoring reads every whole
 Arrow batches, with no shuffle. Limits of the method: a phrase that is toxic although each
 of its words is harmless is not found, nor an insult of one or two letters.
 
-Defined results: a null or empty text scores like a clean one; without any toxic
+Defined results: a null or empty text scores like a clean one; bytes that are no UTF-8
+are read as U+FFFD; without any toxic
 training row all score 0; a null doc_id is not held out and stays null; labels without
 a text, of null label, or repeated are ignored; repeated rows are scored alike; an empty
 table gives an empty result; other columns are never read.
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import in_small_batches, read_documents, small_side, text_key, with_checkpoint_dir
+from lessonloom.llm.common import in_small_batches, read_documents, small_side, text_key, texts, with_checkpoint_dir
 
 DECAY, SPAN = 0.6, 7
 #: Longer strings are scored by overlapping parts of this length.
@@ -213,8 +214,8 @@ class Model:
         self.remember(set().union(*sentences))
         return [max((self.seen[w], w) for w in words) for words in sentences]
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        z = within_margin(np.array(self.strongest(list(map(strings_of, texts))))) @ self.calibration[:2] + self.calibration[2]
+    def scores(self, bodies: list[str]) -> np.ndarray:
+        z = within_margin(np.array(self.strongest(list(map(strings_of, bodies))))) @ self.calibration[:2] + self.calibration[2]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def score(self, text: str) -> float:
@@ -293,14 +294,14 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     """(h, text_id, toxic) of the training rows: for each distinct text its hash, the least id that holds it, and its label (toxic if any of its rows is)."""
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic"))
     known = known.where(remainder("label_id") != HELD_OUT).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("text_id"), text_key(F.col(text_col).cast("binary")).alias("h"))
-    return texts.join(known, texts["text_id"] == known["label_id"]).groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("text_id").alias("text_id"))
+    held = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("text_id"), text_key(F.col(text_col).cast("binary")).alias("h"))
+    return held.join(known, held["text_id"] == known["label_id"]).groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("text_id").alias("text_id"))
 
 
 def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(text, toxic) of chosen rows; an id that names several texts takes the one of the hash."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
-    return texts.join(small_side(chosen, 56), "text_id").where(text_key(F.col("text").cast("binary")) == F.col("h")).select("text", "toxic")
+    held = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"))
+    return held.join(small_side(chosen, 56), "text_id").where(text_key(F.col("text").cast("binary")) == F.col("h")).select("text", "toxic")
 
 
 def training_rows(rows: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
@@ -315,7 +316,7 @@ def examples(sample: DataFrame, model: Model) -> tuple[list[str], list[str]]:
     def strings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out: list[tuple[str, int]] = []
-            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for text, toxic in zip(texts(part.column(0)), part.column(1).to_pylist()):
                 found = model.strongest_strings(text)
                 if toxic and found:
                     value, word = max(found)
@@ -337,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def sentences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for text, toxic in zip(texts(part.column(0)), part.column(1).to_pylist()):
                 counts: dict[str, int] = {}
                 for sentence in SENTENCE_END.split(text):
                     for w in strings_of(sentence):
@@ -370,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         def strengths(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                got = model.strongest([strings_of(t) for t in part.column(0).to_pylist()])
+                got = model.strongest([strings_of(t) for t in texts(part.column(0))])
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), part.column(1).cast(pa.int32())], ["a", "b", "toxic"])
 
         got = sample.mapInArrow(strengths, "a double, b double, toxic int").collect()
@@ -383,7 +384,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            scores = [model.scores([t or "" for t in part.column(1).slice(k, AT_ONCE).to_pylist()]) for k in range(0, part.num_rows, AT_ONCE)]
+            scores = [model.scores(texts(part.column(1).slice(k, AT_ONCE))) for k in range(0, part.num_rows, AT_ONCE)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "score"])
 
     return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, "doc_id long, score double")

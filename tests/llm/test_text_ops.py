@@ -106,6 +106,24 @@ def test_edited_counts(docs, vocabulary, library):
             assert r.n_reencoded < 40
 
 
+def test_bytes_that_are_no_utf8(spark, vocabulary, library):
+    """A string column may hold any bytes; what is no UTF-8 is read as U+FFFD, and no operator breaks."""
+    from lessonloom.llm.jaccard_join import jaccard_classes
+    from lessonloom.llm.substring_dedup import remove_repeats
+    from lessonloom.llm.suffix_dedup import remove_shared
+
+    df = spark.sql("select 1L as doc_id, cast(X'61FF6220C3' as string) as text, 's' as source")
+    text = b"a\xffb \xc3".decode("utf-8", "replace")
+    got = B.round_trip(df, *vocabulary).first()
+    assert list(got.ids) == library.encode_ordinary(text) and bytes(got.body) == text.encode()
+    counted = C.apply_edits(C.build(df, *vocabulary), *vocabulary).first()
+    assert counted.n_tokens == counted.n_tokens_edited == len(library.encode_ordinary(text))
+    model = X.train(["idiot", "stupid"], ["banana", "window"])
+    assert 0 <= X.toxicity(df, model).first().score <= 1
+    assert quality_rules(df).first().n_words == 2 and M.mix(df).count() == 1 and S.compare_with_edits(df).count() == 1
+    assert bytes(remove_repeats(df).first().kept) == b"a\xffb \xc3" and bytes(remove_shared(df).first().kept) == b"a\xffb \xc3" and jaccard_classes(df).first().class_id == 1
+
+
 def test_edits_of_nothing(no_docs, vocabulary):
     assert C.apply_edits(C.build(no_docs, *vocabulary), *vocabulary).count() == 0
 
