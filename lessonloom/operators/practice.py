@@ -10,6 +10,7 @@ from lessonloom.functions.session import with_plain_unions
 from lessonloom.functions.text import clean_text, flatten_space, fold_case, item_key, mistake_allowance, normalize_words, progress_percent, sentence_words
 from lessonloom.operators.folds import fold_sorted
 from lessonloom.operators.rules import is_attempt_id
+from lessonloom.operators.tables import latest_by
 
 
 def practice_items(sentences: DataFrame) -> DataFrame:
@@ -186,8 +187,8 @@ def latest_catalog(attempts: DataFrame, catalogs: DataFrame, key: str = "passage
 
     catalogs: key, catalog_id, items, updated_at. One catalog a key is chosen before the join.
     """
-    latest = catalogs.groupBy(key).agg(F.max_by(F.struct("catalog_id", "items"), F.struct("updated_at", "catalog_id")).alias("x"))
-    found = latest.select(key, F.col("x.catalog_id").alias("catalog_id"), F.col("x.items").alias("catalog_items")).where("catalog_items > 0")
+    latest = latest_by(catalogs, [key], ["updated_at", "catalog_id"], ["catalog_id", "items"])
+    found = latest.where("items > 0").withColumnRenamed("items", "catalog_items")
     return attempts.join(found, key)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lessonloom.functions import text as T
 from lessonloom.operators import banks as B
 from lessonloom.operators import consolidation as M
 from lessonloom.operators import content as K
@@ -13,7 +12,6 @@ from lessonloom.operators import scopes as S
 from lessonloom.operators import tables as O
 from lessonloom.plans.frames import query
 from lessonloom.plans.progress import STRUCTURE
-from lessonloom.plans.texts import BUNDLE, RULED
 
 
 def told(**tables):

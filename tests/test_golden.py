@@ -107,6 +107,14 @@ def test_editor_rows(spark):
     assert sorted((r.k, r.line) for r in errors.collect()) == [(2, 1), (3, 0), (4, 1), (5, 0)]
 
 
+def test_editor_files(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("One two.\t하나\n\nbad line\n")
+    (tmp_path / "b.tsv").write_text("Three four.\t둘\r\n")
+    rows, errors = S.read_sentence_rows(spark, str(tmp_path))
+    assert sorted((r.file.rsplit("/", 1)[1], r.line, r.text) for r in rows.collect()) == [("a.tsv", 1, "One two."), ("b.tsv", 1, "Three four.")]
+    assert [(r.file.rsplit("/", 1)[1], r.line) for r in errors.collect()] == [("a.tsv", 3)]
+
+
 def test_matching_and_structure(spark):
     previous = spark.createDataFrame([(1, 0, "a", "Alpha one."), (1, 1, "b", "Beta\ntwo.")], "passage_id int, position int, id string, text string")
     following = spark.createDataFrame([(1, 0, "New row."), (1, 1, "Alpha one."), (1, 2, "Else.")], "passage_id int, position int, text string")
