@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lessonloom.llm.common import bodies, in_small_batches, mix, with_checkpoint_dir
+from lessonloom.llm.common import bodies, in_small_batches, mix, small_side, with_checkpoint_dir
 
 TRAIN_ROWS = 1500
 TABLE = 1 << 16
@@ -51,9 +51,11 @@ def train_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """Languages, and log probabilities of trigrams (a row a language), from at most ``rows`` texts of each language."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col)).alias("text"))
     known = known.withColumn("h", F.xxhash64("text"))
-    # Only hashes are ranked (each task keeps its least ones before the exchange); copies count once.
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = known.select("lang", "h").distinct().withColumn("turn", turn).where(F.col("turn") <= rows).select("lang", "h")
+    # Only hashes are ranked; those far too great for a language's share are dropped where they lie. Copies count once.
+    sizes = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * rows) / F.count("*")).alias("share"))
+    ranked = known.select("lang", "h").join(small_side(sizes, 64), "lang").where(F.pmod("h", F.lit(1 << 31)) < F.col("share") * float(1 << 31))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h"))
+    chosen = ranked.select("lang", "h").distinct().withColumn("turn", turn).where(F.col("turn") <= rows).select("lang", "h")
     sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("h", "lang").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lessonloom.llm.common import in_small_batches, read_documents, small_side, text_key, texts, with_checkpoint_dir
@@ -304,10 +304,11 @@ def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) ->
     return held.join(small_side(chosen, 56), "text_id").where(text_key(F.col("text").cast("binary")) == F.col("h")).select("text", "toxic")
 
 
-def training_rows(rows: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """At most so many rows of each label, those of least hash."""
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy("h"))
-    return rows.withColumn("turn", turn).where(F.col("turn") <= most).drop("turn")
+def least_hashed(rows: DataFrame, most: int, total: int) -> DataFrame:
+    """The ``most`` rows of least hash, of ``total``; hashes that are too great for them by far are dropped where they lie, so few rows are ever ranked."""
+    place = F.pmod(F.xxhash64("h"), F.lit(1 << 31))
+    share = min(1.0, 2.0 * most / max(total, 1))
+    return rows.where(place < F.lit(int(share * (1 << 31)))).orderBy(place, "h").limit(most)
 
 
 def examples(sample: DataFrame, model: Model) -> tuple[list[str], list[str]]:
@@ -360,14 +361,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = counted.where(F.col("bad") == 0).orderBy(F.xxhash64("word"), "word").limit(MOST_CLEAN // 2).select("word").collect()
     clean = list(dict.fromkeys(w.word for pair in zip(often, some) for w in pair)) or [w.word for w in often + some]
     model = train(toxic, clean)
-    sample = texts_of(docs, training_rows(rows), id_col, text_col)
+    chosen = least_hashed(rows.where("toxic = 1"), TRAIN_ROWS, totals.bad).unionByName(least_hashed(rows.where("toxic = 0"), TRAIN_ROWS, totals.good))
+    sample = texts_of(docs, chosen, id_col, text_col)
     for _ in range(ROUNDS if model.bias > -30 else 0):
         bad, good = examples(sample, model)
         # Clean sentences are strongest in rare strings; common ones and others stay beside them.
         clean_now = list(dict.fromkeys([w for pair in zip(good, clean) for w in pair] + clean))[:MOST_CLEAN]
         model = train(bad, [w for w in clean_now if w not in set(bad)])
     if model.bias > -30:
-        sample = texts_of(docs, rows.orderBy(F.xxhash64("h"), "h").limit(CALIBRATION_ROWS), id_col, text_col)
+        sample = texts_of(docs, least_hashed(rows, CALIBRATION_ROWS, totals.bad + totals.good), id_col, text_col)
 
         def strengths(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
