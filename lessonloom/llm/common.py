@@ -19,6 +19,7 @@ from lessonloom.functions.session import plain_unions
 
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = "\\x20\\x09-\\x0D"
+BLANKS = " \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1
 
 

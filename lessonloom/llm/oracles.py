@@ -51,4 +51,18 @@ JACCARD_JOIN = f"""with recursive {WORDS},
  r as (select u, v from e union select r.u, e.v from r join e on e.u = r.v)
  select d.doc_id, coalesce(least(d.doc_id, min(r.v)), d.doc_id) as class_id, (select count(*) from e where e.u = d.doc_id) as n_links from documents d left join r on r.u = d.doc_id group by d.doc_id"""
 
-ORACLES = {"op1_suffix_dedup": SUFFIX_DEDUP, "op3_quality_rules": QUALITY_RULES, "op9_substring_dedup": SUBSTRING_DEDUP, "op10_jaccard_join": JACCARD_JOIN}
+LINE_DEDUP = """with l as (select doc_id, generate_subscripts(x, 1) as pos, unnest(x) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as x from documents)),
+ k as (select *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+ f as (select key, min(doc_id) as first from k where length(key) >= 10 group by key),
+ g as (select k.doc_id, pos, line, coalesce(first < k.doc_id, false) as gone from k left join f using (key))
+ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256 from g group by doc_id"""
+
+HARD_NEGATIVES = """with q as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ s as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score from q a join q b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+ p as (select anchor_id, id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+ n as (select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank, id as negative_id, positive_score, score as negative_score
+  from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+ select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 10"""
+
+ORACLES = {"op1_suffix_dedup": SUFFIX_DEDUP, "op3_quality_rules": QUALITY_RULES, "op9_substring_dedup": SUBSTRING_DEDUP, "op10_jaccard_join": JACCARD_JOIN, "op11_line_dedup": LINE_DEDUP, "op13_hard_negatives": HARD_NEGATIVES}

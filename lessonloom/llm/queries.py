@@ -6,8 +6,11 @@ import corpus_pipeline
 
 from lessonloom.llm import oracles
 from lessonloom.llm.byte_bpe import op2_byte_bpe
+from lessonloom.llm.conversation_repair import op12_conversation_repair
+from lessonloom.llm.hard_negatives import op13_hard_negatives
 from lessonloom.llm.jaccard_join import op10_jaccard_join
 from lessonloom.llm.language_id import op6_language_id
+from lessonloom.llm.line_dedup import op11_line_dedup
 from lessonloom.llm.quality_rules import op3_quality_rules
 from lessonloom.llm.suffix_dedup import op1_suffix_dedup
 from lessonloom.llm.substring_dedup import op9_substring_dedup
@@ -27,6 +30,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
