@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from lessonloom.llm.common import bodies, in_small_batches, mix, small_side, with_checkpoint_dir
 
 TRAIN_ROWS = 1500
+#: Texts that pass the cut beyond four times ``rows``: so many that a language without any has a chance of e^-60.
+FEW = 60
 TABLE = 1 << 16
 #: Trigrams of one text are not independent: the text's log-likelihood counts as of so many trigrams at most.
 MOST_EVIDENCE = 60.0
@@ -49,14 +51,16 @@ def grams(body: bytes) -> np.ndarray:
 
 def train_text_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities of trigrams (a row a language), from at most ``rows`` texts of each language."""
+    with_checkpoint_dir(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.lower(F.col(text_col)).alias("text"))
     known = known.withColumn("h", F.xxhash64("text"))
-    # Only hashes are ranked; those far too great for a language's share are dropped where they lie. Copies count once.
-    sizes = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * rows) / F.count("*")).alias("share"))
-    ranked = known.select("lang", "h").join(small_side(sizes, 64), "lang").where(F.pmod("h", F.lit(1 << 31)) < F.col("share") * float(1 << 31))
+    # Only hashes of distinct texts are counted and ranked; those far too great for a language's share are dropped where they lie.
+    texts = known.select("lang", "h").distinct()
+    sizes = texts.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * rows + FEW) / F.count("*")).alias("share"))
+    ranked = texts.join(small_side(sizes, 64), "lang").where(F.pmod("h", F.lit(1 << 31)) < F.col("share") * float(1 << 31))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h"))
-    chosen = ranked.select("lang", "h").distinct().withColumn("turn", turn).where(F.col("turn") <= rows).select("lang", "h")
-    sample = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("h", "lang").agg(F.first("text").alias("text")).select("lang", "text")
+    chosen = ranked.withColumn("turn", turn).where(F.col("turn") <= rows).select("lang", "h").checkpoint()
+    sample = known.join(small_side(chosen, 48), ["lang", "h"]).groupBy("h", "lang").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lessonloom.llm.common import BROADCAST_BYTES, LAST_ID, SPACE, back_to_null, count_words, read_documents, shuffle_partitions, text_of, with_checkpoint_dir
@@ -41,6 +41,8 @@ LISTED = BROADCAST_BYTES // 100
 BLOCK_WORDS = 64
 #: Slots whose ranks are counted together.
 SLOT_RUN = 1 << 14
+#: Slots of a mix at most: where the total asks for more, blocks have as many words as make them so few.
+MOST_SLOTS = 1 << 32
 #: Conjugate of the golden ratio in 30 bits: frac(i / phi) is exact in integers, and products stay within a long.
 FRACTION = 1 << 30
 GOLDEN = round((math.sqrt(5) - 1) / 2 * FRACTION) | 1
@@ -65,14 +67,22 @@ def share_out(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: floa
     return target
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, source, named (false for a null source), size and place (the hashed order, an unsigned 31-bit number)."""
-    text = text_of(text_col)
+def sized_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id")
+
+
+def place_of(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.lit("place"), F.col(id_col), F.xxhash64(text_of(text_col))).alias("place")
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, mark: Column | None = None) -> DataFrame:
+    """id, source, size, place (the hashed order) and mark (0, or what tells rows of one id and text apart)."""
     return docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"),
+        sized_id(id_col),
         F.col(source_col).cast("string").alias("source"),
-        count_words(text).cast("long").alias("size"),
-        F.xxhash64(F.lit("place"), F.col(id_col), F.xxhash64(text)).alias("place"),
+        count_words(text_of(text_col)).cast("long").alias("size"),
+        place_of(id_col, text_col),
+        (F.lit(0).cast("long") if mark is None else mark).alias("mark"),
     )
 
 
@@ -108,50 +118,58 @@ def schedule(spark: SparkSession, targets: list[float], block: int) -> DataFrame
     return running(drawn, ["number"], "run", ["slot"], "one", "rank").select("number", "rank")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, block: int = BLOCK_WORDS, cells: int | None = None) -> DataFrame:
-    """One row a document: id, source, size, source_size, target, taken, start (its first word's place in its source's stream) and turn (takes of its stretches).
-
-    ``turns`` lists, for each block that a document reaches into, the words of the
-    document in it and how often it was taken.
-    """
-    spark = docs.sparkSession
+def stretches(sizes: DataFrame, weights: tuple[float, ...], most: int, block: int, cells: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``sized`` with number, source_size, target and start (of the first word in the source's stream), and their stretches: number, start, id, place, mark, block, words, takes."""
+    spark = sizes.sparkSession
     cells = cells or 8 * shuffle_partitions(spark)
-    with_checkpoint_dir(spark)
-    sizes = sized(docs, id_col, text_col, source_col).checkpoint()
     plan = plan_sources(sizes, weights, most)
+    block = max(block, math.ceil(sum(t for *_, t in plan) / MOST_SLOTS))
     listed = spark.createDataFrame([(i, s, n, float(t)) for i, (s, n, t) in enumerate(plan)], "number int, source string, source_size long, target double")
     few = F.broadcast if len(plan) <= LISTED else lambda rows: rows
     rows = sizes.join(few(listed), sizes["source"].eqNullSafe(listed["source"]), "left").drop(listed["source"])
     rows = rows.withColumn("cell", F.pmod(F.shiftrightunsigned("place", 20), F.lit(cells)).cast("int"))
-    # Equal (place, id) are equal rows, but each has its own stretch: sizes are equal, so any order of them gives the same lengths.
-    laid = running(rows, ["number"], "cell", ["place", "id"], "size", "start")
+    # Rows of equal (place, id, mark) are equal, but each has its own stretch: sizes are equal, so any order of them gives the same lengths.
+    laid = running(rows, ["number"], "cell", ["place", "id", "mark"], "size", "start")
     hits = schedule(spark, [t for *_, t in plan], block)
     blocks = few(listed.select("number", F.ceil(F.col("source_size") / block).alias("blocks")))
     hits = hits.join(blocks, "number").where(F.col("blocks") > 0).where(F.col("rank") < F.col("blocks") * most)
     hits = hits.groupBy("number", F.pmod(F.col("rank"), F.col("blocks")).alias("block")).agg(F.count("*").alias("takes"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    parts = laid.where("size > 0").select("number", "id", "place", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    parts = parts.withColumn("words", words).join(hits, ["number", "block"], "left")
-    taken = parts.groupBy("number", "start", "id").agg(F.sum(F.col("words") * F.coalesce("takes", F.lit(0))).alias("taken"), F.max(F.coalesce("takes", F.lit(0))).alias("turns"))
+    parts = laid.where("size > 0").select("number", "id", "place", "mark", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+    begin = F.greatest(F.col("start"), F.col("block") * block)
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - begin
+    return laid, parts.withColumns({"words": words, "skipped": begin - F.col("start")}).join(hits, ["number", "block"], "left").withColumn("takes", F.coalesce("takes", F.lit(0)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, block: int = BLOCK_WORDS, cells: int | None = None) -> DataFrame:
+    """One row a document: id, source, size, source_size, target, taken, start (its first word's place in its source's stream) and turns (most takes of a stretch of it)."""
+    with_checkpoint_dir(docs.sparkSession)
+    laid, parts = stretches(sized(docs, id_col, text_col, source_col).checkpoint(), weights, most, block, cells)
+    taken = parts.groupBy("number", "start", "id").agg(F.sum(F.col("words") * F.col("takes")).alias("taken"), F.max("takes").alias("turns"))
     keyed = laid.withColumn("alone", F.when(F.col("size") > 0, F.col("start")))
     joined = keyed.join(taken.withColumnRenamed("start", "alone"), ["number", "alone", "id"], "left")
     return joined.select(back_to_null("id").alias("doc_id"), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("turns", F.lit(0)).cast("int").alias("turns"), "number", "start", "place")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The mix: each document once for every pass that takes it, with its own columns; the last time only as many words as were taken."""
-    text = text_of(text_col)
-    place = F.xxhash64(F.lit("place"), F.col(id_col), F.xxhash64(text))
-    told = mix(docs, id_col, text_col, source_col, **settings).where("taken > 0").groupBy("place", "doc_id").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
-    rows = docs.select(place.alias("place"), F.col(id_col).cast("long").alias("mixed_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    told = told.withColumnRenamed("doc_id", "told_id").withColumnRenamed("place", "told_place")
-    taken = rows.join(told, (rows["place"] == told["told_place"]) & rows["mixed_id"].eqNullSafe(told["told_id"]))
-    passes = taken.select("row", "size", "taken", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))).alias("turn"))
-    left = F.least(F.col("size"), F.col("taken") - (F.col("turn") - 1) * F.col("size")).cast("int")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, block: int = BLOCK_WORDS, cells: int | None = None) -> DataFrame:
+    """The mix: each document once for every pass that takes any of it, with its own columns; a pass has the words of those blocks that were hit so often, and the text as it is where these are all.
+
+    Rows that are equal in all columns share one text and have their own stretches.
+    """
+    with_checkpoint_dir(docs.sparkSession)
+    mark = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    _, parts = stretches(sized(docs, id_col, text_col, source_col, mark).checkpoint(), weights, most, block, cells)
+    keys = ["id", "place", "mark"]
+    told = parts.where("takes > 0").groupBy(*keys, "number", "start", "size").agg(F.array_sort(F.collect_list(F.struct("skipped", "words", "takes"))).alias("taken"))
+    rows = docs.select(sized_id(id_col), place_of(id_col, text_col), mark.alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).dropDuplicates(keys)
+    passes = rows.join(told, keys).select("row", "size", "taken", F.explode(F.sequence(F.lit(1), F.array_max("taken.takes").cast("int"))).alias("turn"))
+    passes = passes.withColumn("taken", F.filter("taken", lambda x: x["takes"] >= F.col("turn")))
+    whole = F.aggregate("taken", F.lit(0).cast("long"), lambda n, x: n + x["words"]) == F.col("size")
     words = F.filter(F.split(F.col("row")[text_col], f"[{SPACE}]+"), lambda w: w != "")
-    some = F.when(left == F.col("size"), F.col("row")[text_col]).otherwise(F.array_join(F.slice(words, F.lit(1), left), " "))
-    return passes.withColumn("row", F.col("row").withField(text_col, some)).select("row.*")
+    cut = passes.withColumns({"whole": whole, "split": F.when(~whole, words)})
+    some = F.flatten(F.transform("taken", lambda x: F.slice("split", x["skipped"].cast("int") + 1, x["words"].cast("int"))))
+    text = F.when(F.col("whole"), F.col("row")[text_col]).otherwise(F.array_join(some, " "))
+    return cut.withColumn("row", F.col("row").withField(text_col, text)).select("row.*")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

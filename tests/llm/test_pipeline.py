@@ -57,5 +57,18 @@ def test_stages_take_odd_rows(spark, docs, no_docs):
         assert stage(spark, no_docs, FOLDER).count() == 0, name
 
 
+def test_mixing_of_repeated_rows_and_ids(spark):
+    """Words that the mixing stage gives, per source, against the takes of each row; equal rows have stretches of their own."""
+    rows = [(k % 9 if k % 4 else None, " ".join(f"w{k % 13}x{j}" for j in range(40 + 90 * (k % 13))), "en" if k % 2 else "de", f"src{k % 3}", k % 13) for k in range(90)]
+    rows += [(5, " ".join(f"same{j}" for j in range(700)), "en", "src0", 1)] * 25
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    given, told = collections.Counter(), collections.Counter()
+    for r in P.mixing(spark, df, FOLDER).collect():
+        given[r.source] += len(WORD.findall(r.text))
+    for r in mix(df).collect():
+        told[r.source] += r.taken
+    assert given == told
+
+
 def test_all_are_registered():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}

@@ -192,6 +192,26 @@ def test_mixed_documents(docs):
     assert {i: words[i] for i in once} == {i: told[i] for i in once}
 
 
+def test_mixed_documents_are_the_blocks_that_were_hit(spark):
+    """Every word as often as its block was taken, over rows of which a third are one text."""
+    rows = [(k, " ".join(f"d{k}w{j}" for j in range(k * 13 % 90)), f"s{k % 3}", k % 2) for k in range(60)]
+    rows += [(7, " ".join(f"same{j}" for j in range(45)), "s1", k % 2) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(4)
+    want, got = collections.Counter(), collections.Counter()
+    _, parts = M.stretches(M.sized(df, "doc_id", "text", "source"), M.WEIGHTS, 3, 16, None)
+    for p in parts.collect():
+        texts = [t for i, t, *_ in rows if i == p.id and len(t.split()) == p["size"]]
+        for w in texts[0].split()[p.skipped : p.skipped + p.words]:
+            want[w] += p.takes
+    out = M.mixed_documents(df, block=16).collect()
+    for r in out:
+        got.update(r.text.split())
+        assert r.text.split() and len(set(r.text.split())) == len(r.text.split())
+    assert got == +want
+    assert sum(want.values()) == sum(r.taken for r in M.mix(df, block=16).collect())
+    assert {r.extra for r in out if r.doc_id == 7 and r.text.startswith("same")} == {0, 1}
+
+
 def test_mix_of_nothing(no_docs):
     assert M.mix(no_docs).count() == 0
     assert M.mix(no_docs.sparkSession.createDataFrame([(1, None, "a")], "doc_id long, text string, source string")).first().taken == 0
@@ -360,6 +380,15 @@ def test_toxicity_edge_cases(docs, no_docs, spark):
 # --- language ---------------------------------------------------------------------
 
 
+def test_no_language_is_lost(spark):
+    """A language of one text in many copies, one of a single short text, and a common one: all are known, with all texts or as many as asked for."""
+    rows = [("the same english text in every copy", "en")] * 400 + [(f"ein deutscher text mit der nummer {k}", "de") for k in range(3000)] + [("un seul texte", "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    for most in (1, 2, 20):
+        assert L.train_text_model(df, rows=most)[0] == ["de", "en", "fr"]
+        assert L.train_text_model(df.where("lang <> 'de'"), rows=most)[0] == ["en", "fr"]
+
+
 def test_language(spark):
     docs, pages = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "pages"))
     langs, model = L.train_text_model(docs)
