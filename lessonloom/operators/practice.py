@@ -9,6 +9,7 @@ from lessonloom import constants as C
 from lessonloom.functions.session import with_plain_unions
 from lessonloom.functions.text import clean_text, flatten_space, fold_case, item_key, mistake_allowance, normalize_words, progress_percent, sentence_words
 from lessonloom.operators.folds import fold_sorted
+from lessonloom.operators.graph import connected
 from lessonloom.operators.rules import is_attempt_id
 from lessonloom.operators.tables import latest_by
 
@@ -139,30 +140,58 @@ def chip_batches(items: DataFrame, key: str, chips: str, size: int = 4) -> DataF
 
 # --- folds ------------------------------------------------------------------------
 
-PROGRESS_KEY = ["student_id", "passage_id", "stage"]
+#: What progress is kept by: contract and progress key as ``with_progress_key`` derives them.
+PROGRESS_KEY = ["student_id", "exam_id", "passage_id", "workbook_key", "stage_contract_version", "progress_key"]
+#: The key of a home that knows one exam and workbook.
+STEP_KEY = ["student_id", "passage_id", "stage"]
+
+
+def with_progress_key(attempts: DataFrame) -> DataFrame:
+    """Attempts with the key's derived columns: an empty contract is the legacy one, an empty semantic type stands back for the stage; a missing workbook is the sentence practice."""
+    empty = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in attempts.columns else F.lit(None).cast("string")
+    workbook = F.coalesce(empty("workbook_key"), F.lit(C.WORKBOOK_KEY))
+    named = attempts.withColumns({"workbook_key": workbook, "stage_contract_version": F.coalesce(empty("stage_contract_version"), F.lit(C.LEGACY_CONTRACT)), "semantic_type": empty("semantic_type")})
+    named = named if "exam_id" in attempts.columns else named.withColumn("exam_id", F.lit(None).cast("long"))
+    return named.withColumn("progress_key", F.coalesce("semantic_type", F.concat(F.lit("stage:"), F.col("stage").cast("string"))))
 
 
 @with_plain_unions
-def cycle_progress(attempts: DataFrame, keys: list[str] = PROGRESS_KEY, active: DataFrame | None = None) -> DataFrame:
-    """completed, current cycle, open clears and correct_clears per key, folded over correct attempts in (created_at, id) order.
+def cycle_progress(attempts: DataFrame, keys: list[str] = PROGRESS_KEY, active: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
+    """completed, current cycle, open clears and correct_clears per key, folded over correct attempts in (created_at, id) order, with stage, semantic_type and time of the attempt that counted last.
 
     An item counts once a cycle; a cycle closes when as many items are cleared as the
-    attempt's item count says. With ``active`` (keys, active_items) the clears of other
-    items are dropped at each step and completion is checked on repeats, too.
+    attempt's item count says. With ``active`` (keys, active_items, perhaps created_at)
+    the clears of other items are dropped at each step from then on (from the start, if
+    there is no time) and completion is checked on repeats, too. ``before`` is an earlier
+    result of this function, from which the fold goes on.
     """
-    columns = ["item_key", "stage_item_count", "created_at", "active_items"]
-    rows = attempts.where(F.col("correct") & (F.col("stage_item_count") > 0)).select(*keys, "created_at", "id", "item_key", F.col("stage_item_count").cast("long").alias("stage_item_count"), F.lit(None).cast("array<string>").alias("active_items"))
-    if active is not None:  # a row before all others of its key
-        first = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("created_at", "id", "item_key", "stage_item_count")]
-        rows = rows.unionByName(active.select(*keys, *first, "active_items"))
+    given = with_progress_key(attempts).where(F.col("correct") & (F.col("stage_item_count") > 0))
+    time, number = attempts.schema["created_at"].dataType, attempts.schema["id"].dataType
+    extra = {"created_at": time, "kind": "int", "id": number, "item_key": "string", "stage_item_count": "long", "last_stage": "int", "last_type": "string", "items": "array<string>", "completed": "long", "correct_clears": "long", "held_at": time}
+
+    def shaped(rows: DataFrame, **own) -> DataFrame:
+        return rows.select(*keys, *[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in extra.items()])
+
+    rows = shaped(given, kind=F.lit(2), last_stage=F.col("stage"), last_type=F.col("semantic_type"), **{c: F.col(c) for c in ("created_at", "id", "item_key", "stage_item_count")})
+    if active is not None:
+        at = {"created_at": F.col("created_at")} if "created_at" in active.columns else {}
+        rows = rows.unionByName(shaped(active, kind=F.lit(1), items=F.col("active_items"), **at))
+    if before is not None:
+        last = {"last_stage": F.col("stage")} | ({"last_type": F.col("semantic_type")} if "semantic_type" in before.columns else {})
+        rows = rows.unionByName(shaped(before, kind=F.lit(0), items=F.col("clears"), held_at=F.col("updated_at"), completed=F.col("completed"), correct_clears=F.col("correct_clears"), **last))
 
     def step(state: dict, row: tuple) -> None:
-        item, size, at, items = row
-        if items is not None:
+        at, kind, item, size, stage, semantic, items, completed, correct_clears, held_at = row
+        clears = state["clears"]
+        if kind == 1:
             state["active"] = set(items)
+            clears &= state["active"]
             return
         state["seen"] = True
-        clears = state["clears"]
+        if kind == 0:
+            clears.update(items)
+            state.update(completed=completed, correct_clears=correct_clears, last=(stage, semantic, held_at))
+            return
         if state["active"] is not None:
             clears &= state["active"]
         repeated = item in clears
@@ -170,16 +199,20 @@ def cycle_progress(attempts: DataFrame, keys: list[str] = PROGRESS_KEY, active:
         closed = len(clears) >= size
         if repeated and not (closed and state["active"] is not None):
             return
-        state["updated_at"] = at
+        state["last"] = (stage, semantic, at)
         if closed:
             state["completed"] += 1
             clears.clear()
         state["correct_clears"] = state["completed"] * size + len(clears)
 
-    start = lambda: {"completed": 0, "clears": set(), "correct_clears": 0, "updated_at": None, "active": None, "seen": False}
-    finish = lambda s: (s["completed"], s["completed"] + 1, sorted(s["clears"]), s["correct_clears"], s["updated_at"]) if s["seen"] else None
-    schema = f"completed long, current_cycle long, clears array<string>, correct_clears long, updated_at {attempts.schema['created_at'].dataType.simpleString()}"
-    return fold_sorted(rows, keys, [F.asc_nulls_first("created_at"), F.asc_nulls_first("id")], [*columns, "id"], start, lambda s, r: step(s, r[:4]), schema, finish)
+    start = lambda: {"completed": 0, "clears": set(), "correct_clears": 0, "last": (None, None, None), "active": None, "seen": False}
+    finish = lambda s: (s["completed"], s["completed"] + 1, sorted(s["clears"]), s["correct_clears"], *s["last"]) if s["seen"] else None
+    schema = f"completed long, current_cycle long, clears array<string>, correct_clears long, last_stage int, last_type string, updated_at {time.simpleString()}"
+    columns = ["created_at", "kind", "item_key", "stage_item_count", "last_stage", "last_type", "items", "completed", "correct_clears", "held_at"]
+    found = fold_sorted(rows, keys, [F.asc_nulls_first("created_at"), "kind", F.asc_nulls_first("id")], [*columns, "id"], start, lambda s, r: step(s, r[:-1]), schema, finish)
+    for told, name in (("last_stage", "stage"), ("last_type", "semantic_type")):
+        found = found.drop(told) if name in keys else found.withColumnRenamed(told, name)
+    return found
 
 
 def latest_catalog(attempts: DataFrame, catalogs: DataFrame, key: str = "passage_id") -> DataFrame:
@@ -201,10 +234,10 @@ def rebuild_progress(attempts: DataFrame, catalogs: DataFrame, keys: list[str] =
 def practice_progress(grid: DataFrame, progress: DataFrame, items: DataFrame) -> DataFrame:
     """Progress over a whole grid (student, passage, step), zeros where there is none; clears of items that still exist; percent by the present number of items."""
     totals = items.groupBy("passage_id").agg(F.count("*").alias("total"), F.collect_set("item_key").alias("item_keys"))
-    rows = grid.join(progress, PROGRESS_KEY, "left").join(totals, "passage_id", "left")
+    rows = grid.join(progress, STEP_KEY, "left").join(totals, "passage_id", "left")
     total = F.coalesce("total", F.lit(0)).cast("long")
     clears = F.size(F.array_intersect(F.coalesce("clears", F.array().cast("array<string>")), F.coalesce("item_keys", F.array().cast("array<string>"))))
-    return rows.select(*PROGRESS_KEY, total.alias("total"), F.coalesce("correct_clears", F.lit(0)).alias("correct_clears"), F.coalesce("completed", F.lit(0)).alias("completed"), clears.cast("long").alias("open_clears"), progress_percent(F.coalesce("correct_clears", F.lit(0)), total).alias("percent"))
+    return rows.select(*STEP_KEY, total.alias("total"), F.coalesce("correct_clears", F.lit(0)).alias("correct_clears"), F.coalesce("completed", F.lit(0)).alias("completed"), clears.cast("long").alias("open_clears"), progress_percent(F.coalesce("correct_clears", F.lit(0)), total).alias("percent"))
 
 
 @with_plain_unions
@@ -265,39 +298,96 @@ def thin_touches(touches: DataFrame, minutes: int = C.TOUCH_MINUTES, key: str =
     return fold_sorted(rows.withColumnRenamed(at, "touched"), [key], [F.asc_nulls_first("touched")], ["touched", "begin"], lambda: {"last": None}, step, f"{at} long")
 
 
-def login_lockout(tries: DataFrame, limits: dict[str, int] = C.LOGIN_LIMITS, minutes: int = C.FAILURE_WINDOW_MINUTES, key: str = "realm") -> DataFrame:
-    """Tries that are blocked, with the identifier that blocks them: (realm, id, blocked_by).
+def lockout_pieces(tries: DataFrame, limits: dict[str, int], minutes: int, key: str | None = None, recorded: DataFrame | None = None) -> DataFrame:
+    """What has to be replayed, in pieces that know nothing of one another: piece, at_us, try_id, rank, kind, who, fine, kept (and the key).
 
-    tries: realm, id, at_us, successful, admin, code, client. A student's try is checked
-    against the failures of its client, then of its code; an admin's against those of its
-    client, then of all admins. A blocked try is not recorded; a failure counts for both
-    identifiers, a success for neither. Identifiers meet within a realm only, whose tries
-    are replayed in order of (at_us, id); the state holds the failures of one window.
+    Time is cut into cells of one window. Where the failures that an identifier could
+    have in a cell and the two before it are fewer than its limit, it blocks nothing, and
+    whatever failed was recorded: nothing needs replay there, and the next cell starts
+    from a known state. The other cells of an identifier, each with the one before it,
+    make stretches. Failures that count for two identifiers link the stretches of both;
+    linked stretches are one piece. A success links nothing, as it only asks.
+    """
+    window = minutes * 60_000_000
+    own = [key] if key else []
+    realm = F.coalesce(F.col(key).cast("string"), F.lit("\0")) if key else F.lit("")
+    check = lambda rank, kind, who: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.concat_ws("\0", F.lit(kind), realm, F.coalesce(who.cast("string"), F.lit("\0"))).alias("who"))
+    checks = F.when(F.col("admin"), F.array(check(0, "admin_client", F.col("client")), check(1, "admin", F.lit("")))).otherwise(F.array(check(0, "student_client", F.col("client")), check(1, "code", F.col("code"))))
+
+    def shaped(rows: DataFrame, kept: bool) -> DataFrame:
+        named = rows.select(*own, F.col("at_us").cast("long").alias("at_us"), "id", F.lit(kept).alias("kept"), F.coalesce(F.col("successful"), F.lit(False)).alias("fine") if not kept else F.lit(False).alias("fine"), F.explode(checks).alias("x"))
+        return named.select(*own, "at_us", F.col("id").alias("try_id"), "kept", "fine", "x.*", F.floor(F.col("at_us") / window).alias("cell"))
+
+    asked = shaped(tries, False)
+    if recorded is not None:
+        asked = asked.unionByName(shaped(recorded.withColumn("id", F.lit(None).cast(tries.schema["id"].dataType)) if "id" not in recorded.columns else recorded, True))
+    asked = asked.checkpoint()
+    counted = asked.where(~F.col("fine")).groupBy("who", "kind", "cell").agg(F.count("*").alias("n"))
+    most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("kind")]
+    around = counted.select("who", "kind", "n", F.explode(F.array(*[F.col("cell") + k for k in range(3)])).alias("cell")).groupBy("who", "kind", "cell").agg(F.sum("n").alias("n"))
+    cells = around.where(F.col("n") >= most).select("who", F.explode(F.array(F.col("cell") - 1, F.col("cell"))).alias("cell")).distinct()
+    turn = F.row_number().over(Window.partitionBy("who").orderBy("cell"))
+    stretches = cells.withColumn("stretch", F.xxhash64("who", F.col("cell") - turn)).checkpoint()
+    inside = asked.join(stretches, ["who", "cell"]).checkpoint()
+    linked = inside.where(~F.col("fine") & ~F.col("kept")).groupBy(*own, "try_id", "at_us").agg(F.min("stretch").alias("u"), F.max("stretch").alias("v")).where("u <> v").select("u", "v").distinct()
+    pieces = connected(linked)
+    found = inside.join(pieces.withColumnRenamed("node", "stretch"), "stretch", "left")
+    return found.select(*own, F.coalesce("component", "stretch").alias("piece"), "at_us", "try_id", "rank", "kind", "who", "fine", "kept")
+
+
+def login_lockout(tries: DataFrame, limits: dict[str, int] = C.LOGIN_LIMITS, minutes: int = C.FAILURE_WINDOW_MINUTES, key: str | None = None, recorded: DataFrame | None = None) -> DataFrame:
+    """Tries that are blocked, with the identifier that blocks them: (id, blocked_by), and the key if there is one.
+
+    tries: id, at_us, successful, admin, code, client. A student's try is checked against
+    the failures of its client, then of its code; an admin's against those of its client,
+    then of all admins. A blocked try is not recorded; a failure counts for both
+    identifiers, a success for neither. Identifiers are global, or meet only within a
+    ``key`` (such as a school). ``recorded`` are failures of an earlier part of the log
+    (its columns but successful), which count as they are.
+
+    Only ``lockout_pieces`` are replayed, in order of (at_us, id), each on its own. A
+    piece under attack without a pause of three windows is one sequence by its nature; its
+    replay keeps the failures of one window.
     """
+    window = minutes * 60_000_000
+    own = [key] if key else []
+    rows = lockout_pieces(tries, limits, minutes, key, recorded)
 
-    def step(state: dict, row: tuple) -> tuple | None:
-        at, name, fine, admin, code, client = row
+    def settle(state: dict) -> tuple | None:
+        held, checks = state["held"], state["checks"]
+        if held is None:
+            return None
+        at, name, fine, kept, realm = held
         recent = state["failures"]
         if len(recent) > state["sweep"]:  # identifiers that were not tried again
-            for who in [w for w, times in recent.items() if not times or times[-1] < at - minutes * 60_000_000]:
+            for who in [w for w, times in recent.items() if not times or times[-1] < at - window]:
                 del recent[who]
             state["sweep"] = 1024 + 2 * len(recent)
-        checks = (("admin_client", client), ("admin", "")) if admin else (("student_client", client), ("code", code))
-        for kind, who in checks:
-            failures = recent.setdefault((kind, who), [])
-            while failures and failures[0] < at - minutes * 60_000_000:
+        for rank, kind, who in checks if not kept else ():
+            failures = recent.setdefault(who, [])
+            while failures and failures[0] < at - window:
                 failures.pop(0)
             if len(failures) >= limits[kind]:
-                return name, kind
-        for check in checks:
-            if not fine:
-                recent[check].append(at)
-            elif not recent[check]:
-                del recent[check]
+                return realm, name, rank, kind
+        for _, _, who in checks if not fine else ():
+            recent.setdefault(who, []).append(at)
         return None
 
-    rows = tries.select(key, F.col("at_us").cast("long").alias("at_us"), F.col("id").alias("try_id"), "successful", "admin", "code", "client")
-    return fold_sorted(rows, [key], ["at_us", "try_id"], ["at_us", "try_id", "successful", "admin", "code", "client"], lambda: {"failures": {}, "sweep": 1024}, step, f"id {tries.schema['id'].dataType.simpleString()}, blocked_by string")
+    def step(state: dict, row: tuple) -> tuple | None:
+        at, name, rank, kind, who, fine, kept, realm = row
+        found = None
+        if kept or state["held"] is None or state["held"][:2] != (at, name):
+            found = settle(state)
+            state["held"], state["checks"] = (at, name, fine, kept, realm), []
+        state["checks"].append((rank, kind, who))
+        return found
+
+    columns = ["at_us", "try_id", "rank", "kind", "who", "fine", "kept", "within"]
+    rows = rows.withColumn("within", F.col(key) if key else F.lit(None).cast("string"))
+    schema = f"within {rows.schema['within'].dataType.simpleString()}, id {tries.schema['id'].dataType.simpleString()}, found_rank int, blocked_by string"
+    start = lambda: {"failures": {}, "sweep": 1024, "held": None, "checks": []}
+    told = fold_sorted(rows.drop(*own), ["piece"], ["at_us", F.desc("kept"), "try_id", "rank"], columns, start, step, schema, settle)
+    return told.withColumnRenamed("within", key or "within").groupBy(*own, "id").agg(F.min_by("blocked_by", "found_rank").alias("blocked_by"))
 
 
 def session_intervals(sessions: DataFrame, logouts: DataFrame, code_changes: DataFrame, deactivations: DataFrame) -> DataFrame:

@@ -101,7 +101,27 @@ def _(f):
 
 @query("j2_cycle_progress", FOLD.format(source="@attempts") + " select student_id, passage_id, stage, completed, completed + 1 as current_cycle, array_to_string(list_sort(clears), ',') as clears, correct_clears, updated_at from f")
 def _(f):
-    return P.cycle_progress(f.attempts).withColumn("clears", F.array_join("clears", ","))
+    return P.cycle_progress(f.attempts, P.STEP_KEY).drop("semantic_type").withColumn("clears", F.array_join("clears", ","))
+
+
+#: Attempts of several exams, workbooks, contracts and types, some of them empty or missing.
+FULL_KEY = ["student_id", "exam_id", "passage_id", "workbook_key", "stage_contract_version", "progress_key"]
+KEYED = "select id, student_id % 7 as student_id, passage_id % 2 as exam_id, passage_id, case when id % 4 = 0 then 'chips' else 'sentence-practice' end as workbook_key, case id % 3 when 0 then '' when 1 then null else 'v2' end as stage_contract_version, case when id % 5 = 0 then '' when id % 5 > 2 then semantic_type end as semantic_type, stage, item_key, correct, cast(id % 2 + 2 as int) as stage_item_count, created_at from @attempts"
+NAMED = f"(select *, coalesce(nullif(stage_contract_version, ''), 'legacy-v1') as contract, coalesce(nullif(semantic_type, ''), concat('stage:', stage)) as progress_key from ({KEYED}))"
+_SAME = " and ".join(f"a.{k} = r.{k}" for k in [*FULL_KEY[:4], "contract", "progress_key"])
+_KEYS = "student_id, exam_id, passage_id, workbook_key, contract, progress_key"
+
+
+@query(
+    "j2_cycle_progress_full",
+    f"""with recursive a as (select {_KEYS}, stage, nullif(semantic_type, '') as semantic_type, item_key, stage_item_count as n, created_at, row_number() over (partition by {_KEYS} order by created_at, id) as rn from {NAMED} where correct and stage_item_count > 0),
+ r as (select {_KEYS}, 0::bigint as rn, 0 as completed, cast([] as varchar[]) as clears, 0 as correct_clears, null::int as stage, null::varchar as semantic_type, null::timestamp as updated_at from a where rn = 1
+ union all select {_KEYS}, rn, case when again then completed when closed then completed + 1 else completed end, case when again then clears when closed then cast([] as varchar[]) else u end, case when again then correct_clears when closed then (completed + 1) * n else completed * n + len(u) end, case when again then old_stage else stage end, case when again then old_type else semantic_type end, case when again then updated_at else created_at end
+ from (select *, len(u) >= n as closed from (select {', '.join(f'a.{k.strip()}' for k in _KEYS.split(','))}, a.rn, a.n, a.stage, a.semantic_type, a.created_at, r.completed, r.clears, r.correct_clears, r.stage as old_stage, r.semantic_type as old_type, r.updated_at, list_contains(r.clears, a.item_key) as again, list_append(r.clears, a.item_key) as u from r join a on a.rn = r.rn + 1 and {_SAME})))
+ select student_id, exam_id, passage_id, workbook_key, contract as stage_contract_version, progress_key, completed, completed + 1 as current_cycle, array_to_string(list_sort(clears), ',') as clears, correct_clears, stage, semantic_type, updated_at from r qualify row_number() over (partition by {_KEYS} order by rn desc) = 1""",
+)
+def _(f):
+    return P.cycle_progress(f.sql(KEYED)).withColumn("clears", F.array_join("clears", ","))
 
 
 #: Items that are still there, for the keys of two students of three; for the others all count.
@@ -118,8 +138,8 @@ ACTIVE = "case when student_id % 3 > 0 then ['sentence:view', 'sentence:click',
 )
 def _(f):
     items = F.array(*[F.lit(f"sentence:{x}") for x in ("view", "click", "error", "purchase")])
-    active = f.attempts.where("student_id % 3 > 0").select(*P.PROGRESS_KEY).distinct().withColumn("active_items", items)
-    return P.cycle_progress(f.attempts, active=active).withColumn("clears", F.array_join("clears", ","))
+    active = f.attempts.where("student_id % 3 > 0").select(*P.STEP_KEY).distinct().withColumn("active_items", items)
+    return P.cycle_progress(f.attempts, P.STEP_KEY, active=active).drop("semantic_type").withColumn("clears", F.array_join("clears", ","))
 
 
 #: Catalogs of a passage as they were published over time: items of a set, by what was sold.
@@ -129,7 +149,7 @@ LATEST = f"(select passage_id, items from ({CATALOG_LOG}) qualify row_number() o
 
 @query("j3_rebuild_progress", FOLD.format(source=f"(select a.id, a.student_id, a.passage_id, a.stage, a.item_key, a.correct, a.created_at, c.items as stage_item_count from @attempts a join {LATEST} c on c.passage_id = a.passage_id and c.items > 0)") + " select student_id, passage_id, stage, completed, correct_clears from f")
 def _(f):
-    return P.rebuild_progress(f.attempts, f.sql(CATALOG_LOG)).select("student_id", "passage_id", "stage", "completed", "correct_clears")
+    return P.rebuild_progress(f.attempts, f.sql(CATALOG_LOG), P.STEP_KEY).select("student_id", "passage_id", "stage", "completed", "correct_clears")
 
 
 @query("c6_practice_progress", FOLD.format(source="@attempts") + ", i as (select distinct passage_id, item_key from @attempts where item_key <> 'sentence:error') select g.student_id, g.passage_id, g.stage, (select count(*) from i where i.passage_id = g.passage_id) as total, coalesce(f.correct_clears, 0) as correct_clears, coalesce(f.completed, 0) as completed, coalesce(len(list_filter(f.clears, lambda x: x <> 'sentence:error')), 0) as open_clears, cast(floor(coalesce(f.correct_clears, 0) * 100 / (select count(*) from i where i.passage_id = g.passage_id)) as bigint) as percent from (select s.id as student_id, p as passage_id, k as stage from @students s, (values (0), (1), (2)) as t(p), (values (1), (2)) as u(k)) g left join f on f.student_id = g.student_id and f.passage_id = g.passage_id and f.stage = g.stage")
@@ -137,7 +157,7 @@ def _(f):
     steps = f.spark.range(0, 3).select(F.col("id").alias("passage_id")).crossJoin(f.spark.range(1, 3).select(F.col("id").cast("int").alias("stage")))
     grid = f.students.select(F.col("id").alias("student_id")).crossJoin(F.broadcast(steps))
     items = f.attempts.where("item_key <> 'sentence:error'").select("passage_id", "item_key").distinct()
-    return P.practice_progress(grid, P.cycle_progress(f.attempts), items)
+    return P.practice_progress(grid, P.cycle_progress(f.attempts, P.STEP_KEY), items)
 
 
 CAT, LONG_CAT = "the cat saw the dog run", "on Monday the old cat saw the dog run to the Café"
@@ -169,7 +189,12 @@ LOCK = f"""with recursive t as (select id, realm, successful, epoch_us(created_a
 
 @query("j5_login_lockout", LOCK + " select realm, id, blocked_by from r where blocked_by is not null")
 def _(f):
-    return P.login_lockout(f.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp"))), LIMITS, WINDOW)
+    return P.login_lockout(f.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp"))), LIMITS, WINDOW, key="realm")
+
+
+@query("j5_login_lockout_global", LOCK.replace(str(WINDOW * 60_000_000), str(60 * 60_000_000)).replace("partition by realm", "partition by 1").replace("realm, successful", "0 as realm, successful") + " select id, blocked_by from r where blocked_by is not null")
+def _(f):
+    return P.login_lockout(f.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp"))), LIMITS, 60)
 
 
 THIN = """with recursive t as (select user_id as session_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from @events),

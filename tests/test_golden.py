@@ -81,9 +81,9 @@ def test_cycles(spark):
 def test_stuck_cycle_is_closed_by_active_items(spark):
     # Two of three are cleared, the third is removed, the next clear repeats one of them.
     log = attempts(spark, "aba", [3, 3, 2])
-    keys = log.select(*P.PROGRESS_KEY).distinct().withColumn("active_items", F.array(F.lit("a"), F.lit("b")))
-    assert P.cycle_progress(log).first().completed == 0
-    assert P.cycle_progress(log, active=keys).first().completed == 1
+    keys = log.select(*P.STEP_KEY).distinct().withColumn("active_items", F.array(F.lit("a"), F.lit("b")))
+    assert P.cycle_progress(log, P.STEP_KEY).first().completed == 0
+    assert P.cycle_progress(log, P.STEP_KEY, active=keys).first().completed == 1
 
 
 def test_taps(spark):
@@ -206,3 +206,50 @@ def test_lookups_and_migrations_golden(spark):
     states = spark.createDataFrame([(1, 2, "w", False, 5, 1), (1, 3, "w", True, 4, 2)], "student_id int, passage_id int, word string, known boolean, updated_at int, created_at int")
     mapping = spark.createDataFrame([(3, 2)], "old int, keeper int")
     assert tuple(O.merge_word_states(states, mapping).first()) == (1, 2, "w", True, 5, 1)
+
+
+def plain_lockout(tries, limits, minutes):
+    """Every try in its order, with all recorded failures of its two identifiers."""
+    failed, blocked = collections.defaultdict(list), {}
+    for at, i, fine, admin, code, client in sorted((t["at_us"], t["id"], t["successful"], t["admin"], t["code"], t["client"]) for t in tries):
+        checks = [("admin_client", client), ("admin", "")] if admin else [("student_client", client), ("code", code)]
+        for kind, who in checks:
+            if sum(x >= at - minutes * 60_000_000 for x in failed[kind, who]) >= limits[kind]:
+                blocked[i] = kind
+                break
+        else:
+            for c in [] if fine else checks:
+                failed[c].append(at)
+    return blocked
+
+
+def tries_of(spark, tries):
+    return spark.createDataFrame(tries, "id long, at_us long, successful boolean, admin boolean, code string, client string").repartition(4)
+
+
+def test_lockout_without_realms(spark):
+    """Identifiers meet across the whole table; a hot client has a third of all tries, day and night."""
+    import random
+
+    deal, minute, tries = random.Random(4), 60_000_000, []
+    for i in range(6000):
+        hot = i % 3 == 0
+        at = deal.randrange(30 * 24 * 60) * minute + deal.choice([0, 1, minute // 2])
+        if hot and deal.random() < 0.8:  # bursts of an hour on some days
+            at = (deal.randrange(30) * 24 + 9) * 60 * minute + deal.randrange(60) * minute
+        tries.append({"id": i, "at_us": at, "successful": deal.random() < 0.3, "admin": i % 17 == 0, "code": f"c{deal.randrange(400)}" if deal.random() < 0.7 else None, "client": "hot" if hot else f"ip{deal.randrange(200)}"})
+    for limits in ({"code": 5, "student_client": 30, "admin_client": 5, "admin": 50}, {"code": 2, "student_client": 4, "admin_client": 2, "admin": 3}):
+        want = plain_lockout(tries, limits, 15)
+        assert {r.id: r.blocked_by for r in P.login_lockout(tries_of(spark, tries), limits, 15).collect()} == want and len(want) > 20
+        sizes = sorted(r["count"] for r in P.lockout_pieces(tries_of(spark, tries), limits, 15).groupBy("piece").count().collect())
+        assert sizes[-1] < len(tries) / 15
+
+
+def test_lockout_goes_on_from_recorded_failures(spark):
+    tries = [{"id": k, "at_us": k * 60_000_000, "successful": k % 11 == 10, "admin": False, "code": f"c{k % 3}", "client": f"ip{k % 2}"} for k in range(200)]
+    limits = {"code": 3, "student_client": 4, "admin_client": 2, "admin": 3}
+    want, early = plain_lockout(tries, limits, 15), [t for t in tries if t["id"] < 101]
+    done = {r.id for r in P.login_lockout(tries_of(spark, early), limits, 15).collect()}
+    failed = tries_of(spark, [t for t in early if not t["successful"] and t["id"] not in done]).drop("successful")
+    late = P.login_lockout(tries_of(spark, tries[101:]), limits, 15, recorded=failed.withColumn("successful", F.lit(False)))
+    assert done | {r.id for r in late.collect()} == set(want) and want

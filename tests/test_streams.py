@@ -1,5 +1,6 @@
 """Streams against their batch forms, from files with an availableNow trigger."""
 
+import datetime as dt
 import tempfile
 import time
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from lessonloom.operators import practice as P
 from lessonloom.plans.frames import Frames
 from lessonloom.streaming import jobs as J
+from lessonloom.streaming import keyed as K
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -31,12 +33,93 @@ def test_dedup(spark):
     assert got.count() == P.first_per_key(log, ["student_id", "client_attempt_id"], ["created_at", "id"]).count()
 
 
-def test_cycles(spark):
-    log = Frames(spark, FOLDER).attempts
-    updates = drain(J.cycle_stream(as_stream(log)), "cycles", "update")
-    last = updates.groupBy("student_id", "passage_id", "stage").agg(F.max_by(F.struct("completed", "open_clears"), F.struct("completed", "open_clears")).alias("x"))
-    want = {(r.student_id, r.passage_id, r.stage): (r.completed, len(r.clears)) for r in P.cycle_progress(log).collect()}
-    assert {(r.student_id, r.passage_id, r.stage): tuple(r.x) for r in last.collect()} == want
+def last_of_each(updates, keys):
+    """Updates come in any order; completed and updated_at of a key only grow."""
+    order = F.struct("completed", "updated_at", "correct_clears")
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in updates.columns if c not in keys]), order).alias("x")).select(*keys, "x.*")
+
+
+def folded(table, keys):
+    return {tuple(r[k] for k in keys): (r.completed, r.current_cycle, len(r.clears), r.correct_clears, r.stage, r.semantic_type, r.updated_at) for r in table.collect()}
+
+
+def test_cycles_by_the_full_key(spark):
+    from lessonloom.plans.progress import KEYED
+
+    log = Frames(spark, FOLDER).sql(KEYED).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    updates = drain(K.cycle_stream(as_stream(log)), "cycles", "update")
+    last = last_of_each(updates, P.PROGRESS_KEY)
+    got = {tuple(r[k] for k in P.PROGRESS_KEY): (r.completed, r.current_cycle, r.open_clears, r.correct_clears, r.stage, r.semantic_type, r.updated_at) for r in last.collect()}
+    want = folded(P.cycle_progress(log), P.PROGRESS_KEY)
+    assert got == want and sum(x[0] for x in want.values()) > 20
+
+
+def test_cycles_of_items_that_change(spark):
+    """Removed items close a stuck cycle, in the stream as in the table; the items of a key change while it runs."""
+    rows = [(k, k % 6, 1, 1, "abcdeab"[(k * 5 + k // 6) % 7], True, 4 if k < 150 else 3, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k)) for k in range(300)]
+    log = spark.createDataFrame(rows, "id long, student_id long, passage_id long, stage int, item_key string, correct boolean, stage_item_count int, created_at timestamp")
+    keys = P.with_progress_key(log).select(*P.PROGRESS_KEY).distinct().where("student_id > 1")
+    early = keys.withColumns({"active_items": F.array(*map(F.lit, "abcd")), "created_at": F.lit(dt.datetime(2023, 1, 1)).cast("timestamp")})
+    late = keys.where("student_id > 3").withColumns({"active_items": F.array(*map(F.lit, "ab")), "created_at": F.lit(rows[150][-1]).cast("timestamp")})
+    path = tempfile.mkdtemp(prefix="spark-") + "/active"
+    for part in (early, late, late.where("false")):  # one file with each of the log's three
+        part.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    active = spark.readStream.schema(early.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    halves = spark.createDataFrame([r for r in rows if r[0] < 150], log.schema), spark.createDataFrame([r for r in rows if 150 <= r[0] < 200], log.schema), spark.createDataFrame([r for r in rows if r[0] >= 200], log.schema)
+    path = tempfile.mkdtemp(prefix="spark-") + "/log"
+    for part in halves:
+        part.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    updates = drain(K.cycle_stream(stream, active), "cycles_of_items", "update")
+    want = folded(P.cycle_progress(log, active=early.unionByName(late)), P.PROGRESS_KEY)
+    got = {tuple(r[k] for k in P.PROGRESS_KEY): (r.completed, r.current_cycle, r.correct_clears, r.updated_at) for r in last_of_each(updates, P.PROGRESS_KEY).collect()}
+    assert got == {k: (v[0], v[1], v[3], v[6]) for k, v in want.items()}
+    plain = folded(P.cycle_progress(log), P.PROGRESS_KEY)
+    assert any(want[k][0] != plain[k][0] for k in want)
+
+
+def test_progress_goes_on_from_an_earlier_result(spark):
+    from lessonloom.plans.progress import KEYED
+
+    log = Frames(spark, FOLDER).sql(KEYED)
+    cut = log.approxQuantile("id", [0.5], 0.0)[0]
+    first = P.cycle_progress(log.where(F.col("id") <= cut)).checkpoint()
+    assert spark.createDataFrame(log.where("false").rdd, log.schema).count() == 0
+    ids = log.where(F.col("id") <= cut).agg(F.max("created_at")).first()[0]
+    early, late = log.where(F.col("created_at") <= F.lit(ids)), log.where(F.col("created_at") > F.lit(ids))
+    both = P.cycle_progress(late, before=P.cycle_progress(early))
+    assert folded(both, P.PROGRESS_KEY) == folded(P.cycle_progress(log), P.PROGRESS_KEY) and first.count()
+
+
+def test_session_ends_come_by_themselves(spark):
+    frames = Frames(spark, FOLDER)
+    from lessonloom.plans.progress import ENDINGS
+
+    sessions = frames.sessions.withColumnRenamed("user_id", "student_id").select("id", "student_id", "created_at", "expires_at")
+    logouts, codes, gone = (frames.sql(q) for q in ENDINGS.values())
+    logouts = logouts.withColumn("student_id", F.floor(F.col("session_id") / 100))
+    want = {(r.id, r.student_id, r.created_at, r.ended_at, r.reason) for r in P.session_intervals(sessions, logouts, codes, gone).collect()}
+    late = sessions.agg(F.max("expires_at")).first()[0] + dt.timedelta(days=20)
+
+    def stream(df, time_column, marker):
+        """Three files in the order of time, and a row far later, so that the watermark passes every end."""
+        path, first = tempfile.mkdtemp(prefix="spark-") + "/log", df.agg(F.min(time_column), F.max(time_column)).first()
+        step = (first[1] - first[0]) / 3
+        edges = [first[0] - dt.timedelta(1), first[0] + step, first[0] + 2 * step, first[1] + dt.timedelta(1)]
+        for a, b in zip(edges, edges[1:]):
+            df.where((F.col(time_column) > F.lit(a)) & (F.col(time_column) <= F.lit(b))).coalesce(1).write.mode("append").parquet(path)
+            time.sleep(1.1)
+        df.limit(1).withColumns({c: F.lit(x).cast(df.schema[c].dataType) for c, x in marker.items()}).coalesce(1).write.mode("append").parquet(path)
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    marks = {"student_id": -1, "happened_at": late}
+    inputs = [stream(sessions, "created_at", {"id": -1, "student_id": -1, "created_at": late, "expires_at": late + dt.timedelta(9)}), stream(logouts, "happened_at", marks), stream(codes, "happened_at", marks), stream(gone, "happened_at", marks)]
+    got = drain(K.session_stream(*inputs, delay="12 days"), "ends", "append").where("id >= 0")
+    rows = [(r.id, r.student_id, r.created_at, r.ended_at, r.reason) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {r[4] for r in rows} >= {"expiry", "logout", "code_change"}
 
 
 def test_summary_and_clears(spark):
@@ -63,7 +146,7 @@ def test_lockout_and_touches(spark):
 
     tries = frames.logins.withColumns({"at_us": F.unix_micros(F.col("created_at").cast("timestamp")), "realm": F.concat(F.lit("school:"), "realm")})
     got = drain(T.lockout_stream(as_stream(tries), LIMITS, WINDOW), "locked", "append")
-    want = P.login_lockout(tries, LIMITS, WINDOW).collect()
+    want = P.login_lockout(tries, LIMITS, WINDOW, key="realm").collect()
     assert len(want) > 100 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
     touches = frames.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"), F.lit(None).cast("long").alias("started_us"))
     got = drain(T.thin_stream(as_stream(touches), minutes=600), "touches", "append")
