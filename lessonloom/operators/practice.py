@@ -67,7 +67,7 @@ def submit_attempts(batch: DataFrame, stored: DataFrame, allowed: DataFrame, ite
     """Outcome of each attempt: stored, replayed or rejected with a reason, in the order id shape, replay, access, item, grade.
 
     batch: id, student_id, passage_id, sentence_id, client_attempt_id, step, arranged, mistakes, restarts.
-    stored: student_id, client_attempt_id, stored_correct. allowed: student_id, passage_id.
+    stored: student_id, client_attempt_id, stored_correct. allowed: student_id, passage_id, and exam_id where access goes by exam.
     items: sentence_id, passage_id, text (the sentences that can be ordered now). passages: passage_id, revision.
     Of equal client ids in one batch the first is judged; the others replay it. What is stored
     carries its response (arranged, mistakes, restarts, word_count), the passage's revision
@@ -76,7 +76,8 @@ def submit_attempts(batch: DataFrame, stored: DataFrame, allowed: DataFrame, ite
     named = batch.withColumn("client_key", F.lower("client_attempt_id")).withColumn("good_id", is_attempt_id(F.col("client_attempt_id")))
     known = stored.select("student_id", F.lower("client_attempt_id").alias("client_key"), F.col("stored_correct")).dropDuplicates(["student_id", "client_key"]).withColumn("known", F.lit(True))
     rows = named.join(known, ["student_id", "client_key"], "left")
-    rows = rows.join(allowed.select("student_id", "passage_id").distinct().withColumn("allowed", F.lit(True)), ["student_id", "passage_id"], "left")
+    access = ["student_id", "passage_id", *(["exam_id"] if "exam_id" in allowed.columns else [])]
+    rows = rows.join(allowed.select(*access).distinct().withColumn("allowed", F.lit(True)), access, "left")
     rows = rows.join(items.select("sentence_id", "passage_id", "text"), ["sentence_id", "passage_id"], "left")
     early = F.when(~F.col("good_id"), "invalid_id").when(F.col("known"), "known").when(F.col("allowed").isNull(), "not_in_scope").when(F.col("text").isNull(), "not_orderable_now")
     # What is decided already is not graded: its text is empty.
