@@ -22,4 +22,7 @@ FAILURE_WINDOW_MINUTES = 15
 TOUCH_MINUTES = 5
 #: Failures of an identifier in the window from which on its tries are blocked.
 LOGIN_LIMITS = {"code": 5, "student_client": 30, "admin_client": 5, "admin": 50}
+#: What marks the textbook whose lessons are told by number, and its lessons by what names them.
+TEXTBOOK_MARKS = ("공통영어2", "민병천")
+LESSON_NAMES = {1: r"(?i)(lesson\s*1([^0-9]|$)|(^|[^0-9])1\s*과)", 2: r"(?i)(lesson\s*2([^0-9]|$)|(^|[^0-9])2\s*과)"}
 # End of fixed values.

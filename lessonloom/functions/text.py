@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -106,6 +106,21 @@ def part_number(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, part_suffix(), 1), F.lit("")).cast("int"), F.lit(1))
 
 
+def lesson_number(source_type: Column, title: Column, label: Column) -> Column:
+    """The lesson that title and label name, for passages of the marked textbook; else null."""
+    names = F.concat_ws(" ", title, label)
+    ours = F.coalesce(source_type == "TEXTBOOK", F.lit(False))
+    for mark in C.TEXTBOOK_MARKS:
+        ours = ours & names.contains(mark)
+    found = F.coalesce(*[F.when(names.rlike(name), F.lit(n)) for n, name in C.LESSON_NAMES.items()])
+    return F.when(ours, found)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """``nfc`` for SQL, the one function that Spark lacks."""
+    spark.udf.register("nfc", _nfc)
+
+
 def meaning_key(c: Column) -> Column:
     return F.substring(F.lower(F.regexp_replace(F.trim(c), r"\s+", " ")), 1, 500)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lessonloom.functions.session import with_plain_unions
-from lessonloom.functions.text import lesson_label, part_number, part_suffix
+from lessonloom.functions.text import lesson_label, lesson_number, part_number, part_suffix
 from lessonloom.operators.tables import drop_redundant_on_relink, merge_word_states, ordered_text, pick_keeper, relink, renumber, surviving_links
 
 #: Children that follow their passage to its keeper as they are.
@@ -56,14 +56,21 @@ def consolidate_parts(passages: DataFrame, children: dict[str, DataFrame]) -> di
     return out
 
 
+def textbook_lessons(passages: DataFrame) -> DataFrame:
+    """Adds lesson, read from source_type, title and source_label."""
+    return passages.withColumn("lesson", lesson_number(F.col("source_type"), F.col("title"), F.col("source_label")))
+
+
 @with_plain_unions
 def relink_aliases(passages: DataFrame, questions: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(links, changed links, errors) after every scope points to the passage of its lesson that has the questions.
 
-    passages: id, lesson (null: none), created_at. A lesson's keeper has most available
+    passages: id, created_at, and lesson (null: none) or what ``textbook_lessons`` reads it
+    from. A lesson's keeper has most available
     questions, then the first creation, then the least id; one without any is an error, as
     is a scope that does not end on its keeper.
     """
+    passages = passages if "lesson" in passages.columns else textbook_lessons(passages)
     available = questions.where("status = 'available'").groupBy(F.col("passage_id").alias("id")).agg(F.count("*").alias("available"))
     counted = passages.where("lesson is not null").join(available, "id", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     keepers = pick_keeper(counted, F.col("lesson"), [F.desc("available"), "created_at", "id"])
@@ -90,7 +97,8 @@ def cascade_delete(kind: str, tables: dict[str, DataFrame], ids: DataFrame) -> t
     """(every table without what depends on the deleted students or passages, ids that are none).
 
     tables: by name, those there are, with student_id and passage_id, or question_id; also
-    students or passages, questions, and logins (identifier student:<id>).
+    students or passages, questions, logins (identifier student:<id>), and saved_word_senses
+    (saved_word_id, a saved word's id).
     """
     out = dict(tables)
     parents = "students" if kind == "student" else "passages"
@@ -100,6 +108,9 @@ def cascade_delete(kind: str, tables: dict[str, DataFrame], ids: DataFrame) -> t
     for name in OF_STUDENT if kind == "student" else OF_PASSAGE:
         if name in tables:
             out[name] = without(out[name], f"{kind}_id", gone)
+    if "saved_word_senses" in tables and "saved_words" in tables:  # senses go with their word
+        words = tables["saved_words"].join(gone.select(F.col("id").alias(f"{kind}_id")), f"{kind}_id", "left_semi").select("id")
+        out["saved_word_senses"] = without(tables["saved_word_senses"], "saved_word_id", words)
     if kind == "student" and "logins" in tables:
         out["logins"] = without(tables["logins"], "identifier", gone.select(F.concat(F.lit("student:"), F.col("id").cast("string")).alias("id")))
     if kind == "passage" and "questions" in tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lessonloom.functions.session import with_plain_unions
+from lessonloom.functions.session import shared_folder, with_plain_unions
 from lessonloom.functions.text import flatten_space, json_put
 from lessonloom.operators.rules import passage_rules, row_rules, violations, with_group_size, with_owned
 from lessonloom.operators.tables import global_rank, ordered_text, renumber
@@ -212,6 +212,70 @@ def publisher_import(given: DataFrame, stored: DataFrame) -> DataFrame:
     return counts.where("given > 0").join(bad, "passage_id").select("passage_id", state.alias("state"))
 
 
+@with_plain_unions
+def apply_imports(jobs: DataFrame, rows: DataFrame, passages: DataFrame, sentences: DataFrame, catalogs: DataFrame, waiting: str = "review_required", done: str = "ready") -> dict[str, DataFrame]:
+    """Tables after a publisher's imports, and refused (job_id, reason): each job in full or not at all.
+
+    A job makes a new passage with its rows, or finds the passage's active rows equal to
+    its own; then revision and version must be those that it expects. It sets the state
+    with the next version, publishes its catalog, and is done; older done jobs of its
+    source fail. Of several good jobs for one passage the least id goes in.
+
+    jobs: id, status, passage_id, create_new, expected_revision, expected_version, title,
+    grade, source_type, source_label, state and catalog (JSON), source, finished_at.
+    rows: job_id, id, sentence_index, text, translation, block_type, paragraph_index.
+    passages: id, title, grade, source_type, source_label, source_text, display_order,
+    revision, state, status, catalog_revision. sentences: passage_id, id, sentence_index,
+    text, translation, block_type, paragraph_index, active. catalogs: passage_id,
+    workbook_key, catalog, revision, job_id.
+    """
+    mine = rows.withColumnRenamed("job_id", "passage_id").withColumn("block_type", F.coalesce("block_type", F.lit("SENTENCE")))
+    held = sentences.where("active").join(jobs.select(F.col("id").alias("job"), "passage_id"), "passage_id")
+    stored = held.select(F.col("job").alias("passage_id"), "id", "sentence_index", "text", "translation")
+    states = publisher_import(mine, stored).select(F.col("passage_id").alias("id"), F.col("state").alias("import_state"))
+    counts = rows.groupBy(F.col("job_id").alias("id")).agg(F.count("*").alias("n"))
+    version = F.coalesce(F.get_json_object("state", "$.version").cast("long"), F.lit(0))
+    there = passages.select(F.col("id").alias("passage_id"), "revision", version.alias("version"), F.lit(True).alias("there"))
+    known = jobs.join(states, "id", "left").join(counts, "id", "left").join(there, "passage_id", "left")
+    new, exists = F.col("create_new"), F.col("there").isNotNull()
+    reason = (
+        F.when(F.col("status") != waiting, "not_waiting")
+        .when(~F.coalesce(F.col("n"), F.lit(0)).between(1, 160), "rows")
+        .when(new & exists, "exists")
+        .when(new & (F.col("import_state") == "invalid"), "invalid_rows")
+        .when(~new & (~exists | (F.col("import_state") != "verified")), "differs")
+        .when(F.when(new, 1).otherwise(F.col("revision")) != F.col("expected_revision"), "revision")
+        .when(F.when(new, 0).otherwise(F.col("version")) != F.col("expected_version"), "version")
+    )
+    judged = known.withColumn("reason", reason)
+    turn = F.row_number().over(Window.partitionBy("passage_id", F.col("reason").isNull()).orderBy("id"))
+    late = F.col("reason").isNull() & (turn > 1)
+    shared_folder(jobs.sparkSession)
+    judged = judged.withColumn("reason", F.when(late, F.when(new, "exists").otherwise("version")).otherwise(F.col("reason"))).checkpoint()
+    fine = judged.where("reason is null")
+    made = fine.where("create_new")
+    top = passages.agg((F.coalesce(F.max("display_order"), F.lit(-1)) + 1).alias("top"))
+    ranked = global_rank(made.select("id"), "id", "rank").crossJoin(F.broadcast(top))
+    own = mine.withColumnRenamed("passage_id", "job").join(made.select(F.col("id").alias("job"), "passage_id"), "job").withColumn("text", F.trim("text"))
+    source = ordered_text(own.where("block_type = 'SENTENCE'"), "passage_id", "sentence_index", "text")
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    put = json_put(F.coalesce("state", F.lit("{}")), ["version"], (F.col("expected_version") + 1).cast("string"))
+    fresh = fine.select(F.col("passage_id").alias("id"), put.alias("put"), F.col("expected_revision").alias("published"))
+    added = made.join(ranked, "id").join(source, "passage_id", "left").select(F.col("passage_id").alias("id"), F.trim("title").alias("title"), text("grade").alias("grade"), F.coalesce("source_type", F.lit("MOCK_EXAM")).alias("source_type"), text("source_label").alias("source_label"), "source_text", (F.col("top") + F.col("rank")).alias("display_order"), F.lit(1).alias("revision"), F.lit(None).cast("string").alias("state"), F.lit("pending").alias("status"), F.lit(None).cast("long").alias("catalog_revision"))
+    after = passages.unionByName(added.select(*[F.col(c).cast(passages.schema[c].dataType).alias(c) for c in passages.columns])).join(fresh, "id", "left")
+    told = after.withColumns({"state": F.coalesce("put", "state"), "status": F.when(F.col("put").isNotNull(), "current").otherwise(F.col("status")), "catalog_revision": F.coalesce("published", "catalog_revision")}).select(*passages.columns)
+    new_rows = own.select("passage_id", "id", "sentence_index", "text", text("translation").alias("translation"), "block_type", F.coalesce("paragraph_index", F.lit(0)).alias("paragraph_index"), F.lit(True).alias("active"))
+    published = fine.select("passage_id", F.get_json_object("catalog", "$.workbookKey").alias("workbook_key"), "catalog", F.col("expected_revision").alias("revision"), F.col("id").alias("job_id"))
+    finished = jobs.join(fine.select("id", F.lit(True).alias("fine")), "id", "left").withColumn("status", F.when(F.col("fine"), done).otherwise(F.col("status"))).drop("fine")
+    return {
+        "jobs": supersede(finished, done),
+        "passages": told,
+        "sentences": sentences.unionByName(new_rows.select(*sentences.columns)),
+        "catalogs": upsert(catalogs, published.select(*catalogs.columns), ["passage_id"], ["workbook_key", "catalog", "revision", "job_id"]),
+        "refused": judged.where("reason is not null").select(F.col("id").alias("job_id"), "reason"),
+    }
+
+
 def finish_jobs(jobs: DataFrame, states: DataFrame, waiting: str, done: str, failed: str = "failed") -> DataFrame:
     """Jobs after an import: a waiting one whose passage is new or verified is done, one whose passage is not has failed; of several done jobs of one source the latest stays, the older fail.
 

@@ -241,6 +241,18 @@ def practice_progress(grid: DataFrame, progress: DataFrame, items: DataFrame) ->
     return rows.select(*STEP_KEY, total.alias("total"), F.coalesce("correct_clears", F.lit(0)).alias("correct_clears"), F.coalesce("completed", F.lit(0)).alias("completed"), clears.cast("long").alias("open_clears"), progress_percent(F.coalesce("correct_clears", F.lit(0)), total).alias("percent"))
 
 
+def first_open_item(homes: DataFrame, items: DataFrame, progress: DataFrame, keys: list[str] = STEP_KEY) -> DataFrame:
+    """(keys, item_key, place): the item at which each student goes on: the first that the current cycle has not cleared, or the passage's first; nothing for a passage without items.
+
+    homes: keys (passage_id among them). items: passage_id, item_key, sentence_index. progress: keys, clears.
+    """
+    placed = items.select("passage_id", "item_key", (F.row_number().over(Window.partitionBy("passage_id").orderBy("sentence_index", "item_key")) - 1).alias("place"))
+    rows = homes.select(*keys).join(placed, "passage_id").join(progress.select(*keys, "clears"), keys, "left")
+    is_open = ~F.array_contains(F.coalesce("clears", F.array().cast("array<string>")), F.col("item_key"))
+    at = F.struct((~is_open).alias("cleared"), "place", "item_key")
+    return rows.groupBy(*keys).agg(F.min(at).alias("x")).select(*keys, "x.item_key", F.when(F.col("x.cleared"), F.lit(0)).otherwise(F.col("x.place")).cast("long").alias("place"))
+
+
 @with_plain_unions
 def replay_taps(taps: DataFrame, words: DataFrame, step: int, run: str = "run_id") -> DataFrame:
     """Runs folded over their taps: placed chips, mistakes, restarts, completed, clean.

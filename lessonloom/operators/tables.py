@@ -142,6 +142,29 @@ def learning_progress(students: DataFrame, attempts: DataFrame, since: str) -> D
     return rows.select("student_id", "name", "last_activity", *[F.coalesce(f"{w}_{k}", F.lit(0)).alias(f"{w}_{k}") for k in (1, 2) for w in ("total", "clean")])
 
 
+def day_cells(attempts: DataFrame) -> DataFrame:
+    """Attempts summed by student, step and Korean day (from 15:00 UTC): total, clean, last_at. Cells of parts of a log add up to those of the whole."""
+    day = F.floor((F.unix_seconds(F.col("created_at").cast("timestamp")) + 9 * 3600) / 86400)
+    counted = attempts.groupBy("student_id", "stage", day.cast("long").alias("day"))
+    return counted.agg(F.count("*").alias("total"), F.count_if("correct").alias("clean"), F.max("created_at").alias("last_at"))
+
+
+@with_plain_unions
+def add_cells(cells: DataFrame, more: DataFrame) -> DataFrame:
+    both = cells.unionByName(more.select(*cells.columns))
+    return both.groupBy("student_id", "stage", "day").agg(F.sum("total").alias("total"), F.sum("clean").alias("clean"), F.max("last_at").alias("last_at"))
+
+
+def learning_progress_of_days(students: DataFrame, cells: DataFrame, since: str) -> DataFrame:
+    """``learning_progress`` from day cells, for a period that starts at a Korean midnight (as ``period_start`` gives it); no attempt is read."""
+    first = F.floor((F.unix_seconds(F.lit(since).cast("timestamp")) + 9 * 3600) / 86400)
+    recent = cells.where(F.col("day") >= first)
+    per_step = [F.sum(F.when(F.col("stage") == k, F.col(w)).otherwise(0)).alias(f"{w}_{k}") for k in (1, 2) for w in ("total", "clean")]
+    counted = recent.groupBy("student_id").agg(F.max("last_at").alias("last_activity"), *per_step)
+    rows = students.select(F.col("id").alias("student_id"), "name").join(counted, "student_id", "left")
+    return rows.select("student_id", "name", "last_activity", *[F.coalesce(f"{w}_{k}", F.lit(0)).alias(f"{w}_{k}") for k in (1, 2) for w in ("total", "clean")])
+
+
 @with_plain_unions
 def learning_progress_all(students: DataFrame, question_attempts: DataFrame, attempts: DataFrame, since: str) -> DataFrame:
     """Active students with counts of both logs in the period and the last activity ever."""
@@ -211,6 +234,28 @@ def latest_wrong(attempts: DataFrame, keys: list[str], bookmarks: DataFrame | No
     return latest if bookmarks is None else latest.join(bookmarks.select(*keys), keys, "left_anti")
 
 
+@with_plain_unions
+def with_wrong_answers(bookmarks: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Bookmarks and, for every question whose latest attempt is wrong and that has none, one of source wrong_answer, as of that attempt.
+
+    bookmarks: student_id, exam_id, question_id, source, updated_at. attempts: the keys, id, correct, created_at.
+    """
+    keys = ["student_id", "exam_id", "question_id"]
+    wrong = latest_wrong(attempts, keys, bookmarks).withColumnRenamed("attempt_id", "id")
+    made = wrong.join(attempts.select("id", "created_at"), "id")
+    return bookmarks.select(*keys, "source", "updated_at").unionByName(made.select(*keys, F.lit("wrong_answer").alias("source"), F.col("created_at").alias("updated_at")))
+
+
+def review_queue(bookmarks: DataFrame) -> DataFrame:
+    """Bookmarks with their place in the queue of their student and exam, the newest change first; ties by question."""
+    return renumber(bookmarks, ["student_id", "exam_id"], [F.desc("updated_at"), "question_id"], "place")
+
+
+def distinct_ids(values: Column, most: int = 80) -> Column:
+    """The ids of a list in the order of their first places, trimmed and cut, without blank ones."""
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.substring(F.trim(x), 1, most)), lambda x: x != ""))
+
+
 def run_summary(attempts: DataFrame, keys: list[str]) -> DataFrame:
     return attempts.groupBy(*keys).agg(F.count("*").alias("finished"), F.count_if("correct").alias("clean"))
 

@@ -12,6 +12,7 @@ from lessonloom.operators import scopes as S
 from lessonloom.operators import tables as O
 from lessonloom.plans.frames import query
 from lessonloom.plans.progress import STRUCTURE
+from lessonloom.plans.texts import DUCK_LESSON, TITLED
 
 
 def told(**tables):
@@ -235,6 +236,39 @@ def _(f):
     return K.publisher_import(f.sql(GIVEN), f.sql(HELD))
 
 
+#: Imports of the same rows as jobs: most fit, some are done already, make what is there, or expect another revision or version.
+IMPORTS = """select doc_id + 1000 as id, doc_id as passage_id, doc_id % 5 = 0 or doc_id % 12 = 7 as create_new, case when doc_id % 8 = 3 then 'ready' else 'review_required' end as status, case when doc_id % 5 = 0 then 1 else doc_id % 4 + 1 end + case when doc_id % 11 = 4 then 1 else 0 end as expected_revision, case when doc_id % 5 = 0 then 0 else doc_id % 3 end + case when doc_id % 13 = 6 then 1 else 0 end as expected_version,
+ concat(' T', doc_id, ' ') as title, lang as grade, cast(null as varchar(9)) as source_type, cast(null as varchar(9)) as source_label, '{"mode":"p","version":99}' as state, concat('{"workbookKey":"w', doc_id % 3, '"}') as catalog, doc_id % 40 as source, doc_id as finished_at from @documents"""
+IMPORTED = f"select passage_id + 1000 as job_id, id, sentence_index, text, translation, block_type, paragraph_index from ({GIVEN})"
+SHELF = "select doc_id as id, source as title, lang as grade, 'TEXTBOOK' as source_type, '' as source_label, '' as source_text, doc_id as display_order, doc_id % 4 + 1 as revision, concat('{\"version\":', doc_id % 3, '}') as state, 'draft' as status, cast(null as bigint) as catalog_revision from @documents where doc_id % 5 <> 0"
+SHELVED = "select passage_id, id, sentence_index, text, coalesce(nullif(translation, ''), 'x') as translation, block_type, paragraph_index, true as active from @sentences where passage_id % 5 <> 0"
+CATALOGS = "select doc_id as passage_id, 'old' as workbook_key, '{}' as catalog, cast(0 as bigint) as revision, cast(null as bigint) as job_id from @documents where doc_id % 10 = 2"
+DUCK_IMPORTS = f"""with j as ({IMPORTS}), p as (select *, cast(json_extract(state, '$.version') as bigint) as version from ({SHELF})), s as ({STATES}), n as (select passage_id, count(*) as n from ({GIVEN}) group by 1),
+ r as (select j.*, p.version, case when j.status <> 'review_required' then 'not_waiting' when coalesce(n.n, 0) not between 1 and 160 then 'rows' when create_new and p.id is not null then 'exists' when create_new and s.state = 'invalid' then 'invalid_rows' when not create_new and (p.id is null or s.state <> 'verified') then 'differs'
+  when case when create_new then 1 else p.revision end <> expected_revision then 'revision' when case when create_new then 0 else p.version end <> expected_version then 'version' end as reason from j left join p on p.id = j.passage_id left join s on s.passage_id = j.passage_id left join n on n.passage_id = j.passage_id),
+ f as (select * from r where reason is null), m as (select *, row_number() over (order by id) as turn from f where create_new), d as (select id, source, finished_at, case when reason is null then 'ready' else status end as status from r)
+ select 'refused' as name, cast(id as varchar) as key, reason as value from r where reason is not null
+ union all select 'jobs', cast(id as varchar), case when status = 'ready' and row_number() over (partition by source, status order by finished_at desc, id desc) > 1 then 'failed' else status end from d
+ union all select 'passages', cast(p.id as varchar), case when f.id is null then concat_ws('/', p.revision, p.version, p.display_order, p.status, 0) else concat_ws('/', p.revision, f.expected_version + 1, p.display_order, 'current', f.expected_revision) end from p left join f on f.passage_id = p.id
+ union all select 'passages', cast(passage_id as varchar), concat_ws('/', 1, 1, (select max(display_order) from p) + turn, 'current', 1) from m
+ union all select 'sentences', cast(id as varchar), cast(passage_id as varchar) from ({SHELVED}) union all select 'sentences', cast(g.id as varchar), cast(g.passage_id as varchar) from ({GIVEN}) g join m on m.passage_id = g.passage_id
+ union all select 'catalogs', cast(passage_id as varchar), concat_ws('/', json_extract_string(catalog, '$.workbookKey'), expected_revision, id) from f union all select 'catalogs', cast(passage_id as varchar), 'old/0' from ({CATALOGS}) where passage_id not in (select passage_id from f)"""
+
+
+@query("k7_import_tables", DUCK_IMPORTS)
+def _(f):
+    got = K.apply_imports(f.sql(IMPORTS), f.sql(IMPORTED), f.sql(SHELF), f.sql(SHELVED), f.sql(CATALOGS))
+    version = F.get_json_object("state", "$.version")
+    shown = F.concat_ws("/", "revision", version, "display_order", "status", F.coalesce("catalog_revision", F.lit(0)))
+    return told(
+        refused=got["refused"].select(F.col("job_id").alias("key"), F.col("reason").alias("value")),
+        jobs=got["jobs"].select(F.col("id").alias("key"), F.col("status").alias("value")),
+        passages=got["passages"].select(F.col("id").alias("key"), shown.alias("value")),
+        sentences=got["sentences"].select(F.col("id").alias("key"), F.col("passage_id").alias("value")),
+        catalogs=got["catalogs"].select(F.col("passage_id").alias("key"), F.concat_ws("/", "workbook_key", "revision", "job_id").alias("value")),
+    )
+
+
 JOBS = "select event_id as id, event_id % n as passage_id, case when event_id % 9 > 0 then user_id % 40 end as source, case event_type when 'view' then 'waiting' when 'click' then 'done' else event_type end as status, ts as finished_at from @events cross join (select count(*) as n from @documents)"
 
 
@@ -329,6 +363,20 @@ def _(f):
     return aliased(f)[2]
 
 
+#: Aliases of which the lesson is read from titles and labels.
+TITLED_ALIASES = DUCK_ALIASES.replace(f"({LESSONS})", f"(select id, {DUCK_LESSON} as lesson, created_at from ({TITLED}))")
+
+
+@query("k9_links_by_title", f"{TITLED_ALIASES} select exam_id, coalesce(keeper, passage_id) as passage_id, position from l where lesson is null or rn = 1")
+def _(f):
+    return M.relink_aliases(f.sql(TITLED), f.sql(ASKING), f.links)[0]
+
+
+@query("k9_changed_by_title", f"{TITLED_ALIASES} select exam_id, passage_id, case when rn > 1 then 'removed' else 'moved' end as change from l where lesson is not null and (rn > 1 or passage_id <> keeper)")
+def _(f):
+    return M.relink_aliases(f.sql(TITLED), f.sql(ASKING), f.links)[1]
+
+
 # --- cascades ---------------------------------------------------------------------
 
 LOGIN_ROWS = "select event_id as id, concat('student:', user_id) as identifier from @events"
@@ -362,6 +410,17 @@ def _(f):
     return deleted(f, "student", f.students, LEFT_OF_STUDENTS)
 
 
+SAVED = "select student_id * 1000 + passage_id as id, student_id, passage_id, word from @words"
+SENSES = f"select id * 2 + k as id, id as saved_word_id from ({SAVED}), (values (0), (1)) as t(k)"
+
+
+@query("k14_delete_senses", f"select e.id, w.student_id from ({SENSES}) e join ({SAVED}) w on w.id = e.saved_word_id where not (w.student_id % 10 = 0 and w.student_id in (select id from @students))")
+def _(f):
+    tables = cascade_tables(f) | {"saved_words": f.sql(SAVED), "saved_word_senses": f.sql(SENSES)}
+    left, _ = M.cascade_delete("student", tables, f.students.where("id % 10 = 0").select("id"))
+    return left["saved_word_senses"].join(f.sql(SAVED).select(F.col("id").alias("saved_word_id"), "student_id"), "saved_word_id").select("id", "student_id")
+
+
 @query("k14_delete_passages", kept_rows({**LEFT_OF_PASSAGES, "attempts": "select id from @attempts where passage_id % 10 <> 0 or passage_id not in (select id from @passages)", "questions": "select id from @questions where passage_id % 10 <> 0 or passage_id not in (select id from @passages)", "question_attempts": "select id from @question_attempts where question_id not in (select id from @questions where passage_id % 10 = 0 and passage_id in (select id from @passages))", "unknown": "select id + 10000000 from @passages where id % 50 = 0"}))
 def _(f):
     return deleted(f, "passage", f.passages, LEFT_OF_PASSAGES)

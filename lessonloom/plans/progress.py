@@ -160,6 +160,16 @@ def _(f):
     return P.practice_progress(grid, P.cycle_progress(f.attempts, P.STEP_KEY), items)
 
 
+#: Items of a passage in an order of their own, one of them gone.
+PLACED = "select passage_id, item_key, length(item_key) as sentence_index from (select distinct passage_id, item_key from @attempts where item_key <> 'sentence:error')"
+
+
+@query("f3_first_open_of_student", FOLD.format(source="@attempts") + f", i as (select passage_id, item_key, row_number() over (partition by passage_id order by sentence_index, item_key) - 1 as place from ({PLACED})), h as (select distinct student_id, passage_id, stage from @attempts) select student_id, passage_id, stage, item_key, place from (select h.*, i.item_key, i.place, coalesce(list_contains(f.clears, i.item_key), false) as cleared from h join i using (passage_id) left join f using (student_id, passage_id, stage)) qualify row_number() over (partition by student_id, passage_id, stage order by cleared, place) = 1")
+def _(f):
+    homes = f.attempts.select(*P.STEP_KEY).distinct()
+    return P.first_open_item(homes, f.sql(PLACED), P.cycle_progress(f.attempts, P.STEP_KEY))
+
+
 CAT, LONG_CAT = "the cat saw the dog run", "on Monday the old cat saw the dog run to the Café"
 TAPS = "select user_id as run_id, event_id as seq, case when event_id % 4 < 3 then cast(floor(event_id / 150) as bigint) % 12 else event_id % 14 - 1 end as chip from @events"
 
@@ -180,7 +190,7 @@ def _(f):
 
 
 #: Lower limits and a longer window than in earnest, so that the tables' tries meet them.
-LIMITS, WINDOW = {"code": 2, "student_client": 4, "admin_client": 2, "admin": 3}, 7 * 24 * 60
+LIMITS, DAY, WINDOW = {"code": 2, "student_client": 4, "admin_client": 2, "admin": 3}, 24 * 60, 7 * 24 * 60
 LOCK = f"""with recursive t as (select id, realm, successful, epoch_us(created_at) as us, case when admin then 'admin_client' else 'student_client' end as kind1, case when admin then {LIMITS["admin_client"]} else {LIMITS["student_client"]} end as most1, case when admin then 'admin' else 'code' end as kind2, case when admin then {LIMITS["admin"]} else {LIMITS["code"]} end as most2, concat(admin, client) as who1, case when admin then 'admin' else code end as who2, row_number() over (partition by realm order by epoch_us(created_at), id) as rn from @logins),
  r as (select realm, 0::bigint as rn, null::bigint as id, null::varchar as blocked_by, cast([] as struct(who varchar, us bigint)[]) as failed from t where rn = 1
  union all select realm, rn, id, blocked_by, case when blocked_by is null and not successful then list_concat(recent, [{{'who': who1, 'us': us}}, {{'who': who2, 'us': us}}]) else recent end
@@ -192,9 +202,9 @@ def _(f):
     return P.login_lockout(f.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp"))), LIMITS, WINDOW, key="realm")
 
 
-@query("j5_login_lockout_global", LOCK.replace(str(WINDOW * 60_000_000), str(60 * 60_000_000)).replace("partition by realm", "partition by 1").replace("realm, successful", "0 as realm, successful") + " select id, blocked_by from r where blocked_by is not null")
+@query("j5_login_lockout_global", LOCK.replace(str(WINDOW * 60_000_000), str(DAY * 60_000_000)).replace("partition by realm", "partition by 1").replace("realm, successful", "0 as realm, successful") + " select id, blocked_by from r where blocked_by is not null")
 def _(f):
-    return P.login_lockout(f.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp"))), LIMITS, 60)
+    return P.login_lockout(f.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp"))), LIMITS, DAY)
 
 
 THIN = """with recursive t as (select user_id as session_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from @events),

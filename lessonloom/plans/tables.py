@@ -363,6 +363,27 @@ def _(f):
     return f.sentences.select("passage_id").distinct().join(open_items, "passage_id", "left").select("passage_id", F.coalesce("item", F.lit(0)).alias("item"))
 
 
+@query("f5_review_queue_sources", """with q as (select student_id, question_id % 2 as exam_id, question_id, id, correct, created_at from @question_attempts),
+ b as (select student_id, exam_id, question_id, 'manual' as source, max(created_at) as updated_at from q where question_id % 4 = 0 group by 1, 2, 3),
+ w as (select student_id, exam_id, question_id, 'wrong_answer' as source, created_at as updated_at from q where question_id % 4 <> 0 qualify row_number() over (partition by student_id, exam_id, question_id order by created_at desc, id desc) = 1 and not correct)
+ select *, row_number() over (partition by student_id, exam_id order by updated_at desc, question_id) - 1 as place from (select * from b union all select * from w)""")
+def _(f):
+    rows = f.question_attempts.withColumn("exam_id", F.col("question_id") % 2)
+    manual = rows.where("question_id % 4 = 0").groupBy("student_id", "exam_id", "question_id").agg(F.max("created_at").alias("updated_at")).withColumn("source", F.lit("manual"))
+    return O.review_queue(O.with_wrong_answers(manual, rows))
+
+
+@query("g4_distinct_id_list", "with t as (select conv_id, turn, string_split(text, ' ') as l from @conversations), u as (select conv_id, turn, unnest(l) as x, generate_subscripts(l, 1) as p from t), f as (select conv_id, turn, substr(trim(x), 1, 80) as x, min(p) as p from u group by 1, 2, 3) select t.conv_id, t.turn, coalesce(string_agg(x, ',' order by p), '') as ids from t left join (select * from f where x <> '') f using (conv_id, turn) group by 1, 2")
+def _(f):
+    return f.conversations.select("conv_id", "turn", F.array_join(O.distinct_ids(F.split("text", " ")), ",").alias("ids"))
+
+
+@query("j9_progress_of_days", f"{D1} from @students s left join (select * from @attempts where created_at >= timestamp '{SINCE}') a on a.student_id = s.id group by 1, 2")
+def _(f):
+    halves = [O.day_cells(f.attempts.where(F.col("id") % 2 == k)) for k in (0, 1)]
+    return O.learning_progress_of_days(f.students, O.add_cells(*halves), SINCE)
+
+
 @query("f4_limit_rows", "select id from (select id, row_number() over (partition by passage_id order by sentence_index) as rn from @sentences) where rn <= 20")
 def _(f):
     return O.renumber(f.sentences, "passage_id", ["sentence_index"]).where("position < 20").select("id")

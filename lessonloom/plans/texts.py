@@ -62,6 +62,22 @@ def _(f):
     return f.passages.select("id", T.lesson_label(F.col("source_label")).alias("label"), T.part_number(F.col("source_label")).alias("part"))
 
 
+#: Passages of the textbook with lessons, and others that look like it.
+TITLED = "select id, case when id % 9 = 0 then 'MOCK_EXAM' else 'TEXTBOOK' end as source_type, case when id % 5 = 0 then title else concat('공통영어2 ', title, ' (민병천)') end as title, case id % 6 when 0 then concat('Lesson ', id % 4) when 1 then 'LESSON 1 · Part 2' when 2 then '2과' when 3 then '12과' when 4 then 'lesson 10' else 'Lesson2 1 과' end as source_label, display_order as created_at from @passages"
+DUCK_LESSON = "case when source_type = 'TEXTBOOK' and " + " and ".join(f"contains(concat_ws(' ', title, source_label), '{m}')" for m in C.TEXTBOOK_MARKS) + " then case " + " ".join(f"when regexp_matches(concat_ws(' ', title, source_label), '{p}') then {n}" for n, p in C.LESSON_NAMES.items()) + " end end"
+
+
+@query("h8_lesson_no", f"select id, {DUCK_LESSON} as lesson from ({TITLED})")
+def _(f):
+    return f.sql(TITLED).select("id", T.lesson_number(F.col("source_type"), F.col("title"), F.col("source_label")).alias("lesson"))
+
+
+@query("h3_nfc_in_sql", "select sentence_id, md5(nfc_normalize(raw_arranged)) as composed from @requests")
+def _(f):
+    T.register_functions(f.spark)
+    return f.sql("select sentence_id, md5(nfc(raw_arranged)) as composed from @requests")
+
+
 #: Objects with numbers, flags, lists, nulls and nested objects, some keys missing or blank.
 NESTED = """select p_partkey as id, case p_partkey % 6 when 0 then concat('{"n":', p_size, ',"o":{"k":[1,2],"mode":"', p_brand, '"},"b":true}') when 1 then '{"o":{"mode":" "},"z":null}' when 2 then concat('{"s":"a ', chr(92), '"quoted', chr(92), '" ', p_name, '"}') when 3 then null when 4 then '{}' else '{"o":7,"n":2.5}' end as doc from @part"""
 

@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lessonloom import constants as C
+from lessonloom.functions.session import shared_folder
+from lessonloom.operators.practice import login_lockout
+from lessonloom.operators.tables import add_cells, append_members, day_cells, renumber
 from lessonloom.sources.readers import batch_queue, merge_queues
+from lessonloom.sources.snapshots import BatchLog, Snapshot
 
 STATE_DAYS = "30 days"
 
@@ -42,6 +46,64 @@ def failed_logins(tries: DataFrame, minutes: int = C.FAILURE_WINDOW_MINUTES, wat
     return counted.select("identifier", F.col("window.start").alias("window_start"), "failures")
 
 
+def keep_days(attempts: DataFrame, cells: Snapshot, checkpoint: str):
+    """Day cells kept by a stream of attempts, for ``learning_progress_of_days``: each micro-batch adds its own cells, once."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        fresh = day_cells(batch).checkpoint()
+        cells.change(fresh, lambda base: add_cells(base, fresh), batch=number)
+
+    shared_folder(attempts.sparkSession)
+    return attempts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync_scopes(changes: DataFrame, scopes: DataFrame, grades: list[str], links: Snapshot, checkpoint: str):
+    """Scopes kept by a stream of passages that are new or change their grade (id, grade, and changed_at for several in one batch).
+
+    links: a snapshot by exam_id, as ``sync_grade_scope`` has left it. Of a batch only the
+    passages in it can leave a scope or come to one; positions are handed out batch by batch.
+    """
+    own = scopes.where(F.col("grade").isin(*grades))
+
+    def sync(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("id").agg(F.max_by("grade", "changed_at").alias("grade")).checkpoint()
+        moved = last.select(F.col("id").alias("passage_id"), F.col("grade").alias("now"))
+        exams = own.select(F.col("id").alias("exam_id"), "grade")
+
+        def merge(base: DataFrame) -> DataFrame:
+            judged = base.join(moved, "passage_id", "left").join(exams, "exam_id", "left")
+            stays = judged.where(F.col("now").isNull() | F.col("grade").isNull() | (F.col("now") == F.col("grade"))).select("exam_id", "passage_id", F.col("position").alias("old"))
+            compact = renumber(stays, "exam_id", ["old", "passage_id"]).drop("old")
+            extra = moved.join(exams, moved["now"] == exams["grade"]).select("exam_id", "passage_id", F.col("passage_id").alias("ordinal"))
+            return append_members(compact, extra).select("exam_id", "passage_id", "position")
+
+        shape = exams.select("exam_id", F.lit(0).cast("long").alias("passage_id"), F.lit(0).cast("long").alias("position"))
+        links.change(exams, merge, batch=number, like=shape)
+
+    shared_folder(changes.sparkSession)
+    return changes.writeStream.foreachBatch(sync).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def lock_out(tries: DataFrame, blocked: BatchLog, failures: BatchLog, checkpoint: str, limits: dict[str, int] = C.LOGIN_LIMITS, minutes: int = C.FAILURE_WINDOW_MINUTES):
+    """Login lockout on a stream without realms: each micro-batch is replayed in pieces, from the failures that the batches before it recorded in their last window.
+
+    tries come in the order of time. blocked and failures are logs by batch; the stream keeps no state.
+    """
+    columns = ["id", "at_us", "admin", "code", "client"]
+
+    def judge(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*columns, "successful").checkpoint()
+        first = rows.agg(F.min("at_us")).first()[0]
+        before = failures.read(before=number)
+        recorded = None if before is None or first is None else before.where(F.col("at_us") >= first - minutes * 60_000_000).select(*columns)
+        found = login_lockout(rows, limits, minutes, recorded=recorded).checkpoint()
+        failures.append(rows.where(~F.col("successful")).join(found.select("id"), "id", "left_anti").select(*columns), number)
+        blocked.append(found, number)
+
+    shared_folder(tries.sparkSession)
+    return tries.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def forwarded(deliveries: DataFrame, judge: Callable[[DataFrame], DataFrame], key: str = "student_id") -> DataFrame:
     """The table form of ``store_and_forward``: attempts that come at least once, perhaps days late, leave a student's queue in batches in the order of arrival, and each is judged once.
 

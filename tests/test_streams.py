@@ -163,3 +163,64 @@ def test_taps(spark):
     runs = taps.select("run_id").distinct().withColumn("words", F.array(*map(F.lit, words)))
     want = {r.run_id: (r.placed, r.mistakes, r.restarts, r.completed) for r in P.replay_taps(taps, runs, step=2).collect()}
     assert {r.run_id: tuple(r.x) for r in last.collect()} == want
+
+
+def test_days_kept_by_a_stream(spark):
+    """Progress of any period from day cells, as over all attempts; no attempt is read for it."""
+    from lessonloom.operators import tables as O
+    from lessonloom.sources.snapshots import Snapshot
+
+    frames = Frames(spark, FOLDER)
+    cells = Snapshot(spark, tempfile.mkdtemp(prefix="spark-"), ["student_id", "stage", "day"], buckets=8)
+    J.keep_days(as_stream(frames.attempts), cells, tempfile.mkdtemp(prefix="spark-")).awaitTermination()
+    last = frames.attempts.agg(F.max("created_at")).first()[0]
+    midnight = dt.datetime(last.year, last.month, last.day, 15) - dt.timedelta(days=1)
+    for back in (0, 7, 30):
+        since = str(midnight - dt.timedelta(days=back))
+        got = O.learning_progress_of_days(frames.students, cells.read(), since)
+        want = O.learning_progress(frames.students, frames.attempts, since)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        files = got.inputFiles()
+        assert any("key_bucket" in p for p in files) and not any("events" in p for p in files)
+    assert want.agg(F.sum("total_1")).first()[0] > 0
+
+
+def test_scopes_kept_by_a_stream(spark):
+    """Inserts and changes of grades, batch by batch, end as the table form does after each batch."""
+    from lessonloom.operators import tables as O
+    from lessonloom.sources.snapshots import Snapshot
+
+    scopes = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, grade string")
+    batches = [[(10, "a", 1), (11, "b", 1), (12, "a", 1)], [(11, "a", 2), (13, "b", 2), (14, "z", 2)], [(10, "b", 3), (10, "z", 4), (12, "b", 3), (11, "b", 3), (15, "a", 3)], [(10, "a", 5), (14, "b", 5)]]
+    path = tempfile.mkdtemp(prefix="spark-") + "/in"
+    links, passages = spark.createDataFrame([(3, 99, 0)], "exam_id long, passage_id long, position long"), {99: "c"}
+    snapshot = Snapshot(spark, tempfile.mkdtemp(prefix="spark-"), ["exam_id"], buckets=4)
+    snapshot.change(links, lambda base: links)
+    for rows in batches:
+        df = spark.createDataFrame(rows, "id long, grade string, changed_at int")
+        df.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+        passages |= {i: g for i, g, _ in sorted(rows, key=lambda r: r[2])}
+        links = O.sync_grade_scope(links, scopes, spark.createDataFrame(list(passages.items()), "id long, grade string"), ["a", "b", "c"])[0].checkpoint()
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    J.sync_scopes(stream, scopes, ["a", "b", "c"], snapshot, tempfile.mkdtemp(prefix="spark-")).awaitTermination()
+    show = lambda rows: sorted((r.exam_id, r.passage_id, r.position) for r in rows.collect())
+    assert show(snapshot.read()) == show(links) and len(show(links)) == 7
+
+
+def test_lockout_of_a_stream_without_realms(spark):
+    from lessonloom.sources.snapshots import BatchLog
+
+    frames = Frames(spark, FOLDER)
+    limits = {"code": 2, "student_client": 4, "admin_client": 2, "admin": 3}
+    tries = frames.logins.withColumn("at_us", F.unix_micros(F.col("created_at").cast("timestamp"))).select("id", "at_us", "successful", "admin", "code", "client")
+    order = tries.approxQuantile("at_us", [0.33, 0.66], 0.0)
+    path = tempfile.mkdtemp(prefix="spark-") + "/in"
+    for a, b in zip([float("-inf"), *order], [*order, float("inf")]):
+        tries.where((F.col("at_us") > a) & (F.col("at_us") <= b)).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(tries.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    blocked, failures = (BatchLog(spark, tempfile.mkdtemp(prefix="spark-"), ["id"], buckets=2) for _ in range(2))
+    J.lock_out(stream, blocked, failures, tempfile.mkdtemp(prefix="spark-"), limits, 24 * 60).awaitTermination()
+    want = {(r.id, r.blocked_by) for r in P.login_lockout(tries, limits, 24 * 60).collect()}
+    assert {(r.id, r.blocked_by) for r in blocked.read().collect()} == want and len(want) > 5
