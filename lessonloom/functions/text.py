@@ -31,6 +31,11 @@ def sentence_words(c: Column) -> Column:
     return F.regexp_extract_all(clean_text(c), F.lit(C.TOKEN_PATTERN), F.lit(0))
 
 
+def has_two_words(c: Column) -> Column:
+    """Whether ``sentence_words`` finds two words or more: a whole first word, and what begins another after it; the rest is not read."""
+    return clean_text(c).rlike(rf"(?s)(?>{C.TOKEN_PATTERN}).*?[\p{{L}}\p{{M}}\p{{N}}]")
+
+
 @F.pandas_udf(StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFC")

@@ -81,7 +81,10 @@ def save_passages(passages: DataFrame, stored: DataFrame, requests: DataFrame, r
     rows that it leaves out become inactive and move to 1,000,000 and their former rank; the
     passage gets the given fields, a new source text and the next revision.
     """
-    merged = merge_structure(stored.where("active"), rows)
+    shared_folder(stored.sparkSession)
+    edited = rows.select("passage_id").distinct()
+    # Ids and places only; what an edit names, once for its size and its rows.
+    merged = merge_structure(stored.where("active").join(edited, "passage_id", "left_semi"), rows).checkpoint()
     given = rows.withColumns({"block_type": F.lit("SENTENCE"), "paragraph_index": F.lit(0)})
     judged = violations(with_group_size(with_owned(given, stored), "passage_id"), row_rules(most))
     foreign = F.array_contains("violations", "owned")
@@ -97,7 +100,7 @@ def save_passages(passages: DataFrame, stored: DataFrame, requests: DataFrame, r
         .when(F.col("foreign"), "foreign_rows")
         .otherwise("saved")
     )
-    asked = asked.withColumn("outcome", outcome)
+    asked = asked.withColumn("outcome", outcome).checkpoint()
     accepted = asked.where("outcome = 'saved'").select("passage_id", (F.col("revision") + 1).alias("next"), *[F.trim(c).alias(f"new_{c}") for c in ("title", "grade")], F.trim(F.coalesce("source_label", F.lit(""))).alias("new_label"))
     saved = merged.join(accepted.select("passage_id", "next"), "passage_id")
     texts = rows.select("passage_id", F.col("position").cast("long").alias("position"), F.trim("text").alias("new_text"), F.trim("translation").alias("new_translation"))
@@ -105,7 +108,7 @@ def save_passages(passages: DataFrame, stored: DataFrame, requests: DataFrame, r
     own = F.col("position").isNull()  # structural rows keep their text
     new_id = F.coalesce("id", F.sha2(F.concat_ws(":", "passage_id", "next", "place"), 256))
     saved = saved.select("passage_id", new_id.alias("id"), F.col("place").alias("sentence_index"), F.when(own, F.col("text")).otherwise(F.col("new_text")).alias("text"), F.when(own, F.col("translation")).otherwise(F.col("new_translation")).alias("translation"), "block_type", F.col("paragraph_index").cast("int").alias("paragraph_index"), F.lit(True).alias("active"))
-    ranked = renumber(stored, "passage_id", ["sentence_index", "id"], "rank").join(accepted.select("passage_id"), "passage_id", "left_semi")
+    ranked = renumber(stored.join(accepted.select("passage_id"), "passage_id", "left_semi"), "passage_id", ["sentence_index", "id"], "rank")
     gone = ranked.join(saved.select("passage_id", "id"), ["passage_id", "id"], "left_anti").withColumns({"sentence_index": 1_000_001 + F.col("rank"), "active": F.lit(False)})
     untouched = stored.join(accepted.select("passage_id"), "passage_id", "left_anti")
     after = saved.unionByName(gone.select(*STORED_ROW)).unionByName(untouched.select(*STORED_ROW))

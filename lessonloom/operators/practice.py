@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lessonloom import constants as C
-from lessonloom.functions.session import with_plain_unions
-from lessonloom.functions.text import clean_text, flatten_space, fold_case, item_key, mistake_allowance, normalize_words, progress_percent, sentence_words
+from lessonloom.functions.session import shared_folder, with_plain_unions
+from lessonloom.functions.text import clean_text, flatten_space, fold_case, has_two_words, item_key, mistake_allowance, normalize_words, progress_percent, sentence_words
 from lessonloom.operators.folds import fold_sorted
 from lessonloom.operators.graph import connected
 from lessonloom.operators.rules import is_attempt_id
@@ -17,15 +17,15 @@ from lessonloom.operators.tables import latest_by
 def practice_items(sentences: DataFrame) -> DataFrame:
     """Sentences that can be ordered: active SENTENCE rows of two words or more with a translation."""
     kind = F.upper(F.coalesce(F.nullif("block_type", F.lit("")), F.lit("SENTENCE")))
-    kept = sentences.where((kind == "SENTENCE") & F.coalesce(F.col("active"), F.lit(True)))
+    kept = sentences.where((kind == "SENTENCE") & F.coalesce(F.col("active"), F.lit(True)) & (clean_text(F.col("translation")) != "") & has_two_words(F.col("text")))
     items = kept.select(item_key(F.col("id")).alias("item_key"), F.col("id"), "passage_id", "sentence_index", clean_text(F.col("text")).alias("text"), clean_text(F.col("translation")).alias("translation"), sentence_words(F.col("text")).alias("words"))
-    return items.where((F.size("words") >= 2) & (F.col("translation") != "")).withColumn("answer", F.array_join("words", " "))
+    return items.withColumn("answer", F.array_join("words", " "))
 
 
 def orderable_counts(sentences: DataFrame) -> DataFrame:
     """Per passage: items, and sentences skipped for having fewer than two words."""
     items = practice_items(sentences).groupBy("passage_id").agg(F.count("*").alias("items"))
-    counted = sentences.where("active and block_type = 'SENTENCE'").groupBy("passage_id").agg(F.count_if(F.size(sentence_words(F.col("text"))) < 2).alias("skipped"))
+    counted = sentences.where("active and block_type = 'SENTENCE'").groupBy("passage_id").agg(F.count_if(~has_two_words(F.col("text"))).alias("skipped"))
     return counted.join(items, "passage_id", "left").select("passage_id", F.coalesce("items", F.lit(0)).alias("items"), "skipped")
 
 
@@ -334,13 +334,13 @@ def lockout_pieces(tries: DataFrame, limits: dict[str, int], minutes: int, key:
     asked = shaped(tries, False)
     if recorded is not None:
         asked = asked.unionByName(shaped(recorded.withColumn("id", F.lit(None).cast(tries.schema["id"].dataType)) if "id" not in recorded.columns else recorded, True))
-    asked = asked.checkpoint()
     counted = asked.where(~F.col("fine")).groupBy("who", "kind", "cell").agg(F.count("*").alias("n"))
     most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("kind")]
     around = counted.select("who", "kind", "n", F.explode(F.array(*[F.col("cell") + k for k in range(3)])).alias("cell")).groupBy("who", "kind", "cell").agg(F.sum("n").alias("n"))
     cells = around.where(F.col("n") >= most).select("who", F.explode(F.array(F.col("cell") - 1, F.col("cell"))).alias("cell")).distinct()
     turn = F.row_number().over(Window.partitionBy("who").orderBy("cell"))
-    stretches = cells.withColumn("stretch", F.xxhash64("who", F.col("cell") - turn)).checkpoint()
+    stretches = cells.withColumn("stretch", F.xxhash64("who", F.col("cell") - turn))
+    shared_folder(tries.sparkSession)
     inside = asked.join(stretches, ["who", "cell"]).checkpoint()
     linked = inside.where(~F.col("fine") & ~F.col("kept")).groupBy(*own, "try_id", "at_us").agg(F.min("stretch").alias("u"), F.max("stretch").alias("v")).where("u <> v").select("u", "v").distinct()
     pieces = connected(linked)
