@@ -17,8 +17,12 @@ strongest sentence as a positive example and the strongest string of every clean
 sentence as a negative one, with the number of sentences as its weight, and trains anew
 (``ROUNDS`` times). The first round has no machine yet; it starts from strings whose
 numbers of sentences in toxic and clean texts differ most, counted by a grouped
-aggregation over all training rows. How the strongest strings of a text make its score is
-fitted on at most ``CALIBRATION_ROWS`` labelled rows. Scoring reads every whole text, in
+aggregation over all training rows; the clearest of them (``SURE_RATIO``) stay examples, as
+an insult that stands beside stronger ones is never the strongest. How the two strongest
+strings of a text and the number of its strings make its score is fitted on at most
+``CALIBRATION_ROWS`` labelled rows: in a long text some string is strong by chance. A word
+also counts as what it reads as without inner punctuation, with repeated letters once, or
+with a piece of two letters before it. Scoring reads every whole text, in
 Arrow batches, with no shuffle. Limits of the method: a phrase that is toxic although each
 of its words is harmless is not found, nor an insult of one or two letters.
 
@@ -55,12 +59,19 @@ TRAIN_ROWS, ROUNDS = 3000, 2
 CALIBRATION_ROWS = 6000
 #: A string marks toxic sentences from this log-likelihood ratio on, in so many sentences and with this share of them.
 LEAST_RATIO, LEAST_SENTENCES, LEAST_SHARE = 12.0, 4, 0.9
+#: From this ratio on a string stays an example in every round.
+SURE_RATIO = 40.0
 THRESHOLD = 0.3
 REMEMBERED = 300_000
 #: Texts scored together.
 AT_ONCE = 256
 HELD_OUT = 2
 SENTENCE_END = re.compile(r"[.!?\n]+")
+INNER, RUN = re.compile(r"[^\w]+|_+"), re.compile(r"(.)\1+")
+#: A text of fewer strings counts as one of so many.
+FEW_STRINGS = 8
+#: Words that a piece of two letters may belong to are as long as this at most.
+WORD = 6
 
 
 # --- the kernel -------------------------------------------------------------------
@@ -147,24 +158,46 @@ def parts_of(word: str) -> list[str]:
     return [word[a : a + PART] for a in range(0, len(word) - step, step)]
 
 
-def strings_of(text: str) -> set[str]:
-    """Lower-case words without outer punctuation, and rows of single characters joined."""
-    out, single = set(), []
+def strings_of(text: str) -> set[str | tuple[str, ...]]:
+    """Lower-case words without outer punctuation, and rows of single characters joined.
+
+    A word that can be read in other ways (without inner punctuation, with repeated
+    letters once, with a piece of two letters before it) is the tuple of all of them, as
+    they are one string of the text.
+    """
+    out, single, piece = set(), [], ""
     for token in text.lower().split():
         token = token.strip(string.punctuation)
-        if len(token) == 1:
+        n = len(token)
+        if n == 1:
             single.append(token)
+            piece = ""
             continue
         if len(single) > 2:
             out.update(parts_of("".join(single)))
         single = []
-        if len(token) > 2:
-            out.update(parts_of(token) if len(token) > PART else (token,))
+        if n > PART:
+            out.update(parts_of(token))
+        elif n > 2:
+            ways = [token]
+            if not token.isalpha() and len(bare := INNER.sub("", token)) > 2:
+                ways.append(bare)
+            if len(once := RUN.sub(r"\1", ways[-1])) > 2:
+                ways.append(once)
+            if piece and n <= WORD:
+                ways.append(piece + token)
+            ways = tuple(dict.fromkeys(ways))
+            out.add(ways if len(ways) > 1 else token)
+        piece = token if n == 2 and token.isalpha() else ""
     if len(single) > 2:
         out.update(parts_of("".join(single)))
     return out
 
 
+def ways_of(strings: set[str | tuple[str, ...]]) -> set[str]:
+    return {w for x in strings for w in (x if isinstance(x, tuple) else (x,))}
+
+
 # --- the model --------------------------------------------------------------------
 
 
@@ -173,7 +206,7 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), bias
-        self.calibration = np.array([1.0, 0.0, 0.0])
+        self.calibration = np.array([1.0, 0.0, 0.0, 0.0])
         self.seen: dict[str, float] = {}
 
     def __getstate__(self):
@@ -190,32 +223,34 @@ class Model:
                     out[which[k : k + 2048][some]] = raw[some] / norms(n[some], weight) + self.bias
         return out
 
-    def remember(self, words: set[str]) -> None:
-        """Values of new strings, of many texts at once."""
+    def remember(self, words: set[str | tuple[str, ...]]) -> None:
+        """Values of new strings, of many texts at once; one that reads in several ways is as strong as the strongest."""
         new = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(new) > REMEMBERED:
+        if len(self.seen) + 2 * len(new) > REMEMBERED:
             self.seen.clear()
             new = list(words)
         if new:
-            self.seen.update(zip(new, self.decide(new).tolist()))
+            plain = [w for w in ways_of(new) if w not in self.seen]
+            self.seen.update(zip(plain, self.decide(plain).tolist()))
+            self.seen.update((w, max(self.seen[x] for x in w)) for w in new if isinstance(w, tuple))
 
-    def strongest(self, bags: list[set[str]]) -> list[tuple[float, float]]:
-        """The two largest values among the strings of each text."""
+    def strongest(self, bags: list[set[str]]) -> list[tuple[float, float, float]]:
+        """The two largest values among the strings of each text, and the logarithm of their number: in a long text some string is strong by chance."""
         self.remember(set().union(*bags))
         out = []
         for words in bags:
             values = nlargest(2, map(self.seen.__getitem__, words))
-            out.append((*values, self.bias, self.bias)[:2])
+            out.append((*(*values, self.bias, self.bias)[:2], float(np.log(max(len(words), FEW_STRINGS)))))
         return out
 
     def strongest_strings(self, text: str) -> list[tuple[float, str]]:
         """The strongest string of each sentence that has one, with its value."""
         sentences = [words for x in SENTENCE_END.split(text) if (words := strings_of(x))]
         self.remember(set().union(*sentences))
-        return [max((self.seen[w], w) for w in words) for words in sentences]
+        return [max((self.seen[w], w) for w in ways_of(words)) for words in sentences]
 
     def scores(self, bodies: list[str]) -> np.ndarray:
-        z = within_margin(np.array(self.strongest(list(map(strings_of, bodies))))) @ self.calibration[:2] + self.calibration[2]
+        z = within_margin(np.array(self.strongest(list(map(strings_of, bodies))))) @ self.calibration[:3] + self.calibration[3]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def score(self, text: str) -> float:
@@ -223,19 +258,21 @@ class Model:
 
 
 def within_margin(values: np.ndarray) -> np.ndarray:
-    """Beyond the margin a string is no surer."""
-    return np.clip(values, -1.0, 1.0)
+    """Beyond the margin a string is no surer; the third column is the number of strings."""
+    return np.hstack([np.clip(values[:, :2], -1.0, 1.0), values[:, 2:]])
 
 
 def calibrate(values: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Weights, none below 0, of the two strongest strings, and a bias."""
-    w = train_logistic(within_margin(values), toxic)
-    for k in (0, 1):
-        if w[k] < 0:
-            one = train_logistic(within_margin(values[:, [1 - k]]), toxic)
-            w = np.zeros(3)
-            w[1 - k], w[2] = one
-    return w
+    """Weights of the two strongest strings, none below 0, and of the number of strings, none above; and a bias."""
+    x, free = within_margin(values), [0, 1, 2]
+    while True:
+        found = train_logistic(x[:, free], toxic)
+        wrong = [k for k, w in zip(free, found) if (w > 0 if k == 2 else w < 0)]
+        if not wrong:
+            w = np.zeros(4)
+            w[[*free, 3]] = found
+            return w
+        free.remove(wrong[0])
 
 
 def train_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 40) -> tuple[np.ndarray, float]:
@@ -342,7 +379,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for text, toxic in zip(texts(part.column(0)), part.column(1).to_pylist()):
                 counts: dict[str, int] = {}
                 for sentence in SENTENCE_END.split(text):
-                    for w in strings_of(sentence):
+                    for w in ways_of(strings_of(sentence)):
                         counts[w] = counts.get(w, 0) + 1
                 if counts:
                     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([n * toxic for n in counts.values()], pa.int64()), pa.array([n * (1 - toxic) for n in counts.values()], pa.int64())], ["word", "bad", "good"])
@@ -356,7 +393,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratio = 2 * (F.col("bad") * F.log(F.greatest(share, F.lit(1e-9)) / rate) + F.col("good") * F.log(F.greatest(1 - share, F.lit(1e-9)) / (1 - rate)))
     counted = counted.withColumns({"n": n, "share": share, "ratio": ratio})
     marks = (F.col("share") >= LEAST_SHARE) & (F.col("ratio") >= LEAST_RATIO) & (F.col("bad") >= LEAST_SENTENCES)
-    toxic = [r.word for r in counted.where(marks).orderBy(F.desc("ratio"), "word").limit(MOST_TOXIC).select("word").collect()]
+    ranked = counted.where(marks).orderBy(F.desc("ratio"), "word").limit(MOST_TOXIC).select("word", "ratio").collect()
+    toxic, sure = [r.word for r in ranked], [r.word for r in ranked if r.ratio >= SURE_RATIO]
     often = counted.where(F.col("share") < 2 * rate).orderBy(F.desc("n"), "word").limit(MOST_CLEAN // 2).select("word").collect()
     some = counted.where(F.col("bad") == 0).orderBy(F.xxhash64("word"), "word").limit(MOST_CLEAN // 2).select("word").collect()
     clean = list(dict.fromkeys(w.word for pair in zip(often, some) for w in pair)) or [w.word for w in often + some]
@@ -365,6 +403,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = texts_of(docs, chosen, id_col, text_col)
     for _ in range(ROUNDS if model.bias > -30 else 0):
         bad, good = examples(sample, model)
+        # An insult that stands beside stronger ones is never the strongest, and still one.
+        bad = list(dict.fromkeys(sure + bad))[:MOST_TOXIC]
         # Clean sentences are strongest in rare strings; common ones and others stay beside them.
         clean_now = list(dict.fromkeys([w for pair in zip(good, clean) for w in pair] + clean))[:MOST_CLEAN]
         model = train(bad, [w for w in clean_now if w not in set(bad)])
@@ -374,10 +414,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         def strengths(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 got = model.strongest([strings_of(t) for t in texts(part.column(0))])
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), part.column(1).cast(pa.int32())], ["a", "b", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64()), part.column(1).cast(pa.int32())], ["a", "b", "n", "toxic"])
 
-        got = sample.mapInArrow(strengths, "a double, b double, toxic int").collect()
-        model.calibration = calibrate(np.array([[r.a, r.b] for r in got]), np.array([float(r.toxic) for r in got]))
+        got = sample.mapInArrow(strengths, "a double, b double, n double, toxic int").collect()
+        model.calibration = calibrate(np.array([[r.a, r.b, r.n] for r in got]), np.array([float(r.toxic) for r in got]))
     return model
 
 

@@ -319,6 +319,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert hit / sum(r.toxic for r in rows) > 0.85 and hit / sum(r.score >= X.THRESHOLD for r in rows) > 0.6
     told = model.decide(["idiot", "idioot", "id-iot", "stupiid", "the", "and"])
     assert min(told[:4]) > max(told[4:]), "gapped and inserted characters stay close to an insult"
+    # The score itself: near forms of learnt insults pass the threshold, look-alikes and plain texts do not.
+    assert hit / sum(r.toxic for r in rows) >= 0.93 and hit / sum(r.score >= X.THRESHOLD for r in rows) >= 0.83
+    for insult in ("you idiot", "you stupid", "you idioot", "you stupiid", "you id-iot", "you idiooot", "you st upid thing", "you s-t-u-p-i-d", "i d i o t", "that is patthetic.", "a lo ser he is", "such tr-ash"):
+        assert model.score(insult) >= X.THRESHOLD, insult
+    for fine in ("", "the", "you patriot", "a studio there", "this idiom", "and of the", "the clothes", "path and aesthetic"):
+        assert model.score(fine) < X.THRESHOLD, fine
+    # Scores over the table are those of single texts.
+    some = {r.doc_id: r.text for r in docs.where("doc_id % 500 = 3").collect()}
+    assert all(r.score == pytest.approx(model.score(some[r.doc_id] or "")) for r in X.toxicity(docs, model).where("doc_id % 500 = 3").collect())
 
 
 def plain_kernel(a, b):
@@ -375,6 +384,7 @@ def test_toxicity_edge_cases(docs, no_docs, spark):
     assert {r.score for r in X.toxicity(docs, model).collect()} and all(r.score < 0.3 for r in X.toxicity(docs, model).collect())
     assert X.toxicity(no_docs, model).count() == 0
     assert X.strings_of("") == set() and "idiot" in X.strings_of("you i d i o t!")
+    assert X.strings_of("id-iot stuupid") == {("id-iot", "idiot"), ("stuupid", "stupid")} and ("upid", "stupid") in X.strings_of("st upid")
 
 
 # --- language ---------------------------------------------------------------------
