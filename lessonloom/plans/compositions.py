@@ -242,7 +242,7 @@ IMPORTS = """select doc_id + 1000 as id, doc_id as passage_id, doc_id % 5 = 0 or
 IMPORTED = f"select passage_id + 1000 as job_id, id, sentence_index, text, translation, block_type, paragraph_index from ({GIVEN})"
 SHELF = "select doc_id as id, source as title, lang as grade, 'TEXTBOOK' as source_type, '' as source_label, '' as source_text, doc_id as display_order, doc_id % 4 + 1 as revision, concat('{\"version\":', doc_id % 3, '}') as state, 'draft' as status, cast(null as bigint) as catalog_revision from @documents where doc_id % 5 <> 0"
 SHELVED = "select passage_id, id, sentence_index, text, coalesce(nullif(translation, ''), 'x') as translation, block_type, paragraph_index, true as active from @sentences where passage_id % 5 <> 0"
-CATALOGS = "select doc_id as passage_id, 'old' as workbook_key, '{}' as catalog, cast(0 as bigint) as revision, cast(null as bigint) as job_id from @documents where doc_id % 10 = 2"
+SHELF_CATALOGS = "select doc_id as passage_id, 'old' as workbook_key, '{}' as catalog, cast(0 as bigint) as revision, cast(null as bigint) as job_id from @documents where doc_id % 10 = 2"
 DUCK_IMPORTS = f"""with j as ({IMPORTS}), p as (select *, cast(json_extract(state, '$.version') as bigint) as version from ({SHELF})), s as ({STATES}), n as (select passage_id, count(*) as n from ({GIVEN}) group by 1),
  r as (select j.*, p.version, case when j.status <> 'review_required' then 'not_waiting' when coalesce(n.n, 0) not between 1 and 160 then 'rows' when create_new and p.id is not null then 'exists' when create_new and s.state = 'invalid' then 'invalid_rows' when not create_new and (p.id is null or s.state <> 'verified') then 'differs'
   when case when create_new then 1 else p.revision end <> expected_revision then 'revision' when case when create_new then 0 else p.version end <> expected_version then 'version' end as reason from j left join p on p.id = j.passage_id left join s on s.passage_id = j.passage_id left join n on n.passage_id = j.passage_id),
@@ -252,12 +252,12 @@ DUCK_IMPORTS = f"""with j as ({IMPORTS}), p as (select *, cast(json_extract(stat
  union all select 'passages', cast(p.id as varchar), case when f.id is null then concat_ws('/', p.revision, p.version, p.display_order, p.status, 0) else concat_ws('/', p.revision, f.expected_version + 1, p.display_order, 'current', f.expected_revision) end from p left join f on f.passage_id = p.id
  union all select 'passages', cast(passage_id as varchar), concat_ws('/', 1, 1, (select max(display_order) from p) + turn, 'current', 1) from m
  union all select 'sentences', cast(id as varchar), cast(passage_id as varchar) from ({SHELVED}) union all select 'sentences', cast(g.id as varchar), cast(g.passage_id as varchar) from ({GIVEN}) g join m on m.passage_id = g.passage_id
- union all select 'catalogs', cast(passage_id as varchar), concat_ws('/', json_extract_string(catalog, '$.workbookKey'), expected_revision, id) from f union all select 'catalogs', cast(passage_id as varchar), 'old/0' from ({CATALOGS}) where passage_id not in (select passage_id from f)"""
+ union all select 'catalogs', cast(passage_id as varchar), concat_ws('/', json_extract_string(catalog, '$.workbookKey'), expected_revision, id) from f union all select 'catalogs', cast(passage_id as varchar), 'old/0' from ({SHELF_CATALOGS}) where passage_id not in (select passage_id from f)"""
 
 
 @query("k7_import_tables", DUCK_IMPORTS)
 def _(f):
-    got = K.apply_imports(f.sql(IMPORTS), f.sql(IMPORTED), f.sql(SHELF), f.sql(SHELVED), f.sql(CATALOGS))
+    got = K.apply_imports(f.sql(IMPORTS), f.sql(IMPORTED), f.sql(SHELF), f.sql(SHELVED), f.sql(SHELF_CATALOGS))
     version = F.get_json_object("state", "$.version")
     shown = F.concat_ws("/", "revision", version, "display_order", "status", F.coalesce("catalog_revision", F.lit(0)))
     return told(
