@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 from heapq import nlargest
 
@@ -70,8 +70,6 @@ SENTENCE_END = re.compile(r"[.!?\n]+")
 INNER, RUN = re.compile(r"[^\w]+|_+"), re.compile(r"(.)\1+")
 #: A text of fewer strings counts as one of so many.
 FEW_STRINGS = 8
-#: Words that a piece of two letters may belong to are as long as this at most.
-WORD = 6
 
 
 # --- the kernel -------------------------------------------------------------------
@@ -158,13 +156,8 @@ def parts_of(word: str) -> list[str]:
     return [word[a : a + PART] for a in range(0, len(word) - step, step)]
 
 
-def strings_of(text: str) -> set[str | tuple[str, ...]]:
-    """Lower-case words without outer punctuation, and rows of single characters joined.
-
-    A word that can be read in other ways (without inner punctuation, with repeated
-    letters once, with a piece of two letters before it) is the tuple of all of them, as
-    they are one string of the text.
-    """
+def strings_of(text: str, known: Collection[str] = ()) -> set[str]:
+    """Lower-case words without outer punctuation, rows of single characters joined, and what a piece of two letters makes with the word after it, where that is ``known``."""
     out, single, piece = set(), [], ""
     for token in text.lower().split():
         token = token.strip(string.punctuation)
@@ -173,29 +166,26 @@ def strings_of(text: str) -> set[str | tuple[str, ...]]:
             single.append(token)
             piece = ""
             continue
-        if len(single) > 2:
-            out.update(parts_of("".join(single)))
-        single = []
-        if n > PART:
-            out.update(parts_of(token))
-        elif n > 2:
-            ways = [token]
-            if not token.isalpha() and len(bare := INNER.sub("", token)) > 2:
-                ways.append(bare)
-            if len(once := RUN.sub(r"\1", ways[-1])) > 2:
-                ways.append(once)
-            if piece and n <= WORD:
-                ways.append(piece + token)
-            ways = tuple(dict.fromkeys(ways))
-            out.add(ways if len(ways) > 1 else token)
-        piece = token if n == 2 and token.isalpha() else ""
+        if single:
+            if len(single) > 2:
+                out.update(parts_of("".join(single)))
+            single = []
+        if n > 2:
+            out.update(parts_of(token) if n > PART else (token,))
+            if piece and piece + token in known:
+                out.add(piece + token)
+            piece = ""
+        else:
+            piece = token
     if len(single) > 2:
         out.update(parts_of("".join(single)))
     return out
 
 
-def ways_of(strings: set[str | tuple[str, ...]]) -> set[str]:
-    return {w for x in strings for w in (x if isinstance(x, tuple) else (x,))}
+def readings(word: str) -> tuple[str, str]:
+    """A word without inner punctuation, and with repeated letters once."""
+    bare = word if word.isalpha() else INNER.sub("", word)
+    return bare, RUN.sub(r"\1", bare)
 
 
 # --- the model --------------------------------------------------------------------
@@ -208,6 +198,8 @@ class Model:
         self.weights, self.bias = weights.astype(np.float32), bias
         self.calibration = np.array([1.0, 0.0, 0.0, 0.0])
         self.seen: dict[str, float] = {}
+        #: Learnt insults and their values.
+        self.known: dict[str, float] = {}
 
     def __getstate__(self):
         return {**self.__dict__, "seen": {}}
@@ -223,16 +215,21 @@ class Model:
                     out[which[k : k + 2048][some]] = raw[some] / norms(n[some], weight) + self.bias
         return out
 
-    def remember(self, words: set[str | tuple[str, ...]]) -> None:
-        """Values of new strings, of many texts at once; one that reads in several ways is as strong as the strongest."""
+    def remember(self, words: set[str]) -> None:
+        """Values of new strings, of many texts at once; one that reads as a learnt insult is worth that."""
         new = [w for w in words if w not in self.seen]
-        if len(self.seen) + 2 * len(new) > REMEMBERED:
+        if len(self.seen) + len(new) > REMEMBERED:
             self.seen.clear()
             new = list(words)
         if new:
-            plain = [w for w in ways_of(new) if w not in self.seen]
-            self.seen.update(zip(plain, self.decide(plain).tolist()))
-            self.seen.update((w, max(self.seen[x] for x in w)) for w in new if isinstance(w, tuple))
+            self.seen.update(zip(new, self.decide(new).tolist()))
+            for w in new if self.known else ():
+                for reading in readings(w):
+                    if reading in self.known:
+                        self.seen[w] = max(self.seen[w], self.known[reading])
+
+    def bags(self, bodies: list[str]) -> list[set[str]]:
+        return [strings_of(t, self.known) for t in bodies]
 
     def strongest(self, bags: list[set[str]]) -> list[tuple[float, float, float]]:
         """The two largest values among the strings of each text, and the logarithm of their number: in a long text some string is strong by chance."""
@@ -247,10 +244,10 @@ class Model:
         """The strongest string of each sentence that has one, with its value."""
         sentences = [words for x in SENTENCE_END.split(text) if (words := strings_of(x))]
         self.remember(set().union(*sentences))
-        return [max((self.seen[w], w) for w in ways_of(words)) for words in sentences]
+        return [max((self.seen[w], w) for w in words) for words in sentences]
 
     def scores(self, bodies: list[str]) -> np.ndarray:
-        z = within_margin(np.array(self.strongest(list(map(strings_of, bodies))))) @ self.calibration[:3] + self.calibration[3]
+        z = within_margin(np.array(self.strongest(self.bags(bodies)))) @ self.calibration[:3] + self.calibration[3]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def score(self, text: str) -> float:
@@ -379,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for text, toxic in zip(texts(part.column(0)), part.column(1).to_pylist()):
                 counts: dict[str, int] = {}
                 for sentence in SENTENCE_END.split(text):
-                    for w in ways_of(strings_of(sentence)):
+                    for w in strings_of(sentence):
                         counts[w] = counts.get(w, 0) + 1
                 if counts:
                     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([n * toxic for n in counts.values()], pa.int64()), pa.array([n * (1 - toxic) for n in counts.values()], pa.int64())], ["word", "bad", "good"])
@@ -409,11 +406,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         clean_now = list(dict.fromkeys([w for pair in zip(good, clean) for w in pair] + clean))[:MOST_CLEAN]
         model = train(bad, [w for w in clean_now if w not in set(bad)])
     if model.bias > -30:
+        model.known = {w: v for w, v in zip(sure, model.decide(sure).tolist()) if v > 0}
         sample = texts_of(docs, least_hashed(rows, CALIBRATION_ROWS, totals.bad + totals.good), id_col, text_col)
 
         def strengths(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
-                got = model.strongest([strings_of(t) for t in texts(part.column(0))])
+                got = model.strongest(model.bags(texts(part.column(0))))
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.float64()), part.column(1).cast(pa.int32())], ["a", "b", "n", "toxic"])
 
         got = sample.mapInArrow(strengths, "a double, b double, n double, toxic int").collect()
