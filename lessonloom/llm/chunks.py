@@ -8,12 +8,15 @@ As the chunk can list the same keys again in the same order, the bytes suffice.
 
 A key that a third of all documents hold costs one entry a chunk, not one a document,
 so no bucket grows with a hot key. The number of chunks follows the bytes of the texts
-(one pass over their lengths) and there are as many buckets, each exchange in as many
-partitions, so what one task holds does not grow with the corpus.
+(one pass over their lengths) and there are as many buckets, so what one group holds
+does not grow with the corpus. An exchange has as many partitions up to ``MOST_PARTITIONS``;
+beyond that a partition holds several chunks (or buckets), sorted by Spark and worked one
+after another, as the blocks of an exchange are partitions times partitions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +32,9 @@ CHUNKED = "chunk int, id long, tag binary, body binary"
 Keys = tuple[np.ndarray, np.ndarray, np.ndarray | None]
 #: Bytes of text in a chunk: the least, and the most of a large corpus; in between there are ``CHUNKS``.
 LEAST_CHUNK, MOST_CHUNK, CHUNKS = 4 << 20, 256 << 20, 4096
+#: Partitions of an exchange: at most ten million blocks between as many writers and readers.
+MOST_BLOCKS = 10_000_000
+MOST_PARTITIONS = math.isqrt(MOST_BLOCKS)
 
 
 def chunks_for(total: int, partitions: int) -> int:
@@ -36,6 +42,11 @@ def chunks_for(total: int, partitions: int) -> int:
     return max(partitions, -(-total // min(max(total // CHUNKS, LEAST_CHUNK), MOST_CHUNK)))
 
 
+def partitions_for(chunks: int) -> int:
+    """Partitions of an exchange between so many chunks or buckets."""
+    return min(chunks, MOST_PARTITIONS)
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """(chunk, id (null last), tag (tells rows of one id but other texts apart) and body (UTF-8 bytes, null as empty)), and the number of chunks, which is that of buckets.
 
@@ -48,7 +59,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
     chunks = chunks_for(total, partitions)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text_key(body).alias("tag"), body.alias("body"))
     rows = rows.select(F.pmod(F.xxhash64("id", "tag"), F.lit(chunks)).cast("int").alias("chunk"), "id", "tag", "body")
-    return rows.repartition(chunks, "chunk"), chunks
+    return rows.repartition(partitions_for(chunks), "chunk"), chunks
 
 
 def documents_of(table: pa.Table) -> Iterator[tuple[int, bytes, bytes]]:
@@ -188,4 +199,4 @@ def with_answers(docs: DataFrame, answers: DataFrame, f: Callable[[pa.Table, pa.
 
 def by_bucket(asked: DataFrame, buckets: int, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """f(rows of a bucket) for every bucket."""
-    return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(f, schema)
+    return asked.repartition(partitions_for(buckets), "bucket").groupBy("bucket").applyInArrow(f, schema)

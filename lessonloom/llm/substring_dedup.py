@@ -3,9 +3,11 @@
 Which windows of ``window`` words occur more than once in the corpus? Windows that
 repeat at one length alone are extended to twice that length, until the last length:
 
-* level 1: from each window one run of 9 words is tried, the one of least hash, so
-  equal windows try equal runs; a window whose run occurs nowhere else is done;
-* level 2: of what is left, likewise one run of 18 words;
+* level 1: from each window one run of 9 words is tried, the first of those of least
+  hash, so equal windows try equal runs at equal places; a window whose run is tried at
+  no other place is done;
+* level 2: of what is left, that run extended to 18 words, forwards where the window
+  holds it, else backwards;
 * level 3: the windows left are tried at their whole length of 35 words.
 
 (The lengths halve from the window's: 35, 18, 9.) Each level is one exchange of 64-bit
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lessonloom.llm.chunks import ANSWERED, ASKED, TWICE, Keys, answer, ask, by_bucket, chunked, count_keys, documents_of, groups_of, is_in, room_of, told_of, with_answers, words_of
-from lessonloom.llm.common import WORDS, Powers, back_to_null, cover, marked_runs, mix, read_documents, sliding_min, word_bounds
+from lessonloom.llm.common import WORDS, Powers, back_to_null, cover, marked_runs, mix, read_documents, word_bounds
 
 WINDOW = 35
 #: A second hash of word runs, of another base.
@@ -44,6 +46,17 @@ def levels_of(window: int) -> list[int]:
     return out
 
 
+def first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first least value of every window of ``width`` values, by doubling."""
+    at, have = np.arange(len(values), dtype=np.int32), 1
+    while have < width:
+        step = min(have, width - have)
+        left, right = at[:-step], at[step:]
+        at = np.where(values[right] < values[left], right, left)
+        have += step
+    return at
+
+
 class Windows:
     """The words of a chunk, and what its windows try at each level."""
 
@@ -54,6 +67,7 @@ class Windows:
         n = max(len(self.words) - window + 1, 0)
         self.whole = self.room[:n] >= window
         self.alive = self.whole.copy()
+        self.at = np.empty(0, np.int32)  # where the run begins that each window tries
 
     def run_keys(self, length: int) -> np.ndarray:
         return mix(WORDS.windows(self.words, length) + np.uint64(length))
@@ -70,10 +84,18 @@ class Windows:
             self.which = np.empty(len(keys), np.int64)  # which of the distinct pairs each living window has
             self.which[order] = np.repeat(np.arange(len(at)), counts)
             return keys[order[at]], counts, more[order[at]]
-        self.tries = sliding_min(runs, self.window - length + 1)
-        now = self.tries[self.alive] if len(self.tries) else self.tries
+        if level:
+            self.extend(self.lengths[level - 1], length)
+        elif len(self.whole):
+            self.at = first_least(runs, self.window - length + 1)
+        self.tries = runs[self.at]
         # two windows may try one and the same run, which makes it no repeat: count places
-        return count_keys(runs[is_in(runs, np.unique(now)) & (self.room[: len(runs)] >= length)])
+        return count_keys(runs[np.unique(self.at[self.alive])])
+
+    def extend(self, have: int, length: int) -> None:
+        """From the run that each window tried to one of ``length`` words: forwards where the window holds it, else backwards."""
+        inside = self.at - np.arange(len(self.at), dtype=self.at.dtype)
+        self.at = np.where(inside + length <= self.window, self.at, self.at - (length - have))
 
     def kill(self, level: int, keys: Keys, answers: pa.Table, buckets: int) -> None:
         """Windows live on whose run is repeated."""

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lessonloom.llm.chunks import ASKED, HOT, SLICE_BYTES, TWICE, answer, ask, by_bucket, chunked, count_keys, documents_of, groups_of, places, told_of, with_answers
-from lessonloom.llm.common import BYTE_CODE, BYTES, back_to_null, cover, marked_runs, mix, read_documents, sliding_min, small_side
+from lessonloom.llm.common import BYTE_CODE, BYTES, Powers, back_to_null, cover, marked_runs, mix, read_documents, sliding_min, small_side
 
 LENGTH = 50
 RUN = 20
@@ -47,6 +47,8 @@ RUN = 20
 COMMON = 4096
 #: Pieces that one collection takes in, unless one run alone has more.
 COLLECTION = 4096
+#: A second hash of bytes, of another base.
+CONFIRM = Powers(0xC2B2AE3D27D4EB4F)
 END = 255  # no byte of UTF-8 text
 
 
@@ -197,8 +199,12 @@ class Chunk:
         start = np.concatenate((start, single))
         size = np.concatenate((size, np.full(len(single), self.length)))
         docs = np.concatenate((docs, np.repeat(self.docs[common], times)))
-        content = mix(BYTES.spans(BYTE_CODE[self.flat], start, start + size) + size.astype(np.uint64)) if len(start) else np.empty(0, np.uint64)
-        route = np.concatenate((route, mix(content[len(rare) :] + np.uint64(1))))
+        coded = BYTE_CODE[self.flat]
+        content = mix(BYTES.spans(coded, start, start + size) + size.astype(np.uint64)) if len(start) else np.empty(0, np.uint64)
+        # a common run says little of its windows: they are told apart by two hashes, each over all their bytes
+        start_common = start[len(rare) :]
+        other = mix(CONFIRM.spans(coded, start_common, start_common + self.length)) if len(single) else np.empty(0, np.uint64)
+        route = np.concatenate((route, other))
         return route, content, start, size, docs
 
     def distinct(self, route, content, docs):

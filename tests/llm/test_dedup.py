@@ -6,11 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lessonloom.llm import chunks
 from lessonloom.llm.jaccard_join import bands_and_rows, jaccard_classes, one_of_each
-from lessonloom.llm.substring_dedup import levels_of, remove_repeats
+from lessonloom.llm.substring_dedup import Windows, levels_of, remove_repeats
 from lessonloom.llm.suffix_dedup import least_ids, remove_shared, sort_column_wise, suffixes_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -62,6 +63,23 @@ def test_chunks_follow_the_bytes():
     assert chunks.chunks_for(10**14, 3000) == -(-(10**14) // chunks.MOST_CHUNK)
 
 
+def test_blocks_of_an_exchange_are_bounded():
+    for total in (10**9, 10**12, 10**13, 10**14):
+        n = chunks.partitions_for(chunks.chunks_for(total, 3000))
+        assert n * n <= chunks.MOST_BLOCKS
+
+
+def test_several_chunks_in_a_partition(spark, docs, plain_docs, monkeypatch):
+    """Chunks and buckets beyond the partitions of an exchange give the same rows."""
+    monkeypatch.setattr(chunks, "LEAST_CHUNK", 1 << 10)
+    monkeypatch.setattr(chunks, "MOST_PARTITIONS", 3)
+    rows, n = chunks.chunked(docs, "doc_id", "text")
+    assert n > 3 and rows.rdd.getNumPartitions() <= 3
+    plain = [(LAST if r[0] is None else r[0], r[1]) for r in plain_docs]
+    assert sorted((r.id, r.n_words, r.n_removed, bytes(r.kept).decode()) for r in remove_repeats(docs).collect()) == brute_windows(plain)
+    assert sorted((r.id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in remove_shared(docs).collect()) == brute_shared(plain)
+
+
 def test_windows_of_equal_keys_are_confirmed():
     keys, more = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 7], np.uint64)
     order, at = chunks.groups_of(keys, more)
@@ -112,6 +130,21 @@ def test_substring_dedup(spark, docs, plain_docs):
     assert levels_of(35) == [9, 18, 35]
 
 
+def test_runs_are_extended():
+    """Each run tried at a level holds the one before and lies in its window; equal windows try equal places."""
+    words = " ".join(str(k % 50 if k < 150 else (k * 7919) % 1000) for k in range(400))
+    table = pa.table({"chunk": pa.array([0], pa.int32()), "id": pa.array([1]), "tag": pa.array([b"t"]), "body": pa.array([words.encode()])})
+    w, before = Windows(table, 35), None
+    for level, length in enumerate(w.lengths[:-1]):
+        w.keys(level)
+        begin = w.at - np.arange(len(w.at))
+        assert (begin >= 0).all() and (begin + length <= 35).all()
+        assert begin[0] == begin[50] == begin[100]
+        if before is not None:
+            assert (begin <= before).all() and (begin + length >= before + w.lengths[level - 1]).all()
+        before = begin
+
+
 def test_substring_dedup_of_nothing(no_docs):
     assert remove_repeats(no_docs).count() == 0
 
