@@ -13,7 +13,8 @@ work is two hash aggregations of fixed-size rows, partial before any exchange.
 
 The next document in the order of ids is found inside ranges of ids; only the first
 document of each range also goes to the range before. Ranges are cut at quantiles of the
-ids, whose number is bounded.
+ids, whose number is bounded; rows of one frequent id, or of none, are cut by a hash of
+their text.
 
 Defined results: a null or empty text, or one without words, has the fingerprint of the
 empty set; a null doc_id comes last in the order and stays null; rows of one id follow
@@ -24,6 +25,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,19 +57,28 @@ def range_of(value: Column, bounds: list[int]) -> Column:
 
 
 def in_ranges(rows: DataFrame) -> DataFrame:
-    """Adds part: a number that rises with id, from id quantiles and even cuts between them."""
+    """Adds part: a number that rises with (id, tie), from quantiles of the ids and even cuts between them.
+
+    An id that fills quantiles alone and has more rows than a part should hold (null ids
+    are one id) is a range of its own, cut by tie, which is an even hash, into as many
+    parts as its quantiles ask for. Of one id and one text all rows are in one part.
+    """
     probs = [k / RANGES for k in range(RANGES + 1)]
-    got = rows.where(F.col("id") < LAST_ID).agg(F.count("*").alias("n"), F.percentile_approx("id", probs, 10_000).alias("q")).first()
-    bounds = sorted(set(got.q or []))
+    got = rows.agg(F.count("*").alias("n"), F.percentile_approx("id", probs, 10_000).alias("q")).first()
+    quantiles = Counter(got.q or [])
+    heavy = {i: times for i, times in quantiles.items() if times > 1 and got.n * times > RANGES * PART_DOCUMENTS}
+    bounds = sorted({*quantiles, *(i + 1 for i in heavy if i < LAST_ID)})
     if not bounds:
         return rows.withColumn("part", F.lit(0).cast("long"))
     cuts = min(MOST_PARTS, -(-got.n // (RANGES * PART_DOCUMENTS)))
     ranged = rows.withColumn("range", range_of(F.col("id"), bounds))
-    low = F.array(*[F.lit(b) for b in [bounds[0], *bounds]])
-    high = F.array(*[F.lit(b) for b in [*bounds, bounds[-1]]])
-    at = (F.col("id").cast("double") - F.element_at(low, F.col("range") + 1)) / F.greatest(F.element_at(high, F.col("range") + 1).cast("double") - F.element_at(low, F.col("range") + 1), F.lit(1.0))
-    inside = F.least(F.greatest(F.floor(at * cuts), F.lit(0)), F.lit(cuts - 1))
-    return ranged.withColumn("part", F.col("range").cast("long") * cuts + inside).drop("range")
+    # By range: its least and greatest id, and the parts that its ties are cut into (0: it is cut by id).
+    low, high, ties = (F.element_at(F.array(*[F.lit(v) for v in values]), F.col("range") + 1) for values in ([bounds[0], *bounds], [*bounds, bounds[-1]], [0, *(cuts * heavy.get(i, 0) for i in bounds)]))
+    by_id = F.floor((F.col("id").cast("double") - low) / F.greatest(high.cast("double") - low, F.lit(1.0)) * cuts)
+    by_tie = F.floor((F.col("tie") / F.lit(2.0**64) + F.lit(0.5)) * ties)
+    most = F.when(ties > 0, ties).otherwise(F.lit(cuts)) - 1
+    inside = F.least(F.greatest(F.when(ties > 0, by_tie).otherwise(by_id), F.lit(0)), most)
+    return ranged.withColumn("part", F.col("range").cast("long") * (cuts * max(heavy.values(), default=1)) + inside).drop("range")
 
 
 def with_next(rows: DataFrame, order: list[str], column: str, name: str) -> DataFrame:

@@ -237,6 +237,17 @@ def test_fingerprints(docs, plain_docs):
     assert all(len(p) == 1 for p in prints.values())
 
 
+@pytest.mark.parametrize("hot", [None, 5, -(1 << 62)])
+def test_one_id_of_most_rows_is_cut_by_its_texts(spark, hot):
+    """Nine rows of ten have one id: parts rise with (id, tie), none holds many rows, and each row meets the next."""
+    ids = F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(S.LAST_ID if hot is None else hot))
+    rows = S.in_ranges(spark.range(6000).select(ids.alias("id"), F.xxhash64("id").alias("tie")))
+    got = sorted((r.id, r.tie, r.part, r.after) for r in S.with_next(rows, ["id", "tie"], "tie", "after").collect())
+    assert [r[2] for r in got] == sorted(r[2] for r in got)
+    assert [r[3] for r in got] == [r[1] for r in got[1:] + got[:1]]
+    assert max(collections.Counter(r[2] for r in got).values()) <= 60
+
+
 @pytest.mark.xfail(strict=False, reason="its 60 pairs share 16 words, so their errors at 64 samples go together: the bound of 0.03 on the mean is 1.25 standard errors; the two tests below have words of their own")
 def test_likeness_is_generalised_jaccard(spark):
     import random
