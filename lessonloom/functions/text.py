@@ -41,6 +41,11 @@ def _nfc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFC")
 
 
+def register_functions(spark: SparkSession) -> None:
+    """Make the composed form known to SQL, as ``nfc``."""
+    spark.udf.register("nfc", _nfc)
+
+
 def beyond_ascii(c: Column) -> Column:
     return F.octet_length(c) != F.char_length(c)
 

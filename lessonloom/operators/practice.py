@@ -22,6 +22,17 @@ def practice_items(sentences: DataFrame) -> DataFrame:
     return items.withColumn("answer", F.array_join("words", " "))
 
 
+def attach_item(attempts: DataFrame, items: DataFrame) -> DataFrame:
+    """Attempts with the item of their passage and sentence, and whether there is one (``orderable``); items are told apart by passage_id and sentence_id.
+
+    An attempt without a passage or sentence has no item; columns of the items that attempts have too are left out.
+    """
+    more = [c for c in items.columns if c not in attempts.columns]
+    found = items.select("passage_id", "sentence_id", *more, F.lit(True).alias("__found"))
+    joined = attempts.join(found, ["passage_id", "sentence_id"], "left")
+    return joined.select(*attempts.columns, *more, F.coalesce("__found", F.lit(False)).alias("orderable"))
+
+
 def orderable_counts(sentences: DataFrame) -> DataFrame:
     """Per passage: items, and sentences skipped for having fewer than two words."""
     items = practice_items(sentences).groupBy("passage_id").agg(F.count("*").alias("items"))

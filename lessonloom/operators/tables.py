@@ -133,9 +133,11 @@ def admin_scopes(current_exams: DataFrame, passages: DataFrame, links: DataFrame
 # --- summaries --------------------------------------------------------------------
 
 
-def learning_progress(students: DataFrame, attempts: DataFrame, since: str) -> DataFrame:
-    """Every student with last activity and, per step, attempts and clean attempts in the period."""
+def learning_progress(students: DataFrame, attempts: DataFrame, since: str, workbook_key: str | None = None) -> DataFrame:
+    """Every student with last activity and, per step, attempts and clean attempts in the period; of one workbook, where its key is given."""
     recent = attempts.where(F.col("created_at") >= F.lit(since).cast("timestamp_ntz"))
+    if workbook_key is not None:
+        recent = recent.where(F.col("workbook_key") == workbook_key)
     per_step = [c for k in (1, 2) for c in (F.count_if(F.col("stage") == k).alias(f"total_{k}"), F.count_if((F.col("stage") == k) & F.col("correct")).alias(f"clean_{k}"))]
     counted = recent.groupBy("student_id").agg(F.max("created_at").alias("last_activity"), *per_step)
     rows = students.select(F.col("id").alias("student_id"), "name").join(counted, "student_id", "left")
@@ -347,11 +349,20 @@ def seed_top_n(scopes: DataFrame, passages: DataFrame, links: DataFrame, n: int
 
 
 def failed_login_window(log: DataFrame, limit: int, minutes: int = 15) -> DataFrame:
-    """For each try the failures of its identifier in the window before it, and whether that locks."""
-    at = F.unix_micros(F.col("created_at").cast("timestamp"))
-    before = Window.partitionBy("identifier").orderBy("at_us").rangeBetween(-minutes * 60_000_000, -1)
-    counted = log.withColumn("at_us", at).withColumn("failures", F.count_if(~F.col("successful")).over(before))
-    return counted.withColumn("locked", F.col("failures") >= limit).drop("at_us")
+    """For each try the failures of its identifier in the window before it, and whether that locks.
+
+    Time is cut into cells of one window and a failure is put into its own cell and the
+    next, where all tries are that can see it: no group holds an identifier's history.
+    Tries without a time see only each other.
+    """
+    width = minutes * 60_000_000
+    us = F.unix_micros(F.col("created_at").cast("timestamp"))
+    timed = log.withColumns({"__us": us, "__own": us - F.pmod(us, F.lit(width))})
+    cells = F.when(F.col("successful") | F.col("__us").isNull(), F.array("__own")).otherwise(F.array("__own", F.col("__own") + width))
+    dealt = timed.withColumn("__cell", F.explode(cells))
+    before = Window.partitionBy("identifier", "__cell").orderBy("__us").rangeBetween(-width, -1)
+    counted = dealt.withColumn("failures", F.count_if(~F.col("successful")).over(before)).where("__cell <=> __own")
+    return counted.withColumn("locked", F.col("failures") >= limit).drop("__us", "__own", "__cell")
 
 
 def sync_grade_scope(links: DataFrame, scopes: DataFrame, passages: DataFrame, grades: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -385,3 +396,41 @@ def surviving_links(links: DataFrame, aliases: DataFrame) -> tuple[DataFrame, Da
     ends = left.select("exam_id", F.col("passage_id").alias("keeper"))
     failed = judged.where("lesson is not null").select("exam_id", "lesson", "keeper").distinct().join(ends, ["exam_id", "keeper"], "left_anti")
     return left.select(*links.columns), changed, failed
+
+
+# --- listings and sets ------------------------------------------------------------
+
+
+def ordered_listing(rows: DataFrame, by: list[str | Column], key: str = "id") -> DataFrame:
+    """Rows in the given order; the key decides among equals, so the order is total."""
+    return rows.orderBy(*by, key)
+
+
+def ordered_ids(rows: DataFrame, by: str | list[str], order: str, item: str, ids: str = "ids") -> DataFrame:
+    """One array of ``item`` a group, by ``order`` and then by the item; groups must be of bounded size."""
+    keys = [by] if isinstance(by, str) else by
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), F.col(item).alias("item"))))
+    return rows.groupBy(*keys).agg(pairs["item"].alias(ids))
+
+
+def ordered_json(rows: DataFrame, by: str | list[str], order: str, fields: list[str], text: str = "items") -> DataFrame:
+    """One JSON array of objects with the given fields a group, by ``order`` and then by the fields; null fields are written."""
+    keys = [by] if isinstance(by, str) else by
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), F.struct(*fields).alias("item"))))
+    return rows.groupBy(*keys).agg(F.to_json(pairs["item"], {"ignoreNullFields": "false"}).alias(text))
+
+
+@with_plain_unions
+def activity_union(*logs: DataFrame) -> DataFrame:
+    """All rows of several attempt logs, with the columns that every log has, in the order of the first; nothing is folded."""
+    shared = [c for c in logs[0].columns if all(c in log.columns for log in logs)]
+    out = logs[0].select(*shared)
+    for log in logs[1:]:
+        out = out.unionByName(log.select(*shared))
+    return out
+
+
+@with_plain_unions
+def members_union_distinct(members: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """Members of either side, each once."""
+    return members.select(*keys).unionByName(more.select(*keys)).distinct()

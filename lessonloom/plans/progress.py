@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lessonloom.functions import text as T
 from lessonloom.operators import content as K
+from lessonloom.operators import lexical as L
 from lessonloom.operators import practice as P
 from lessonloom.operators import tables as O
 from lessonloom.plans.frames import query
@@ -319,8 +320,7 @@ def _(f):
 
 @query("k13_saved_senses", "select student_id, word, meaning as meaning_key, min(seen_at) as first_at from @words where trim(meaning) <> '' group by 1, 2, 3")
 def _(f):
-    rows = f.words.withColumn("meaning_key", T.meaning_key(F.col("meaning"))).where("meaning_key <> ''")
-    return rows.groupBy("student_id", "word", "meaning_key").agg(F.min("seen_at").alias("first_at"))
+    return L.saved_word_senses(f.words, ["student_id", "word"], ["seen_at", "passage_id"]).select("student_id", "word", "meaning_key", F.col("seen_at").alias("first_at"))
 
 
 #: Attempts as they arrive: some twice, some days after they were made.

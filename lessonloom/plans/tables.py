@@ -49,8 +49,8 @@ def _(f):
 
 @query("c4_attach_item", f"select r.sentence_id, i.id is not null as orderable from @requests r left join (select id from (select id, {WORDS} as w from @sentences where block_type = 'SENTENCE' and active and trim(translation) <> '') where len(w) >= 2) i on i.id = r.sentence_id")
 def _(f):
-    items = P.practice_items(f.sentences).select(F.col("id").alias("sentence_id"), F.lit(True).alias("orderable"))
-    return f.requests.select("sentence_id").join(items, "sentence_id", "left").withColumn("orderable", F.coalesce("orderable", F.lit(False)))
+    items = P.practice_items(f.sentences).select("passage_id", F.col("id").alias("sentence_id"))
+    return P.attach_item(f.requests.select("passage_id", "sentence_id"), items).select("sentence_id", "orderable")
 
 
 @query("c5_replay_known", "select a.id, k.replayed_id from (select * from @attempts where id % 2 = 1) a left join (select student_id, lower(client_attempt_id) as ck, min(id) as replayed_id from @attempts where id % 2 = 0 and client_attempt_id is not null group by 1, 2) k on k.student_id = a.student_id and k.ck = lower(a.client_attempt_id)")
@@ -144,6 +144,14 @@ def _(f):
     return O.learning_progress(f.students, f.attempts, SINCE)
 
 
+OF_WORKBOOK = "select *, case when id % 3 > 0 then concat('w', id % 3) end as workbook_key from @attempts"
+
+
+@query("d1_learning_progress_of_workbook", f"{D1} from @students s left join (select * from ({OF_WORKBOOK}) where created_at >= timestamp '{SINCE}' and workbook_key = 'w1') a on a.student_id = s.id group by 1, 2")
+def _(f):
+    return O.learning_progress(f.students, f.sql(OF_WORKBOOK), SINCE, "w1")
+
+
 @query("d1_learning_progress_volume", f"{D1} from (select s_suppkey as id, s_name as name from supplier) s left join (select * from @big_attempts where created_at >= timestamp '1996-01-01 00:00:00') a on a.student_id = s.id group by 1, 2")
 def _(f):
     return O.learning_progress(f.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), f.big_attempts, "1996-01-01 00:00:00")
@@ -201,7 +209,12 @@ def _(f):
 
 @query("d10_ordered_ids", "select exam_id, string_agg(cast(passage_id as varchar), ',' order by position) as ids from @links group by 1")
 def _(f):
-    return f.links.groupBy("exam_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "passage_id"))), lambda x: x["passage_id"].cast("string")), ",").alias("ids"))
+    return O.ordered_ids(f.links, "exam_id", "position", "passage_id").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
+@query("d10_ordered_json", """select exam_id, concat('[', string_agg(concat('{"passage_id":', passage_id, ',"position":', position, '}'), ',' order by position), ']') as items from @links group by 1""")
+def _(f):
+    return O.ordered_json(f.links, "exam_id", "position", ["passage_id", "position"])
 
 
 @query("d11_next_position", "select e.id as exam_id, coalesce(max(l.position), -1) + 1 as next_position from @exams e left join @links l on l.exam_id = e.id group by 1")
@@ -348,7 +361,7 @@ def _(f):
 
 @query("f1_ordered_listing", "select id, name from @students order by school, grade, name, id")
 def _(f):
-    return f.students.orderBy("school", "grade", "name", "id").select("id", "name")
+    return O.ordered_listing(f.students, ["school", "grade", "name"]).select("id", "name")
 
 
 @query("f2_least_recent_first", f"select student_id, last_activity from (select s.id as student_id, max(a.created_at) as last_activity from @students s left join (select student_id, created_at from @attempts union all select student_id, created_at from @question_attempts where student_id % 2 = 0) a on a.student_id = s.id where s.active group by 1)")
@@ -397,13 +410,12 @@ def _(f):
 
 @query("g1_activity_union", "select student_id, count(*) as n from (select student_id from @question_attempts union all select student_id from @attempts) group by 1")
 def _(f):
-    return f.question_attempts.select("student_id").unionByName(f.attempts.select("student_id")).groupBy("student_id").agg(F.count("*").alias("n"))
+    return O.activity_union(f.question_attempts, f.attempts).groupBy("student_id").agg(F.count("*").alias("n"))
 
 
 @query("g2_members_union", "select exam_id, passage_id from @links where passage_id % 2 = 0 union select exam_id, passage_id from @links where passage_id % 3 = 0")
 def _(f):
-    keys = f.links.select("exam_id", "passage_id")
-    return keys.where("passage_id % 2 = 0").union(keys.where("passage_id % 3 = 0")).distinct()
+    return O.members_union_distinct(f.links.where("passage_id % 2 = 0"), f.links.where("passage_id % 3 = 0"), ["exam_id", "passage_id"])
 
 
 @query("g4_distinct_ids", "select conv_id, turn, len(list_distinct(list_filter(string_split(text, ' '), lambda x: trim(x) <> ''))) as ids from @conversations")

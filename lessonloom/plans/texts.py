@@ -137,6 +137,15 @@ def _(f):
     return f.sentences.select("id", T.flatten_space(F.col("text")).alias("flat"))
 
 
+NFC = "select id, md5(nfc{}(concat(text, ' e', chr({}), id))) as composed from @sentences"
+
+
+@query("l_composed_in_sql", NFC.format("_normalize", "769"))
+def _(f):
+    T.register_functions(f.spark)
+    return f.sql(NFC.format("", "769").replace("chr(769)", "decode(unhex('CC81'), 'UTF-8')"))
+
+
 @query("h16_coalesce_snapshot", "select id, case when id % 5 > 0 then title else source_label end as meaning, coalesce(case when id % 2 = 0 then revision end, display_order, 0) as revision, case when id % 3 = 0 then case when id % 5 > 0 then title else source_label end else concat(title, '|', source_label) end as meanings from @passages")
 def _(f):
     i = F.col("id")

@@ -10,9 +10,10 @@ from lessonloom.functions.session import with_plain_unions
 from lessonloom.functions.text import flatten_space, trim_wide
 
 
-def load(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """A whole table; only the named columns are read."""
+def load(spark: SparkSession, folder: str, name: str, columns: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """A whole table; only the named columns are read. Rows come in a total order where ``order`` names columns that tell them apart (nulls first)."""
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = rows.orderBy(*order) if order else rows
     return rows.select(*columns) if columns else rows
 
 
