@@ -158,15 +158,17 @@ def create_passages(requests: DataFrame, rows: DataFrame, passages: DataFrame) -
     return new, new_rows, judged.where(F.size("violations") > 0).select("request_id", "violations")
 
 
-def publish(drafts: DataFrame, passages: DataFrame, catalogs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def publish(drafts: DataFrame, passages: DataFrame, catalogs: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(catalogs, passages, refused drafts): a draft of the passage's current revision becomes its catalog, others are refused.
 
     drafts: passage_id, expected_revision, workbook_key, catalog. passages: id, revision, status,
-    catalog_revision. catalogs: passage_id, workbook_key, catalog, revision.
+    catalog_revision. catalogs: passage_id, workbook_key, catalog, revision. keys (passage_id, if
+    none are given) are of drafts and catalogs; there is one catalog a key.
     """
+    keys = keys or ["passage_id"]
     judged = drafts.join(passages.select(F.col("id").alias("passage_id"), "revision"), "passage_id", "left").withColumn("fits", F.coalesce(F.col("expected_revision") == F.col("revision"), F.lit(False)))
-    fresh = judged.where("fits").select("passage_id", "workbook_key", "catalog", "revision")
-    after = upsert(catalogs, fresh, ["passage_id"], ["workbook_key", "catalog", "revision"])
+    fresh = judged.where("fits").select(*keys, "workbook_key", "catalog", "revision")
+    after = upsert(catalogs, fresh, keys, ["workbook_key", "catalog", "revision"])
     told = passages.join(fresh.select(F.col("passage_id").alias("id"), F.col("revision").alias("published")), "id", "left")
     told = told.withColumns({"status": F.when(F.col("published").isNotNull(), "current").otherwise(F.col("status")), "catalog_revision": F.coalesce("published", "catalog_revision")}).drop("published")
     return after, told, judged.where("not fits").select("passage_id", F.when(F.col("revision").isNull(), "unknown").otherwise("conflict").alias("reason"))
