@@ -41,11 +41,6 @@ def _nfc(values: pd.Series) -> pd.Series:
     return values.str.normalize("NFC")
 
 
-def register_functions(spark: SparkSession) -> None:
-    """Make the composed form known to SQL, as ``nfc``."""
-    spark.udf.register("nfc", _nfc)
-
-
 def beyond_ascii(c: Column) -> Column:
     return F.octet_length(c) != F.char_length(c)
 
@@ -127,8 +122,10 @@ def lesson_number(source_type: Column, title: Column, label: Column) -> Column:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """``nfc`` for SQL, the one function that Spark lacks."""
-    spark.udf.register("nfc", _nfc)
+    """``nfc`` for SQL, the one function that Spark lacks; Python gets the texts that it gets of the column ``nfc``."""
+    spark.udf.register("nfc_in_python", _nfc)
+    later = r"octet_length(text) <> char_length(text) and text rlike r'[\x{0300}-\x{10FFFF}]'"
+    spark.sql(f"create or replace temporary function nfc(text string) returns string return coalesce(nfc_in_python(case when {later} then text end), text)")
 
 
 def meaning_key(c: Column) -> Column:

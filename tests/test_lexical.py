@@ -26,3 +26,14 @@ def test_tokens_beside_concepts(spark):
     tokens, concepts, _ = L.explode_lexical(df, "document", stored)
     for rows in (tokens, concepts):  # documents are not parsed anew for each table
         assert "from_json" not in rows._jdf.queryExecution().toString()
+
+
+def test_sql_sends_later_texts_alone_to_python(spark):
+    from lessonloom.functions.text import register_functions
+
+    register_functions(spark)
+    df = spark.createDataFrame([("é" * 3,), ("café",), ("plain",), (None,), ("\U0001d15e 한",)], "x string")
+    got = df.selectExpr("x", "nfc(x) as y")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "nfc_in_python(" in plan and "CASE WHEN" in plan
+    assert [r.y for r in got.collect()] == ["é" * 3, "café", "plain", None, "\U0001d157\U0001d165 한"]
