@@ -322,43 +322,53 @@ def thin_touches(touches: DataFrame, minutes: int = C.TOUCH_MINUTES, key: str =
     return fold_sorted(rows.withColumnRenamed(at, "touched"), [key], [F.asc_nulls_first("touched")], ["touched", "begin"], lambda: {"last": None}, step, f"{at} long")
 
 
+#: What a try is checked against, an admin's and a student's, each in order; identifiers begin with the place here.
+CHECKED = ("admin_client", "admin", "student_client", "code")
+
+
+def with_identifiers(tries: DataFrame, key: str | None = None) -> DataFrame:
+    """Adds the identifiers of each try in the order of its checks (``first``, ``second``; of its key, if there is one)."""
+    realm = F.coalesce(F.col(key).cast("string"), F.lit("\0")) if key else F.lit("")
+    name = lambda place, who: F.concat_ws("\0", F.lit(str(place)), realm, F.coalesce(who.cast("string"), F.lit("\0")))
+    return tries.withColumns({"first": F.when(F.col("admin"), name(0, F.col("client"))).otherwise(name(2, F.col("client"))), "second": F.when(F.col("admin"), name(1, F.lit(""))).otherwise(name(3, F.col("code")))})
+
+
 def lockout_pieces(tries: DataFrame, limits: dict[str, int], minutes: int, key: str | None = None, recorded: DataFrame | None = None) -> DataFrame:
-    """What has to be replayed, in pieces that know nothing of one another: piece, at_us, try_id, rank, kind, who, fine, kept (and the key).
+    """The failures that have to be replayed, in pieces that know nothing of one another: piece, at_us, try_id, first, second, kept (and the key).
 
     Time is cut into cells of one window. Where the failures that an identifier could
     have in a cell and the two before it are fewer than its limit, it blocks nothing, and
     whatever failed was recorded: nothing needs replay there, and the next cell starts
     from a known state. The other cells of an identifier, each with the one before it,
     make stretches. Failures that count for two identifiers link the stretches of both;
-    linked stretches are one piece. A success links nothing, as it only asks.
+    linked stretches are one piece. An identifier is null where it has no stretch; a
+    recorded failure has a row for each of its identifiers.
     """
     window = minutes * 60_000_000
     own = [key] if key else []
-    realm = F.coalesce(F.col(key).cast("string"), F.lit("\0")) if key else F.lit("")
-    check = lambda rank, kind, who: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), F.concat_ws("\0", F.lit(kind), realm, F.coalesce(who.cast("string"), F.lit("\0"))).alias("who"))
-    checks = F.when(F.col("admin"), F.array(check(0, "admin_client", F.col("client")), check(1, "admin", F.lit("")))).otherwise(F.array(check(0, "student_client", F.col("client")), check(1, "code", F.col("code"))))
-
-    def shaped(rows: DataFrame, kept: bool) -> DataFrame:
-        named = rows.select(*own, F.col("at_us").cast("long").alias("at_us"), "id", F.lit(kept).alias("kept"), F.coalesce(F.col("successful"), F.lit(False)).alias("fine") if not kept else F.lit(False).alias("fine"), F.explode(checks).alias("x"))
-        return named.select(*own, "at_us", F.col("id").alias("try_id"), "kept", "fine", "x.*", F.floor(F.col("at_us") / window).alias("cell"))
-
-    asked = shaped(tries, False)
+    shaped = lambda rows, name, kept: rows.select(*own, F.col("at_us").cast("long").alias("at_us"), name.cast(tries.schema["id"].dataType).alias("try_id"), "first", "second", F.lit(kept).alias("kept"), F.floor(F.col("at_us") / window).alias("cell"))
+    failed = shaped(with_identifiers(tries, key).where(~F.coalesce(F.col("successful"), F.lit(False))), F.col("id"), False)
     if recorded is not None:
-        asked = asked.unionByName(shaped(recorded.withColumn("id", F.lit(None).cast(tries.schema["id"].dataType)) if "id" not in recorded.columns else recorded, True))
-    counted = asked.where(~F.col("fine")).groupBy("who", "kind", "cell").agg(F.count("*").alias("n"))
-    most = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("kind")]
-    around = counted.select("who", "kind", "n", F.explode(F.array(*[F.col("cell") + k for k in range(3)])).alias("cell")).groupBy("who", "kind", "cell").agg(F.sum("n").alias("n"))
+        known = with_identifiers(recorded, key).select(*recorded.columns, F.explode(F.array("first", "second")).alias("first"), F.lit(None).cast("string").alias("second"))
+        failed = failed.unionByName(shaped(known, F.col("id") if "id" in recorded.columns else F.lit(None), True))
+    counted = failed.select("cell", F.explode(F.array("first", "second")).alias("who")).where("who is not null").groupBy("who", "cell").agg(F.count("*").alias("n"))
+    most = F.create_map(*[F.lit(x) for place, kind in enumerate(CHECKED) if kind in limits for x in (str(place), limits[kind])])[F.substring("who", 1, 1)]
+    around = counted.select("who", "n", F.explode(F.array(*[F.col("cell") + k for k in range(3)])).alias("cell")).groupBy("who", "cell").agg(F.sum("n").alias("n"))
     cells = around.where(F.col("n") >= most).select("who", F.explode(F.array(F.col("cell") - 1, F.col("cell"))).alias("cell")).distinct()
     turn = F.row_number().over(Window.partitionBy("who").orderBy("cell"))
-    stretches = cells.withColumn("stretch", F.xxhash64("who", F.col("cell") - turn))
     shared_folder(tries.sparkSession)
-    inside = asked.join(stretches, ["who", "cell"]).checkpoint()
-    linked = inside.where(~F.col("fine") & ~F.col("kept")).groupBy(*own, "try_id", "at_us").agg(F.min("stretch").alias("u"), F.max("stretch").alias("v")).where("u <> v").select("u", "v").distinct()
-    pieces = connected(linked)
-    found = inside.join(pieces.withColumnRenamed("node", "stretch"), "stretch", "left")
-    return found.select(*own, F.coalesce("component", "stretch").alias("piece"), "at_us", "try_id", "rank", "kind", "who", "fine", "kept")
+    stretches = cells.select("who", "cell", F.xxhash64("who", F.col("cell") - turn).alias("stretch")).checkpoint()
+    inside = failed
+    for name, at in (("first", "u"), ("second", "v")):
+        inside = inside.join(stretches.select(F.col("who").alias(name), "cell", F.col("stretch").alias(at)), [name, "cell"], "left")
+    inside = inside.where("u is not null or v is not null").select(*own, "at_us", "try_id", F.when(F.col("u").isNotNull(), F.col("first")).alias("first"), F.when(F.col("v").isNotNull(), F.col("second")).alias("second"), "kept", "u", "v").checkpoint()
+    linked = inside.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    stretch = inside.withColumn("stretch", F.coalesce("u", "v"))
+    found = stretch.join(connected(linked).withColumnRenamed("node", "stretch"), "stretch", "left")
+    return found.select(*own, F.coalesce("component", "stretch").alias("piece"), "at_us", "try_id", "first", "second", "kept")
 
 
+@with_plain_unions
 def login_lockout(tries: DataFrame, limits: dict[str, int] = C.LOGIN_LIMITS, minutes: int = C.FAILURE_WINDOW_MINUTES, key: str | None = None, recorded: DataFrame | None = None) -> DataFrame:
     """Tries that are blocked, with the identifier that blocks them: (id, blocked_by), and the key if there is one.
 
@@ -369,49 +379,51 @@ def login_lockout(tries: DataFrame, limits: dict[str, int] = C.LOGIN_LIMITS, min
     ``key`` (such as a school). ``recorded`` are failures of an earlier part of the log
     (its columns but successful), which count as they are.
 
-    Only ``lockout_pieces`` are replayed, in order of (at_us, id), each on its own. A
-    piece under attack without a pause of three windows is one sequence by its nature; its
-    replay keeps the failures of one window.
+    Only the failures of ``lockout_pieces`` are replayed, in order of (at_us, id), each
+    piece on its own. A piece under attack without a pause of three windows is one sequence
+    by its nature; its replay keeps the failures of one window. It tells from when to when
+    an identifier is blocked. Successes change nothing, so that they are only looked up there.
     """
     window = minutes * 60_000_000
     own = [key] if key else []
     rows = lockout_pieces(tries, limits, minutes, key, recorded)
 
-    def settle(state: dict) -> tuple | None:
-        held, checks = state["held"], state["checks"]
-        if held is None:
-            return None
-        at, name, fine, kept, realm = held
-        recent = state["failures"]
+    def step(state: dict, row: tuple) -> tuple | None:
+        at, name, first, second, kept, realm = row
+        recent, checks = state["failures"], [who for who in (first, second) if who is not None]
         if len(recent) > state["sweep"]:  # identifiers that were not tried again
             for who in [w for w, times in recent.items() if not times or times[-1] < at - window]:
                 del recent[who]
             state["sweep"] = 1024 + 2 * len(recent)
-        for rank, kind, who in checks if not kept else ():
+        for who in checks if not kept else ():
             failures = recent.setdefault(who, [])
             while failures and failures[0] < at - window:
                 failures.pop(0)
-            if len(failures) >= limits[kind]:
-                return realm, name, rank, kind
-        for _, _, who in checks if not fine else ():
-            recent.setdefault(who, []).append(at)
-        return None
+            if len(failures) >= limits[CHECKED[int(who[0])]]:
+                return realm, name, at, kept, int(who[0]), None
+        full = []
+        for who in checks:
+            failures, most = recent.setdefault(who, []), limits[CHECKED[int(who[0])]]
+            failures.append(at)
+            if len(failures) >= most:
+                full.append({"who": who, "until": failures[-most] + window})
+        return (realm, name, at, kept, None, full) if full else None
 
-    def step(state: dict, row: tuple) -> tuple | None:
-        at, name, rank, kind, who, fine, kept, realm = row
-        found = None
-        if kept or state["held"] is None or state["held"][:2] != (at, name):
-            found = settle(state)
-            state["held"], state["checks"] = (at, name, fine, kept, realm), []
-        state["checks"].append((rank, kind, who))
-        return found
-
-    columns = ["at_us", "try_id", "rank", "kind", "who", "fine", "kept", "within"]
     rows = rows.withColumn("within", F.col(key) if key else F.lit(None).cast("string"))
-    schema = f"within {rows.schema['within'].dataType.simpleString()}, id {tries.schema['id'].dataType.simpleString()}, found_rank int, blocked_by string"
-    start = lambda: {"failures": {}, "sweep": 1024, "held": None, "checks": []}
-    told = fold_sorted(rows.drop(*own), ["piece"], ["at_us", F.desc("kept"), "try_id", "rank"], columns, start, step, schema, settle)
-    return told.withColumnRenamed("within", key or "within").groupBy(*own, "id").agg(F.min_by("blocked_by", "found_rank").alias("blocked_by"))
+    number = tries.schema["id"].dataType.simpleString()
+    schema = f"within {rows.schema['within'].dataType.simpleString()}, id {number}, since long, known boolean, found int, full array<struct<who:string,until:bigint>>"
+    told = fold_sorted(rows.drop(*own), ["piece"], ["at_us", F.desc("kept"), F.asc_nulls_first("try_id")], ["at_us", "try_id", "first", "second", "kept", "within"], lambda: {"failures": {}, "sweep": 1024}, step, schema)
+    told = told.withColumnRenamed("within", key or "within").checkpoint()
+    # A success is blocked where its identifier became so before it, in the same order, and still is; a block lasts one window at most, so it lies in two cells.
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / window), F.floor(b / window))).alias("cell")
+    blocks = told.where("found is null").select("since", "known", F.col("id").alias("by"), F.explode("full").alias("x"))
+    blocks = blocks.select("x.who", cells(F.col("since"), F.col("x.until")), F.struct("since", "known", "by", "x.until").alias("block")).groupBy("who", "cell").agg(F.collect_list("block").alias("blocks"))
+    asked = with_identifiers(tries, key).where(F.coalesce(F.col("successful"), F.lit(False))).select(*own, "id", F.col("at_us").cast("long").alias("at_us"), F.explode(F.array("first", "second")).alias("who"))
+    asked = asked.withColumn("cell", F.floor(F.col("at_us") / window)).join(blocks, ["who", "cell"])
+    earlier = lambda x: F.when(x["since"] != F.col("at_us"), x["since"] < F.col("at_us")).when(x["known"], F.lit(True)).when(x["by"].isNull(), F.col("id").isNotNull()).otherwise(F.coalesce(x["by"] < F.col("id"), F.lit(False)))
+    asked = asked.where(F.exists("blocks", lambda x: (x["until"] >= F.col("at_us")) & earlier(x))).select(*own, "id", F.substring("who", 1, 1).cast("int").alias("found"))
+    found = told.where("found is not null").select(*own, "id", "found").unionByName(asked).groupBy(*own, "id").agg(F.min("found").alias("found"))
+    return found.select(*own, "id", F.get(F.array(*[F.lit(kind) for kind in CHECKED]), F.col("found")).alias("blocked_by"))
 
 
 def session_intervals(sessions: DataFrame, logouts: DataFrame, code_changes: DataFrame, deactivations: DataFrame) -> DataFrame:
