@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lessonloom.functions.session import plain_unions
+from lessonloom.functions.session import plain_unions, small_tasks
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -57,6 +57,7 @@ class Frames:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         plain_unions(spark)
+        small_tasks(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 import random
 
-from pyspark.sql import functions as F
-
+from lessonloom.functions.session import SIZE_KEY
 from lessonloom.operators import practice as P
+from lessonloom.plans import QUERIES
+from lessonloom.plans.frames import Frames
 from tests.test_golden import plain_lockout, tries_of
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def test_lockout_replays_failures_alone(spark):
     """Many tries at one instant, a client under attack, and failures recorded before."""
@@ -21,3 +24,18 @@ def test_lockout_replays_failures_alone(spark):
     failed = tries_of(spark, [t for t in early if not t["successful"] and t["id"] not in want]).drop("successful")
     late = P.login_lockout(tries_of(spark, [t for t in tries if t["at_us"] >= 40 * minute]), limits, 15, recorded=failed)
     assert {r.id: r.blocked_by for r in late.collect()} == {k: v for k, v in want.items() if tries[k]["at_us"] >= 40 * minute}
+
+
+def test_tasks_take_few_shuffled_bytes(spark):
+    """Frames bound what adaptive execution puts into a task, unless the session says it."""
+    one, two = spark.newSession(), spark.newSession()
+    two.conf.set(SIZE_KEY, "32m")
+    for session in (one, two):
+        Frames(session, FOLDER)
+    assert (one.conf.get(SIZE_KEY), two.conf.get(SIZE_KEY)) == ("8m", "32m")
+
+
+def test_questions_are_dealt_out(spark):
+    """A small file of many questions is no single task's work."""
+    plan = QUERIES["b13_withdraw"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [id" in plan
