@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from unicodedata import normalize
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -36,9 +37,16 @@ def has_two_words(c: Column) -> Column:
     return clean_text(c).rlike(rf"(?s)(?>{C.TOKEN_PATTERN}).*?[\p{{L}}\p{{M}}\p{{N}}]")
 
 
-@F.pandas_udf(StringType())
-def _nfc(values: pd.Series) -> pd.Series:
-    return values.str.normalize("NFC")
+def has_word(c: Column) -> Column:
+    """Whether ``sentence_words`` finds a word: any of the characters that each of them holds."""
+    return clean_text(c).rlike(r"[\p{L}\p{M}\p{N}]")
+
+
+@F.arrow_udf(StringType())
+def _nfc(values: pa.Array) -> pa.Array:
+    """A thousand texts at a time, without pandas. (Arrow's ``utf8_normalize`` does not compose.)"""
+    parts = (values.slice(k, 1000).to_pylist() for k in range(0, len(values), 1000))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if x is None else normalize("NFC", x) for x in part], pa.string()) for part in parts)])
 
 
 def beyond_ascii(c: Column) -> Column:
