@@ -112,9 +112,12 @@ def answer_indexes(df: DataFrame, key: str, chips: str, answer: str) -> DataFram
 
     Chips and answer are sorted by word and place: where their words agree, equal places belong together.
     """
-    placed = lambda c: F.array_sort(F.transform(F.when(F.size(c) > 0, normalize_words(F.col(c))).otherwise(F.array().cast("array<string>")), lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
-    rows = df.select(key, placed(answer).alias("wanted"), placed(chips).alias("there"))
-    pairs = F.array_sort(F.transform("wanted", lambda x, i: F.struct(x["at"].alias("place"), F.get("there", i)["at"].alias("at"))))
+    # Joined first and split after: what a column is made of is not made anew wherever it is named.
+    joined = df.select(key, *[F.when(F.size(c) > 0, F.array_join(c, " ")).alias(name) for c, name in ((answer, "wanted"), (chips, "there"))])
+    split = joined.select(key, *[F.split(fold_case(F.col(c)), " ").alias(c) for c in ("wanted", "there")])
+    placed = lambda c: F.coalesce(F.sort_array(F.arrays_zip(F.col(c).alias("word"), F.sequence(F.lit(0), F.size(c) - 1).alias("at"))), F.array().cast("array<struct<word:string,at:int>>")).alias(c)
+    rows = split.select(key, placed("wanted"), placed("there"))
+    pairs = F.sort_array(F.arrays_zip(F.col("wanted.at").alias("place"), F.slice(F.col("there.at"), F.lit(1), F.size("wanted")).alias("at")))
     none = F.array().cast("array<int>")
     return rows.select(key, F.when(F.col("wanted.word") == F.col("there.word"), pairs["at"]).otherwise(none).alias("indexes"))
 

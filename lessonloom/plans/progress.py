@@ -60,7 +60,7 @@ WORD = NORMAL.format("unnest(w)")
 
 @query("i3_answer_indexes", f"with a as (select id, place, word, row_number() over (partition by id, word order by place) as turn from (select id, generate_subscripts(w, 1) - 1 as place, {WORD} as word from {I3_WORDS})), c as (select id, place, word, row_number() over (partition by id, word order by place) as turn from (select id, len(w) - generate_subscripts(w, 1) as place, {WORD} as word from {I3_WORDS})) select a.id, string_agg(cast(c.place as varchar), ',' order by a.place) as indexes from a join c on c.id = a.id and c.word = a.word and c.turn = a.turn group by a.id")
 def _(f):
-    rows = f.sentences.select("id", T.sentence_words(F.col("text")).alias("answer")).where(F.size("answer") > 0).withColumn("chips", F.reverse("answer"))
+    rows = f.sentences.select("id", T.sentence_words(F.col("text")).alias("answer"), "text").where(T.has_word(F.col("text"))).withColumn("chips", F.reverse("answer"))
     return P.answer_indexes(rows, "id", "chips", "answer").select("id", F.array_join(F.col("indexes").cast("array<string>"), ",").alias("indexes"))
 
 

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
+
 from lessonloom.functions.session import SIZE_KEY
 from lessonloom.operators import practice as P
 from lessonloom.plans import QUERIES
@@ -39,3 +42,21 @@ def test_questions_are_dealt_out(spark):
     """A small file of many questions is no single task's work."""
     plan = QUERIES["b13_withdraw"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [id" in plan
+
+
+def test_composed_without_pandas(spark):
+    """The composed form is made of Arrow arrays, some texts at a time; workers load no pandas."""
+    from lessonloom.functions import text as T
+
+    assert T._nfc.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    df = spark.createDataFrame([("é" * 3,), ("ﬁ 한",), (None,), ("plain",), ("",)], "x string")
+    assert [r[0] for r in df.select(T.nfc(F.col("x"))).collect()] == ["é" * 3, "ﬁ 한", None, "plain", ""]
+
+
+def test_answers_are_split_once(spark):
+    """Words are found once a text, and odd pairs of chips and answers have no places."""
+    plan = QUERIES["i3_answer_indexes"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    rows = [(1, ["b", "a", "B"], ["B", "b", "a"]), (2, ["a"], ["a", "a"]), (3, ["a", "b"], ["a"]), (4, None, ["a"]), (5, ["a"], None), (6, [], []), (7, ["É", "x"], ["x", "é"])]
+    df = spark.createDataFrame(rows, "id long, chips array<string>, answer array<string>")
+    assert {r.id: r.indexes for r in P.answer_indexes(df, "id", "chips", "answer").collect()} == {1: [0, 2, 1], 2: [], 3: [], 4: [], 5: [], 6: [], 7: [1, 0]}
