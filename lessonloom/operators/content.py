@@ -104,8 +104,9 @@ def save_passages(passages: DataFrame, stored: DataFrame, requests: DataFrame, r
     accepted = asked.where("outcome = 'saved'").select("passage_id", (F.col("revision") + 1).alias("next"), *[F.trim(c).alias(f"new_{c}") for c in ("title", "grade")], F.trim(F.coalesce("source_label", F.lit(""))).alias("new_label"))
     saved = merged.join(accepted.select("passage_id", "next"), "passage_id")
     texts = rows.select("passage_id", F.col("position").cast("long").alias("position"), F.trim("text").alias("new_text"), F.trim("translation").alias("new_translation"))
-    saved = saved.join(texts, ["passage_id", "position"], "left").join(stored.select("passage_id", "id", "text", "translation"), ["passage_id", "id"], "left")
-    own = F.col("position").isNull()  # structural rows keep their text
+    # Structural rows keep their text; that of stored sentences is not asked for.
+    saved = saved.join(texts, ["passage_id", "position"], "left").join(stored.where("block_type <> 'SENTENCE'").select("passage_id", "id", "text", "translation"), ["passage_id", "id"], "left")
+    own = F.col("position").isNull()
     new_id = F.coalesce("id", F.sha2(F.concat_ws(":", "passage_id", "next", "place"), 256))
     saved = saved.select("passage_id", new_id.alias("id"), F.col("place").alias("sentence_index"), F.when(own, F.col("text")).otherwise(F.col("new_text")).alias("text"), F.when(own, F.col("translation")).otherwise(F.col("new_translation")).alias("translation"), "block_type", F.col("paragraph_index").cast("int").alias("paragraph_index"), F.lit(True).alias("active"))
     ranked = renumber(stored.join(accepted.select("passage_id"), "passage_id", "left_semi"), "passage_id", ["sentence_index", "id"], "rank")
