@@ -19,22 +19,34 @@ def trim_wide(c: Column) -> Column:
 
 def clean_text(c: Column, most: int = C.MAX_TEXT) -> Column:
     """Null as ''; NUL and astral characters go, no-break spaces become spaces, ends are trimmed, then the text is cut."""
-    bare = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x{10000}-\x{10FFFF}]", "")
+    bare = F.when(beyond_ascii(c), F.regexp_replace(c, r"[\x{10000}-\x{10FFFF}]", "")).otherwise(F.coalesce(c, F.lit("")))
     plain = F.replace(F.replace(bare, F.lit("\x00"), F.lit("")), F.lit("\xa0"), F.lit(" "))
     return F.substring(trim_wide(plain), 1, most)
 
 
 def flatten_space(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), f"{C.WIDE_SPACE}+", " "))
+    """Null as ''; only texts with more than single spaces between words are rewritten."""
+    text = F.coalesce(c, F.lit(""))
+    return F.trim(F.when(text.rlike(rf"(?! ){C.WIDE_SPACE}|  "), F.regexp_replace(text, f"{C.WIDE_SPACE}+", " ")).otherwise(text))
 
 
 def sentence_words(c: Column) -> Column:
     return F.regexp_extract_all(clean_text(c), F.lit(C.TOKEN_PATTERN), F.lit(0))
 
 
+def is_blank(c: Column) -> Column:
+    """Whether ``clean_text`` leaves nothing: no character that it neither drops nor trims. It reads up to the first such character."""
+    return ~F.coalesce(c.rlike(rf"(?!{C.WIDE_SPACE})[^\x00\x{{10000}}-\x{{10FFFF}}]"), F.lit(False))
+
+
 def has_two_words(c: Column) -> Column:
-    """Whether ``sentence_words`` finds two words or more: a whole first word, and what begins another after it; the rest is not read."""
-    return clean_text(c).rlike(rf"(?s)(?>{C.TOKEN_PATTERN}).*?[\p{{L}}\p{{M}}\p{{N}}]")
+    """Whether ``sentence_words`` finds two words or more: a whole first word, and what begins another after it; the rest is not read.
+
+    Two words of the first characters are two of the whole text, unless ``clean_text`` drops some of these.
+    """
+    two = rf"(?>{C.TOKEN_PATTERN}).*?[\p{{L}}\p{{M}}\p{{N}}]"
+    plain = F.substring(c, 1, 100).rlike(rf"(?s)\A(?=[^\x00\x{{10000}}-\x{{10FFFF}}]*+\z).*?{two}")
+    return F.when(plain, True).otherwise(clean_text(c).rlike(f"(?s){two}"))
 
 
 def has_word(c: Column) -> Column:
@@ -44,7 +56,9 @@ def has_word(c: Column) -> Column:
 
 @F.arrow_udf(StringType())
 def _nfc(values: pa.Array) -> pa.Array:
-    """A thousand texts at a time, without pandas. (Arrow's ``utf8_normalize`` does not compose.)"""
+    """A thousand texts at a time, without pandas; nulls alone stay. (Arrow's ``utf8_normalize`` does not compose.)"""
+    if values.null_count == len(values):
+        return values
     parts = (values.slice(k, 1000).to_pylist() for k in range(0, len(values), 1000))
     return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if x is None else normalize("NFC", x) for x in part], pa.string()) for part in parts)])
 

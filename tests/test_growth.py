@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
+from lessonloom import constants as C
 from lessonloom.functions.session import SIZE_KEY
 from lessonloom.operators import practice as P
 from lessonloom.plans import QUERIES
@@ -60,3 +61,27 @@ def test_answers_are_split_once(spark):
     rows = [(1, ["b", "a", "B"], ["B", "b", "a"]), (2, ["a"], ["a", "a"]), (3, ["a", "b"], ["a"]), (4, None, ["a"]), (5, ["a"], None), (6, [], []), (7, ["É", "x"], ["x", "é"])]
     df = spark.createDataFrame(rows, "id long, chips array<string>, answer array<string>")
     assert {r.id: r.indexes for r in P.answer_indexes(df, "id", "chips", "answer").collect()} == {1: [0, 2, 1], 2: [], 3: [], 4: [], 5: [], 6: [], 7: [1, 0]}
+
+
+def test_words_are_judged_without_cleaning(spark):
+    """Blank texts, two words and single spaces are told as the cleaned text tells them, also where it drops or trims characters."""
+    from lessonloom.functions import text as T
+
+    deal, odd = random.Random(16), list("ab.'%$ é한\t\n\u3000\xa0\ufeff\x00\u2028-") + ["\U0001f600", "\U0001d400", "\u0301", "  "]
+    texts = [None, "", "x" * 150, "x" * 99 + "-y z", "x" * 99 + " y", " " * 6000 + "a b", "a" * 6000 + " b", *("".join(deal.choices(odd, k=deal.randrange(9))) for _ in range(3000)), *("a" * deal.randrange(94, 102) + "".join(deal.choices(odd, k=5)) for _ in range(500))]
+    t = F.col("t")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(t, T.is_blank(t) == (T.clean_text(t) == ""), T.has_two_words(t) == (F.size(T.sentence_words(t)) >= 2), T.flatten_space(t) == F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), f"{C.WIDE_SPACE}+", " ")))
+    assert [r[0] for r in rows.collect() if not (r[1] and r[2] and r[3])] == []
+
+
+def test_refused_attempts_are_not_split(spark):
+    """The words of attempts whose step or id is refused anyway are not found."""
+    good = "00000000-0000-4000-8000-00000000000"
+    rows = [(1, good + "1", 1, "A b"), (2, good + "2", 3, None), (3, "bad", 1, None), (4, good + "4", None, None), (5, good + "5", 2, "b A"), (6, good + "6", 1, "a\u3000B")]
+    batch = spark.createDataFrame([(i, 1, 1, 1, key, step, words, 0, 0) for i, key, step, words in rows], "id long, student_id long, passage_id long, sentence_id long, client_attempt_id string, step int, given string, mistakes int, restarts int")
+    batch = batch.withColumn("arranged", F.coalesce("given", F.raise_error(F.lit("split")).cast("string"))).drop("given")
+    stored = spark.createDataFrame([], "student_id long, client_attempt_id string, stored_correct boolean")
+    items = spark.createDataFrame([(1, 1, "A b")], "sentence_id long, passage_id long, text string")
+    done = P.submit_attempts(batch, stored, batch.select("student_id", "passage_id"), items, spark.createDataFrame([(1, 3)], "passage_id long, revision long"))
+    got = {r.id: (r.outcome, r.reason, r.correct, r.response and (r.response.arranged, r.response.word_count)) for r in done.collect()}
+    assert got == {1: ("stored", None, True, ("A b", 2)), 2: ("rejected", "unknown_step", None, None), 3: ("rejected", "invalid_id", None, None), 4: ("rejected", "unknown_step", None, None), 5: ("rejected", "incomplete_sentence", None, None), 6: ("stored", None, True, ("a\u3000B", 2))}
