@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 UNION_KEY = "spark.sql.unionOutputPartitioning"
 SIZE_KEY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+NUMBER_KEY = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+#: Partitions of an exchange before adaptive execution puts them together.
+FIRST_PARTITIONS = 1000
 
 
 def plain_unions(spark: SparkSession) -> None:
@@ -27,10 +30,15 @@ def small_tasks(spark: SparkSession) -> None:
     """Where the session does not say how many shuffled bytes adaptive execution may put together into a task, 8 MB.
 
     Rows of ids take 15 to 20 times as much in sorts and hash tables, of which a task may hold
-    several: Spark's own 64 MB made tasks of over 1 GB. A figure of the session stays.
+    several: Spark's own 64 MB made tasks of over 1 GB. A figure of the session stays. As
+    adaptive execution only puts partitions together, exchanges begin with so many of them
+    that one of 8 GB has tasks of 8 MB too.
     """
-    if SIZE_KEY not in spark.conf.getAll:
+    said = spark.conf.getAll
+    if SIZE_KEY not in said:
         spark.conf.set(SIZE_KEY, "8m")
+    if NUMBER_KEY not in said:
+        spark.conf.set(NUMBER_KEY, str(max(FIRST_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
 
 
 def with_plain_unions(f: Callable) -> Callable:

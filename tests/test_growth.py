@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from lessonloom import constants as C
-from lessonloom.functions.session import SIZE_KEY
+from lessonloom.functions.session import NUMBER_KEY, SIZE_KEY
 from lessonloom.operators import practice as P
 from lessonloom.plans import QUERIES
 from lessonloom.plans.frames import Frames
@@ -85,3 +85,13 @@ def test_refused_attempts_are_not_split(spark):
     done = P.submit_attempts(batch, stored, batch.select("student_id", "passage_id"), items, spark.createDataFrame([(1, 3)], "passage_id long, revision long"))
     got = {r.id: (r.outcome, r.reason, r.correct, r.response and (r.response.arranged, r.response.word_count)) for r in done.collect()}
     assert got == {1: ("stored", None, True, ("A b", 2)), 2: ("rejected", "unknown_step", None, None), 3: ("rejected", "invalid_id", None, None), 4: ("rejected", "unknown_step", None, None), 5: ("rejected", "incomplete_sentence", None, None), 6: ("stored", None, True, ("a\u3000B", 2))}
+
+
+def test_exchanges_begin_with_many_partitions(spark):
+    """A layout's exchanges are cut finely enough for tasks of few bytes on large tables, unless the session says how many parts they have."""
+    one, two = spark.newSession(), spark.newSession()
+    two.conf.set(NUMBER_KEY, "7")
+    for session, number in ((one, 1000), (two, 7)):
+        for name in ("k4_layout", "k4_layout_errors"):
+            plan = QUERIES[name](session, FOLDER)._jdf.queryExecution().executedPlan().toString()
+            assert f", {number})" in plan and ", 4)" not in plan
