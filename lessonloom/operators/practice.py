@@ -14,10 +14,15 @@ from lessonloom.operators.rules import is_attempt_id
 from lessonloom.operators.tables import latest_by
 
 
-def practice_items(sentences: DataFrame) -> DataFrame:
-    """Sentences that can be ordered: active SENTENCE rows of two words or more with a translation."""
+def orderable(sentences: DataFrame) -> DataFrame:
+    """Sentences that can be ordered, as they are: active SENTENCE rows of two words or more with a translation."""
     kind = F.upper(F.coalesce(F.nullif("block_type", F.lit("")), F.lit("SENTENCE")))
-    kept = sentences.where((kind == "SENTENCE") & F.coalesce(F.col("active"), F.lit(True)) & ~is_blank(F.col("translation")) & has_two_words(F.col("text")))
+    return sentences.where((kind == "SENTENCE") & F.coalesce(F.col("active"), F.lit(True)) & ~is_blank(F.col("translation")) & has_two_words(F.col("text")))
+
+
+def practice_items(sentences: DataFrame) -> DataFrame:
+    """The ``orderable`` sentences with their cleaned texts, words and answer."""
+    kept = orderable(sentences)
     items = kept.select(item_key(F.col("id")).alias("item_key"), F.col("id"), "passage_id", "sentence_index", clean_text(F.col("text")).alias("text"), clean_text(F.col("translation")).alias("translation"), sentence_words(F.col("text")).alias("words"))
     return items.withColumn("answer", F.array_join("words", " "))
 

@@ -46,7 +46,8 @@ ITEMS = f"select id, passage_id, sentence_index, text, w from (select *, {WORDS}
 )
 def _(f):
     batch = arranged(f.sql(BATCH))
-    items = P.practice_items(f.sentences).select(F.col("id").alias("sentence_id"), "passage_id", "text")
+    # Grading cleans the texts that it splits; those of sentences that nobody tries stay as they are.
+    items = P.orderable(f.sentences).select(F.col("id").alias("sentence_id"), "passage_id", "text")
     stored = f.sql(STORED).withColumn("stored_correct", F.lit(True))
     passages = f.documents.select(F.col("doc_id").alias("passage_id"), (F.col("doc_id") % 5).alias("revision"))
     done = P.submit_attempts(batch, stored, batch.where("passage_id % 9 <> 0").select("student_id", "passage_id"), items, passages)

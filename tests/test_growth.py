@@ -95,3 +95,11 @@ def test_exchanges_begin_with_many_partitions(spark):
         for name in ("k4_layout", "k4_layout_errors"):
             plan = QUERIES[name](session, FOLDER)._jdf.queryExecution().executedPlan().toString()
             assert f", {number})" in plan and ", 4)" not in plan
+
+
+def test_texts_to_order_stay_as_they_are(spark):
+    """What can be ordered is told without its text being cleaned, and is what practice items are made of."""
+    rows = [(1, " a　b ", "x", None, None), (2, "a", "x", "SENTENCE", True), (3, "a b", "﻿", "", True), (4, "a b", "x", "TITLE", True), (5, "a b\x00", "x", "sentence", True), (6, "a b", "x", "", False)]
+    df = spark.createDataFrame([(i, 1, i, *r) for i, *r in rows], "id long, passage_id long, sentence_index int, text string, translation string, block_type string, active boolean")
+    assert {r.id: r.text for r in P.orderable(df).collect()} == {1: " a　b ", 5: "a b\x00"}
+    assert {r.id: r.text for r in P.practice_items(df).collect()} == {1: "a　b", 5: "a b"}
