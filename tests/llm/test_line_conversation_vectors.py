@@ -73,6 +73,36 @@ def test_runs_are_levelled_and_shuffled_once(spark):
     assert not [t for t in spark.catalog.listTables(L.DATABASE)]
 
 
+def test_runs_have_the_files_that_their_lines_ask_for(spark, monkeypatch):
+    """Where the session has many partitions, few lines do not make as many files of each run, and the session keeps its numbers."""
+    keys, tables, write = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"), [], L.LineRuns._write
+
+    def counted(self, rows, level):
+        write(self, rows, level)
+        tables.append(len(spark.table(self.levels[level][-1]).inputFiles()))
+
+    monkeypatch.setattr(L.LineRuns, "_write", counted)
+    df = spark.createDataFrame([(k, "\n".join(f"line {k * j} of many lines" for j in range(50))) for k in range(200)], "doc_id long, text string").repartition(3)
+    want = brute_lines([(r.doc_id, r.text) for r in df.collect()])
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for key, n in zip(keys, ("40", "60")):
+            spark.conf.set(key, n)
+        got = sorted((r.id, r.n_lines, r.n_dropped, r.kept) for r in L.without_repeated_lines(df).collect())
+        assert [spark.conf.get(k) for k in keys] == ["40", "60"]
+    finally:
+        for key in keys:
+            spark.conf.set(key, before[key]) if before[key] else spark.conf.unset(key)
+    assert got == want
+    assert len(tables) == 4 and max(tables) <= spark.sparkContext.defaultParallelism  # a run a batch: the third is written with the two before it
+    assert L.buckets_for(spark, 10**12) == int(spark.conf.get(keys[0]))
+
+
+def test_a_text_is_hashed_once_and_not_for_each_of_its_lines(spark):
+    plan = L.numbered_lines(spark.createDataFrame(LINES, "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and plan.index("sha2(") > plan.index("Generate ")
+
+
 # --- conversations ----------------------------------------------------------------
 
 
