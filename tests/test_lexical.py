@@ -2,7 +2,10 @@
 
 import json
 
+from lessonloom.functions import session
 from lessonloom.operators import lexical as L
+from lessonloom.plans.compositions import lexical
+from lessonloom.plans.frames import Frames
 
 
 def test_tokens_beside_concepts(spark):
@@ -28,6 +31,59 @@ def test_tokens_beside_concepts(spark):
         assert "from_json" not in rows._jdf.queryExecution().toString()
 
 
+def loaded(spark):
+    """Tables after a load: a passage with old occurrences, one without, one of repeated keys, one with a token that is not there, one without a list, one that is not loaded, one without an id."""
+    c = lambda key, occurrence, *at: {"key": key, "occurrence": occurrence, "tokenIndexes": list(at)}
+    documents = {
+        1: [{"id": 11, "tokens": ["a", "b"], "concepts": [c("k", "o1", 0), c("l", "o2", 1)]}],
+        2: [{"id": 21, "tokens": ["d"], "concepts": [c("k", "o1", 0), c("alias", "o2", 0)]}],
+        3: [{"id": 31, "tokens": ["e", "f"], "concepts": [c("x", "o1"), c("y", "o1"), c("x", "o1")]}],
+        4: [{"id": 41, "tokens": ["g"], "concepts": [c("k", "o1", 9)]}],
+        5: 7,
+        None: [{"id": 71, "tokens": ["n"], "concepts": [c("n", "o1", 0)]}],
+    }
+    df = spark.createDataFrame([(k, json.dumps({"sentences": v})) for k, v in documents.items()], "passage_id long, document string")
+    stored = spark.createDataFrame([(i, i // 10) for i in (11, 21, 31, 41, 51, 61)], "id long, passage_id long")
+    old = [(1, 11, "o1", "old1", "f"), (4, 41, "o1", "old4", "f"), (6, 61, "o1", "old6", "f"), (9, 21, "o1", "of another passage", "f")]
+    known = {
+        "occurrences": spark.createDataFrame(old, "passage_id long, sentence_id long, occurrence_key string, concept_id string, forms string"),
+        "concepts": spark.createDataFrame([("known", "l")], "concept_id string, concept_key string"),
+        "aliases": spark.createDataFrame([("alias", "by alias")], "concept_key string, concept_id string"),
+        "saved": spark.createDataFrame([(i, i // 10, i, "o1") for i in (11, 21, 31, 41, 61)] + [(12, 1, 11, "gone")], "saved_id long, passage_id long, sentence_id long, occurrence_key string"),
+        "tokens": spark.createDataFrame([(i // 10, i, 0, "old") for i in (11, 21, 31, 41, 51, 61)], "passage_id long, sentence_id long, token_index int, form string"),
+    }
+    return L.load_lexical(df, "document", stored, known)
+
+
+def test_load_deals_few_rows(spark, monkeypatch):
+    """Tokens stay where they are, and what is loaded is the same where ids are too many to be broadcast."""
+    few = spark.newSession()
+    few.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = loaded(few)
+    assert "Exchange hashpartitioning" not in got["tokens"]._jdf.queryExecution().executedPlan().toString()
+    rows = lambda name: sorted(map(tuple, got[name].collect()), key=repr)
+    assert rows("tokens") == [(1, 11, 0, "a"), (1, 11, 1, "b"), (2, 21, 0, "d"), (3, 31, 0, "e"), (3, 31, 1, "f"), (4, 41, 0, "old"), (5, 51, 0, "old"), (6, 61, 0, "old")]
+    made = {k: r[0] for k in "kxy" for r in [spark.sql(f"select sha2('{k}', 256)").first()]}
+    new = [(1, 11, "o1", "old1", "a"), (1, 11, "o2", "known", "b"), (2, 21, "o1", made["k"], "d"), (2, 21, "o2", "by alias", "d")]
+    kept = [(4, 41, "o1", "old4", "f"), (6, 61, "o1", "old6", "f"), (9, 21, "o1", "of another passage", "f")]
+    occurrences = rows("occurrences")
+    assert occurrences == sorted([*new, *kept, *((3, 31, "o1", made[k], "") for k in "xyx")], key=repr)
+    assert rows("concepts") == sorted([("known", "l"), *((v, k) for k, v in made.items())])
+    # What is saved of a repeated key comes once a concept.
+    assert rows("saved") == [(11, 11, "o1"), (21, 21, "o1"), (31, 31, "o1"), (31, 31, "o1"), (41, 41, "o1"), (61, 61, "o1")]
+    assert rows("errors") == [(4, "token_mapping"), (5, "no_sentences"), (None, "foreign_sentence")]
+    tables = {name: rows(name) for name in got}
+    monkeypatch.setattr(session, "FEW_IDS", 0)
+    got = loaded(few)
+    assert "Exchange hashpartitioning" in got["tokens"]._jdf.queryExecution().executedPlan().toString()
+    assert {name: rows(name) for name in got} == tables
+
+
+def test_documents_are_made_in_place(spark):
+    """The texts of a passage are those of one document, and are not dealt to be one again."""
+    assert "Exchange" not in lexical(Frames(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sql_sends_later_texts_alone_to_python(spark):
     from lessonloom.functions.text import register_functions
 
