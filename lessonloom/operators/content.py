@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lessonloom.functions.session import shared_folder, with_plain_unions
+from lessonloom.functions.session import few, once, shared_folder, with_plain_unions
 from lessonloom.functions.text import flatten_space, json_put
 from lessonloom.operators.rules import passage_rules, row_rules, violations, with_group_size, with_owned
-from lessonloom.operators.tables import global_rank, ordered_text, renumber
+from lessonloom.operators.tables import global_rank, ordered_text
 from lessonloom.sources.readers import upsert
 
 
@@ -36,20 +36,22 @@ def merge_structure(current: DataFrame, following: DataFrame) -> DataFrame:
     sentence of the stored order, or to the end. A kept sentence keeps its paragraph, a
     new one takes that of the row before it. position is that of the edit, null for structural rows.
     """
-    kept = following.where("id is not null").select("passage_id", "id").distinct().withColumn("kept", F.lit(True))
-    rows = current.join(kept, ["passage_id", "id"], "left").withColumn("is_sentence", F.col("block_type") == "SENTENCE")
-    stored = Window.partitionBy("passage_id").orderBy("sentence_index")
-    anchor = F.first(F.when(F.col("is_sentence") & F.col("kept"), F.col("id")), ignorenulls=True).over(stored.rowsBetween(1, Window.unboundedFollowing))
-    seen = F.max(F.col("is_sentence").cast("int")).over(stored.rowsBetween(Window.unboundedPreceding, -1))
-    structural = rows.withColumns({"anchor": anchor, "seen": F.coalesce(seen, F.lit(0))}).where("not is_sentence")
+    held = current.select("passage_id", "id", F.lit(0).alias("own"), F.col("sentence_index").cast("long").alias("sentence_index"), "block_type", "paragraph_index", F.lit(None).cast("long").alias("position"))
+    named = following.select("passage_id", "id", F.lit(1).alias("own"), F.lit(0).cast("long").alias("sentence_index"), F.lit("SENTENCE").alias("block_type"), F.lit(None).cast(current.schema["paragraph_index"].dataType).alias("paragraph_index"), F.col("position").cast("long").alias("position"))
+    # Dealt once: what follows is of one passage, or of one id in it.
+    rows = held.unionByName(named).repartition("passage_id").withColumn("is_sentence", F.col("block_type") == "SENTENCE")
+    one = Window.partitionBy("passage_id", "id")
+    there = F.col("id").isNotNull()
     # A sentence's id may be named twice in an edit; structural rows go before the first.
-    spot = following.where("id is not null").groupBy("passage_id", F.col("id").alias("anchor")).agg(F.min("position").alias("spot"))
-    structural = structural.join(spot, ["passage_id", "anchor"], "left")
-    zone = F.when(F.col("seen") == 0, 0).when(F.col("spot").isNotNull(), 1).otherwise(2)
-    a = structural.select("passage_id", "id", "block_type", "paragraph_index", F.lit(None).cast("long").alias("position"), zone.alias("zone"), F.coalesce("spot", F.lit(-1)).cast("long").alias("spot"), F.lit(0).alias("own"), "sentence_index")
-    stored_paragraph = current.select("passage_id", "id", F.col("paragraph_index").alias("paragraph_index"))
-    b = following.join(stored_paragraph, ["passage_id", "id"], "left").select("passage_id", "id", F.lit("SENTENCE").alias("block_type"), "paragraph_index", F.col("position").cast("long").alias("position"), F.lit(1).alias("zone"), F.col("position").cast("long").alias("spot"), F.lit(1).alias("own"), F.lit(0).cast("long").alias("sentence_index"))
-    both = a.withColumn("sentence_index", F.col("sentence_index").cast("long")).unionByName(b)
+    rows = rows.withColumns({"kept": there & (F.max("own").over(one) == 1), "first": F.min("position").over(one), "stored_paragraph": F.when(there, F.max("paragraph_index").over(one))})
+    stored = Window.partitionBy("passage_id", "own").orderBy("sentence_index")
+    anchor = F.first(F.when(F.col("is_sentence") & F.col("kept"), F.struct("first")), ignorenulls=True).over(stored.rowsBetween(1, Window.unboundedFollowing))
+    seen = F.max(F.col("is_sentence").cast("int")).over(stored.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"spot": anchor["first"], "seen": F.coalesce(seen, F.lit(0))}).where("own = 1 or not is_sentence")
+    edit = F.col("own") == 1
+    zone = F.when(edit, 1).when(F.col("seen") == 0, 0).when(F.col("spot").isNotNull(), 1).otherwise(2)
+    spot = F.when(edit, F.col("position")).otherwise(F.coalesce("spot", F.lit(-1)))
+    both = rows.select("passage_id", "id", "block_type", F.when(edit, F.col("stored_paragraph")).otherwise(F.col("paragraph_index")).alias("paragraph_index"), "position", zone.alias("zone"), spot.alias("spot"), "own", "sentence_index")
     order = Window.partitionBy("passage_id").orderBy("zone", "spot", "own", "sentence_index")
     carried = F.coalesce(F.last("paragraph_index", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     return both.select("passage_id", (F.row_number().over(order) - 1).cast("long").alias("place"), "id", "block_type", carried.alias("paragraph_index"), "position")
@@ -81,14 +83,15 @@ def save_passages(passages: DataFrame, stored: DataFrame, requests: DataFrame, r
     rows that it leaves out become inactive and move to 1,000,000 and their former rank; the
     passage gets the given fields, a new source text and the next revision.
     """
-    shared_folder(stored.sparkSession)
-    edited = rows.select("passage_id").distinct()
     # Ids and places only; what an edit names, once for its size and its rows.
-    merged = merge_structure(stored.where("active").join(edited, "passage_id", "left_semi"), rows).checkpoint()
-    given = rows.withColumns({"block_type": F.lit("SENTENCE"), "paragraph_index": F.lit(0)})
-    judged = violations(with_group_size(with_owned(given, stored), "passage_id"), row_rules(most))
-    foreign = F.array_contains("violations", "owned")
-    by_passage = judged.groupBy("passage_id").agg(F.bool_or(F.size("violations") > foreign.cast("int")).alias("bad"), F.bool_or(foreign).alias("foreign"))
+    merged = once(merge_structure(stored.where("active"), rows))
+    rules = row_rules(most)
+    many, foreign = rules.pop("row_count"), rules.pop("owned")
+    faulty = F.array_contains(F.array(*[F.coalesce(bad, F.lit(True)) for bad in rules.values()]), True)
+    # Texts are judged where they lie.
+    judged = with_owned(rows.withColumns({"block_type": F.lit("SENTENCE"), "paragraph_index": F.lit(0)}).select("passage_id", "id", faulty.alias("faulty")), stored)
+    by_passage = judged.groupBy("passage_id").agg(F.count("*").alias("group_size"), F.bool_or("faulty").alias("faulty"), F.bool_or(foreign).alias("foreign"))
+    by_passage = by_passage.select("passage_id", (F.col("faulty") | many).alias("bad"), "foreign")
     sizes = merged.groupBy("passage_id").agg(F.count("*").alias("merged"))
     asked = violations(requests, passage_rules()).join(by_passage, "passage_id", "left").join(sizes, "passage_id", "left").join(passages.select(F.col("id").alias("passage_id"), "revision"), "passage_id", "left")
     outcome = (
@@ -102,18 +105,23 @@ def save_passages(passages: DataFrame, stored: DataFrame, requests: DataFrame, r
     )
     asked = asked.withColumn("outcome", outcome).checkpoint()
     accepted = asked.where("outcome = 'saved'").select("passage_id", (F.col("revision") + 1).alias("next"), *[F.trim(c).alias(f"new_{c}") for c in ("title", "grade")], F.trim(F.coalesce("source_label", F.lit(""))).alias("new_label"))
-    saved = merged.join(accepted.select("passage_id", "next"), "passage_id")
-    texts = rows.select("passage_id", F.col("position").cast("long").alias("position"), F.trim("text").alias("new_text"), F.trim("translation").alias("new_translation"))
-    # Structural rows keep their text; that of stored sentences is not asked for.
-    saved = saved.join(texts, ["passage_id", "position"], "left").join(stored.where("block_type <> 'SENTENCE'").select("passage_id", "id", "text", "translation"), ["passage_id", "id"], "left")
-    own = F.col("position").isNull()
+    here = few(once(accepted.select("passage_id", "next")))
     new_id = F.coalesce("id", F.sha2(F.concat_ws(":", "passage_id", "next", "place"), 256))
-    saved = saved.select("passage_id", new_id.alias("id"), F.col("place").alias("sentence_index"), F.when(own, F.col("text")).otherwise(F.col("new_text")).alias("text"), F.when(own, F.col("translation")).otherwise(F.col("new_translation")).alias("translation"), "block_type", F.col("paragraph_index").cast("int").alias("paragraph_index"), F.lit(True).alias("active"))
-    ranked = renumber(stored.join(accepted.select("passage_id"), "passage_id", "left_semi"), "passage_id", ["sentence_index", "id"], "rank")
-    gone = ranked.join(saved.select("passage_id", "id"), ["passage_id", "id"], "left_anti").withColumns({"sentence_index": 1_000_001 + F.col("rank"), "active": F.lit(False)})
-    untouched = stored.join(accepted.select("passage_id"), "passage_id", "left_anti")
-    after = saved.unionByName(gone.select(*STORED_ROW)).unionByName(untouched.select(*STORED_ROW))
-    sources = ordered_text(saved.where("block_type = 'SENTENCE'"), "passage_id", "sentence_index", "text").withColumnRenamed("source_text", "new_source")
+    saved = merged.join(here, "passage_id").withColumns({"stays": F.col("position").isNull() & F.col("id").isNotNull(), "id": new_id, "paragraph_index": F.col("paragraph_index").cast("int")})
+    texts = rows.join(here, "passage_id", "left_semi").select("passage_id", F.col("position").cast("long").alias("position"), F.trim("text").alias("text"), F.trim("translation").alias("translation"))
+    edited = saved.where("not stays").join(texts, ["passage_id", "position"], "left")
+    edited = edited.select("passage_id", "id", F.col("place").alias("sentence_index"), "text", "translation", "block_type", "paragraph_index", F.lit(True).alias("active"))
+    # Stored rows of a save: structural ones keep their text at their new place, sentences that are named are replaced, the others are gone.
+    mine = stored.join(here, "passage_id", "left_semi").select(*STORED_ROW, F.lit(0).alias("side"))
+    places = saved.select("passage_id", "id", F.lit(1).alias("side"), F.when(F.col("stays"), F.struct("place", "paragraph_index")).alias("at"))
+    both = mine.unionByName(places, allowMissingColumns=True).repartition("passage_id")
+    one, ranks = Window.partitionBy("passage_id", "id"), Window.partitionBy("passage_id", "side").orderBy("sentence_index", "id")
+    both = both.withColumns({"named": F.max("side").over(one), "at": F.max("at").over(one), "rank": F.row_number().over(ranks).cast("long")}).where("side = 0 and (named = 0 or at is not null)")
+    stays = F.col("at").isNotNull()
+    left = both.withColumns({"sentence_index": F.when(stays, F.col("at.place")).otherwise(1_000_000 + F.col("rank")), "paragraph_index": F.when(stays, F.col("at.paragraph_index")).otherwise(F.col("paragraph_index")), "active": stays})
+    untouched = stored.join(here, "passage_id", "left_anti")
+    after = edited.unionByName(left.select(*STORED_ROW)).unionByName(untouched.select(*STORED_ROW))
+    sources = ordered_text(edited, "passage_id", "sentence_index", "text").withColumnRenamed("source_text", "new_source")
     changed = passages.join(accepted.withColumnRenamed("passage_id", "id"), "id", "left").join(sources.withColumnRenamed("passage_id", "id"), "id", "left")
     take = lambda new, old: F.when(F.col("next").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
     fields = [take("new_title", "title"), take("new_grade", "grade"), take("new_label", "source_label"), take("new_source", "source_text"), F.coalesce("next", "revision").alias("revision")]

@@ -37,7 +37,11 @@ FRAMES: dict[str, str] = {
     "words": "select conv_id as student_id, turn as passage_id, role as meaning, lower(regexp_extract(text, '[A-Za-z]+', 0)) as word, turn as seen_at from @conversations",
     "facts": "select item_id as fact_key, item_id % 6 as passage_id, text as statement, case item_id % 3 when 0 then 'draft' when 1 then 'confirmed' else 'stale' end as status, cast(item_id % 3 + 1 as int) as difficulty, case when item_id % 4 = 0 then 'ko' else 'en' end as language from @benchmark",
 }
-SPARK_ONLY = {"pieces": "select doc_id as passage_id, pos as sentence_index, text from (select doc_id, posexplode(split(text, '[.] ')) as (pos, text) from @documents)"}
+SPARK_ONLY = {
+    "pieces": "select doc_id as passage_id, pos as sentence_index, text from (select doc_id, posexplode(split(text, '[.] ')) as (pos, text) from @documents)",
+    # The rows of the text above, numbered inside their document, so that no text is shuffled for its place.
+    "edited": "select case when s.at % 6 = 5 then null else passage_id * 100000 + s.at end as id, passage_id, position, case when s.at % 5 = 3 then concat(s.text, ' edited') else s.text end as text, case when s.at % 7 = 0 then '' else s.text end as translation from (select doc_id as passage_id, posexplode(filter(transform(split(text, '[.] '), (x, i) -> struct(i as at, x as text)), x -> x.at > 0 and x.at % 9 <> 8 and x.at % 4 <> 2)) as (position, s) from @documents)",
+}
 DUCK_ONLY = {"pieces": "select doc_id as passage_id, generate_subscripts(p, 1) - 1 as sentence_index, unnest(p) as text from (select doc_id, string_split(text, '. ') as p from @documents)"}
 NAME = re.compile(r"@([a-z_]+)")
 

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from lessonloom import constants as C
+from lessonloom.functions import session as asked
 from lessonloom.functions.session import NUMBER_KEY, SIZE_KEY
+from lessonloom.operators import content as K
 from lessonloom.operators import practice as P
 from lessonloom.plans import QUERIES
-from lessonloom.plans.frames import Frames
+from lessonloom.plans.frames import FRAMES, Frames
 from tests.test_golden import plain_lockout, tries_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -103,3 +105,39 @@ def test_texts_to_order_stay_as_they_are(spark):
     df = spark.createDataFrame([(i, 1, i, *r) for i, *r in rows], "id long, passage_id long, sentence_index int, text string, translation string, block_type string, active boolean")
     assert {r.id: r.text for r in P.orderable(df).collect()} == {1: " a　b ", 5: "a b\x00"}
     assert {r.id: r.text for r in P.practice_items(df).collect()} == {1: "a　b", 5: "a b"}
+
+
+def test_saves_shuffle_texts_little(spark, monkeypatch):
+    """Texts of rows that no save touches stay where they are; the others are dealt once. Rows are the same where passages are too many to be broadcast."""
+    few = spark.newSession()
+    few.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    kinds = [("a", "TITLE", 0), ("b", "SENTENCE", 0), ("c", "SENTENCE", 1), ("d", "SUBTITLE", 2), ("e", "SENTENCE", 2), ("f", "SENTENCE", 3)]
+    stored = [(1, i, at, f"text {i}", "x", kind, paragraph, i != "f") for at, (i, kind, paragraph) in enumerate(kinds)] + [(2, "g", 0, "text g", "x", "SENTENCE", 0, True)]
+    edit = [(1, 0, "c", " C ", "x"), (1, 1, None, "N", "x"), (1, 2, "b", "B", "x"), (2, 0, "g", "G", "x")]
+    ask = [(p, "title", "g", "TEXTBOOK", None, None, None, 3) for p in (1, 2)]
+
+    def saved():
+        tables = few.createDataFrame([(1, "t", "g", "", "", 3), (2, "t", "g", "", "", 4)], "id long, title string, grade string, source_label string, source_text string, revision int")
+        requests = few.createDataFrame(ask, "passage_id long, title string, grade string, source_type string, source_year int, source_month int, source_label string, expected_revision int")
+        rows = few.createDataFrame(edit, "passage_id long, position int, id string, text string, translation string")
+        return K.save_passages(tables, few.createDataFrame(stored, ", ".join(f"{c} {t}" for c, t in zip(K.STORED_ROW, "long,string,int,string,string,string,int,boolean".split(",")))), requests, rows)
+
+    made = spark.sql("select sha2('1:4:2', 256)").first()[0]
+    want = [(1, "a", 0, "text a", "TITLE", 0, True), (1, "c", 1, "C", "SENTENCE", 1, True), (1, made, 2, "N", "SENTENCE", 1, True), (1, "b", 3, "B", "SENTENCE", 0, True), (1, "d", 4, "text d", "SUBTITLE", 2, True)]
+    want += [(1, "e", 1_000_005, "text e", "SENTENCE", 2, False), (1, "f", 1_000_006, "text f", "SENTENCE", 3, False), (2, "g", 0, "text g", "SENTENCE", 0, True)]
+    for most in (asked.FEW_IDS, 0):
+        monkeypatch.setattr(asked, "FEW_IDS", most)
+        passages, rows, outcomes = saved()
+        assert sorted(map(tuple, rows.drop("translation").collect())) == sorted(want)
+        assert {r.passage_id: r.outcome for r in outcomes.collect()} == {1: "saved", 2: "conflict"} and {r.id: r.source_text for r in passages.collect()} == {1: "C N B", 2: ""}
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("Exchange hashpartitioning") <= 3) == (most > 0)
+
+
+def test_edited_rows_are_numbered_in_place(spark):
+    """The rows of an edit are those of their SQL, without a shuffle for their places."""
+    f = Frames(spark, FOLDER)
+    want = f.sql(FRAMES["edited"])
+    assert "Exchange" not in f.edited._jdf.queryExecution().executedPlan().toString()
+    assert f.edited.dtypes == want.dtypes and want.count() > 1000
+    assert f.edited.exceptAll(want).count() == want.exceptAll(f.edited).count() == 0
