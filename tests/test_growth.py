@@ -141,3 +141,16 @@ def test_edited_rows_are_numbered_in_place(spark):
     assert "Exchange" not in f.edited._jdf.queryExecution().executedPlan().toString()
     assert f.edited.dtypes == want.dtypes and want.count() > 1000
     assert f.edited.exceptAll(want).count() == want.exceptAll(f.edited).count() == 0
+
+
+def test_shuffled_rows_go_once_written(spark, tmp_path):
+    """What was shuffled for rows that are kept in files does not stay beside them; the session keeps its setting."""
+    blocks = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    for said in (None, "false"):
+        conf = spark.newSession()
+        if said:
+            conf.conf.set(asked.CLEANUP_KEY, said)
+        before = blocks()
+        rows = asked.once(conf.range(1000).repartition(3, "id"))
+        assert blocks() <= before and rows.count() == 1000
+        assert conf.conf.getAll.get(asked.CLEANUP_KEY) == said
