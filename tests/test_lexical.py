@@ -84,6 +84,16 @@ def test_documents_are_made_in_place(spark):
     assert "Exchange" not in lexical(Frames(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ids_are_compared_once_a_document(spark, monkeypatch):
+    """Whether a document's ids repeat is found before its rows are made, not for each of them."""
+    plans, real = [], L.once
+    monkeypatch.setattr(L, "once", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    f = Frames(spark, "/root/testdata/sf0.001")
+    L.read_lexical(lexical(f), "document", f.sentences.select("id", "passage_id"))
+    above, below = plans[0].split("Generate explode")
+    assert "array_distinct(sentences" in below and "array_distinct(sentences" not in above
+
+
 def test_sql_sends_later_texts_alone_to_python(spark):
     from lessonloom.functions.text import register_functions
 
